@@ -10,7 +10,8 @@ from shelfline.functions.columns import ColumnLike, as_column
 
 def padded(prefix: str, number: ColumnLike, width: int) -> Column:
     """`prefix` and the number with leading zeros; longer numbers keep all their digits."""
-    return F.format_string(f"{prefix}%0{width}d", as_column(number))
+    digits = as_column(number).cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0")))
 
 
 def product_id(number: ColumnLike, width: int = 4) -> Column:

@@ -85,12 +85,17 @@ def build_gold(spark: SparkSession, ns_silver: str, ns: str, options: Options =
     products, stores = read("dim_product"), read("dim_store")
     sales, summary = read("fact_sales_item"), read("fact_basket_summary")
 
-    baskets = affinity.filter_baskets(
-        read("fact_basket_product"), summary, options.start, options.end, options.store_ids, options.promo_context
-    )
-    full = write(
-        affinity.affinity(baskets, options.min_pair_cnt, options.refreshed_at), "fact_product_affinity"
-    )
+    baskets = read("fact_basket_product")
+    filters = (options.start, options.end, options.store_ids, options.promo_context)
+    if any(filters):
+        scored = affinity.affinity(
+            affinity.filter_baskets(baskets, summary, *filters), options.min_pair_cnt, options.refreshed_at
+        )
+    else:
+        scored = affinity.affinity(
+            baskets, options.min_pair_cnt, options.refreshed_at, settled=True, counts=read("fact_product_counts")
+        )
+    full = write(scored, "fact_product_affinity")
     top = write(affinity.topk(full, options.top_k), "fact_product_affinity_topk")
     write(affinity.named_topk(top, products), "product_affinity_topk_named")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfline.session import stored
+
 # Groups above this many items are spread over several tasks.
 BULKY = 1000
 # At most this many of the largest groups are looked up instead of expanded.
@@ -18,39 +20,60 @@ def pair_counts(
     group: str = "order_id",
     item: str = "product_id",
     bulky: int = BULKY,
+    settled: bool = False,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Unordered pairs `item_a < item_b` and the number of groups that hold both, where that is `min_pair_cnt` or more.
 
-    The work of a plain self-join grows with the square of the group size, so three exact steps keep it down:
+    The work of forming all pairs grows with the square of the group size, so three exact steps keep it down:
 
     * An item in fewer than `min_pair_cnt` groups has no pair that reaches the bound. Such items go first.
     * A pair in `min_pair_cnt` groups lies in at least one group outside any `min_pair_cnt - 1` groups. So the largest
-      `min_pair_cnt - 1` groups are never expanded: pairs come from the other groups, and membership in the largest
-      ones is looked up per item.
+      `min_pair_cnt - 1` bulky groups are never expanded: pairs come from the other groups, and membership in the
+      largest ones is looked up per item.
     * Bulky groups that remain are cut into blocks of items, and each pair of blocks is joined on its own, so a single
       group becomes many small tasks.
+
+    The memberships are read several times, so they are stored first; `settled` says that `baskets` is a stored table
+    with each membership once. `counts`, if at hand, has the groups per item as (item, cnt).
     """
-    members = baskets.select(F.col(group).alias("grp"), F.col(item).alias("item")).distinct()
-    if min_pair_cnt > 1:
-        frequent = members.groupBy("item").agg(F.count("grp").alias("n")).where(F.col("n") >= min_pair_cnt)
-        members = members.join(frequent.select("item"), "item", "left_semi")
+    members = baskets.select(F.col(group).alias("grp"), F.col(item).alias("item"))
+    if not settled:
+        members = stored(members.distinct(), "members")
     large = members.groupBy("grp").agg(F.count("item").alias("size")).where(F.col("size") > bulky)
-    pairs = _plain_pairs(members.join(large, "grp", "left_anti"))
+    largest = _largest(large, min(min_pair_cnt - 1, MAX_LOOKED_UP))
 
-    looked_up = min(min_pair_cnt - 1, MAX_LOOKED_UP)
-    if looked_up == 0:
-        return _count(pairs.unionByName(_blocked_pairs(members, large, bulky)))
-
-    largest = large.orderBy(F.desc("size"), "grp").limit(looked_up)
-    remaining = large.join(F.broadcast(largest.select("grp")), "grp", "left_anti")
-    seen = _count(pairs.unionByName(_blocked_pairs(members, remaining, bulky)))
+    if min_pair_cnt > 1:
+        if counts is None:
+            counts = stored(item_counts(members), "counts")
+        frequent = counts.where(F.col("cnt") >= min_pair_cnt).select("item")
+        members = members.join(frequent, "item", "left_semi")
+    if largest is None:
+        return _count(_listed_pairs(members)).where(F.col("pair_cnt") >= min_pair_cnt)
+
+    small = _listed_pairs(members.join(large, "grp", "left_anti"))
+    spread = _blocked_pairs(members, large.where(~F.col("grp").isin(largest)), bulky)
+    seen = _count(small.unionByName(spread))
     return _add_looked_up(seen, members, largest, min_pair_cnt)
 
 
-def _plain_pairs(members: DataFrame) -> DataFrame:
-    left = members.select("grp", F.col("item").alias("item_a"))
-    right = members.select("grp", F.col("item").alias("item_b"))
-    return left.join(right, "grp").where("item_a < item_b").select("item_a", "item_b")
+def item_counts(members: DataFrame) -> DataFrame:
+    """Groups per item."""
+    return members.groupBy("item").agg(F.count("grp").alias("cnt"))
+
+
+def _largest(large: DataFrame, n: int) -> list | None:
+    """Keys of the `n` largest bulky groups, at most MAX_LOOKED_UP of them; None if no group is bulky."""
+    rows = large.orderBy(F.desc("size"), "grp").limit(max(n, 1)).collect()
+    return [row["grp"] for row in rows[:n]] if rows else None
+
+
+def _listed_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of groups that are known to be small: the items of a group are gathered, then paired."""
+    lists = members.groupBy("grp").agg(F.array_sort(F.collect_list("item")).alias("items")).where(F.size("items") > 1)
+    first = lists.where("grp IS NOT NULL").select(F.posexplode("items").alias("place", "item_a"), "items")
+    later = F.slice("items", F.col("place") + 2, F.size("items"))
+    return first.select("item_a", F.explode(later).alias("item_b"))
 
 
 def _blocked_pairs(members: DataFrame, groups: DataFrame, bulky: int) -> DataFrame:
@@ -67,24 +90,14 @@ def _count(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("pair_cnt"))
 
 
-def _add_looked_up(seen: DataFrame, members: DataFrame, largest: DataFrame, min_pair_cnt: int) -> DataFrame:
-    """Add the counts from the largest groups. `largest` has fewer than `min_pair_cnt` rows, so it may be broadcast,
-    and an item's list of them is as short."""
-    held = (
-        members.join(F.broadcast(largest.select("grp")), "grp", "left_semi")
-        .groupBy("item")
-        .agg(F.collect_set("grp").alias("held"))
-    )
-    unexpanded = largest.agg(F.count("grp")).scalar()
-    possible = seen.where(F.col("pair_cnt") + unexpanded >= min_pair_cnt)
+def _add_looked_up(seen: DataFrame, members: DataFrame, largest: list, min_pair_cnt: int) -> DataFrame:
+    """Add the counts from the largest groups, of which an item has a short list, to pairs that can reach the bound."""
+    held = members.where(F.col("grp").isin(largest)).groupBy("item").agg(F.collect_set("grp").alias("held"))
+    possible = seen.where(F.col("pair_cnt") + len(largest) >= min_pair_cnt)
     both = possible.join(held.select(F.col("item").alias("item_a"), F.col("held").alias("held_a")), "item_a", "left")
     both = both.join(held.select(F.col("item").alias("item_b"), F.col("held").alias("held_b")), "item_b", "left")
-    shared = F.coalesce(F.size(F.array_intersect("held_a", "held_b")), F.lit(0))
-    counted = both.select(
-        "item_a",
-        "item_b",
-        (F.col("pair_cnt") + F.when(F.col("held_a").isNull() | F.col("held_b").isNull(), 0).otherwise(shared)).alias(
-            "pair_cnt"
-        ),
-    )
+    shared = F.when(
+        F.col("held_a").isNotNull() & F.col("held_b").isNotNull(), F.size(F.array_intersect("held_a", "held_b"))
+    ).otherwise(0)
+    counted = both.select("item_a", "item_b", (F.col("pair_cnt") + shared).alias("pair_cnt"))
     return counted.where(F.col("pair_cnt") >= min_pair_cnt)

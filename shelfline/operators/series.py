@@ -28,15 +28,15 @@ def aligned_bin(ts: Column, start: Column, step: str) -> Column:
 
 
 def make_series(
-    binned: DataFrame, keys: DataFrame, ts: str, value: str, start: Column, end: Column, step: str
+    binned: DataFrame, keys: list[str], ts: str, value: str, start: Column, end: Column, step: str
 ) -> DataFrame:
     """Every bin of every key, with 0 where `binned` has no row.
 
-    `binned` has one row per key and bin, `keys` one row per key. Only the keys are expanded, each into the fixed
+    `binned` has one row per key and bin. Only the keys are expanded, each into the fixed
     number of bins between `start` and `end`; the values are joined on.
     """
-    spine = with_bins(keys, ts, start, end, step)
-    return spine.join(binned, [*keys.columns, ts], "left").withColumn(value, F.coalesce(value, F.lit(0)))
+    spine = with_bins(binned.select(*keys).distinct(), ts, start, end, step)
+    return spine.join(binned, [*keys, ts], "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 
 def cumulative(series: DataFrame, keys: list[str], ts: str, value: str, total: str = "cum") -> DataFrame:

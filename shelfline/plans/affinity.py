@@ -11,7 +11,8 @@ from shelfline import schemas
 from shelfline.functions.money import ratio
 from shelfline.operators.pairs import BULKY, pair_counts
 from shelfline.operators.ranking import top_per_group
-from shelfline.plans.silver import distinct_baskets
+from shelfline.plans.silver import distinct_baskets, product_counts
+from shelfline.session import stored
 from shelfline.sources.tables import empty_like
 
 # fixed values: pairs below this count are noise, and how many partners a product keeps
@@ -76,18 +77,26 @@ def affinity(
     refreshed_at: Column | None = None,
     *,
     bulky: int = BULKY,
+    settled: bool = False,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Support, confidence and lift of every product pair with at least `min_pair_cnt` baskets, in both directions.
 
     Item counts and the number of baskets come from all baskets; only the pairs are pruned. No baskets give no rows.
+    The distinct baskets are stored for the several passes over them, unless `settled` says that `baskets` is such a
+    stored table already; `counts` may then give their table of (product_id, basket_cnt).
     """
-    members = distinct_baskets(baskets)
+    members = baskets.select("order_id", "product_id")
+    if not settled:
+        members = stored(distinct_baskets(members), "baskets")
     total = members.agg(F.count_distinct("order_id")).scalar()
-    counts = members.groupBy("product_id").agg(F.count("order_id").alias("cnt"))
-    pairs = pair_counts(members, min_pair_cnt, bulky=bulky)
+    if counts is None:
+        counts = stored(product_counts(members), "counts")
+    per_item = counts.select(F.col("product_id").alias("item"), F.col("basket_cnt").alias("cnt"))
+    pairs = pair_counts(members, min_pair_cnt, bulky=bulky, settled=True, counts=per_item)
     counted = pairs.join(
-        counts.select(F.col("product_id").alias("item_a"), F.col("cnt").alias("cnt_a")), "item_a", "left"
-    ).join(counts.select(F.col("product_id").alias("item_b"), F.col("cnt").alias("cnt_b")), "item_b", "left")
+        per_item.select(F.col("item").alias("item_a"), F.col("cnt").alias("cnt_a")), "item_a", "left"
+    ).join(per_item.select(F.col("item").alias("item_b"), F.col("cnt").alias("cnt_b")), "item_b", "left")
     both = directed(counted).withColumn("total", total)
     pair_cnt, lhs_cnt, rhs_cnt = (F.col(name).cast("double") for name in ("pair_cnt", "lhs_cnt", "rhs_cnt"))
     return both.select(

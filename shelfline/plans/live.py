@@ -148,5 +148,5 @@ def pair_series(
         .groupBy("pair_key", "event_time")
         .agg(F.count(F.lit(1)).alias("combinations"))
     )
-    dense = make_series(binned, top.select("pair_key"), "event_time", "combinations", start, as_of, step)
+    dense = make_series(binned, ["pair_key"], "event_time", "combinations", start, as_of, step)
     return cumulative(dense, ["pair_key"], "event_time", "combinations", "cum").select("event_time", "pair_key", "cum")

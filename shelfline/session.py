@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that may be changed on a running session. Joins of a fact with a key that holds a large share of the rows
 # rely on the adaptive skew join; "force" lets Spark split such a partition even when the next step then needs one
@@ -46,3 +46,14 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="shelfline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result to the shared scratch folder and read it back.
+
+    For rows that several branches of a plan use: they are computed once, survive the loss of an executor, and their
+    true size is known when the joins above them are planned.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

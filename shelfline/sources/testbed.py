@@ -108,10 +108,10 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Order items with the columns that order repeated lines of a product."""
-    heads = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    heads = table(spark, sf, "orders").select("o_orderkey", _order_id("o_orderdate", "o_orderkey").alias("order_id"))
     lines = table(spark, sf, "lineitem").join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
     return lines.select(
-        _order_id("o_orderdate", "o_orderkey").alias("order_id"),
+        "order_id",
         _product_id("l_partkey").alias("product_id"),
         F.col("l_quantity").cast("int").alias("amount"),
         *ITEM_ORDER,
@@ -215,6 +215,10 @@ COMBINATION_FIELDS = ["product_id", "name", "brand", "category", "price", "origi
 def _packed_orders(spark: SparkSession, sf: str, fields: list[str]) -> DataFrame:
     """Order heads with the array of their items; an order without lines has no array."""
     items = sold_items(spark, sf).withColumn("original_price", F.col("price"))
+    return _with_combination(spark, sf, items, fields)
+
+
+def _with_combination(spark: SparkSession, sf: str, items: DataFrame, fields: list[str]) -> DataFrame:
     packed = pack_items(items, "order_id", ["product_id"], {name: F.col(name) for name in fields})
     heads = order_heads(spark, sf).join(packed, "order_id", "left")
     made = F.when(F.col("o_orderkey") % 3 != 0, ids.combination_id(F.transform("items", lambda i: i["product_id"])))
@@ -261,10 +265,17 @@ def combination_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def live_combinations(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with their event time, combination and product ids."""
+    return _with_combination(spark, sf, kept_items(spark, sf), ["product_id"]).select(
+        "order_id", "event_time", "combination_id", "items"
+    )
+
+
 def live_combo_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Landed combination items in batch form."""
-    events = combination_events(spark, sf)
-    return events.select("combination_id", F.explode("items").alias("item")).select(
+    """Landed combination items, as far as the pair figures need them."""
+    made = live_combinations(spark, sf).where("combination_id IS NOT NULL")
+    return made.select("combination_id", F.explode("items").alias("item")).select(
         "combination_id", F.col("item.product_id").alias("product_id")
     )
 

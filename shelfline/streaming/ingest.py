@@ -104,14 +104,12 @@ def _start_pair(
 ) -> list[StreamingQuery]:
     """Two independent sinks. Each has its own checkpoint, so that one can fail and resume without the other."""
     parent, child = names
-    if by_day:
-        whole, options = _with_day(whole), {**options, "partition_by": "event_date"}
-        child_options = {k: v for k, v in options.items() if k != "partition_by"}
-    else:
-        child_options = options
+    day = {"partition_by": "event_date"} if by_day else {}
     return [
-        start_ingest(whole, _sink(target, parent), f"{checkpoint}/{parent}", **options),
-        start_ingest(items, _sink(target, child), f"{checkpoint}/{child}", **child_options),
+        start_ingest(
+            _with_day(whole) if by_day else whole, _sink(target, parent), f"{checkpoint}/{parent}", **day, **options
+        ),
+        start_ingest(items, _sink(target, child), f"{checkpoint}/{child}", **options),
     ]
 
 
@@ -139,5 +137,5 @@ def ingest_combinations(
     envelope = read_events(spark, source, schemas.COMBINATION_EVENT)
     return _start_pair(
         landed_combinations(envelope, arrival), landed_combination_items(envelope),
-        ("combinations", "combination_items"), target, checkpoint, options,
+        ("combinations", "combination_items"), target, checkpoint, by_day, options,
     )

@@ -137,22 +137,22 @@ def with_shared(body: str) -> str:
 REFRESHED = "'2024-01-01 00:00:00' AS refreshed_at"
 
 
-def affinity_sql(baskets: str, tail: str, min_pairs: int = 2) -> str:
-    """Affinity over `baskets`, computed by a plain self-join; `tail` reads from `aff`."""
+def affinity_sql(name: str, baskets: str, min_pairs: int = 2) -> str:
+    """Common table expressions that give the affinity over `baskets` as `name`, by a plain self-join."""
     return f"""
-        , b AS ({baskets}),
-        total AS (SELECT count(DISTINCT order_id) AS n FROM b),
-        cnt AS (SELECT product_id, count(*) AS c FROM b GROUP BY product_id),
-        pairs AS (
+        {name}_b AS ({baskets}),
+        {name}_total AS (SELECT count(DISTINCT order_id) AS n FROM {name}_b),
+        {name}_cnt AS (SELECT product_id, count(*) AS c FROM {name}_b GROUP BY product_id),
+        {name}_pairs AS (
             SELECT x.product_id AS lhs_item_id, y.product_id AS rhs_item_id, count(*) AS pair_cnt
-            FROM b x JOIN b y ON x.order_id = y.order_id AND x.product_id <> y.product_id
+            FROM {name}_b x JOIN {name}_b y ON x.order_id = y.order_id AND x.product_id <> y.product_id
             GROUP BY 1, 2 HAVING count(*) >= {min_pairs}),
-        aff AS (
+        {name} AS (
             SELECT lhs_item_id, rhs_item_id, pair_cnt, l.c AS lhs_cnt, r.c AS rhs_cnt, l.c / n AS support_lhs,
                 r.c / n AS support_rhs, pair_cnt / n AS support_pair, pair_cnt / l.c AS confidence_lhs_to_rhs,
                 CAST(pair_cnt * n AS DOUBLE) / CAST(l.c * r.c AS DOUBLE) AS lift
-            FROM pairs JOIN cnt l ON lhs_item_id = l.product_id JOIN cnt r ON rhs_item_id = r.product_id, total)
-        {tail}"""
+            FROM {name}_pairs JOIN {name}_cnt l ON lhs_item_id = l.product_id
+                JOIN {name}_cnt r ON rhs_item_id = r.product_id, {name}_total)"""
 
 
 AFFINITY_COLUMNS = f"""
@@ -162,16 +162,20 @@ AFFINITY_COLUMNS = f"""
     FROM aff"""
 
 
-def ranked(k: int) -> str:
-    return f"""QUALIFY row_number() OVER (
-        PARTITION BY lhs_item_id ORDER BY lift DESC, confidence_lhs_to_rhs DESC, pair_cnt DESC, rhs_item_id) <= {k}"""
+def ranked(k: int, table: str = "aff") -> str:
+    return f"""QUALIFY row_number() OVER (PARTITION BY {table}.lhs_item_id ORDER BY {table}.lift DESC,
+        {table}.confidence_lhs_to_rhs DESC, {table}.pair_cnt DESC, {table}.rhs_item_id) <= {k}"""
 
 
-def _with_affinity(baskets: str, tail: str, min_pairs: int = 2) -> str:
-    text = affinity_sql(baskets, tail, min_pairs)
-    shared = with_shared(text)
-    head = shared[: shared.index(text)] if text in shared else ""
-    return head.rstrip() + text if head else "WITH " + text.lstrip(" \n,")
+def _with_affinity(tail: str, *ctes: str) -> str:
+    """`tail` after the shared sub-queries and the given expressions."""
+    text = ",".join(ctes) + tail
+    head = with_shared(text)[: -len(text)].rstrip()
+    return f"{head},{text}" if head else f"WITH {text}"
+
+
+def _affinity(baskets: str, tail: str, min_pairs: int = 2) -> str:
+    return _with_affinity(tail, affinity_sql("aff", baskets, min_pairs))
 
 
 def _filtered(condition: str) -> str:
@@ -437,18 +441,27 @@ _NAMED_TAIL = f"""
     FROM (SELECT * FROM aff {ranked(10)}) t
         JOIN r_products pl ON lhs_item_id = pl.product_id JOIN r_products pr ON rhs_item_id = pr.product_id"""
 
+_RECOMMEND_TAIL = f"""
+    SELECT lhs_item_id, rhs_item_id, name AS rhs_name, round(lift, 6) AS lift,
+        round(confidence_lhs_to_rhs, 6) AS confidence, pair_cnt
+    FROM (SELECT * FROM promo {ranked(10, "promo")}
+        UNION ALL
+        SELECT * FROM (SELECT * FROM aff WHERE lhs_item_id NOT IN (SELECT lhs_item_id FROM promo)) rest {ranked(10, "rest")})
+    JOIN r_products ON rhs_item_id = product_id"""
+
 ORACLE_SQL.update(
     {
-        "product_affinity": _with_affinity(ALL, AFFINITY_COLUMNS),
-        "affinity_topk": _with_affinity(ALL, f"{AFFINITY_COLUMNS} {ranked(3).replace('lift DESC', 'aff.lift DESC').replace('confidence_lhs_to_rhs DESC', 'aff.confidence_lhs_to_rhs DESC')}"),
-        "affinity_topk_named": _with_affinity(ALL, _NAMED_TAIL),
-        "affinity_date_range": _with_affinity(
+        "product_affinity": _affinity(ALL, AFFINITY_COLUMNS),
+        "affinity_topk": _affinity(ALL, f"{AFFINITY_COLUMNS} {ranked(3)}"),
+        "affinity_topk_named": _affinity(ALL, _NAMED_TAIL),
+        "affinity_date_range": _affinity(
             _filtered("order_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"), AFFINITY_COLUMNS),
-        "affinity_stores": _with_affinity(_filtered("store_id IN ('Cologne', 'Online')"), AFFINITY_COLUMNS),
-        "affinity_promo_only": _with_affinity(PROMOTED, AFFINITY_COLUMNS),
-        "affinity_non_promo": _with_affinity(_filtered("NOT coalesce(promo_flag, false)"), AFFINITY_COLUMNS),
-        "affinity_empty": _with_affinity(_filtered("store_id = 'Nowhere'"), AFFINITY_COLUMNS),
-        "affinity_brands": _with_affinity(
+        "affinity_stores": _affinity(_filtered("store_id IN ('Cologne', 'Online')"), AFFINITY_COLUMNS),
+        "affinity_promo_only": _affinity(PROMOTED, AFFINITY_COLUMNS),
+        "affinity_non_promo": _affinity(_filtered("NOT coalesce(promo_flag, false)"), AFFINITY_COLUMNS),
+        "affinity_empty": _affinity(_filtered("store_id = 'Nowhere'"), AFFINITY_COLUMNS),
+        "affinity_brands": _affinity(
             "SELECT DISTINCT order_id, brand AS product_id FROM sales", AFFINITY_COLUMNS, 5),
+        "recommend": _with_affinity(_RECOMMEND_TAIL, affinity_sql("promo", PROMOTED), affinity_sql("aff", ALL)),
     }
 )

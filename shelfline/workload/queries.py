@@ -467,7 +467,7 @@ def combo_array_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sold(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Column]:
-    orders = testbed.live_orders(spark, sf)
+    orders = testbed.live_combinations(spark, sf)
     return testbed.live_combo_items(spark, sf), orders, _now(testbed.order_heads(spark, sf))
 
 
