@@ -37,7 +37,7 @@ def pair_counts(
     The memberships are read several times, so they are stored first; `settled` says that `baskets` is a stored table
     with each membership once. `counts`, if at hand, has the groups per item as (item, cnt).
     """
-    members = baskets.select(F.col(group).alias("grp"), F.col(item).alias("item"))
+    members = baskets.select(F.col(group).alias("grp"), F.col(item).alias("item")).dropna()
     if not settled:
         members = stored(members.distinct(), "members")
     large = members.groupBy("grp").agg(F.count("item").alias("size")).where(F.col("size") > bulky)
@@ -71,7 +71,7 @@ def _largest(large: DataFrame, n: int) -> list | None:
 def _listed_pairs(members: DataFrame) -> DataFrame:
     """Pairs of groups that are known to be small: the items of a group are gathered, then paired."""
     lists = members.groupBy("grp").agg(F.array_sort(F.collect_list("item")).alias("items")).where(F.size("items") > 1)
-    first = lists.where("grp IS NOT NULL").select(F.posexplode("items").alias("place", "item_a"), "items")
+    first = lists.select(F.posexplode("items").alias("place", "item_a"), "items")
     later = F.slice("items", F.col("place") + 2, F.size("items"))
     return first.select("item_a", F.explode(later).alias("item_b"))
 

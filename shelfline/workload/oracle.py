@@ -246,13 +246,13 @@ _TEXTS = {
     "fact_product_counts": "SELECT product_id, count(DISTINCT order_id) AS basket_cnt FROM k_items GROUP BY product_id",
     "kx_total_baskets": "SELECT CAST(count(DISTINCT order_id) AS INTEGER) AS n FROM k_items",
     # key figures
-    "aov_overall": "SELECT round(avg(basket_value), 4) AS aov FROM summary",
+    "aov_overall": "SELECT round(avg(basket_value), 6) AS aov FROM summary",
     "aov_by_region_channel": """
         SELECT region, channel, count(DISTINCT order_id) AS orders, round(sum(basket_value), 2) AS revenue,
-            round(avg(basket_value), 4) AS aov
+            round(avg(basket_value), 6) AS aov
         FROM stored GROUP BY region, channel""",
     "aov_by_brand": """
-        SELECT brand, round(avg(v), 4) AS aov_brand
+        SELECT brand, round(avg(v), 6) AS aov_brand
         FROM (SELECT order_id, brand, sum(line_value) AS v FROM sales GROUP BY order_id, brand) GROUP BY brand""",
     "top_products_by_category": """
         SELECT *, CAST(row_number() OVER (
@@ -277,21 +277,21 @@ _TEXTS = {
         FROM stored GROUP BY channel""",
     # measures and report
     "measure_totals": """
-        SELECT round(revenue, 2) AS revenue, round(units_sold, 4) AS units_sold, orders, round(revenue / orders, 4) AS aov,
-            round(promoted / orders, 4) AS promo_orders, round(promo_u / users, 4) AS promo_users
+        SELECT round(revenue, 2) AS revenue, round(units_sold, 6) AS units_sold, orders, round(revenue / orders, 6) AS aov,
+            round(promoted / orders, 6) AS promo_orders, round(promo_u / users, 6) AS promo_users
         FROM (SELECT sum(line_value) AS revenue, sum(qty) AS units_sold FROM sales),
             (SELECT count(DISTINCT order_id) AS orders, count(DISTINCT order_id) FILTER (WHERE promo_flag) AS promoted,
                 count(DISTINCT user_id) FILTER (WHERE promo_flag) AS promo_u, count(DISTINCT user_id) AS users
             FROM summary)""",
     "measure_aov_by_date": """
-        SELECT o.order_date AS date, round(any_value(r.revenue) / count(DISTINCT order_id), 4) AS aov
+        SELECT o.order_date AS date, round(any_value(r.revenue) / count(DISTINCT order_id), 6) AS aov
         FROM summary o LEFT JOIN (SELECT order_date, sum(line_value) AS revenue FROM star GROUP BY 1) r
             ON o.order_date = r.order_date
         GROUP BY o.order_date""",
     "measures_by_store": """
         SELECT o.store_id, CAST(o.y AS INTEGER) AS year, round(revenue, 2) AS revenue, orders,
-            round(revenue / orders, 4) AS aov, round(promoted / orders, 4) AS promo_orders,
-            round(promo_u / users, 4) AS promo_users
+            round(revenue / orders, 6) AS aov, round(promoted / orders, 6) AS promo_orders,
+            round(promo_u / users, 6) AS promo_users
         FROM (SELECT store_id, year(order_date) AS y, count(DISTINCT order_id) AS orders,
                 count(DISTINCT order_id) FILTER (WHERE promo_flag) AS promoted,
                 count(DISTINCT user_id) FILTER (WHERE promo_flag) AS promo_u, count(DISTINCT user_id) AS users
@@ -348,15 +348,15 @@ _TEXTS = {
         FROM recent GROUP BY 1""",
     "live_aov": """
         SELECT strftime(date_trunc('hour', event_time), '%Y-%m-%d %H:%M:%S') AS event_time,
-            round(sum(total_price) / count(*), 4) AS aov
+            round(sum(total_price) / count(*), 6) AS aov
         FROM recent GROUP BY 1""",
     "live_promo_usage": """
         SELECT strftime(date_trunc('hour', event_time), '%Y-%m-%d %H:%M:%S') AS event_time,
-            round(100.0 * count(*) FILTER (WHERE promo_code <> '') / count(*), 4) AS promo_usage_pct
+            round(100.0 * count(*) FILTER (WHERE promo_code <> '') / count(*), 6) AS promo_usage_pct
         FROM recent GROUP BY 1""",
     "live_combo_rate": """
         SELECT strftime(date_trunc('hour', event_time), '%Y-%m-%d %H:%M:%S') AS event_time, count(*) AS total_orders,
-            count(combination_id) AS combo_orders, round(100.0 * count(combination_id) / count(*), 4) AS combo_order_pct
+            count(combination_id) AS combo_orders, round(100.0 * count(combination_id) / count(*), 6) AS combo_order_pct
         FROM recent GROUP BY 1""",
     "combo_sets": """
         SELECT combination_id, string_agg(product_id, ',' ORDER BY product_id) AS products
@@ -416,9 +416,9 @@ _TEXTS = {
         FROM sold_orders""",
     "stream_kpis_tumbling": """
         SELECT strftime(date_trunc('hour', event_time), '%Y-%m-%d %H:%M:%S') AS event_time, count(*) AS orders,
-            round(sum(total_price), 4) AS revenue, round(sum(total_price) / count(*), 4) AS aov,
-            round(100.0 * count(*) FILTER (WHERE promo_code <> '') / count(*), 4) AS promo_usage_pct,
-            count(combination_id) AS combo_orders, round(100.0 * count(combination_id) / count(*), 4) AS combo_order_pct
+            round(sum(total_price), 6) AS revenue, round(sum(total_price) / count(*), 6) AS aov,
+            round(100.0 * count(*) FILTER (WHERE promo_code <> '') / count(*), 6) AS promo_usage_pct,
+            count(combination_id) AS combo_orders, round(100.0 * count(combination_id) / count(*), 6) AS combo_order_pct
         FROM purchases GROUP BY 1""",
     "stream_kpis_sliding": """
         SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start,

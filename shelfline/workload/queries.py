@@ -267,18 +267,18 @@ def recommend(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def aov_overall(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(kpis.aov_overall(testbed.summary(spark, sf)), 4)
+    return rounded(kpis.aov_overall(testbed.summary(spark, sf)))
 
 
 @query
 def aov_by_region_channel(spark: SparkSession, sf: str) -> DataFrame:
     figures = kpis.aov_by_region_channel(testbed.summary(spark, sf), testbed.stores_dim(spark, sf))
-    return rounded(figures, 4, revenue=2)
+    return rounded(figures, revenue=2)
 
 
 @query
 def aov_by_brand(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(kpis.aov_by_brand(testbed.sales(spark, sf)), 4)
+    return rounded(kpis.aov_by_brand(testbed.sales(spark, sf)))
 
 
 @query
@@ -317,19 +317,19 @@ def measure_totals(spark: SparkSession, sf: str) -> DataFrame:
         semantic.revenue(), semantic.units_sold(), semantic.orders(), semantic.aov(), semantic.promo_orders(),
         semantic.promo_users(),
     ]
-    return rounded(semantic.evaluate(testbed.model(spark, sf), [], chosen), 4, revenue=2)
+    return rounded(semantic.evaluate(testbed.model(spark, sf), [], chosen), revenue=2)
 
 
 @query
 def measure_aov_by_date(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(report.sales_dashboard(testbed.model(spark, sf))["aov_by_date"], 4)
+    return rounded(report.sales_dashboard(testbed.model(spark, sf))["aov_by_date"])
 
 
 @query
 def measures_by_store(spark: SparkSession, sf: str) -> DataFrame:
     chosen = [semantic.revenue(), semantic.orders(), semantic.aov(), semantic.promo_orders(), semantic.promo_users()]
     figures = semantic.evaluate(testbed.model(spark, sf), ["store_id", "year"], chosen)
-    return rounded(figures, 4, revenue=2)
+    return rounded(figures, revenue=2)
 
 
 @query
@@ -418,7 +418,7 @@ def _now(orders: DataFrame) -> Column:
 
 def _binned(spark: SparkSession, sf: str, figure: Callable[..., DataFrame]) -> DataFrame:
     orders = testbed.purchases(spark, sf)
-    return rounded(readable(figure(orders, _now(orders), WEEK, HOUR), "event_time"), 4)
+    return rounded(readable(figure(orders, _now(orders), WEEK, HOUR), "event_time"))
 
 
 @query
@@ -584,7 +584,7 @@ def stream_kpis_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     orders, folder = _purchase_stream(spark, sf)
     figures = windows.tumbling_kpis(orders, HOUR)
     _finish([windows.start_latest(figures, f"{folder}/out", f"{folder}/checkpoint")])
-    return rounded(readable(windows.read_latest(spark, f"{folder}/out", ["event_time"]), "event_time"), 4)
+    return rounded(readable(windows.read_latest(spark, f"{folder}/out", ["event_time"]), "event_time"))
 
 
 @query
