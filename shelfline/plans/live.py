@@ -1,7 +1,7 @@
 """Live figures over the landed event tables: cards, one-minute series and pairs inside sold combinations.
 
-`as_of` stands for the present and is a column: a literal, `current_timestamp()`, or a scalar subquery such as the
-latest event time. All figures look back from it by `length`.
+`as_of` stands for the present and is a column: a literal, `current_timestamp()`, or the latest event time (`latest`).
+All figures look back from it by `length`.
 """
 
 from __future__ import annotations
@@ -16,12 +16,20 @@ from shelfline.operators.pairs import BULKY, pair_counts
 from shelfline.operators.ranking import top_n
 from shelfline.operators.retention import last
 from shelfline.operators.series import aligned_bin, cumulative, make_series
+from shelfline.session import stored
 
 # fixed values: how far back the figures look, and their bin length
 TRAILING = "1 hour"
 STEP = "1 minute"
 
 
+def latest(df: DataFrame, ts: str = "event_time") -> Column:
+    """The latest time in a table as a literal: a job that returns one row, after which the time filters are plain
+    constants that reach the scan."""
+    micros = df.agg(F.unix_micros(F.max(ts)).alias("micros")).first()["micros"]
+    return F.timestamp_micros(F.lit(micros).cast("bigint"))
+
+
 def items_sold(items: DataFrame, orders: DataFrame, as_of: Column, length: str = TRAILING) -> DataFrame:
     """Units in the orders of the trailing window."""
     recent = last(orders, "event_time", as_of, length).select("order_id")
@@ -90,24 +98,37 @@ def combo_sets(combo_items: DataFrame) -> DataFrame:
     )
 
 
+def _sold_products(combo_items: DataFrame, orders: DataFrame, as_of: Column, length: str) -> DataFrame:
+    """The distinct products of the sold combinations, stored. The window on the orders cuts the items first."""
+    items = combo_items.where(not_empty("product_id")).select("combination_id", "product_id")
+    return stored(items.join(sold_combos(orders, as_of, length), "combination_id", "left_semi").distinct(), "sold")
+
+
+def _pairs_of(products: DataFrame, bulky: int = BULKY) -> DataFrame:
+    pairs = pair_counts(products, group="combination_id", bulky=bulky, settled=True)
+    return pairs.select(
+        F.col("item_a").alias("product_a"), F.col("item_b").alias("product_b"), F.col("pair_cnt").alias("pair_count")
+    )
+
+
+def _top(pairs: DataFrame, n: int) -> DataFrame:
+    top = top_n(pairs, "pair_count", n, ["product_a", "product_b"])
+    return top.select(pair_key("product_a", "product_b").alias("pair_key"), "product_a", "product_b", "pair_count")
+
+
 def sold_pairs(
     combo_items: DataFrame, orders: DataFrame, as_of: Column, length: str = TRAILING, *, bulky: int = BULKY
 ) -> DataFrame:
     """Product pairs and the number of sold combinations that hold both. A combination counts once, however often it
     was sold."""
-    sold = combo_products(combo_items).join(sold_combos(orders, as_of, length), "combination_id", "left_semi")
-    pairs = pair_counts(sold, group="combination_id", bulky=bulky)
-    return pairs.select(
-        F.col("item_a").alias("product_a"), F.col("item_b").alias("product_b"), F.col("pair_cnt").alias("pair_count")
-    )
+    return _pairs_of(_sold_products(combo_items, orders, as_of, length), bulky)
 
 
 def top_sold_pairs(
     combo_items: DataFrame, orders: DataFrame, as_of: Column, length: str = TRAILING, n: int = 20
 ) -> DataFrame:
     """The pairs found in most sold combinations, with a readable key."""
-    top = top_n(sold_pairs(combo_items, orders, as_of, length), "pair_count", n, ["product_a", "product_b"])
-    return top.select(pair_key("product_a", "product_b").alias("pair_key"), "product_a", "product_b", "pair_count")
+    return _top(sold_pairs(combo_items, orders, as_of, length), n)
 
 
 def top_pairs(
@@ -132,8 +153,8 @@ def pair_series(
     when it holds both of its products, so no other pair is formed.
     """
     start = as_of - interval(length)
-    products = combo_products(combo_items)
-    top = top_pairs(combo_items, orders, as_of, length, n).select("pair_key", "product_a", "product_b")
+    products = _sold_products(combo_items, orders, as_of, length)
+    top = _top(_pairs_of(products), n)
     sides = top.select("pair_key", F.explode(F.array("product_a", "product_b")).alias("product_id"))
     holding = (
         products.join(F.broadcast(sides), "product_id")

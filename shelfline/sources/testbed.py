@@ -25,6 +25,7 @@ from shelfline.plans.silver import (
 from shelfline.sources.events import pack_items
 from shelfline.sources.tables import with_schema
 from shelfline import schemas
+from shelfline.session import stored
 
 # fixed values: where the orders and the stock of each region are placed
 ORDER_PLACES = {
@@ -167,13 +168,25 @@ def stores_dim(spark: SparkSession, sf: str) -> DataFrame:
     return dim_store(kept_orders(spark, sf))
 
 
+def _kept_of(heads: DataFrame) -> DataFrame:
+    """The kept orders, read off the basket summary."""
+    return heads.select("order_id", F.col("store_id").alias("location"))
+
+
+def stores_of(heads: DataFrame) -> DataFrame:
+    return dim_store(_kept_of(heads))
+
+
 def model(spark: SparkSession, sf: str) -> Model:
+    """The star. Both facts are stored, as they would be in the silver layer: figures read them more than once."""
+    lines = stored(sales(spark, sf), "sales")
+    heads = stored(fact_basket_summary(kept_orders(spark, sf), lines), "summary")
     return Model(
         dim_product=products_dim(spark, sf),
-        dim_store=stores_dim(spark, sf),
-        dim_date=dim_date(kept_orders(spark, sf)),
-        fact_sales_item=sales(spark, sf),
-        fact_basket_summary=summary(spark, sf),
+        dim_store=stores_of(heads),
+        dim_date=dim_date(_kept_of(heads)),
+        fact_sales_item=lines,
+        fact_basket_summary=heads,
     )
 
 
@@ -274,7 +287,11 @@ def live_combinations(spark: SparkSession, sf: str) -> DataFrame:
 
 def live_combo_items(spark: SparkSession, sf: str) -> DataFrame:
     """Landed combination items, as far as the pair figures need them."""
-    made = live_combinations(spark, sf).where("combination_id IS NOT NULL")
+    return combo_items_of(live_combinations(spark, sf))
+
+
+def combo_items_of(orders: DataFrame) -> DataFrame:
+    made = orders.where("combination_id IS NOT NULL")
     return made.select("combination_id", F.explode("items").alias("item")).select(
         "combination_id", F.col("item.product_id").alias("product_id")
     )

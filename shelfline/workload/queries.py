@@ -16,7 +16,7 @@ from shelfline.operators.nested import array_pairs
 from shelfline.operators.retention import prune
 from shelfline.plans import affinity as aff
 from shelfline.plans import bronze, kpis, live, lookups, report, semantic, silver
-from shelfline.session import scratch_dir, tune
+from shelfline.session import scratch_dir, stored, tune
 from shelfline.sources import catalog, events, testbed
 from shelfline.sources.tables import preview
 from shelfline.streaming import ingest, windows
@@ -253,7 +253,7 @@ def affinity_brands(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def recommend(spark: SparkSession, sf: str) -> DataFrame:
     """Partners of every product: from promoted orders where there are any, else from all orders."""
-    promoted = _named(spark, sf, _affinity(spark, sf, promo_context=aff.PROMO_ONLY))
+    promoted = stored(_named(spark, sf, _affinity(spark, sf, promo_context=aff.PROMO_ONLY)), "promoted")
     anchors = testbed.products(spark, sf).select(F.col("product_id").alias("lhs_item_id"))
     return rounded(
         lookups.recommend(
@@ -272,8 +272,8 @@ def aov_overall(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def aov_by_region_channel(spark: SparkSession, sf: str) -> DataFrame:
-    figures = kpis.aov_by_region_channel(testbed.summary(spark, sf), testbed.stores_dim(spark, sf))
-    return rounded(figures, revenue=2)
+    summary = stored(testbed.summary(spark, sf), "summary")
+    return rounded(kpis.aov_by_region_channel(summary, testbed.stores_of(summary)), revenue=2)
 
 
 @query
@@ -289,8 +289,8 @@ def top_products_by_category(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def regional_split(spark: SparkSession, sf: str) -> DataFrame:
-    split = kpis.regional_split(testbed.sales(spark, sf), testbed.summary(spark, sf), testbed.stores_dim(spark, sf))
-    return rounded(split, 2)
+    m = testbed.model(spark, sf)
+    return rounded(kpis.regional_split(m.fact_sales_item, m.fact_basket_summary, m.dim_store), 2)
 
 
 @query
@@ -305,7 +305,8 @@ def promo_share_users(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def promo_share_by_channel(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(kpis.promo_share_by_channel(testbed.summary(spark, sf), testbed.stores_dim(spark, sf)))
+    summary = stored(testbed.summary(spark, sf), "summary")
+    return rounded(kpis.promo_share_by_channel(summary, testbed.stores_of(summary)))
 
 
 # --- measures and report --------------------------------------------------------------------------------------------
@@ -412,26 +413,22 @@ def product_attributes(spark: SparkSession, sf: str) -> DataFrame:
 # --- live figures ---------------------------------------------------------------------------------------------------
 
 
-def _now(orders: DataFrame) -> Column:
-    return orders.agg(F.max("event_time")).scalar()
-
-
 def _binned(spark: SparkSession, sf: str, figure: Callable[..., DataFrame]) -> DataFrame:
     orders = testbed.purchases(spark, sf)
-    return rounded(readable(figure(orders, _now(orders), WEEK, HOUR), "event_time"))
+    return rounded(readable(figure(orders, live.latest(orders), WEEK, HOUR), "event_time"))
 
 
 @query
 def live_items_sold(spark: SparkSession, sf: str) -> DataFrame:
     orders = testbed.order_heads(spark, sf)
     items = testbed.kept_items(spark, sf).withColumn("quantity", F.col("amount").cast("bigint"))
-    return live.items_sold(items, orders, _now(orders), MONTH)
+    return live.items_sold(items, orders, live.latest(orders), MONTH)
 
 
 @query
 def live_revenue(spark: SparkSession, sf: str) -> DataFrame:
     orders = testbed.purchases(spark, sf)
-    return rounded(live.revenue(orders, _now(orders), WEEK), 2)
+    return rounded(live.revenue(orders, live.latest(orders), WEEK), 2)
 
 
 @query
@@ -467,8 +464,8 @@ def combo_array_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sold(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Column]:
-    orders = testbed.live_combinations(spark, sf)
-    return testbed.live_combo_items(spark, sf), orders, _now(testbed.order_heads(spark, sf))
+    orders = stored(testbed.live_combinations(spark, sf), "combinations")
+    return testbed.combo_items_of(orders), orders, live.latest(orders)
 
 
 @query
@@ -498,7 +495,7 @@ def pair_cumulative_series(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def retention_prune(spark: SparkSession, sf: str) -> DataFrame:
     orders = testbed.purchases(spark, sf)
-    return rounded(readable(prune(orders, "event_time", _now(orders)), "event_time"), 2)
+    return rounded(readable(prune(orders, "event_time", live.latest(orders)), "event_time"), 2)
 
 
 # --- streams --------------------------------------------------------------------------------------------------------
