@@ -25,14 +25,15 @@ def pair_counts(
 ) -> DataFrame:
     """Unordered pairs `item_a < item_b` and the number of groups that hold both, where that is `min_pair_cnt` or more.
 
-    The work of forming all pairs grows with the square of the group size, so three exact steps keep it down:
+    The work of forming all pairs grows with the square of the group size, so these exact steps keep it down:
 
     * An item in fewer than `min_pair_cnt` groups has no pair that reaches the bound. Such items go first.
-    * A pair in `min_pair_cnt` groups lies in at least one group outside any `min_pair_cnt - 1` groups. So the largest
-      `min_pair_cnt - 1` bulky groups are never expanded: pairs come from the other groups, and membership in the
-      largest ones is looked up per item.
-    * Bulky groups that remain are cut into blocks of items, and each pair of blocks is joined on its own, so a single
-      group becomes many small tasks.
+    * The largest bulky groups (at most MAX_LOOKED_UP) are not counted by forming their pairs: each item gets the list
+      of those it is in, and a pair's share of them is the overlap of two short lists.
+    * A pair found in no other group has to be in `min_pair_cnt` of these. So only items in that many of them are
+      paired, and the `min_pair_cnt - 1` largest groups need no pairing at all, since such a pair is also in another.
+    * Bulky groups that must be paired are cut into blocks of items, and each pair of blocks is joined on its own, so a
+      single group becomes many small tasks.
 
     The memberships are read several times, so they are stored first; `settled` says that `baskets` is a stored table
     with each membership once. `counts`, if at hand, has the groups per item as (item, cnt).
@@ -41,20 +42,31 @@ def pair_counts(
     if not settled:
         members = stored(members.distinct(), "members")
     large = members.groupBy("grp").agg(F.count("item").alias("size")).where(F.col("size") > bulky)
-    largest = _largest(large, min(min_pair_cnt - 1, MAX_LOOKED_UP))
+    largest = _largest(large)
 
     if min_pair_cnt > 1:
         if counts is None:
             counts = stored(item_counts(members), "counts")
         frequent = counts.where(F.col("cnt") >= min_pair_cnt).select("item")
         members = members.join(frequent, "item", "left_semi")
-    if largest is None:
+    if not largest:
         return _count(_listed_pairs(members)).where(F.col("pair_cnt") >= min_pair_cnt)
 
+    looked_up = largest if min_pair_cnt > 1 else []
+    in_largest = F.col("grp").isin(looked_up)
     small = _listed_pairs(members.join(large, "grp", "left_anti"))
-    spread = _blocked_pairs(members, large.where(~F.col("grp").isin(largest)), bulky)
-    seen = _count(small.unionByName(spread))
-    return _add_looked_up(seen, members, largest, min_pair_cnt)
+    spread = _blocked_pairs(members.join(large.where(~in_largest).select("grp"), "grp", "left_semi"), bulky)
+    counted = _count(small.unionByName(spread))
+    if not looked_up:
+        return counted
+
+    held = members.where(in_largest).groupBy("item").agg(F.collect_set("grp").alias("held"))
+    if len(looked_up) >= min_pair_cnt:
+        often = held.where(F.size("held") >= min_pair_cnt).select("item")
+        paired = members.where(F.col("grp").isin(looked_up[min_pair_cnt - 1 :])).join(often, "item", "left_semi")
+        only_here = _blocked_pairs(paired, bulky).distinct().withColumn("pair_cnt", F.lit(0).cast("bigint"))
+        counted = counted.unionByName(only_here).groupBy("item_a", "item_b").agg(F.sum("pair_cnt").alias("pair_cnt"))
+    return _add_overlap(counted, held).where(F.col("pair_cnt") >= min_pair_cnt)
 
 
 def item_counts(members: DataFrame) -> DataFrame:
@@ -62,10 +74,9 @@ def item_counts(members: DataFrame) -> DataFrame:
     return members.groupBy("item").agg(F.count("grp").alias("cnt"))
 
 
-def _largest(large: DataFrame, n: int) -> list | None:
-    """Keys of the `n` largest bulky groups, at most MAX_LOOKED_UP of them; None if no group is bulky."""
-    rows = large.orderBy(F.desc("size"), "grp").limit(max(n, 1)).collect()
-    return [row["grp"] for row in rows[:n]] if rows else None
+def _largest(large: DataFrame) -> list:
+    """Keys of the largest bulky groups, largest first: at most MAX_LOOKED_UP rows."""
+    return [row["grp"] for row in large.orderBy(F.desc("size"), "grp").limit(MAX_LOOKED_UP).collect()]
 
 
 def _listed_pairs(members: DataFrame) -> DataFrame:
@@ -76,10 +87,10 @@ def _listed_pairs(members: DataFrame) -> DataFrame:
     return first.select("item_a", F.explode(later).alias("item_b"))
 
 
-def _blocked_pairs(members: DataFrame, groups: DataFrame, bulky: int) -> DataFrame:
-    """Pairs of the given groups. A pair meets in exactly one cell: the block of its first and of its second item."""
-    sized = members.join(groups, "grp").withColumn("blocks", F.ceil(F.col("size") / bulky).cast("int"))
-    placed = sized.withColumn("block", F.pmod(F.hash("item"), F.col("blocks")))
+def _blocked_pairs(members: DataFrame, bulky: int) -> DataFrame:
+    """Pairs of groups of any size. A pair meets in exactly one cell: the block of its first and of its second item."""
+    sizes = members.groupBy("grp").agg(F.ceil(F.count("item") / bulky).cast("int").alias("blocks"))
+    placed = members.join(sizes, "grp").withColumn("block", F.pmod(F.hash("item"), F.col("blocks")))
     every_block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = placed.select("grp", F.col("item").alias("item_a"), F.col("block").alias("row"), every_block.alias("col"))
     right = placed.select("grp", F.col("item").alias("item_b"), F.col("block").alias("col"), every_block.alias("row"))
@@ -90,14 +101,11 @@ def _count(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("pair_cnt"))
 
 
-def _add_looked_up(seen: DataFrame, members: DataFrame, largest: list, min_pair_cnt: int) -> DataFrame:
-    """Add the counts from the largest groups, of which an item has a short list, to pairs that can reach the bound."""
-    held = members.where(F.col("grp").isin(largest)).groupBy("item").agg(F.collect_set("grp").alias("held"))
-    possible = seen.where(F.col("pair_cnt") + len(largest) >= min_pair_cnt)
-    both = possible.join(held.select(F.col("item").alias("item_a"), F.col("held").alias("held_a")), "item_a", "left")
+def _add_overlap(counted: DataFrame, held: DataFrame) -> DataFrame:
+    """Add to each pair the number of looked-up groups that both of its items are in."""
+    both = counted.join(held.select(F.col("item").alias("item_a"), F.col("held").alias("held_a")), "item_a", "left")
     both = both.join(held.select(F.col("item").alias("item_b"), F.col("held").alias("held_b")), "item_b", "left")
     shared = F.when(
         F.col("held_a").isNotNull() & F.col("held_b").isNotNull(), F.size(F.array_intersect("held_a", "held_b"))
     ).otherwise(0)
-    counted = both.select("item_a", "item_b", (F.col("pair_cnt") + shared).alias("pair_cnt"))
-    return counted.where(F.col("pair_cnt") >= min_pair_cnt)
+    return both.select("item_a", "item_b", (F.col("pair_cnt") + shared).alias("pair_cnt"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfline.operators.dedup import dedup
 from shelfline.operators.nested import array_pairs, expand, manage_fields
+from shelfline.operators import pairs
 from shelfline.operators.pairs import pair_counts
 from shelfline.operators.ranking import top_n, top_per_group
 from shelfline.operators.retention import last, prune
@@ -48,8 +49,9 @@ def brute_force(memberships, min_count):
 
 
 @pytest.mark.parametrize("min_count", [1, 2, 3, 5])
-@pytest.mark.parametrize("bulky", [3, 12, 1000])
-def test_pair_counts_equal_brute_force(spark, min_count, bulky):
+@pytest.mark.parametrize("bulky, looked_up", [(3, 64), (3, 4), (3, 1), (12, 64), (12, 2), (1000, 64)])
+def test_pair_counts_equal_brute_force(spark, monkeypatch, min_count, bulky, looked_up):
+    monkeypatch.setattr(pairs, "MAX_LOOKED_UP", looked_up)
     rng = random.Random(min_count * 100 + bulky)
     data = [("huge", f"i{n:02d}") for n in range(30)] + [("large", f"i{n:02d}") for n in range(0, 30, 2)]
     data += [("wide", f"i{n:02d}") for n in range(10, 28)]
@@ -68,6 +70,13 @@ def test_pair_counts_of_one_huge_group_look_it_up_instead_of_expanding_it(spark)
     assert [tuple(r) for r in pair_counts(df, 2, bulky=100).collect()] == [("i0001", "i0002", 2)]
 
 
+def test_pair_counts_of_two_huge_groups_pair_only_what_they_share(spark):
+    data = [("huge", f"i{n:05d}") for n in range(20000)] + [("big", f"i{n:05d}") for n in range(19990, 39000)]
+    df = spark.createDataFrame(data, "order_id string, product_id string")
+    got = pair_counts(df, 2, bulky=100)
+    assert got.count() == 45 and {r.pair_cnt for r in got.collect()} == {2}
+
+
 def test_pair_counts_without_rows(spark):
     empty = spark.createDataFrame([], "order_id string, product_id string")
     assert pair_counts(empty, 2).count() == 0
