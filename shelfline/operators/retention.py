@@ -8,10 +8,14 @@ from shelfline.functions.columns import ColumnLike, as_column
 from shelfline.functions.dates import interval, trailing
 
 
-def prune(df: DataFrame, ts: ColumnLike, as_of: Column, keep: str = "1 day") -> DataFrame:
-    """Rows not older than `keep` before `as_of`. On a table partitioned by day, add the day to the filter to skip
-    whole partitions."""
-    return df.where(as_column(ts) >= as_of - interval(keep))
+def prune(df: DataFrame, ts: ColumnLike, as_of: Column, keep: str = "1 day", day: str | None = None) -> DataFrame:
+    """Rows not older than `keep` before `as_of`.
+
+    `day` names the column a table is partitioned by; whole days before the bound are then not even listed.
+    """
+    oldest = as_of - interval(keep)
+    kept = df.where(as_column(ts) >= oldest)
+    return kept.where(as_column(day) >= oldest.cast("date")) if day else kept
 
 
 def last(df: DataFrame, ts: ColumnLike, as_of: Column, length: str = "1 hour", *, upper: bool = True) -> DataFrame:

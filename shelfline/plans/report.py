@@ -53,7 +53,7 @@ def units_by_date_brand_category(model: Model) -> DataFrame:
 def revenue_by_brand(
     model: Model, brands: Sequence[str] | None = None, categories: Sequence[str] | None = None
 ) -> DataFrame:
-    star = report_filter(star_view(model, semantic.PRODUCT_ATTRIBUTES), brands, categories)
+    star = report_filter(star_view(model, semantic.PRODUCT_ATTRIBUTES, rolled_up=True), brands, categories)
     return star.groupBy("brand").agg(F.sum("line_value").alias("revenue")).orderBy(F.desc("revenue"), "brand")
 
 

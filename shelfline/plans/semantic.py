@@ -46,17 +46,24 @@ def _basket_star(model: Model, columns: set[str]) -> DataFrame:
     return _with_basket_dims(model, model.fact_basket_summary, columns)
 
 
-def star_view(model: Model, columns: Sequence[str] | None = None) -> DataFrame:
+def star_view(model: Model, columns: Sequence[str] | None = None, *, rolled_up: bool = False) -> DataFrame:
     """Order lines with the attributes of their product, basket, store and date.
 
-    With `columns` given, only the joins that provide one of them are made.
+    With `columns` given, only the joins that provide one of them are made. `rolled_up` sums quantity and value of the
+    lines per product, or per order, when no other key is needed to reach those columns. The sums stay the same, the
+    joins get smaller, and a product or order with very many lines arrives as one row.
     """
     every = PRODUCT_ATTRIBUTES + STORE_ATTRIBUTES + DATE_ATTRIBUTES + BASKET_ATTRIBUTES
     wanted = set(every if columns is None else columns)
+    by_product = bool(wanted & set(PRODUCT_ATTRIBUTES))
+    by_order = bool(wanted - set(PRODUCT_ATTRIBUTES))
     star = model.fact_sales_item.select("order_id", "product_id", "qty", "unit_price", "line_value")
-    if wanted & set(PRODUCT_ATTRIBUTES):
+    if rolled_up and by_product != by_order:
+        key = "product_id" if by_product else "order_id"
+        star = star.groupBy(key).agg(F.sum("qty").alias("qty"), F.sum("line_value").alias("line_value"))
+    if by_product:
         star = star.join(model.dim_product.select("product_id", *PRODUCT_ATTRIBUTES), "product_id", "left")
-    if wanted & set(STORE_ATTRIBUTES + DATE_ATTRIBUTES + BASKET_ATTRIBUTES):
+    if by_order:
         heads = model.fact_basket_summary.select("order_id", "order_date", *BASKET_ATTRIBUTES)
         star = _with_basket_dims(model, star.join(heads, "order_id", "left"), wanted)
     return star
@@ -64,7 +71,7 @@ def star_view(model: Model, columns: Sequence[str] | None = None) -> DataFrame:
 
 @dataclass(frozen=True)
 class Measure:
-    """A named figure: aggregates over the sales and the basket fact, and how they combine."""
+    """A named figure: sums over the sales fact, aggregates over the basket fact, and how they combine."""
 
     name: str
     result: Column
@@ -158,7 +165,7 @@ def evaluate(
 
     sales = baskets = None
     if sales_parts:
-        star = star_view(model, [*by, *filters])
+        star = star_view(model, [*by, *filters], rolled_up=True)
         sales = _aggregate(_filtered(star, filters), by, sales_parts)
     if basket_parts:
         star = _filtered(_basket_star(model, {*shared, *shared_filters}), shared_filters)

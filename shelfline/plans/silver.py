@@ -73,21 +73,22 @@ def dim_date(orders: DataFrame) -> DataFrame:
 
 
 def fact_sales_item(items: DataFrame, products: DataFrame, cats: DataFrame) -> DataFrame:
-    """Order lines with price, value, category and brand."""
+    """Order lines with price, value, category and brand.
+
+    The two product tables are joined with each other first, so the lines, by far the larger side, take part in one
+    join only. The full join keeps the category of a product that has no product row.
+    """
     priced = products.select("product_id", F.col("base_price").cast("double").alias("unit_price"), "brand")
+    attributes = priced.join(cats.select("product_id", "category"), "product_id", "full")
     lines = items.select("order_id", "product_id", F.col("amount").cast("double").alias("qty"))
-    return (
-        lines.join(priced, "product_id", "left")
-        .join(cats.select("product_id", "category"), "product_id", "left")
-        .select(
-            "order_id",
-            "product_id",
-            "qty",
-            "unit_price",
-            (F.col("qty") * F.col("unit_price")).alias("line_value"),
-            "category",
-            "brand",
-        )
+    return lines.join(attributes, "product_id", "left").select(
+        "order_id",
+        "product_id",
+        "qty",
+        "unit_price",
+        (F.col("qty") * F.col("unit_price")).alias("line_value"),
+        "category",
+        "brand",
     )
 
 

@@ -19,6 +19,10 @@ RUNTIME_CONF = {
 }
 
 
+# Temporary folders of local sessions, by application; removed when Python ends
+_LOCAL: dict[str, tempfile.TemporaryDirectory] = {}
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the plans in this library count on."""
     for key, value in RUNTIME_CONF.items():
@@ -43,8 +47,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="shelfline-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.TemporaryDirectory(prefix="shelfline-", ignore_cleanup_errors=True)
+        base = _LOCAL[app].name
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

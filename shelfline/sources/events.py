@@ -29,9 +29,13 @@ def to_events(df: DataFrame, key_col: str) -> DataFrame:
     return df.select(F.col(key_col).alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def publish(events: DataFrame, path: str) -> None:
-    """Write the JSON values as text files, one message per line."""
-    events.select("value").write.mode("append").text(path)
+def publish(events: DataFrame, target: str | dict[str, str]) -> None:
+    """Send the messages to a Kafka topic, given the options of a Kafka sink, or append them to text files in a folder,
+    one message per line."""
+    if isinstance(target, dict):
+        events.selectExpr("CAST(key AS STRING) AS key", "value").write.format("kafka").options(**target).save()
+    else:
+        events.select("value").write.mode("append").text(target)
 
 
 def parse_events(raw: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:

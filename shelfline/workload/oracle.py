@@ -204,7 +204,7 @@ _TEXTS = {
                     WHEN 'LARGE' THEN ['L', 'XL', 'XXL'] WHEN 'PROMO' THEN ['M'] END) AS size
             FROM r_products, (VALUES ('Cologne'), ('Metzingen'), ('Munich'), ('Hamburg'), ('Online')) AS places(location)) g
         LEFT JOIN r_inventory i ON g.product_id = i.product_id AND g.location = i.location AND g.size = i.size""",
-    "brand_titles": "SELECT title_no, title, brand FROM branded",
+    "brand_from_title": "SELECT title_no, title, brand FROM branded",
     "catalog_flat": """
         SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS product_id, p_name AS name, p_brand AS brand,
             round(p_retailprice, 2) AS price, round(orig, 2) AS original_price,
@@ -212,7 +212,7 @@ _TEXTS = {
             split_part(p_name, ' ', 1) AS color, 'P' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.jpg' AS image,
             'S,' || p_size AS sizes, lower(p_type) AS category_id, p_type[1:1] || lower(p_type[2:]) AS category_name
         FROM (SELECT *, CASE WHEN p_size % 2 = 0 AND p_size > 0 THEN p_retailprice + 10 * p_size END AS orig FROM part)""",
-    "combination_ids": "SELECT order_id, combination_id FROM order_combos",
+    "combination_id": "SELECT order_id, combination_id FROM order_combos",
     "price_orders": """
         SELECT order_id, promo_code, round(subtotal, 2) AS subtotal, round(discount, 2) AS discount,
             round(total_price, 2) AS total_price

@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfline import schemas
-from shelfline.functions.ids import combination_id
-from shelfline.functions.money import price_order
-from shelfline.functions.text import brand_from_title
+from shelfline.functions import ids, money, text
 from shelfline.operators.nested import array_pairs
 from shelfline.operators.retention import prune
 from shelfline.plans import affinity as aff
@@ -96,9 +94,9 @@ def inventory_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def brand_titles(spark: SparkSession, sf: str) -> DataFrame:
+def brand_from_title(spark: SparkSession, sf: str) -> DataFrame:
     titles = testbed.title_catalog(spark, sf)
-    return titles.select("title_no", "title", brand_from_title("title").alias("brand"))
+    return titles.select("title_no", "title", text.brand_from_title("title").alias("brand"))
 
 
 @query
@@ -111,17 +109,17 @@ def catalog_flat(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def combination_ids(spark: SparkSession, sf: str) -> DataFrame:
+def combination_id(spark: SparkSession, sf: str) -> DataFrame:
     baskets = testbed.kept_items(spark, sf).groupBy("order_id")
-    return baskets.agg(F.collect_list("product_id").alias("ids")).select(
-        "order_id", combination_id("ids").alias("combination_id")
+    return baskets.agg(F.collect_list("product_id").alias("product_ids")).select(
+        "order_id", ids.combination_id("product_ids").alias("combination_id")
     )
 
 
 @query
 def price_orders(spark: SparkSession, sf: str) -> DataFrame:
     value = F.bround("basket_value", 2)
-    priced = price_order("subtotal", "promo_code")
+    priced = money.price_order("subtotal", "promo_code")
     orders = testbed.summary(spark, sf).select("order_id", "promo_code", value.alias("subtotal"))
     return rounded(
         orders.select("order_id", "promo_code", "subtotal", priced.discount.alias("discount"),

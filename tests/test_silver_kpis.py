@@ -94,3 +94,12 @@ def test_promo_shares(shop, rows):
         (None, 0, 1, 0.0), ("offline", 2, 4, 0.5), ("online", 0, 2, 0.0),
     ]
     assert rows(kpis.promo_share_orders(shop.summary.limit(0))) == [(None,)]
+
+
+def test_sales_item_keeps_lines_of_unknown_products_and_their_category(spark, shop):
+    from shelfline import schemas
+
+    items = spark.createDataFrame([("o", "P1", 2, None), ("o", "P8", 1, None), ("o", "P9", 1, None)], schemas.ORDER_ITEMS)
+    cats = spark.createDataFrame([("P8", "hats"), ("P1", "jackets"), ("P1", "sale")], schemas.PRODUCT_CATEGORIES)
+    got = sorted((r.product_id, r.line_value, r.category or "", r.brand) for r in silver.fact_sales_item(items, shop.products, cats).collect())
+    assert got == [("P1", 200.0, "jackets", "BOSS"), ("P1", 200.0, "sale", "BOSS"), ("P8", None, "hats", None), ("P9", None, "", None)]

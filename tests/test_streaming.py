@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfline import schemas
+from shelfline.operators.retention import prune
 from shelfline.plans import live
 from shelfline.sources.events import parse_events
 from shelfline.streaming import ingest, windows
@@ -130,3 +131,12 @@ def test_a_kafka_source_takes_its_options(spark):
 
         read_events(spark, {"kafka.bootstrap.servers": "broker:9092", "subscribe": "sales"}, schemas.SALE_EVENT)
     assert "kafka" in str(error.value).lower()
+
+
+def test_retention_skips_whole_days(spark, tmp_path):
+    put(tmp_path / "in", "1.json", [sale("a", 1), sale("b", 2, event_time="2024-04-20T10:00:00+00:00"), sale("c", 3, event_time="2024-04-30T10:02:00+00:00")])
+    finish(ingest.ingest_sales(spark, str(tmp_path / "in"), f"{tmp_path}/out", f"{tmp_path}/checkpoint"))
+    orders = spark.read.parquet(f"{tmp_path}/out/orders")
+    kept = prune(orders, "event_time", F.lit("2024-05-01 10:03:00").cast("timestamp"), day="event_date")
+    assert {r.order_id for r in kept.collect()} == {"a"}
+    assert "PartitionFilters: [isnotnull(event_date" in kept._jdf.queryExecution().executedPlan().toString()
