@@ -50,27 +50,21 @@ def star_view(model: Model, columns: Sequence[str] | None = None, *, rolled_up:
     """Order lines with the attributes of their product, basket, store and date.
 
     With `columns` given, only the joins that provide one of them are made. `rolled_up` sums quantity and value of the
-    lines as soon as no finer key is needed: per product before the products are joined, per order (and product
-    attributes) before the baskets are. The sums stay the same, the joins get smaller, and a product or order with very
-    many lines arrives at its join as a few rows.
+    lines per product, or per order, when no other key is needed to reach those columns. The sums stay the same, the
+    joins get smaller, and a product or order with very many lines arrives as one row. When both keys are needed, a
+    line is the finest row anyway, and a hot key is left to the adaptive skew join.
     """
     every = PRODUCT_ATTRIBUTES + STORE_ATTRIBUTES + DATE_ATTRIBUTES + BASKET_ATTRIBUTES
     wanted = set(every if columns is None else columns)
     by_product = bool(wanted & set(PRODUCT_ATTRIBUTES))
     by_order = bool(wanted - set(PRODUCT_ATTRIBUTES))
-
-    def summed(df: DataFrame, *keys: str) -> DataFrame:
-        if not rolled_up:
-            return df
-        return df.groupBy(*keys).agg(F.sum("qty").alias("qty"), F.sum("line_value").alias("line_value"))
-
     star = model.fact_sales_item.select("order_id", "product_id", "qty", "unit_price", "line_value")
+    if rolled_up and by_product != by_order:
+        key = "product_id" if by_product else "order_id"
+        star = star.groupBy(key).agg(F.sum("qty").alias("qty"), F.sum("line_value").alias("line_value"))
     if by_product:
-        if not by_order:
-            star = summed(star, "product_id")
         star = star.join(model.dim_product.select("product_id", *PRODUCT_ATTRIBUTES), "product_id", "left")
     if by_order:
-        star = summed(star, "order_id", *[name for name in PRODUCT_ATTRIBUTES if name in wanted])
         heads = model.fact_basket_summary.select("order_id", "order_date", *BASKET_ATTRIBUTES)
         star = _with_basket_dims(model, star.join(heads, "order_id", "left"), wanted)
     return star
