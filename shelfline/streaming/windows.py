@@ -35,20 +35,29 @@ def tumbling_kpis(orders: DataFrame, step: str = "1 minute", watermark: str = "1
 def sliding_cards(
     orders: DataFrame, length: str = "1 hour", slide: str = "1 minute", watermark: str = "10 minutes"
 ) -> DataFrame:
-    """Orders and revenue of every trailing window.
+    """Orders, revenue and, where the orders carry their items, units sold of every trailing window.
 
     Events are first summed per slide; only those sums, not the events, are copied into the windows that hold them.
     """
+    sums = {"revenue": F.col("total_price")}
+    if "items" in orders.columns:
+        units = F.aggregate(
+            F.coalesce("items", F.array()), F.lit(0).cast("bigint"),
+            lambda acc, item: acc + F.coalesce(item["quantity"], F.lit(0).cast("bigint")),
+        )
+        sums["items_sold"] = units
+    events = orders.select("event_time", *[column.alias(name) for name, column in sums.items()])
     panes = (
-        orders.withWatermark("event_time", watermark)
+        events.withWatermark("event_time", watermark)
         .groupBy(F.window("event_time", slide).alias("pane"))
-        .agg(F.count(F.lit(1)).alias("orders"), F.sum("total_price").alias("revenue"))
+        .agg(F.count(F.lit(1)).alias("orders"), *[F.sum(name).alias(name) for name in sums])
     )
+    figures = ["orders", *sums]
     windows = panes.groupBy(F.window(F.window_time("pane"), length, slide).alias("span")).agg(
-        F.sum("orders").alias("orders"), F.sum("revenue").alias("revenue")
+        *[F.sum(name).alias(name) for name in figures]
     )
     return windows.select(
-        F.col("span.start").alias("window_start"), F.col("span.end").alias("window_end"), "orders", "revenue"
+        F.col("span.start").alias("window_start"), F.col("span.end").alias("window_end"), *figures
     )
 
 

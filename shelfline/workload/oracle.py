@@ -432,6 +432,18 @@ _TEXTS = {
         GROUP BY w""",
 }
 
+_TEXTS["stream_cards_sliding"] = """
+    SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start,
+        strftime(w + INTERVAL 30 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, count(*) AS orders,
+        round(sum(total_price), 2) AS revenue, CAST(sum(units) AS BIGINT) AS items_sold
+    FROM (SELECT total_price, coalesce(u.units, 0) AS units,
+            unnest(range(date_trunc('day', event_time) - INTERVAL 29 DAY,
+                date_trunc('day', event_time) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS w
+        FROM sold_orders o LEFT JOIN (SELECT order_id, sum(amount) AS units FROM k_items GROUP BY order_id) u
+            ON o.order_id = u.order_id)
+    WHERE w + INTERVAL 30 DAY <= (SELECT max(event_time) FROM sold_orders) - INTERVAL 1 DAY
+    GROUP BY w"""
+
 ORACLE_SQL = {name: with_shared(text) for name, text in _TEXTS.items()}
 
 _NAMED_TAIL = f"""

@@ -251,13 +251,13 @@ def affinity_brands(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def recommend(spark: SparkSession, sf: str) -> DataFrame:
     """Partners of every product: from promoted orders where there are any, else from all orders."""
-    promoted = stored(_named(spark, sf, _affinity(spark, sf, promo_context=aff.PROMO_ONLY)), "promoted")
+    baskets = stored(silver.distinct_baskets(testbed.kept_items(spark, sf)), "baskets")
+    refreshed = F.lit(REFRESHED).cast("timestamp")
+    promoted = aff.filter_baskets(baskets, testbed.summary(spark, sf), promo_context=aff.PROMO_ONLY)
+    named = stored(_named(spark, sf, aff.affinity(promoted, MIN_PAIRS, refreshed)), "named")
+    full = aff.affinity(baskets, MIN_PAIRS, refreshed, settled=True)
     anchors = testbed.products(spark, sf).select(F.col("product_id").alias("lhs_item_id"))
-    return rounded(
-        lookups.recommend(
-            promoted, _affinity(spark, sf), testbed.products_dim(spark, sf), anchors, min_pair_cnt=MIN_PAIRS
-        )
-    )
+    return rounded(lookups.recommend(named, full, testbed.products_dim(spark, sf), anchors, min_pair_cnt=MIN_PAIRS))
 
 
 # --- key figures ----------------------------------------------------------------------------------------------------
@@ -589,3 +589,14 @@ def stream_kpis_sliding(spark: SparkSession, sf: str) -> DataFrame:
     cards = windows.sliding_cards(orders, "6 hours", HOUR, "1 hour")
     _finish([ingest.start_ingest(cards, f"{folder}/out", f"{folder}/checkpoint")])
     return rounded(readable(spark.read.parquet(f"{folder}/out"), "window_start", "window_end"), 2)
+
+
+@query
+def stream_cards_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    """Units, revenue and orders of trailing 30 days from the stream of sale messages, for closed windows."""
+    folder = scratch_dir(spark, "cards")
+    _sales_messages(spark, sf).select("value").write.text(f"{folder}/in")
+    orders = ingest.landed_orders(events.read_events(spark, f"{folder}/in", schemas.SALE_EVENT))
+    cards = windows.sliding_cards(orders, MONTH, DAY, DAY)
+    _finish([ingest.start_ingest(cards, f"{folder}/out", f"{folder}/checkpoint")])
+    return rounded(readable(spark.read.parquet(f"{folder}/out"), "window_start", "window_end"), 2)

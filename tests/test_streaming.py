@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shelfline import schemas
 from shelfline.operators.retention import prune
 from shelfline.plans import live
-from shelfline.sources.events import parse_events
+from shelfline.sources.events import parse_events, read_events
 from shelfline.streaming import ingest, windows
 
 
@@ -127,7 +127,6 @@ def test_sliding_windows_hold_the_trailing_sums(spark, tmp_path):
 
 def test_a_kafka_source_takes_its_options(spark):
     with pytest.raises(Exception) as error:
-        from shelfline.sources.events import read_events
 
         read_events(spark, {"kafka.bootstrap.servers": "broker:9092", "subscribe": "sales"}, schemas.SALE_EVENT)
     assert "kafka" in str(error.value).lower()
@@ -140,3 +139,12 @@ def test_retention_skips_whole_days(spark, tmp_path):
     kept = prune(orders, "event_time", F.lit("2024-05-01 10:03:00").cast("timestamp"), day="event_date")
     assert {r.order_id for r in kept.collect()} == {"a"}
     assert "PartitionFilters: [isnotnull(event_date" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sliding_windows_sum_units_where_orders_carry_items(spark, tmp_path):
+    put(tmp_path / "in", "1.json", [sale("a", 1, 2), sale("b", 3, 1), sale("c", 4, items=None), sale("z", 59)])
+    orders = ingest.landed_orders(read_events(spark, str(tmp_path / "in"), schemas.SALE_EVENT))
+    cards = windows.sliding_cards(orders, "3 minutes", "1 minute", "1 minute")
+    finish([ingest.start_ingest(cards, f"{tmp_path}/out", f"{tmp_path}/checkpoint")])
+    got = {r.w: (r.orders, r.items_sold) for r in spark.read.parquet(f"{tmp_path}/out").select(F.date_format("window_end", "HH:mm").alias("w"), "orders", "items_sold").collect()}
+    assert got == {"10:02": (1, 2), "10:03": (1, 2), "10:04": (2, 3), "10:05": (2, 1), "10:06": (2, 1), "10:07": (1, 0)}
