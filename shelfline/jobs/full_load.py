@@ -28,6 +28,10 @@ from shelfline.sources.tables import (
 
 @dataclass(frozen=True)
 class Options:
+    """Settings of a load. `order_buckets` lays the three facts out by order, so that the joins between them need no
+    shuffle. Leave it out where single orders are huge: a bucket is read by one task, while a shuffled join can split
+    such an order."""
+
     fmt: str = "parquet"
     min_pair_cnt: int = affinity.MIN_PAIR_CNT
     top_k: int = affinity.TOP_K
@@ -37,6 +41,7 @@ class Options:
     promo_context: str | None = None
     refreshed_at: Column | None = None
     item_order: list[str] | None = field(default=None)
+    order_buckets: int | None = None
 
 
 def load_bronze(spark: SparkSession, tables: dict[str, DataFrame], bronze: str, fmt: str = "parquet") -> None:
@@ -52,18 +57,19 @@ def build_silver(spark: SparkSession, bronze: str, ns: str, options: Options = O
     def raw(name: str) -> DataFrame:
         return read_table(spark, bronze, name)
 
-    def write(df: DataFrame, name: str) -> DataFrame:
-        write_table(df, ns, name, options.fmt)
+    def write(df: DataFrame, name: str, by_order: bool = False) -> DataFrame:
+        buckets = (options.order_buckets, "order_id") if by_order and options.order_buckets else None
+        write_table(df, ns, name, options.fmt, buckets=buckets)
         return read_table(spark, ns, name)
 
     products = silver.clean_products(raw("products"))
     cats = raw("product_categories")
     write(silver.dim_product(products, cats), "dim_product")
     items = silver.clean_items(raw("order_items"), options.item_order)
-    sales = write(silver.fact_sales_item(items, products, cats), "fact_sales_item")
-    baskets = write(silver.distinct_baskets(sales), "fact_basket_product")
+    sales = write(silver.fact_sales_item(items, products, cats), "fact_sales_item", by_order=True)
+    baskets = write(silver.distinct_baskets(sales), "fact_basket_product", by_order=True)
     orders = silver.clean_orders(raw("orders"))
-    summary = write(silver.fact_basket_summary(orders, sales), "fact_basket_summary")
+    summary = write(silver.fact_basket_summary(orders, sales), "fact_basket_summary", by_order=True)
     # The kept orders now stand in the summary; both small dimensions come from there.
     kept = summary.select("order_id", F.col("store_id").alias("location"))
     write(silver.dim_store(kept), "dim_store")

@@ -48,14 +48,13 @@ def parse_events(raw: DataFrame, schema: T.StructType, column: str = "value") ->
     return raw.select(event.alias("event")).where(readable).select("event.*")
 
 
-def read_events(spark: SparkSession, source: str | dict[str, str], schema: T.StructType, **options: str) -> DataFrame:
+def read_events(spark: SparkSession, source: str | dict[str, str], schema: T.StructType) -> DataFrame:
     """A stream of parsed events.
 
-    `source` is a folder of text files with one message per line, or the options of a Kafka source
-    (`kafka.bootstrap.servers`, `subscribe`, ...).
+    `source` is a folder of text files with one message per line, or source options: with a `path` those of such a
+    folder (`maxFilesPerTrigger`, ...), else those of a Kafka source (`kafka.bootstrap.servers`, `subscribe`,
+    `maxOffsetsPerTrigger`, ...).
     """
-    if isinstance(source, dict):
-        raw = spark.readStream.format("kafka").options(**source, **options).load()
-    else:
-        raw = spark.readStream.format("text").options(**options).load(source)
-    return parse_events(raw, schema)
+    options = source if isinstance(source, dict) else {"path": source}
+    fmt = "text" if "path" in options else "kafka"
+    return parse_events(spark.readStream.format(fmt).options(**options).load(), schema)

@@ -58,15 +58,22 @@ def write_table(
     fmt: str = "parquet",
     *,
     partition_by: Iterable[str] = (),
+    buckets: tuple[int, str] | None = None,
     replace_schema: bool = True,
 ) -> None:
-    """Overwrite a table with the rows of `df`; running it twice leaves the same table."""
+    """Overwrite a table with the rows of `df`; running it twice leaves the same table.
+
+    `buckets`, a number and a column, lays the table out by the hash of that column: tables with the same buckets are
+    joined and grouped on it without a shuffle.
+    """
     writer = df.write.mode("overwrite").format(fmt)
     if replace_schema and fmt == "delta":
         writer = writer.option("overwriteSchema", "true")
     columns = list(partition_by)
     if columns:
         writer = writer.partitionBy(*columns)
+    if buckets:
+        writer = writer.bucketBy(*buckets).sortBy(buckets[1])
     writer.saveAsTable(f"{ns}.{name}")
 
 

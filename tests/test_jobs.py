@@ -29,6 +29,15 @@ def test_full_load_twice_gives_the_same_tables(spark, rows):
     model = semantic.Model.from_tables(spark, "j_silver")
     assert semantic.evaluate(model, [], [semantic.orders()]).first()["orders"] == 7
 
+    bucketed = Options(min_pair_cnt=1, refreshed_at=options.refreshed_at, order_buckets=4)
+    full_load(spark, "j_bronze", "j_silver", "j_gold", None, bucketed)
+    assert snapshot(spark, "j_gold", GOLD_TABLES, rows) == gold
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    star = semantic.star_view(semantic.Model.from_tables(spark, "j_silver"), ["promo_flag"])
+    plan = star._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
     build_gold(spark, "j_silver", "j_gold", Options(min_pair_cnt=1, store_ids=["Nowhere"]))
     assert read_table(spark, "j_gold", "fact_product_affinity").count() == 0
     assert read_table(spark, "j_gold", "product_affinity_topk_named").count() == 0

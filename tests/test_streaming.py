@@ -71,7 +71,8 @@ def test_stream_equals_batch(spark, tmp_path, rows):
     lines = [sale(f"o{n}", n % 50, n % 4) for n in range(60)]
     put(tmp_path / "in", "1.json", lines[:30])
     put(tmp_path / "in", "2.json", lines[30:])
-    finish(ingest.ingest_sales(spark, str(tmp_path / "in"), f"{tmp_path}/out", f"{tmp_path}/checkpoint"))
+    source = {"path": str(tmp_path / "in"), "maxFilesPerTrigger": "1"}
+    finish(ingest.ingest_sales(spark, source, f"{tmp_path}/out", f"{tmp_path}/checkpoint"))
     batch = ingest.landed_order_items(parse_events(spark.read.text(str(tmp_path / "in")), schemas.SALE_EVENT))
     assert rows(spark.read.parquet(f"{tmp_path}/out/order_items").select(*batch.columns)) == rows(batch)
 
@@ -87,7 +88,7 @@ def put_orders(spark, folder, batch, minutes):
 
 
 def run_tumbling(spark, base, watermark):
-    stream = spark.readStream.schema(ORDER_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    stream = spark.readStream.schema(ORDER_SCHEMA).option("maxFilesPerTrigger", "1").parquet(f"{base}/in")
     finish([windows.start_latest(windows.tumbling_kpis(stream, "1 minute", watermark), f"{base}/out", f"{base}/checkpoint")])
     return windows.read_latest(spark, f"{base}/out", ["event_time"])
 
