@@ -347,7 +347,7 @@ def revenue_by_region_channel(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def revenue_by_category(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(report.sales_dashboard(testbed.model(spark, sf))["revenue_by_category"], 2)
+    return rounded(report.sales_dashboard(testbed.model(spark, sf, lines_only=True))["revenue_by_category"], 2)
 
 
 @query
@@ -362,12 +362,12 @@ def report_units(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def report_revenue_by_brand(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(report.revenue_by_brand(testbed.model(spark, sf), categories=["ECONOMY", "SMALL"]), 2)
+    return rounded(report.revenue_by_brand(testbed.model(spark, sf, lines_only=True), categories=["ECONOMY", "SMALL"]), 2)
 
 
 @query
 def report_units_total(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(report.units_total(testbed.model(spark, sf), brands=["Brand#1", "Brand#2"]), 2)
+    return rounded(report.units_total(testbed.model(spark, sf, lines_only=True), brands=["Brand#1", "Brand#2"]), 2)
 
 
 @query
