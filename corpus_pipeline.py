@@ -24,8 +24,9 @@ LEAST_SHARE = 0.5  # of a document's words that its language has to cover
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without a letter, or with no language for half their words, go."""
     model = language.fit(docs.where(fold(F.col("doc_id")) != 2))
-    found = language.label(docs.withColumn("_text", F.col("text")), model, "_text")
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    found = language.label(docs, model, into="_language")
+    known = (F.col("_language.lang_pred") != language.UNKNOWN) & (F.col("_language.score") >= LEAST_SHARE)
+    return found.where(known).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ size band that can hold its smaller partners. A set of the band it belongs to is
 counted twice where deletions are indexed, exceed its h; then no partner of its size or larger can be missed. The few
 sets that are not safe by chance go through a prefix join instead, so no link is lost.
 
-Costs steer what is compared: segments shared by very many sets are left out for every set that stays safe without
-them. Members of a segment are not compared pair by pair: each is held against one of them, linked sets merge into
+Costs steer what is compared: a set stays safe without as much of its segments as it has to spare, so it leaves out those
+that most sets share, up to all of them. Members of a segment are not compared pair by pair: each is held against one of them, linked sets merge into
 components, and only members of different components meet again, until every pair left has been verified.
 
 Sets are held as sorted 64-bit hashes of their shingles; equal sets share a class and are handled once.
@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.llm import frames
@@ -29,12 +29,13 @@ from shelfline.llm.text import SPACES, Words, mix, words_of
 
 _U = np.uint64
 GROWTH = 1.6  # of a size band
-HOT = 100  # members of a segment beyond which sets try to do without it
+SPARE = 1.5  # segments, in terms of those that a full set of the band needs
+LEVELS = np.array([1, 2, 3, 5, 8, 16, 32, 64, 128, 512, 2048, 8192, 65536, 1 << 24])  # steps of the members of a segment
 ROUNDS = 4  # in which members meet one of their segment, before all that is left is compared
 
 PROFILE = "doc_id long, n_shingles long, cls long, safe boolean, slack long"
 BLOCKS = "bucket int, classes binary, counts binary, high binary, low binary"
-FOUND = "a long, b long, weight long, hot boolean, members binary, lost boolean"
+FOUND = "a long, b long, weight long, level int, members binary"
 
 
 @lru_cache(maxsize=None)
@@ -45,7 +46,7 @@ def bands(percent: int, limit: int = 1 << 40) -> dict[str, np.ndarray]:
         first.append(max(first[-1] + 1, int(np.ceil(first[-1] * GROWTH))))
     for top in (f - 1 for f in first[1:]):
         need = differ(np.array([top]), percent)[0] + 1
-        m = int(np.ceil(1.1 * need))
+        m = int(np.ceil(SPARE * need))
         share = top / m
         one, two = 1 - np.exp(-share), 1 - np.exp(-share) * (1 + share)
         spread = np.sqrt(m * np.exp(-share) * (1 - (1 + share) * np.exp(-share)))
@@ -205,23 +206,21 @@ def _members(batches):
         return
     pairs: dict[tuple[int, int], int] = {}
     lists: set[bytes] = set()
-    lost: dict[int, int] = {}
-    for a, n in zip(start.tolist(), count.tolist(), strict=True):
+    shared: dict[tuple[int, int], int] = {}
+    levels = np.searchsorted(LEVELS, count, "left").tolist()
+    for a, n, level in zip(start.tolist(), count.tolist(), levels, strict=True):
         members = cls[a : a + n]
         lists.add(members.tobytes())
-        if n > HOT:
-            for c, k in zip(members.tolist(), kind[a : a + n].tolist(), strict=True):
-                if k & 2:
-                    lost[c] = lost.get(c, 0) + (1 if k & 1 else 2)
+        for c, k in zip(members.tolist(), kind[a : a + n].tolist(), strict=True):
+            if k & 2:
+                shared[c, level] = shared.get((c, level), 0) + 1 + (k & 1 == 0)
         least = int(members[0])
         for c in members[1:].tolist():
             pairs[least, c] = pairs.get((least, c), 0) + 1
-    rows = [(a, b, n, False, None, False) for (a, b), n in pairs.items()]
-    rows += [(None, c, n, True, None, True) for c, n in lost.items()]
-    rows += [(None, None, None, len(x) > 8 * HOT, x, False) for x in lists]
-    schema = pa.schema(
-        [("a", pa.int64()), ("b", pa.int64()), ("weight", pa.int64()), ("hot", pa.bool_()), ("members", pa.binary()), ("lost", pa.bool_())]
-    )
+    rows = [(a, b, n, None, None) for (a, b), n in pairs.items()]
+    rows += [(c, None, n, level, None) for (c, level), n in shared.items()]
+    rows += [(None, None, None, None, x) for x in lists]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("weight", pa.int64()), ("level", pa.int32()), ("members", pa.binary())])
     for i in range(0, len(rows), 10_000):
         yield pa.RecordBatch.from_pydict(
             dict(zip(schema.names, map(list, zip(*rows[i : i + 10_000], strict=True)), strict=True)), schema
@@ -238,9 +237,9 @@ def _unpacked(batches):
                 [
                     pa.array(np.repeat(name.astype(np.int64), size)),
                     pa.array(np.frombuffer(b"".join(blobs), np.int64)),
-                    pa.array(np.repeat(size > HOT, size)),
+                    pa.array(np.repeat(np.searchsorted(LEVELS, size, "left").astype(np.int32), size)),
                 ],
-                ["g", "cls", "hot"],
+                ["g", "cls", "level"],
             )
 
 
@@ -300,15 +299,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = texts.mapInArrow(lambda it: _blocks(it, words, percent, buckets), BLOCKS)
     found = frames.cut(blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(_members, FOUND))
 
-    # sets that cannot do without the segments that very many share
-    lost = found.where("lost").groupBy(F.col("b").alias("cls")).agg(F.sum("weight").alias("lost"))
-    bound = lost.join(classes.select("cls", "slack"), "cls").where("lost > slack").select("cls", F.lit(True).alias("bound"))
-    groups = found.where("members IS NOT NULL").select("members").distinct().mapInArrow(_unpacked, "g long, cls long, hot boolean")
-    groups = frames.cut(groups.join(bound, "cls", "left").select("g", "cls", (~F.col("hot") | F.col("bound").isNotNull()).alias("active")))
+    # each set leaves out the levels of segments that most share, as long as that costs no more than it has to spare
+    spent = found.where("level IS NOT NULL").groupBy(F.col("a").alias("cls"), "level").agg(F.sum("weight").alias("weight"))
+    spent = spent.withColumn("spent", F.sum("weight").over(Window.partitionBy("cls").orderBy(F.desc("level"))))
+    limits = spent.join(classes.select("cls", "slack", "safe"), "cls").where("NOT safe OR spent > slack")
+    limits = frames.cut(limits.groupBy("cls").agg(F.max("level").alias("limit")))
+    groups = found.where("members IS NOT NULL").select("members").distinct().mapInArrow(_unpacked, "g long, cls long, level int")
+    groups = groups.join(limits, "cls", "left").join(classes.select("cls", "n"), "cls")
+    groups = groups.select("g", "cls", "n", F.coalesce(F.col("level") <= F.col("limit"), F.lit(False)).alias("active"))
+    live = groups.groupBy("g").agg(F.max("active").alias("any")).where("any").select("g")
+    groups = frames.cut(groups.join(live, "g", "left_semi"))
 
     extra = _rest(texts, classes, words, percent)
-    pairs = found.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a")).select("a", "b")
+    alive = groups.where("active").select("cls").distinct()
+    pairs = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a")).join(alive.toDF("b"), "b", "left_semi").select("a", "b")
     if extra is not None:
         best = best.union(extra).distinct()
     wanted = groups.select("cls").union(best.select("a")).union(best.select("b")).distinct()
@@ -329,20 +334,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = frames.cut(verified(tested))
     roots = frames.components(links)
     for turn in range(ROUNDS + 1):
-        placed = groups.join(roots.toDF("cls", "root"), "cls", "left").select("g", "cls", "active", F.coalesce("root", "cls").alias("root"))
+        placed = groups.join(roots.toDF("cls", "root"), "cls", "left").select("g", "cls", "n", "active", F.coalesce("root", "cls").alias("root"))
         open_groups = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("active").alias("any"))
         open_groups = open_groups.where("lo < hi AND any").select("g")
         groups = frames.cut(groups.join(open_groups, "g", "left_semi"))
         if groups.isEmpty():
             break
-        placed = frames.cut(groups.join(roots.toDF("cls", "root"), "cls", "left").select("g", "cls", "active", F.coalesce("root", "cls").alias("root")))
+        placed = groups.join(roots.toDF("cls", "root"), "cls", "left").select("g", "cls", "n", "active", F.coalesce("root", "cls").alias("root"))
         if turn < ROUNDS:
-            head = placed.groupBy("g").agg(F.min_by(F.struct("cls", "root", "active"), F.xxhash64("cls", F.lit(turn))).alias("h"))
-            met = placed.join(head, "g").where("root != h.root AND (active OR h.active)")
+            head = placed.groupBy("g").agg(F.min_by(F.struct("cls", "n", "root", "active"), F.xxhash64("cls", F.lit(turn))).alias("h"))
+            met = placed.join(head, "g").where(f"root != h.root AND (active OR h.active) AND 100 * least(n, h.n) >= {percent} * greatest(n, h.n)")
             met = met.select(F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b"))
         else:
-            other = placed.toDF("g", "cls2", "active2", "root2")
-            met = placed.join(other, "g").where("root < root2 AND (active OR active2)")
+            other = placed.toDF("g", "cls2", "n2", "active2", "root2")
+            met = placed.join(other, "g").where(f"root < root2 AND (active OR active2) AND 100 * least(n, n2) >= {percent} * greatest(n, n2)")
             met = met.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"))
         met = frames.cut(met.distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
         more = frames.cut(verified(met))

@@ -195,8 +195,8 @@ class Reader:
 SPANS = "array<struct<start: int, end: int, lang: string>>"
 
 
-def label(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred, score and spans to the rows, dropping columns of these names first.
+def label(docs: DataFrame, model: Model, text_col: str = "text", into: str = "language") -> DataFrame:
+    """Adds a struct column (lang_pred, score, spans) to the rows; a column of its name is replaced.
 
     lang_pred is the language of most words on the best path, score their share; `und` with score 0 where the text is
     null or has no letter, or where the model knows no language.
@@ -218,7 +218,4 @@ def label(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     read.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     reading = F.pandas_udf(read, f"lang_pred string, score double, spans {SPANS}")
-    plain = docs.drop("lang_pred", "score", "spans")
-    return plain.withColumn("_read", reading(F.col(text_col))).select(
-        *plain.columns, F.col("_read.lang_pred").alias("lang_pred"), F.col("_read.score").alias("score"), F.col("_read.spans").alias("spans")
-    )
+    return docs.withColumn(into, reading(F.col(text_col)))

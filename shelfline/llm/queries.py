@@ -37,7 +37,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     model = language.fit(documents.where(fold(F.col("doc_id")) != 2))
     found = language.label(documents.select("doc_id", "text"), model)
-    return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "language.lang_pred", "language.score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
