@@ -9,7 +9,7 @@ sets that are not safe by chance go through a prefix join instead, so no link is
 
 Costs steer what is compared: a set stays safe without as much of its segments as it has to spare, so it leaves out those
 that most sets share, up to all of them. Members of a segment are not compared pair by pair: each is held against one of them, linked sets merge into
-components, and only members of different components meet again, until every pair left has been verified.
+components, and members of components that segments still connect are compared in blocks.
 
 Sets are held as sorted 64-bit hashes of their shingles; equal sets share a class and are handled once.
 """
@@ -31,7 +31,7 @@ _U = np.uint64
 GROWTH = 1.6  # of a size band
 SPARE = 1.5  # segments, in terms of those that a full set of the band needs
 LEVELS = np.array([1, 2, 3, 5, 8, 16, 32, 64, 128, 512, 2048, 8192, 65536, 1 << 24])  # steps of the members of a segment
-ROUNDS = 4  # in which members meet one of their segment, before all that is left is compared
+BLOCK = 512  # sets that one task holds against as many others
 
 PROFILE = "doc_id long, n_shingles long, cls long, safe boolean, slack long"
 BLOCKS = "bucket int, classes binary, counts binary, high binary, low binary"
@@ -93,7 +93,10 @@ def classes_of(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signatures(tokens: np.ndarray, first: np.ndarray, percent: int):
-    """(owner, signature, deletion?, own band?) of all sets, and each set's capacity in its own band."""
+    """(owner, signature, kind) of all sets, and each set's capacity in its own band.
+
+    kind: 1 for a segment less one token, 2 in the set's own band, 4 for a segment whose deletions are indexed too.
+    """
     plan = bands(percent)
     size = np.diff(first)
     capacity = np.zeros(len(size), np.int64)
@@ -122,12 +125,12 @@ def signatures(tokens: np.ndarray, first: np.ndarray, percent: int):
             np.add.at(capacity, owner[start], 1 + twice)
         each = np.repeat(twice, count)
         dropped = np.repeat(total, count)[each] - value[each]
-        found.append((owner[start], mix(total + salt[start]), np.zeros(len(start), bool), back == 0))
-        found.append((owner[each], mix(dropped + salt[each]), np.ones(each.sum(), bool), back == 0))
+        found.append((owner[start], mix(total + salt[start]), 4 * twice + 2 * (back == 0)))
+        found.append((owner[each], mix(dropped + salt[each]), np.full(each.sum(), 1 + 2 * (back == 0))))
     if not found:
-        return (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, bool), np.zeros(0, bool)), capacity
-    owner, signature, deletion = (np.concatenate([x[i] for x in found]) for i in range(3))
-    return (owner, signature, deletion, np.concatenate([np.full(len(x[0]), x[3]) for x in found])), capacity
+        return (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)), capacity
+    owner, signature, kind = (np.concatenate([x[i] for x in found]) for i in range(3))
+    return (owner, signature, kind), capacity
 
 
 def _profiles(batches, words: int, percent: int):
@@ -157,17 +160,17 @@ def _blocks(batches, words: int, percent: int, buckets: int):
             for i, c in enumerate(cls.tolist()):
                 fresh[i] = c not in seen
                 seen.add(c)
-            (owner, signature, deletion, own), _ = signatures(tokens, first, percent)
+            (owner, signature, kind), _ = signatures(tokens, first, percent)
             keep = fresh[owner]
-            parts.append((cls[owner[keep]], signature[keep], deletion[keep], own[keep]))
+            parts.append((cls[owner[keep]], signature[keep], kind[keep]))
         if not parts:
             continue
-        cls, signature, deletion, own = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        cls, signature, kind = (np.concatenate([p[i] for p in parts]) for i in range(3))
         bucket = ((signature & _U(0xFFFF)).astype(np.int64) * buckets) >> 16
         order = np.lexsort((cls, bucket))
         bucket, cls, signature = bucket[order], cls[order], signature[order]
         high = (signature >> _U(32)).astype(np.uint32)
-        low = (((signature >> _U(16)) & _U(0xFFFC)).astype(np.uint16)) | deletion[order] | (own[order].astype(np.uint16) << 1)
+        low = ((signature >> _U(16)) & _U(0xFFF8)).astype(np.uint16) | kind[order].astype(np.uint16)
         edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
         rows = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -192,7 +195,7 @@ def _members(batches):
     if not cls:
         return
     cls, sig = np.concatenate(cls), np.concatenate(sig)
-    key, kind = sig & ~_U(3), (sig & _U(3)).astype(np.int8)
+    key, kind = sig & ~_U(7), (sig & _U(7)).astype(np.int8)
     order = np.lexsort((kind & 1, cls, key))
     cls, key, kind = cls[order], key[order], kind[order]
     fresh = np.ones(len(cls), bool)
@@ -205,21 +208,23 @@ def _members(batches):
     if not len(start):
         return
     pairs: dict[tuple[int, int], int] = {}
-    lists: set[bytes] = set()
+    lists: set[tuple[int, bytes]] = set()
     shared: dict[tuple[int, int], int] = {}
-    levels = np.searchsorted(LEVELS, count, "left").tolist()
+    # large segments of like size are told apart by a hash, so that sets can leave out some of them
+    part = np.where(count > 16, mix(key[start]) & _U(15), 0).astype(np.int64)
+    levels = (np.searchsorted(LEVELS, count, "left") * 16 + part).tolist()
     for a, n, level in zip(start.tolist(), count.tolist(), levels, strict=True):
         members = cls[a : a + n]
-        lists.add(members.tobytes())
+        lists.add((level, members.tobytes()))
         for c, k in zip(members.tolist(), kind[a : a + n].tolist(), strict=True):
             if k & 2:
-                shared[c, level] = shared.get((c, level), 0) + 1 + (k & 1 == 0)
+                shared[c, level] = shared.get((c, level), 0) + 1 + (k >> 2)
         least = int(members[0])
         for c in members[1:].tolist():
             pairs[least, c] = pairs.get((least, c), 0) + 1
     rows = [(a, b, n, None, None) for (a, b), n in pairs.items()]
     rows += [(c, None, n, level, None) for (c, level), n in shared.items()]
-    rows += [(None, None, None, None, x) for x in lists]
+    rows += [(None, None, None, level, x) for level, x in lists]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("weight", pa.int64()), ("level", pa.int32()), ("members", pa.binary())])
     for i in range(0, len(rows), 10_000):
         yield pa.RecordBatch.from_pydict(
@@ -229,15 +234,15 @@ def _members(batches):
 
 def _unpacked(batches):
     for batch in batches:
-        blobs = [x for x in batch.column(0).to_pylist()]
+        blobs, levels = batch.column(0).to_pylist(), batch.column(1).to_numpy()
         if blobs:
-            name = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in blobs])
+            name = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8, key=b"%d" % n).digest(), "little", signed=True) for x, n in zip(blobs, levels, strict=True)])
             size = np.array([len(x) // 8 for x in blobs])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.repeat(name.astype(np.int64), size)),
                     pa.array(np.frombuffer(b"".join(blobs), np.int64)),
-                    pa.array(np.repeat(np.searchsorted(LEVELS, size, "left").astype(np.int32), size)),
+                    pa.array(np.repeat(levels.astype(np.int32), size)),
                 ],
                 ["g", "cls", "level"],
             )
@@ -300,11 +305,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = frames.cut(blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(_members, FOUND))
 
     # each set leaves out the levels of segments that most share, as long as that costs no more than it has to spare
-    spent = found.where("level IS NOT NULL").groupBy(F.col("a").alias("cls"), "level").agg(F.sum("weight").alias("weight"))
+    spent = found.where("a IS NOT NULL AND b IS NULL").groupBy(F.col("a").alias("cls"), "level").agg(F.sum("weight").alias("weight"))
     spent = spent.withColumn("spent", F.sum("weight").over(Window.partitionBy("cls").orderBy(F.desc("level"))))
     limits = spent.join(classes.select("cls", "slack", "safe"), "cls").where("NOT safe OR spent > slack")
     limits = frames.cut(limits.groupBy("cls").agg(F.max("level").alias("limit")))
-    groups = found.where("members IS NOT NULL").select("members").distinct().mapInArrow(_unpacked, "g long, cls long, level int")
+    groups = found.where("members IS NOT NULL").select("members", "level").distinct().mapInArrow(_unpacked, "g long, cls long, level int")
     groups = groups.join(limits, "cls", "left").join(classes.select("cls", "n"), "cls")
     groups = groups.select("g", "cls", "n", F.coalesce(F.col("level") <= F.col("limit"), F.lit(False)).alias("active"))
     live = groups.groupBy("g").agg(F.max("active").alias("any")).where("any").select("g")
@@ -330,31 +335,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         both = candidates.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
         return both.mapInArrow(lambda it: _verified(it, percent), "a long, b long")
 
-    tested = frames.cut(best)
-    links = frames.cut(verified(tested))
+    links = frames.cut(verified(best))
+    roots = frames.components(links)
+
+    def still_open(groups: DataFrame) -> DataFrame:
+        """Members of the segments that hold sets of several components, one of them active."""
+        placed = groups.join(roots.toDF("cls", "root"), "cls", "left")
+        placed = placed.select("g", "cls", "n", "active", F.coalesce("root", "cls").alias("root"))
+        mixed = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("active").alias("any"))
+        return frames.cut(placed.join(mixed.where("lo < hi AND any").select("g"), "g", "left_semi"))
+
+    left = still_open(groups)
+    head = left.groupBy("g").agg(F.min_by(F.struct("cls", "n", "root", "active"), F.xxhash64("cls")).alias("h"))
+    met = left.join(head, "g").where(f"root != h.root AND (active OR h.active) AND 100 * least(n, h.n) >= {percent} * greatest(n, h.n)")
+    met = met.select(F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct()
+    links = frames.cut(links.union(verified(met)))
     roots = frames.components(links)
-    for turn in range(ROUNDS + 1):
-        placed = groups.join(roots.toDF("cls", "root"), "cls", "left").select("g", "cls", "n", "active", F.coalesce("root", "cls").alias("root"))
-        open_groups = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("active").alias("any"))
-        open_groups = open_groups.where("lo < hi AND any").select("g")
-        groups = frames.cut(groups.join(open_groups, "g", "left_semi"))
-        if groups.isEmpty():
-            break
-        placed = groups.join(roots.toDF("cls", "root"), "cls", "left").select("g", "cls", "n", "active", F.coalesce("root", "cls").alias("root"))
-        if turn < ROUNDS:
-            head = placed.groupBy("g").agg(F.min_by(F.struct("cls", "n", "root", "active"), F.xxhash64("cls", F.lit(turn))).alias("h"))
-            met = placed.join(head, "g").where(f"root != h.root AND (active OR h.active) AND 100 * least(n, h.n) >= {percent} * greatest(n, h.n)")
-            met = met.select(F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b"))
-        else:
-            other = placed.toDF("g", "cls2", "n2", "active2", "root2")
-            met = placed.join(other, "g").where(f"root < root2 AND (active OR active2) AND 100 * least(n, n2) >= {percent} * greatest(n, n2)")
-            met = met.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"))
-        met = frames.cut(met.distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        more = frames.cut(verified(met))
-        tested = frames.cut(tested.union(met))
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = frames.components(links)
+    left = still_open(left.drop("root"))
+    if not left.isEmpty():
+        links = links.union(_in_blocks(left, sets, percent))
+        roots = frames.components(links)
 
     named = classes.select("cls", "least").join(roots.toDF("cls", "root"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -364,6 +364,62 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def _in_blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between all sets that segments still connect, in blocks; enough of them to join what belongs together.
+
+    Each set goes to one task per block it has to meet, so no pair becomes a row unless it is linked.
+    """
+    heads = left.groupBy("g").agg(F.min("cls").alias("b"))
+    areas = frames.components(left.join(heads, "g").select(F.col("cls").alias("a"), "b"))
+    areas = areas.join(left.select(F.col("cls").alias("node"), "n", "root", "active").groupBy("node").agg(F.max("n").alias("n"), F.max("root").alias("root2"), F.max("active").alias("active")), "node")
+    areas = areas.select(F.col("root").alias("area"), F.col("node").alias("cls"), F.col("root2").alias("root"), "active")
+    counts = areas.groupBy("area").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = areas.join(counts, "area").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("area", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "root", "active")
+    members = members.join(sets, "cls")
+    return members.groupBy("area", "i", "j").applyInArrow(lambda t: _compared(t, percent), "a long, b long")
+
+
+def _compared(table: pa.Table, percent: int) -> pa.Table:
+    """Links of a block with another, or with itself, between different components; of these a spanning forest."""
+    cls, root = table.column("cls").to_numpy(), table.column("root").to_numpy()
+    active = table.column("active").to_numpy(zero_copy_only=False)
+    order = np.argsort(cls, kind="stable")
+    tokens = [np.frombuffer(table.column("tokens")[int(i)].as_py(), _U) for i in order]
+    cls, root, active = cls[order], root[order], active[order]
+    size = np.array([len(t) for t in tokens])
+    owner = np.repeat(np.arange(len(cls)), size)
+    number = np.unique(np.concatenate(tokens), return_inverse=True)[1] if len(cls) else np.zeros(0, np.int64)
+    by = np.argsort(number, kind="stable")
+    owners, edge = owner[by], np.searchsorted(number[by], np.arange(number.max(initial=-1) + 2))
+    first = np.r_[0, np.cumsum(size)]
+    parent = {r: r for r in root.tolist()}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x in range(len(cls)):
+        mine = number[first[x] : first[x + 1]]
+        low, high = edge[mine], edge[mine + 1]
+        n = high - low
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        common = np.bincount(owners[at], minlength=len(cls))
+        linked = 100 * common >= percent * (size[x] + size - common)
+        linked &= (root != root[x]) & (active | active[x])
+        for y in np.flatnonzero(linked[x + 1 :]).tolist():
+            a, b = find(int(root[x])), find(int(root[x + 1 + y]))
+            if a != b:
+                parent[b] = a
+                out.append((int(cls[x]), int(cls[x + 1 + y])))
+    columns = list(zip(*out, strict=True)) or [[], []]
+    return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
+
+
 def _sets_by_class(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """Sets of the wanted classes where ids do not name them: found again by their contents."""
 
