@@ -41,13 +41,13 @@ FAMILIES = [
     ("busl", ["business source licen[cs]e"], ["1.1"]),
     ("ofl", ["sil open font licen[cs]e"], ["1.0", "1.1"]),
     ("lppl", ["latex project public licen[cs]e"], ["1.0", "1.3"]),
-    ("cc-by", ["(?:creative commons|cc) (?:attribution|by)"], ["2.0", "2.5", "3.0", "4.0"]),
-    ("cc-by-sa", ["(?:creative commons|cc) (?:attribution|by) (?:share ?alike|sa)"], ["2.0", "2.5", "3.0", "4.0"]),
-    ("cc-by-nc", ["(?:creative commons|cc) (?:attribution|by) (?:non ?commercial|nc)"], ["2.0", "2.5", "3.0", "4.0"]),
-    ("cc-by-nd", ["(?:creative commons|cc) (?:attribution|by) (?:no ?deriv(?:ative)?s|nd)"], ["2.0", "2.5", "3.0", "4.0"]),
-    ("cc-by-nc-sa", ["(?:creative commons|cc) (?:attribution|by) (?:non ?commercial|nc) (?:share ?alike|sa)"], ["2.0", "2.5", "3.0", "4.0"]),
-    ("cc-by-nc-nd", ["(?:creative commons|cc) (?:attribution|by) (?:non ?commercial|nc) (?:no ?deriv(?:ative)?s|nd)"], ["2.0", "2.5", "3.0", "4.0"]),
-    ("cc0", ["(?:creative commons|cc) zero", "cc0"], ["1.0"]),
+    ("cc-by", ["creative commons (?:attribution|by)", "cc (?:attribution|by)"], ["2.0", "2.5", "3.0", "4.0"]),
+    ("cc-by-sa", ["creative commons (?:attribution|by) (?:share ?alike|sa)", "cc (?:attribution|by) (?:share ?alike|sa)"], ["2.0", "2.5", "3.0", "4.0"]),
+    ("cc-by-nc", ["creative commons (?:attribution|by) (?:non ?commercial|nc)", "cc (?:attribution|by) (?:non ?commercial|nc)"], ["2.0", "2.5", "3.0", "4.0"]),
+    ("cc-by-nd", ["creative commons (?:attribution|by) (?:no ?deriv(?:ative)?s|nd)", "cc (?:attribution|by) (?:no ?deriv(?:ative)?s|nd)"], ["2.0", "2.5", "3.0", "4.0"]),
+    ("cc-by-nc-sa", ["creative commons (?:attribution|by) (?:non ?commercial|nc) (?:share ?alike|sa)", "cc (?:attribution|by) (?:non ?commercial|nc) (?:share ?alike|sa)"], ["2.0", "2.5", "3.0", "4.0"]),
+    ("cc-by-nc-nd", ["creative commons (?:attribution|by) (?:non ?commercial|nc) (?:no ?deriv(?:ative)?s|nd)", "cc (?:attribution|by) (?:non ?commercial|nc) (?:no ?deriv(?:ative)?s|nd)"], ["2.0", "2.5", "3.0", "4.0"]),
+    ("cc0", ["creative commons zero", "cc zero", "cc0"], ["1.0"]),
     ("bsd-2-clause", ["(?:simplified|freebsd|2 clause|two clause) bsd licen[cs]e", "bsd (?:2|two) clause(?: licen[cs]e)?"], []),
     ("bsd-3-clause", ["(?:new|modified|revised|3 clause|three clause) bsd licen[cs]e", "bsd (?:3|three) clause(?: licen[cs]e)?"], []),
     ("bsd-4-clause", ["(?:original|4 clause|four clause) bsd licen[cs]e", "bsd (?:4|four) clause(?: licen[cs]e)?"], []),
@@ -70,7 +70,7 @@ FAMILIES = [
     ("ms-pl", ["microsoft public licen[cs]e"], []),
     ("ms-rl", ["microsoft reciprocal licen[cs]e"], []),
     ("sspl", ["server side public licen[cs]e"], ["1.0"]),
-    ("openrail", ["open ?rail(?: m)?(?: licen[cs]e)?"], []),
+    ("openrail", ["openrail(?: m)?(?: licen[cs]e)?", "open rail(?: m)?(?: licen[cs]e)?"], []),
 ]
 
 # Sentences of license bodies and notices that name no license
@@ -105,7 +105,7 @@ class Rule:
 def _required(pattern: str) -> frozenset[str]:
     """Plain words a pattern cannot match without: those outside groups, options and classes."""
     bare, depth = [], 0
-    for token in re.findall(r"\(\?:|\)\??|\S*?\[[^]]*\]\S*|[^\s()]+\??| ", pattern):
+    for token in re.findall(r"\(\?:|\)\??|[^\s()]*?\[[^]]*\][^\s()]*|[^\s()]+\??| ", pattern):
         if token == "(?:":
             depth += 1
         elif token[0] == ")":
@@ -125,7 +125,7 @@ def rules() -> tuple[Rule, ...]:
     granted = "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the terms of )?(?:the |a )?(?:terms of )?(?:the )?"
     out = []
     for label, names, versions in FAMILIES:
-        tag = label.replace("-", " ").replace("unlicense", "unlicense")
+        tag = label.replace("-", " ")
         for version in versions:
             major, _, minor = version.partition(".")
             tail = f"{major} {minor}" if minor != "0" else f"{major}(?: 0)?"
@@ -140,6 +140,8 @@ def rules() -> tuple[Rule, ...]:
             if "licen" in name or label in {"cc0", "wtfpl"}:
                 out.append(_rule(label, name, NAME))
     out += [_rule(label, sentence, BODY) for label, sentence in SENTENCES]
+    if any(not rule.words for rule in out):
+        raise ValueError("a rule without a word of its own would be tried on every text")
     return tuple(out)
 
 
@@ -154,13 +156,12 @@ class Scanner:
         self.rules = rules()
         self.phrases = [(f" {phrase} ", frozenset(phrase.split()), label, len(phrase.split())) for phrase, label in phrases.items()]
         self.gates = frozenset(w.encode() for words in [r.words for r in self.rules] + [p[1] for p in self.phrases] for w in words)
-        self.open = [r for r in self.rules if not r.words]
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, str, float, bool]]]:
         """(number of words, detections as (start word, end word, label, certainty, phrase?))."""
         words = (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).split()
         present = self.gates.intersection(words)
-        if not present and not self.open:
+        if not present:
             return len(words), []
         have = {w.decode() for w in present}
         tried = [r for r in self.rules if r.words <= have]
