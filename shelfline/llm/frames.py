@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,36 @@ def fold(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 4
 
 
+BITS = 1 << 23  # of a sieve: 1 MB, whatever the number of ids
+
+
+def sieve(ids: DataFrame) -> np.ndarray:
+    """A bitmap of BITS bits with one set for each id: what it lacks is none of the ids."""
+    place = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(BITS))
+    rows = ids.select(F.floor(place / 32768).cast("int").alias("part"), (place % 32768).alias("bit"))
+    bits = np.zeros(BITS // 8, np.uint8)
+    for row in rows.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        bits[row.part * 4096 : (row.part + 1) * 4096] = np.frombuffer(row.bits, np.uint8)
+    return bits
+
+
+def sifted(df: DataFrame, id_col: str, bits: np.ndarray, inside: bool = True) -> DataFrame:
+    """Rows whose id may be (or, not inside, surely is not) one of the sieve's.
+
+    Keeps text that no join will need out of a shuffle. The sieve is of one size: with very many ids it holds back
+    less, never wrongly.
+    """
+
+    def pick(batches):
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(hit == (1 if inside else 0)))
+
+    placed = df.withColumn("_place", F.pmod(F.xxhash64(F.col(id_col)), F.lit(BITS)))
+    return placed.mapInArrow(pick, df.schema)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node that can be reached.
 

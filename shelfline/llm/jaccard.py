@@ -170,12 +170,13 @@ def _blocks(batches, words: int, percent: int, buckets: int):
         order = np.lexsort((cls, bucket))
         bucket, cls, signature = bucket[order], cls[order], signature[order]
         high = (signature >> _U(32)).astype(np.uint32)
-        low = ((signature >> _U(16)) & _U(0xFFF8)).astype(np.uint16) | kind[order].astype(np.uint16)
+        low = ((signature >> _U(16)) & _U(0xF8)).astype(np.uint8) | kind[order].astype(np.uint8)
         edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
         rows = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             start = np.flatnonzero(np.r_[True, cls[a + 1 : b] != cls[a : b - 1]])
-            counts = np.diff(np.append(start, b - a)).astype(np.int32)
+            counts = np.diff(np.append(start, b - a))
+            counts = counts.astype(np.uint16) if counts.max() < 1 << 16 else counts.astype(np.uint32)
             rows.append((int(bucket[a]), cls[a:b][start].tobytes(), counts.tobytes(), high[a:b].tobytes(), low[a:b].tobytes()))
         if rows:
             yield pa.RecordBatch.from_pydict(
@@ -189,8 +190,9 @@ def _members(batches):
     cls, sig = [], []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            cls.append(np.repeat(np.frombuffer(row[1], np.int64), np.frombuffer(row[2], np.int32)))
-            high, low = np.frombuffer(row[3], np.uint32), np.frombuffer(row[4], np.uint16)
+            names = np.frombuffer(row[1], np.int64)
+            cls.append(np.repeat(names, np.frombuffer(row[2], np.uint16 if len(row[2]) == 2 * len(names) else np.uint32)))
+            high, low = np.frombuffer(row[3], np.uint32), np.frombuffer(row[4], np.uint8)
             sig.append((np.uint64(row[0] & 0xFFFF) << _U(48)) | (high.astype(_U) << _U(16)) | low)
     if not cls:
         return
@@ -271,21 +273,28 @@ def _prefixes(batches, words: int, percent: int, least: int, most: int):
                 )
 
 
-def _verified(batches, percent: int):
-    for batch in batches:
-        a, b, x, y = (c.to_pylist() for c in batch.columns)
-        good = []
-        for left, right in zip(x, y, strict=True):
-            left, right = np.frombuffer(left, _U), np.frombuffer(right, _U)
-            if 100 * min(len(left), len(right)) < percent * max(len(left), len(right)):
-                good.append(False)
-                continue
-            both = np.concatenate((left, right))
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            good.append(100 * common >= percent * (len(left) + len(right) - common))
-        keep = [i for i, ok in enumerate(good) if ok]
-        yield pa.RecordBatch.from_pydict({"a": [a[i] for i in keep], "b": [b[i] for i in keep]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+def _with_heads(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of pairs (a, b), where many b may share an a: these are dealt to several tasks, each with a's set."""
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = pairs.join(counts, "a")
+    tails = dealt.select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("cls"))
+    heads = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("cls"))
+    rows = tails.union(heads).join(sets, "cls")
+
+    def compared(table: pa.Table) -> pa.Table:
+        a, cls = table.column("a")[0].as_py(), table.column("cls").to_numpy()
+        tokens = table.column("tokens")
+        head = np.frombuffer(tokens[int(np.flatnonzero(cls == a)[0])].as_py(), _U)
+        out = []
+        for i, b in enumerate(cls.tolist()):
+            other = np.frombuffer(tokens[i].as_py(), _U)
+            if b != a and 100 * min(len(head), len(other)) >= percent * max(len(head), len(other)):
+                common = np.intersect1d(head, other, assume_unique=True).size
+                if 100 * common >= percent * (len(head) + len(other) - common):
+                    out.append(b)
+        return pa.table({"a": pa.array([a] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
+
+    return rows.groupBy("a", "part").applyInArrow(compared, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -322,20 +331,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if extra is not None:
         best = best.union(extra).distinct()
     wanted = groups.select("cls").union(best.select("a")).union(best.select("b")).distinct()
-    named = wanted.join(classes, "cls").select("cls", F.col("least").alias("doc_id"))
+    named = frames.cut(wanted.join(classes, "cls").select("cls", F.col("least").alias("doc_id")))
     # one row per class: a repeated id with another text would answer for the wrong class, so names are checked
     sets = (
-        texts.join(named, "doc_id").select("cls", "text").mapInArrow(lambda it: _sets(it, words), "cls long, tokens binary")
+        frames.sifted(texts, "doc_id", frames.sieve(named.select("doc_id"))).join(named, "doc_id").select("cls", "text").mapInArrow(lambda it: _sets(it, words), "cls long, tokens binary")
     )
     if not classes.groupBy("least").count().where("count > 1").isEmpty() or not classes.where("least IS NULL").isEmpty():
         sets = _sets_by_class(texts, wanted, words)
     sets = frames.cut(sets.dropDuplicates(["cls"]))
 
-    def verified(candidates: DataFrame) -> DataFrame:
-        both = candidates.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
-        return both.mapInArrow(lambda it: _verified(it, percent), "a long, b long")
-
-    links = frames.cut(verified(best))
+    links = frames.cut(_with_heads(best, sets, percent))
     roots = frames.components(links)
 
     def still_open(groups: DataFrame) -> DataFrame:
@@ -346,12 +351,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return frames.cut(placed.join(mixed.where("lo < hi AND any").select("g"), "g", "left_semi"))
 
     left = still_open(groups)
-    head = left.groupBy("g").agg(F.min_by(F.struct("cls", "n", "root", "active"), F.xxhash64("cls")).alias("h"))
-    met = left.join(head, "g").where(f"root != h.root AND (active OR h.active) AND 100 * least(n, h.n) >= {percent} * greatest(n, h.n)")
-    met = met.select(F.least("cls", "h.cls").alias("a"), F.greatest("cls", "h.cls").alias("b")).distinct()
-    links = frames.cut(links.union(verified(met)))
-    roots = frames.components(links)
-    left = still_open(left.drop("root"))
     if not left.isEmpty():
         links = links.union(_in_blocks(left, sets, percent))
         roots = frames.components(links)
@@ -373,10 +372,18 @@ def _in_blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     areas = frames.components(left.join(heads, "g").select(F.col("cls").alias("a"), "b"))
     areas = areas.join(left.select(F.col("cls").alias("node"), "n", "root", "active").groupBy("node").agg(F.max("n").alias("n"), F.max("root").alias("root2"), F.max("active").alias("active")), "node")
     areas = areas.select(F.col("root").alias("area"), F.col("node").alias("cls"), F.col("root2").alias("root"), "active")
-    counts = areas.groupBy("area").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = areas.join(counts, "area").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("area", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "root", "active")
+    # the largest component of an area only has to meet the rest of it
+    sizes = areas.groupBy("area", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("area").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("mains"), F.sum("n").alias("all"))
+    many = [F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int").alias(c) for n, c in ((F.col("mains"), "mains"), (F.col("all") - F.col("mains"), "strays"))]
+    areas = areas.join(main.select("area", "main", *many), "area")
+    spread = F.xxhash64("cls")
+    inside = areas.where("root = main").select("area", F.lit(-1).alias("i"), F.pmod(spread, F.col("mains")).cast("int").alias("j"), "cls", "root", "active")
+    strays = areas.where("root != main").withColumn("own", F.pmod(spread, F.col("strays")).cast("int"))
+    facing = strays.select("area", F.lit(-1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("mains") - 1)).alias("j"), "cls", "root", "active")
+    among = strays.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("strays") - 1)))
+    among = among.select("area", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "root", "active")
+    members = inside.union(facing).union(among)
     members = members.join(sets, "cls")
     return members.groupBy("area", "i", "j").applyInArrow(lambda t: _compared(t, percent), "a long, b long")
 
