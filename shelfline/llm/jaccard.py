@@ -31,6 +31,7 @@ _U = np.uint64
 GROWTH = 1.6  # of a size band
 SPARE = 1.5  # segments, in terms of those that a full set of the band needs
 LEVELS = np.array([1, 2, 3, 5, 8, 16, 32, 64, 128, 512, 2048, 8192, 65536, 1 << 24])  # steps of the members of a segment
+BATCH = 1 << 20  # signatures that a task sorts at once, about
 BLOCK = 512  # sets that one task holds against as many others
 
 PROFILE = "doc_id long, n_shingles long, cls long, safe boolean, slack long"
@@ -150,9 +151,8 @@ def _profiles(batches, words: int, percent: int):
 
 
 def _blocks(batches, words: int, percent: int, buckets: int):
+    parts, held, seen = [], 0, set()
     for batch in batches:
-        seen: set[int] = set()
-        parts = []
         for _, _, w in words_of(batch.column(1), SPACES, lower=True):
             tokens, first = shingles(w, words)
             cls = classes_of(tokens, first)
@@ -163,26 +163,35 @@ def _blocks(batches, words: int, percent: int, buckets: int):
             (owner, signature, kind), _ = signatures(tokens, first, percent)
             keep = fresh[owner]
             parts.append((cls[owner[keep]], signature[keep], kind[keep]))
-        if not parts:
-            continue
-        cls, signature, kind = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        bucket = ((signature & _U(0xFFFF)).astype(np.int64) * buckets) >> 16
-        order = np.lexsort((cls, bucket))
-        bucket, cls, signature = bucket[order], cls[order], signature[order]
-        high = (signature >> _U(32)).astype(np.uint32)
-        low = ((signature >> _U(16)) & _U(0xF8)).astype(np.uint8) | kind[order].astype(np.uint8)
-        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
-        rows = []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            start = np.flatnonzero(np.r_[True, cls[a + 1 : b] != cls[a : b - 1]])
-            counts = np.diff(np.append(start, b - a))
-            counts = counts.astype(np.uint16) if counts.max() < 1 << 16 else counts.astype(np.uint32)
-            rows.append((int(bucket[a]), cls[a:b][start].tobytes(), counts.tobytes(), high[a:b].tobytes(), low[a:b].tobytes()))
-        if rows:
-            yield pa.RecordBatch.from_pydict(
-                dict(zip(["bucket", "classes", "counts", "high", "low"], map(list, zip(*rows, strict=True)), strict=True)),
-                pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("classes", "counts", "high", "low"))]),
-            )
+            held += int(keep.sum())
+            if held > BATCH:
+                yield from _dealt(parts, buckets)
+                parts, held = [], 0
+            if len(seen) > BATCH:
+                seen.clear()
+    if parts:
+        yield from _dealt(parts, buckets)
+
+
+def _dealt(parts: list[tuple], buckets: int):
+    cls, signature, kind = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    bucket = ((signature & _U(0xFFFF)).astype(np.int64) * buckets) >> 16
+    order = np.lexsort((cls, bucket))
+    bucket, cls, signature = bucket[order], cls[order], signature[order]
+    high = (signature >> _U(32)).astype(np.uint32)
+    low = ((signature >> _U(16)) & _U(0xF8)).astype(np.uint8) | kind[order].astype(np.uint8)
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
+    rows = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        start = np.flatnonzero(np.r_[True, cls[a + 1 : b] != cls[a : b - 1]])
+        counts = np.diff(np.append(start, b - a))
+        counts = counts.astype(np.uint16) if counts.max() < 1 << 16 else counts.astype(np.uint32)
+        rows.append((int(bucket[a]), cls[a:b][start].tobytes(), counts.tobytes(), high[a:b].tobytes(), low[a:b].tobytes()))
+    if rows:
+        yield pa.RecordBatch.from_pydict(
+            dict(zip(["bucket", "classes", "counts", "high", "low"], map(list, zip(*rows, strict=True)), strict=True)),
+            pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("classes", "counts", "high", "low"))]),
+        )
 
 
 def _members(batches):

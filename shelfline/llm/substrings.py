@@ -32,6 +32,7 @@ _U = np.uint64
 ANCHOR = 5  # words of an anchor
 HEAVY = 1 << 12  # an anchor with more than one in so many runs is dealt out by window
 SHARD = 1 << 16  # words of a document that fall to one reference shard together
+BATCH = 1 << 20  # windows that a task sorts at once, about
 STREAM = 1 << 19  # words that stream through one copy of a shard, about
 
 _WORD = re.compile(rb"[^ \t-\r]+")
@@ -66,18 +67,11 @@ def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _heavy(batches, window: int):
     """Counts of the anchors that hold a share of a batch that could make them heavy; -1 carries the number of runs."""
-    for batch in batches:
-        parts = []
-        for _, _, words in words_of(batch.column(1)):
-            owner, _, _, anchor = _windows(words, window)
-            if len(owner):
-                parts.append(anchor[np.r_[True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]])
-        if not parts:
-            continue
+    def counted(parts):
         anchors, counts = np.unique(np.concatenate(parts), return_counts=True)
         total = int(counts.sum())
         keep = counts * 2 * HEAVY >= total
-        yield pa.RecordBatch.from_pydict(
+        return pa.RecordBatch.from_pydict(
             {
                 "anchor": pa.array(np.append(anchors[keep].view(np.int64), 0)),
                 "n": pa.array(np.append(counts[keep], total)),
@@ -85,6 +79,19 @@ def _heavy(batches, window: int):
             }
         )
 
+    parts, held = [], 0
+    for batch in batches:
+        for _, _, words in words_of(batch.column(1)):
+            owner, _, _, anchor = _windows(words, window)
+            if len(owner):
+                parts.append(anchor[np.r_[True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]])
+                held += len(parts[-1])
+            if held > BATCH:
+                yield counted(parts)
+                parts, held = [], 0
+    if parts:
+        yield counted(parts)
+
 
 def heavy_anchors(texts: DataFrame, window: int) -> np.ndarray:
     """Anchors of a large share of all runs. At most 2 * HEAVY of them exist, so the driver can hold them."""
@@ -96,54 +103,61 @@ def heavy_anchors(texts: DataFrame, window: int) -> np.ndarray:
 
 
 def _blocks(batches, window: int, buckets: int, heavy: np.ndarray):
+    parts, held = [], 0
     for batch in batches:
         ids = batch.column(0)
-        parts = []
         for row, end, words in words_of(batch.column(1)):
             owner, start, value, anchor = _windows(words, window)
             if len(owner):
                 doc = np.asarray(ids.slice(row, end - row).to_numpy(zero_copy_only=False), np.int64)
                 parts.append((doc[owner], start, value, anchor))
-        if not parts:
-            continue
-        doc, start, value, anchor = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        order = np.lexsort((start, doc))
-        doc, start, value, anchor = doc[order], start[order], value[order], anchor[order]
-        # windows the batch has seen earlier need no bucket
-        order = np.lexsort((start, doc, value))
-        same = np.r_[False, value[order][1:] == value[order][:-1]]
-        lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-        earlier = same & ((doc[lead] != doc[order]) | (start[lead] != start[order]))
-        yield from _found(doc[order][earlier], start[order][earlier], doc[lead][earlier], start[lead][earlier], local=True)
-        keep = np.sort(order[~same])
-        doc, start, value, anchor = doc[keep], start[keep], value[keep], anchor[keep]
-        by = np.where(np.isin(anchor, heavy), value, anchor)
-        bucket = ((mix(by) >> _U(32)).astype(np.int64) * buckets) >> 32
-        head = np.r_[
-            True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1) | (bucket[1:] != bucket[:-1])
-        ]
-        at = np.flatnonzero(head)
-        # a run is at most 255 windows
+                held += len(owner)
+            if held > BATCH:
+                yield from _dealt(parts, buckets, heavy)
+                parts, held = [], 0
+    if parts:
+        yield from _dealt(parts, buckets, heavy)
+
+
+def _dealt(parts: list[tuple], buckets: int, heavy: np.ndarray):
+    doc, start, value, anchor = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    order = np.lexsort((start, doc))
+    doc, start, value, anchor = doc[order], start[order], value[order], anchor[order]
+    # windows the batch has seen earlier need no bucket
+    order = np.lexsort((start, doc, value))
+    same = np.r_[False, value[order][1:] == value[order][:-1]]
+    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    earlier = same & ((doc[lead] != doc[order]) | (start[lead] != start[order]))
+    yield from _found(doc[order][earlier], start[order][earlier], doc[lead][earlier], start[lead][earlier], local=True)
+    keep = np.sort(order[~same])
+    doc, start, value, anchor = doc[keep], start[keep], value[keep], anchor[keep]
+    by = np.where(np.isin(anchor, heavy), value, anchor)
+    bucket = ((mix(by) >> _U(32)).astype(np.int64) * buckets) >> 32
+    head = np.r_[
+        True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1) | (bucket[1:] != bucket[:-1])
+    ]
+    at = np.flatnonzero(head)
+    # a run is at most 255 windows
+    runs = np.diff(np.append(at, len(doc)))
+    if runs.max(initial=0) > 255:
+        inside = np.arange(len(doc)) - np.repeat(at, runs)
+        at = np.flatnonzero(head | (inside % 255 == 0))
         runs = np.diff(np.append(at, len(doc)))
-        if runs.max(initial=0) > 255:
-            inside = np.arange(len(doc)) - np.repeat(at, runs)
-            at = np.flatnonzero(head | (inside % 255 == 0))
-            runs = np.diff(np.append(at, len(doc)))
-        order = np.lexsort((start[at], doc[at], bucket[at]))
-        at, runs = at[order], runs[order]
-        low = (value & _U(0xFFFFFFFF)).astype(np.uint32)
-        edges = np.flatnonzero(np.r_[True, bucket[at][1:] != bucket[at][:-1], True])
-        rows = []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            some, n = at[a:b], runs[a:b]
-            record = np.zeros(b - a, _RUN)
-            record["anchor"], record["start"], record["n"] = anchor[some], start[some], n
-            first = np.flatnonzero(np.r_[True, doc[some][1:] != doc[some][:-1]])
-            header = np.zeros(len(first), _HEADER)
-            header["doc"], header["count"] = doc[some][first], np.diff(np.append(first, b - a))
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(some, n)
-            rows.append((int(bucket[some[0]]), header.tobytes(), record.tobytes(), low[inside].tobytes()))
-        yield _arrow(rows)
+    order = np.lexsort((start[at], doc[at], bucket[at]))
+    at, runs = at[order], runs[order]
+    low = (value & _U(0xFFFFFFFF)).astype(np.uint32)
+    edges = np.flatnonzero(np.r_[True, bucket[at][1:] != bucket[at][:-1], True])
+    rows = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        some, n = at[a:b], runs[a:b]
+        record = np.zeros(b - a, _RUN)
+        record["anchor"], record["start"], record["n"] = anchor[some], start[some], n
+        first = np.flatnonzero(np.r_[True, doc[some][1:] != doc[some][:-1]])
+        header = np.zeros(len(first), _HEADER)
+        header["doc"], header["count"] = doc[some][first], np.diff(np.append(first, b - a))
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(some, n)
+        rows.append((int(bucket[some[0]]), header.tobytes(), record.tobytes(), low[inside].tobytes()))
+    yield _arrow(rows)
 
 
 def _arrow(rows: list[tuple]) -> pa.RecordBatch:
