@@ -25,6 +25,7 @@ GRAMS = (1, 2, 3)
 LEARNED_ROWS = 5_000  # labelled texts a model learns from, about: those with the smallest hashes of their ids
 LEARNED_GRAMS = 200_000  # most n-grams a model keeps, the most frequent first
 PENALTY = 12.0  # of a change of language, in units of log probability
+FLOOR = 1.5 * PENALTY  # lowest score of a word: less than two changes cost, so no single word pays for them
 CACHE = 400_000  # words whose scores a task remembers
 
 # First and last code points of scripts
@@ -96,9 +97,9 @@ class Model:
         total -= total.max()
         usable = self.scripts.get(script_of(word))
         if usable is not None:
-            total = np.where(usable, total, -PENALTY * 4)
+            total = np.where(usable, total, -FLOOR)
             total -= total.max()
-        return np.maximum(total, -PENALTY * 4)
+        return np.maximum(total, -FLOOR)
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = LEARNED_ROWS) -> Model:
