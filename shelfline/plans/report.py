@@ -14,7 +14,7 @@ from shelfline.plans.semantic import Model, star_view
 
 def dates_with_baskets(dim_date: DataFrame, summary: DataFrame) -> DataFrame:
     """The dates on which there were orders."""
-    return dim_date.join(summary.select(F.col("order_date").alias("date")), "date", "left_semi")
+    return dim_date.join(summary.select(F.col("order_date").alias("date")).distinct(), "date", "left_semi")
 
 
 def report_filter(

@@ -133,4 +133,4 @@ def product_counts(baskets: DataFrame) -> DataFrame:
 
 def total_baskets(baskets: DataFrame) -> DataFrame:
     """Number of baskets, as a one-row table."""
-    return baskets.agg(F.count_distinct("order_id").cast("int").alias("n"))
+    return baskets.agg(F.count_distinct("order_id").alias("n"))

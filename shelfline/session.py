@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -43,10 +44,14 @@ def build_session(app_name: str = "shelfline", master: str | None = None, **conf
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder named in `spark.checkpoint.dir`, which all executors share.
 
-    Only a session without that setting (a local test) gets a temporary folder of its own.
+    Only a local session without that setting gets a temporary folder of its own. On a cluster such a folder would be
+    another one on every machine, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = tempfile.TemporaryDirectory(prefix="shelfline-", ignore_cleanup_errors=True)

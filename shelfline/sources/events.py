@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfline.functions.dates import event_time
+
 
 def pack_items(items: DataFrame, key: str, order: list[str], fields: dict[str, Column]) -> DataFrame:
     """One row per `key` with an `items` array of records, in the given order.
@@ -38,18 +40,34 @@ def publish(events: DataFrame, target: str | dict[str, str]) -> None:
         events.select("value").write.mode("append").text(target)
 
 
-def parse_events(raw: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
-    """Parse the JSON in `column` against the declared shape.
+def judge_messages(raw: DataFrame, schema: T.StructType, column: str = "value", time: str = "event_time") -> DataFrame:
+    """Each message as `value`, its parsed `event`, and in `reason` why it cannot be taken, NULL if it can.
 
-    A field that does not fit becomes NULL; text of which no field can be read, such as a broken line, is dropped.
+    A single field that does not fit its type becomes NULL. Text that is no JSON, or of which no field can be read, and
+    messages whose time is present but unreadable are not taken.
     """
-    event = F.from_json(F.col(column).cast("string"), schema)
-    readable = reduce(or_, [F.col(f"event.{name}").isNotNull() for name in schema.fieldNames()])
-    return raw.select(event.alias("event")).where(readable).select("event.*")
+    value = F.col(column).cast("string")
+    known = reduce(or_, [F.col(f"event.{name}").isNotNull() for name in schema.fieldNames()])
+    reason = F.when(F.try_parse_json("value").isNull(), "no JSON").when(~known, "no known field")
+    if time in schema.fieldNames():
+        given = F.col(f"event.{time}")
+        reason = reason.when(given.isNotNull() & event_time(given).isNull(), "unreadable time")
+    judged = raw.select(value.alias("value")).withColumn("event", F.from_json("value", schema))
+    return judged.withColumn("reason", reason)
 
 
-def read_events(spark: SparkSession, source: str | dict[str, str], schema: T.StructType) -> DataFrame:
-    """A stream of parsed events.
+def parse_events(raw: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
+    """The events of the messages that can be taken; `rejected` has the others."""
+    return judge_messages(raw, schema, column).where("reason IS NULL").select("event.*")
+
+
+def rejected(judged: DataFrame, arrival: Column) -> DataFrame:
+    """The messages of `judge_messages` that cannot be taken, as text, with the reason and the time of arrival."""
+    return judged.where("reason IS NOT NULL").select("value", "reason", arrival.alias("arrived"))
+
+
+def read_messages(spark: SparkSession, source: str | dict[str, str]) -> DataFrame:
+    """A stream of messages as they come, in `value`.
 
     `source` is a folder of text files with one message per line, or source options: with a `path` those of such a
     folder (`maxFilesPerTrigger`, ...), else those of a Kafka source (`kafka.bootstrap.servers`, `subscribe`,
@@ -57,4 +75,9 @@ def read_events(spark: SparkSession, source: str | dict[str, str], schema: T.Str
     """
     options = source if isinstance(source, dict) else {"path": source}
     fmt = "text" if "path" in options else "kafka"
-    return parse_events(spark.readStream.format(fmt).options(**options).load(), schema)
+    return spark.readStream.format(fmt).options(**options).load()
+
+
+def read_events(spark: SparkSession, source: str | dict[str, str], schema: T.StructType) -> DataFrame:
+    """A stream of the events of those messages that can be taken."""
+    return parse_events(read_messages(spark, source), schema)

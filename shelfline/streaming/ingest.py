@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfline import schemas
 from shelfline.functions.dates import event_time
 from shelfline.functions.text import stringify
 from shelfline.operators.nested import expand, manage_fields
-from shelfline.sources.events import read_events
+from shelfline.sources.events import judge_messages, read_messages, rejected
 
 SALE, COMBINATION = "sale", "combination_created"
 
@@ -19,14 +22,14 @@ def normalise(envelope: DataFrame, event_type: str, arrival: Column | None = Non
     """Bring the envelopes of both producers to one shape.
 
     The web shop sends `user_id` for `user`, and neither type nor time: the type follows from the stream, and the
-    time is then the time of arrival.
+    time is then the time of arrival. A time that is present but unreadable stays NULL.
     """
     arrival = F.current_timestamp() if arrival is None else arrival
     named = envelope.withColumns(
         {
             "user": F.coalesce("user", "user_id"),
             "event_type": F.coalesce("event_type", F.lit(event_type)),
-            "event_time": F.coalesce(event_time("event_time"), arrival),
+            "event_time": F.when(F.col("event_time").isNull(), arrival).otherwise(event_time("event_time")),
         }
     )
     return named.drop("user_id")
@@ -52,19 +55,20 @@ def landed_orders(envelope: DataFrame, arrival: Column | None = None) -> DataFra
     return normalise(envelope, SALE, arrival)
 
 
-def landed_order_items(envelope: DataFrame) -> DataFrame:
-    lines = expand(envelope.select("order_id", "items"), "items", "item_index")
+def landed_order_items(envelope: DataFrame, *more: str) -> DataFrame:
+    """One row per line; `more` columns of the envelope, such as its time, are carried along."""
+    lines = expand(envelope.select("order_id", "items", *more), "items", "item_index")
     kept = lines.withColumn("item_product", stringify("item.product_id"))
-    return manage_fields(kept, {"product_id": "item_product", **ORDER_ITEM_FIELDS})
+    return manage_fields(kept, {"product_id": "item_product", **ORDER_ITEM_FIELDS, **{name: name for name in more}})
 
 
 def landed_combinations(envelope: DataFrame, arrival: Column | None = None) -> DataFrame:
     return manage_fields(normalise(envelope, COMBINATION, arrival), COMBINATION_FIELDS)
 
 
-def landed_combination_items(envelope: DataFrame) -> DataFrame:
-    lines = expand(envelope.select("combination_id", "items"), "items", "ArrayIndex_items")
-    return manage_fields(lines, COMBINATION_ITEM_FIELDS)
+def landed_combination_items(envelope: DataFrame, *more: str) -> DataFrame:
+    lines = expand(envelope.select("combination_id", "items", *more), "items", "ArrayIndex_items")
+    return manage_fields(lines, COMBINATION_ITEM_FIELDS | {name: name for name in more})
 
 
 def start_ingest(
@@ -94,38 +98,58 @@ def _with_day(df: DataFrame) -> DataFrame:
     return df.withColumn("event_date", F.to_date("event_time"))
 
 
-def _sink(target: str, name: str) -> str:
-    return f"{target.rstrip('/')}/{name}" if "/" in target else f"{target}.{name}"
-
-
-def _start_pair(
-    whole: DataFrame, items: DataFrame, names: tuple[str, str], target: str, checkpoint: str, by_day: bool,
-    options: dict,
+def _replace_batch(df: DataFrame, target: str, name: str, batch: int, fmt: str, by_day: bool) -> None:
+    """Write the rows of one batch. A batch that is run again replaces its own partitions, and so lands once."""
+    rows = df.withColumn("batch_id", F.lit(batch).cast("bigint"))
+    by = ["event_date", "batch_id"] if by_day else ["batch_id"]
+    if "/" in target:
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt)
+        writer.partitionBy(*by).save(f"{target.rstrip('/')}/{name}")
+        return
+    table = f"{target}.{name}"
+    if not df.sparkSession.catalog.tableExists(table):
+        rows.limit(0).write.format(fmt).partitionBy(*by).saveAsTable(table)
+    order = df.sparkSession.table(table).columns
+    rows.select(*order).write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+
+
+def _ingest(
+    spark: SparkSession, source: str | dict[str, str], target: str, checkpoint: str, schema: T.StructType, kind: str,
+    names: tuple[str, str], land: tuple[Callable, Callable], arrival: Column | None, by_day: bool,
+    fmt: str = "parquet", trigger: dict | None = None,
 ) -> list[StreamingQuery]:
-    """Two independent sinks. Each has its own checkpoint, so that one can fail and resume without the other."""
-    parent, child = names
-    day = {"partition_by": "event_date"} if by_day else {}
-    return [
-        start_ingest(
-            _with_day(whole) if by_day else whole, _sink(target, parent), f"{checkpoint}/{parent}", **day, **options
-        ),
-        start_ingest(items, _sink(target, child), f"{checkpoint}/{child}", **options),
-    ]
+    """One stream that reads and parses each message once and writes the events, their items and the rejects."""
+    arrived = F.current_timestamp() if arrival is None else arrival
+
+    def write(batch: DataFrame, number: int) -> None:
+        judged = judge_messages(batch, schema).withColumn("arrived", arrived).persist()
+        try:
+            taken = judged.where("reason IS NULL").select("event.*", "arrived")
+            timed = normalise(taken, kind, F.col("arrived")).drop("arrived")
+            whole, items = land[0](timed), land[1](timed)
+            for name, df in zip(names, (whole, items), strict=True):
+                _replace_batch(_with_day(df) if by_day else df, target, name, number, fmt, by_day)
+            _replace_batch(rejected(judged, F.col("arrived")), target, f"{names[0]}_rejects", number, fmt, False)
+        finally:
+            judged.unpersist()
+
+    stream = read_messages(spark, source)
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return [writer.trigger(**(trigger or {"availableNow": True})).start()]
 
 
 def ingest_sales(
     spark: SparkSession, source: str | dict[str, str], target: str, checkpoint: str,
     arrival: Column | None = None, by_day: bool = True, **options,
 ) -> list[StreamingQuery]:
-    """Sales stream to `orders` and `order_items` below `target`, a namespace or a folder.
+    """Sales stream to `orders`, `order_items` and `orders_rejects` below `target`, a namespace or a folder.
 
-    `by_day` lands the orders in one partition per day of the event, which suits a live stream; a replay of years of
-    history is better landed without.
+    `by_day` lands orders and items in one partition per day of the event, which suits a live stream; a replay of years
+    of history is better landed without. Every message ends in `orders` or in `orders_rejects`.
     """
-    envelope = read_events(spark, source, schemas.SALE_EVENT)
-    return _start_pair(
-        landed_orders(envelope, arrival), landed_order_items(envelope), ("orders", "order_items"),
-        target, checkpoint, by_day, options,
+    land = (lambda timed: timed, lambda timed: landed_order_items(timed, "event_time"))
+    return _ingest(
+        spark, source, target, checkpoint, schemas.SALE_EVENT, SALE, ("orders", "order_items"), land, arrival, by_day, **options
     )
 
 
@@ -133,9 +157,12 @@ def ingest_combinations(
     spark: SparkSession, source: str | dict[str, str], target: str, checkpoint: str,
     arrival: Column | None = None, by_day: bool = True, **options,
 ) -> list[StreamingQuery]:
-    """Combination stream to `combinations` and `combination_items` below `target`."""
-    envelope = read_events(spark, source, schemas.COMBINATION_EVENT)
-    return _start_pair(
-        landed_combinations(envelope, arrival), landed_combination_items(envelope),
-        ("combinations", "combination_items"), target, checkpoint, by_day, options,
+    """Combination stream to `combinations`, `combination_items` and `combinations_rejects` below `target`."""
+    land = (
+        lambda timed: manage_fields(timed, COMBINATION_FIELDS),
+        lambda timed: landed_combination_items(timed, "event_time"),
+    )
+    return _ingest(
+        spark, source, target, checkpoint, schemas.COMBINATION_EVENT, COMBINATION,
+        ("combinations", "combination_items"), land, arrival, by_day, **options,
     )

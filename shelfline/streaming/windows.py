@@ -32,33 +32,37 @@ def tumbling_kpis(orders: DataFrame, step: str = "1 minute", watermark: str = "1
     return figures.select(F.col("bin.start").alias("event_time"), *figures.columns[1:])
 
 
-def sliding_cards(
-    orders: DataFrame, length: str = "1 hour", slide: str = "1 minute", watermark: str = "10 minutes"
-) -> DataFrame:
-    """Orders, revenue and, where the orders carry their items, units sold of every trailing window.
+def panes(orders: DataFrame, slide: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
+    """Orders, revenue and, where the orders carry their items, units sold per slide.
 
-    Events are first summed per slide; only those sums, not the events, are copied into the windows that hold them.
+    In update mode a pane is written again whenever it changes, also the one that is still open.
     """
     sums = {"revenue": F.col("total_price")}
     if "items" in orders.columns:
-        units = F.aggregate(
+        sums["items_sold"] = F.aggregate(
             F.coalesce("items", F.array()), F.lit(0).cast("bigint"),
             lambda acc, item: acc + F.coalesce(item["quantity"], F.lit(0).cast("bigint")),
         )
-        sums["items_sold"] = units
-    events = orders.select("event_time", *[column.alias(name) for name, column in sums.items()])
-    panes = (
-        events.withWatermark("event_time", watermark)
+    figures = (
+        orders.select("event_time", *[column.alias(name) for name, column in sums.items()])
+        .withWatermark("event_time", watermark)
         .groupBy(F.window("event_time", slide).alias("pane"))
         .agg(F.count(F.lit(1)).alias("orders"), *[F.sum(name).alias(name) for name in sums])
     )
-    figures = ["orders", *sums]
-    windows = panes.groupBy(F.window(F.window_time("pane"), length, slide).alias("span")).agg(
+    return figures.select(F.col("pane.start").alias("pane_start"), *figures.columns[1:])
+
+
+def sliding_cards(latest_panes: DataFrame, length: str = "1 hour", slide: str = "1 minute") -> DataFrame:
+    """The figures of every trailing window, up to the one that ends with the newest pane and those after it.
+
+    Reads the newest state of the panes (`read_latest`), so the window that is still open counts what has come so far.
+    Only panes, not events, are copied into the windows that hold them.
+    """
+    figures = [c for c in latest_panes.columns if c != "pane_start"]
+    windows = latest_panes.groupBy(F.window("pane_start", length, slide).alias("span")).agg(
         *[F.sum(name).alias(name) for name in figures]
     )
-    return windows.select(
-        F.col("span.start").alias("window_start"), F.col("span.end").alias("window_end"), *figures
-    )
+    return windows.select(F.col("span.start").alias("window_start"), F.col("span.end").alias("window_end"), *figures)
 
 
 def start_latest(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

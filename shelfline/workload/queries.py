@@ -509,7 +509,7 @@ def _landed(spark: SparkSession, published: DataFrame, kind: str, name: str, arr
     published.select("value").write.text(f"{folder}/in")
     start = ingest.ingest_sales if kind == "sales" else ingest.ingest_combinations
     _finish(start(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", arrival, by_day=False))
-    return spark.read.parquet(f"{folder}/out/{name}")
+    return spark.read.parquet(f"{folder}/out/{name}").drop("batch_id")
 
 
 def _sales_messages(spark: SparkSession, sf: str) -> DataFrame:
@@ -560,12 +560,33 @@ def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
         .select("value")
         .unionByName(broken)
     )
-    landed = _landed(spark, lines, "sales", "orders", F.lit(REFRESHED).cast("timestamp")).where("order_id IS NOT NULL")
+    landed = _landed(spark, lines, "sales", "orders", F.lit(REFRESHED).cast("timestamp"))
     shown = landed.withColumn("n_items", F.coalesce(F.size("items"), F.lit(0)))
     columns = ["event_type", "event_time", "order_id", "combination_id", "user", "promo_code", "total_price", "n_items"]
     return rounded(readable(shown.select(*columns), "event_time"), 2)
 
 
+@query
+def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Landed and rejected messages of a stream in which every web order comes with three messages that are none."""
+    sales = testbed.sale_events(spark, sf)
+    web = sales.where(~F.col("is_community_created"))
+    bad = [
+        F.concat(F.lit('{"order_id": "'), "order_id"),
+        F.to_json(F.struct(F.col("order_id").alias("x"))),
+        F.to_json(F.struct("order_id", F.lit("not a time").alias("event_time"))),
+    ]
+    lines = events.to_events(sales, "order_id").select("value")
+    for value in bad:
+        lines = lines.unionByName(web.select(value.alias("value")))
+    folder = scratch_dir(spark, "rejects")
+    lines.write.text(f"{folder}/in")
+    _finish(ingest.ingest_sales(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", by_day=False))
+    landed = spark.read.parquet(f"{folder}/out/orders").groupBy(F.lit("landed").alias("reason"))
+    rejects = spark.read.parquet(f"{folder}/out/orders_rejects").groupBy("reason")
+    return landed.agg(F.count(F.lit(1)).alias("messages")).unionByName(rejects.agg(F.count(F.lit(1)).alias("messages")))
+
+
 def _purchase_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
     """The purchases as a stream of files in the scratch folder."""
     folder = scratch_dir(spark, "purchases")
@@ -582,21 +603,24 @@ def stream_kpis_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(readable(windows.read_latest(spark, f"{folder}/out", ["event_time"]), "event_time"))
 
 
+def _cards(spark: SparkSession, orders: DataFrame, folder: str, length: str, slide: str) -> DataFrame:
+    """Trailing windows from the newest state of the panes of a stream."""
+    _finish([windows.start_latest(windows.panes(orders, slide, slide), f"{folder}/out", f"{folder}/checkpoint")])
+    newest = windows.read_latest(spark, f"{folder}/out", ["pane_start"])
+    return rounded(readable(windows.sliding_cards(newest, length, slide), "window_start", "window_end"), 2)
+
+
 @query
 def stream_kpis_sliding(spark: SparkSession, sf: str) -> DataFrame:
-    """Trailing windows that are closed, i.e. end before the watermark."""
+    """All trailing windows of 6 hours, the open ones included."""
     orders, folder = _purchase_stream(spark, sf)
-    cards = windows.sliding_cards(orders, "6 hours", HOUR, "1 hour")
-    _finish([ingest.start_ingest(cards, f"{folder}/out", f"{folder}/checkpoint")])
-    return rounded(readable(spark.read.parquet(f"{folder}/out"), "window_start", "window_end"), 2)
+    return _cards(spark, orders, folder, "6 hours", HOUR)
 
 
 @query
 def stream_cards_sliding(spark: SparkSession, sf: str) -> DataFrame:
-    """Units, revenue and orders of trailing 30 days from the stream of sale messages, for closed windows."""
+    """Units, revenue and orders of all trailing 30 days from the stream of sale messages, the open ones included."""
     folder = scratch_dir(spark, "cards")
     _sales_messages(spark, sf).select("value").write.text(f"{folder}/in")
     orders = ingest.landed_orders(events.read_events(spark, f"{folder}/in", schemas.SALE_EVENT))
-    cards = windows.sliding_cards(orders, MONTH, DAY, DAY)
-    _finish([ingest.start_ingest(cards, f"{folder}/out", f"{folder}/checkpoint")])
-    return rounded(readable(spark.read.parquet(f"{folder}/out"), "window_start", "window_end"), 2)
+    return _cards(spark, orders, folder, MONTH, DAY)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import json
 import time
 
@@ -36,6 +37,7 @@ def test_sales_land_once_also_after_a_restart(spark, tmp_path, rows):
     source, out, checkpoint = tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/checkpoint"
     web = {"order_id": "w1", "combination_id": "c2", "user_id": "shopper", "items": [{"product_id": "p7", "name": "n", "price": 3.0, "color": "blue"}]}
     put(source, "1.json", [sale("a", 1, 2), web, "{broken", sale("b", 2, 0), sale("n", 3, items=None)])
+    arrival_time = datetime.datetime(2024, 6, 1)
     arrival = F.lit("2024-06-01 00:00:00").cast("timestamp")
     finish(ingest.ingest_sales(spark, str(source), out, checkpoint, arrival))
     put(source, "2.json", [sale("c", 4, 1)])
@@ -47,7 +49,11 @@ def test_sales_land_once_also_after_a_restart(spark, tmp_path, rows):
     assert got["a"] == ("u1", "sale", "05-01 10:01", "2024-05-01")
     assert got["w1"] == ("shopper", "sale", "06-01 00:00", "2024-06-01")
     items = spark.read.parquet(f"{out}/order_items")
-    assert items.columns == ["product_id", "color", "size", "quantity", "price", "order_id", "item_index"]
+    assert items.columns == [
+        "product_id", "color", "size", "quantity", "price", "order_id", "item_index", "event_time", "event_date", "batch_id",
+    ]
+    rejects = spark.read.parquet(f"{out}/orders_rejects")
+    assert rows(rejects.select("value", "reason", "arrived")) == [("{broken", "no JSON", arrival_time)]
     assert rows(items.select("order_id", "item_index", "product_id")) == [("a", 0, "p0"), ("a", 1, "p1"), ("c", 0, "p0"), ("w1", 0, "p7")]
 
 
@@ -62,9 +68,9 @@ def test_combinations_land_in_tables(spark, tmp_path, rows):
     spark.sql("CREATE DATABASE IF NOT EXISTS live_t")
     finish(ingest.ingest_combinations(spark, str(tmp_path / "in"), "live_t", f"{tmp_path}/checkpoint", by_day=False))
     combos = spark.table("live_t.combinations")
-    assert combos.columns == ["event_type", "event_time", "combination_id", "user_id", "community_created", "items"]
+    assert combos.columns == ["event_type", "event_time", "combination_id", "user_id", "community_created", "items", "batch_id"]
     assert combos.first()["community_created"] is False
-    assert rows(spark.table("live_t.combination_items")) == [("p1", "n", "b", "k", 1.0, "red", "M", "c1", 0)]
+    assert rows(spark.table("live_t.combination_items").drop("event_time", "batch_id")) == [("p1", "n", "b", "k", 1.0, "red", "M", "c1", 0)]
 
 
 def test_stream_equals_batch(spark, tmp_path, rows):
@@ -114,16 +120,23 @@ def test_tumbling_equals_batch_and_drops_what_is_later_than_the_watermark(spark,
     assert values(got, "combo_orders", "combo_order_pct") == values(live.combo_rate(kept, now, "30 days"), "combo_orders", "combo_order_pct")
 
 
-def test_sliding_windows_hold_the_trailing_sums(spark, tmp_path):
+def run_cards(spark, base, orders, length):
+    finish([windows.start_latest(windows.panes(orders, "1 minute", "1 minute"), f"{base}/out", f"{base}/checkpoint")])
+    cards = windows.sliding_cards(windows.read_latest(spark, f"{base}/out", ["pane_start"]), length, "1 minute")
+    return cards.withColumn("w", F.date_format("window_end", "HH:mm")).collect()
+
+
+def test_sliding_windows_hold_the_trailing_sums_up_to_now(spark, tmp_path):
     base = str(tmp_path)
     put_orders(spark, f"{base}/in", 1, [0, 1, 61, 62, 200])
     stream = spark.readStream.schema(ORDER_SCHEMA).parquet(f"{base}/in")
-    cards = windows.sliding_cards(stream, "1 hour", "1 minute", "1 minute")
-    finish([ingest.start_ingest(cards, f"{base}/out", f"{base}/checkpoint")])
-    got = {r.w: (r.orders, r.revenue) for r in spark.read.parquet(f"{base}/out").select(F.date_format("window_end", "HH:mm").alias("w"), "orders", "revenue").collect()}
+    got = {r.w: (r.orders, r.revenue) for r in run_cards(spark, base, stream, "1 hour")}
     assert got["10:01"] == (1, 0.0) and got["10:02"] == (2, 1.0) and got["11:00"] == (2, 1.0)
     assert got["11:01"] == (1, 1.0) and got["11:03"] == (2, 123.0) and got["12:02"] == (1, 62.0)
-    assert "13:30" not in got
+    assert got["13:21"] == (1, 200.0) and got["14:20"] == (1, 200.0)  # the windows that are still open
+    put_orders(spark, f"{base}/in", 2, [200])
+    got = {r.w: (r.orders, r.revenue) for r in run_cards(spark, base, stream, "1 hour")}
+    assert got["13:21"] == (2, 400.0) and got["11:03"] == (2, 123.0)
 
 
 def test_a_kafka_source_takes_its_options(spark):
@@ -145,7 +158,20 @@ def test_retention_skips_whole_days(spark, tmp_path):
 def test_sliding_windows_sum_units_where_orders_carry_items(spark, tmp_path):
     put(tmp_path / "in", "1.json", [sale("a", 1, 2), sale("b", 3, 1), sale("c", 4, items=None), sale("z", 59)])
     orders = ingest.landed_orders(read_events(spark, str(tmp_path / "in"), schemas.SALE_EVENT))
-    cards = windows.sliding_cards(orders, "3 minutes", "1 minute", "1 minute")
-    finish([ingest.start_ingest(cards, f"{tmp_path}/out", f"{tmp_path}/checkpoint")])
-    got = {r.w: (r.orders, r.items_sold) for r in spark.read.parquet(f"{tmp_path}/out").select(F.date_format("window_end", "HH:mm").alias("w"), "orders", "items_sold").collect()}
-    assert got == {"10:02": (1, 2), "10:03": (1, 2), "10:04": (2, 3), "10:05": (2, 1), "10:06": (2, 1), "10:07": (1, 0)}
+    got = {r.w: (r.orders, r.items_sold) for r in run_cards(spark, tmp_path, orders, "3 minutes")}
+    early = {"10:02": (1, 2), "10:03": (1, 2), "10:04": (2, 3), "10:05": (2, 1), "10:06": (2, 1), "10:07": (1, 0)}
+    assert got == early | {"11:00": (1, 1), "11:01": (1, 1), "11:02": (1, 1)}
+
+
+def test_nothing_is_lost_and_no_time_is_made_up(spark, tmp_path):
+    lines = [sale("good", 1), "{broken", '{"x": 1}', sale("odd", 2, event_time="not a time"), sale("none", 3, event_time=None), ""]
+    put(tmp_path / "in", "1.json", lines)
+    arrival = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    queries = ingest.ingest_sales(spark, str(tmp_path / "in"), f"{tmp_path}/out", f"{tmp_path}/checkpoint", arrival)
+    finish(queries)
+    assert len(queries) == 1  # the source is read once
+    orders = spark.read.parquet(f"{tmp_path}/out/orders").select("order_id", F.date_format("event_time", "MM-dd").alias("day"))
+    assert {tuple(r) for r in orders.collect()} == {("good", "05-01"), ("none", "06-01")}
+    rejects = {r.reason: r.n for r in spark.read.parquet(f"{tmp_path}/out/orders_rejects").groupBy("reason").agg(F.count("*").alias("n")).collect()}
+    assert rejects == {"no JSON": 1 + (spark.read.text(str(tmp_path / "in")).count() - 5), "no known field": 1, "unreadable time": 1}
+    assert sum(rejects.values()) + orders.count() == spark.read.text(str(tmp_path / "in")).count()
