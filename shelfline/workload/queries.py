@@ -509,7 +509,8 @@ def _landed(spark: SparkSession, published: DataFrame, kind: str, name: str, arr
     published.select("value").write.text(f"{folder}/in")
     start = ingest.ingest_sales if kind == "sales" else ingest.ingest_combinations
     _finish(start(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", arrival, by_day=False))
-    return spark.read.parquet(f"{folder}/out/{name}").drop("batch_id")
+    extra = ["batch_id", "event_time"] if name.endswith("items") else ["batch_id"]
+    return spark.read.parquet(f"{folder}/out/{name}").drop(*extra)
 
 
 def _sales_messages(spark: SparkSession, sf: str) -> DataFrame:
