@@ -65,15 +65,44 @@ def sifted(df: DataFrame, id_col: str, bits: np.ndarray, inside: bool = True) ->
     return placed.mapInArrow(pick, df.schema)
 
 
+FOREST = 1 << 19  # links that one task contracts at once, about
+
+
+def _forest(batches):
+    """The links of a task, contracted: (root, node) for each node, root being the smallest the task can reach."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = parent.setdefault(x, x)
+        while parent[top] != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = [x for x in parent if find(x) != x]
+    for i in range(0, len(nodes), 100_000):
+        some = nodes[i : i + 100_000]
+        yield pa.RecordBatch.from_pydict({"a": [parent[x] for x in some], "b": some}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node that can be reached.
 
-    Alternates the large-star and small-star steps: each links a node's neighbours to the smallest of them, so hubs
-    never gather their neighbours in one task; a handful of rounds is enough, whatever the length of the chains.
+    Each task contracts its share of the links to a forest. While there is more than one share, large-star and
+    small-star steps alternate with that: each links a node's neighbours to the smallest of them, so hubs never gather
+    their neighbours in one task, and a handful of rounds is enough whatever the length of the chains.
     """
     edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    shares = max(1, -(-edges.count() // FOREST))
+    edges = cut(edges.coalesce(shares).mapInArrow(_forest, "a long, b long"))
     before = None
-    for _ in range(rounds):
+    for _ in range(rounds if shares > 1 else 0):
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
@@ -81,11 +110,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b")
         small = small.select(F.col("m").alias("a"), F.col("a").alias("b")).union(small.select("m", "b")).toDF("a", "b")
-        edges = cut(small.where("a < b").distinct())
+        edges = cut(small.where("a < b").distinct().coalesce(shares).mapInArrow(_forest, "a long, b long").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     else:
-        raise RuntimeError("components did not settle")
+        if shares > 1:
+            raise RuntimeError("components did not settle")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a")).distinct()

@@ -97,7 +97,9 @@ def test_near_groups_when_an_id_has_two_texts(texts, rows):
     assert got == [(1, 4, 1), (1, 4, 1), (2, 4, 1), (3, 4, 1)]
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("share", [1 << 19, 20])
+def test_components_of_a_chain(spark, share, monkeypatch):
+    monkeypatch.setattr(frames, "FOREST", share)
     links = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(200, 201), (202, 201), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in frames.components(links).collect()}
     assert all(got[i] == 0 for i in range(71)) and got[202] == got[201] == 200
