@@ -56,3 +56,8 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 def ratio_or_zero(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator == 0, F.lit(0.0)).otherwise(ratio(numerator, denominator))
+
+
+def exact_sum(amount: ColumnLike) -> Column:
+    """A sum of amounts that does not depend on the order of the rows: added up to the sixth decimal place."""
+    return F.sum(as_column(amount).cast("decimal(28,6)")).cast("double")

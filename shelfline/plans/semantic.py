@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.functions.money import ratio
+from shelfline.functions.money import exact_sum, ratio
 from shelfline.sources.tables import read_table
 
 PRODUCT_ATTRIBUTES = ["product_name", "category", "brand"]
@@ -61,7 +61,7 @@ def star_view(model: Model, columns: Sequence[str] | None = None, *, rolled_up:
     star = model.fact_sales_item.select("order_id", "product_id", "qty", "unit_price", "line_value")
     if rolled_up and by_product != by_order:
         key = "product_id" if by_product else "order_id"
-        star = star.groupBy(key).agg(F.sum("qty").alias("qty"), F.sum("line_value").alias("line_value"))
+        star = star.groupBy(key).agg(F.sum("qty").alias("qty"), exact_sum("line_value").alias("line_value"))
     if by_product:
         star = star.join(model.dim_product.select("product_id", *PRODUCT_ATTRIBUTES), "product_id", "left")
     if by_order:
@@ -72,16 +72,18 @@ def star_view(model: Model, columns: Sequence[str] | None = None, *, rolled_up:
 
 @dataclass(frozen=True)
 class Measure:
-    """A named figure: sums over the sales fact, aggregates over the basket fact, and how they combine."""
+    """A named figure: sums over the sales fact, counts over the basket fact, and how they combine."""
 
     name: str
     result: Column
     sales: dict[str, Column] = field(default_factory=dict)
     baskets: dict[str, Column] = field(default_factory=dict)
+    # aggregates over users instead of baskets; `_promoted` tells whether a user has a promoted basket
+    users: dict[str, Column] = field(default_factory=dict)
 
 
 def _revenue() -> dict[str, Column]:
-    return {"_revenue": F.sum("line_value")}
+    return {"_revenue": exact_sum("line_value")}
 
 
 def _orders() -> dict[str, Column]:
@@ -118,10 +120,9 @@ def promo_orders() -> Measure:
 
 
 def promo_users() -> Measure:
-    """Share of users with a promoted order in the context; orders without a user are left out."""
-    user = F.col("user_id")
-    parts = {"_promo_users": F.count_distinct(_promoted(user)), "_users": F.count_distinct(user)}
-    return Measure("promo_users", ratio(F.col("_promo_users"), F.col("_users")), baskets=parts)
+    """Share of users with a promoted order in the context; all orders without a user count as one user."""
+    parts = {"_promo_users": F.count_if("_promoted"), "_users": F.count(F.lit(1))}
+    return Measure("promo_users", ratio(F.col("_promo_users"), F.col("_users")), users=parts)
 
 
 def _filtered(df: DataFrame, filters: dict[str, Sequence]) -> DataFrame:
@@ -161,6 +162,7 @@ def evaluate(
     by, filters = list(by), filters or {}
     sales_parts = {name: column for m in measures for name, column in m.sales.items()}
     basket_parts = {name: column for m in measures for name, column in m.baskets.items()}
+    user_parts = {name: column for m in measures for name, column in m.users.items()}
     shared = [name for name in by if name not in PRODUCT_ATTRIBUTES]
     shared_filters = {name: values for name, values in filters.items() if name not in PRODUCT_ATTRIBUTES}
 
@@ -168,8 +170,13 @@ def evaluate(
     if sales_parts:
         star = star_view(model, [*by, *filters], rolled_up=True)
         sales = _aggregate(_filtered(star, filters), by, sales_parts)
-    if basket_parts:
+    if basket_parts or user_parts:
         star = _filtered(_basket_star(model, {*shared, *shared_filters}), shared_filters)
+        if user_parts:
+            # one row per user first, with the counts of the baskets; counts then add up
+            promoted = F.max(F.coalesce("promo_flag", F.lit(False)))
+            star = _aggregate(star, list(dict.fromkeys([*shared, "user_id"])), basket_parts | {"_promoted": promoted})
+            basket_parts = {name: F.coalesce(F.sum(name), F.lit(0)) for name in basket_parts} | user_parts
         baskets = _aggregate(star, shared, basket_parts)
 
     if sales is None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions.dates import date_key, order_date
+from shelfline.functions.money import exact_sum
 from shelfline.operators.dedup import dedup
 
 # fixed values: region of each location
@@ -104,12 +105,12 @@ def basket_totals(sales: DataFrame) -> DataFrame:
     lines is reduced on the map side.
     """
     per_product = sales.groupBy("order_id", "product_id").agg(
-        F.sum("qty").alias("qty"), F.sum("line_value").alias("line_value")
+        F.sum("qty").alias("qty"), exact_sum("line_value").alias("line_value")
     )
     return per_product.groupBy("order_id").agg(
         F.count("product_id").alias("basket_size"),
         F.sum("qty").alias("basket_qty"),
-        F.sum("line_value").alias("basket_value"),
+        exact_sum("line_value").alias("basket_value"),
     )
 
 

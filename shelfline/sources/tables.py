@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,20 +32,54 @@ def preview(df: DataFrame, order: list[str], n: int = 1000) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def with_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """The declared columns in the declared order and type; a value that does not fit becomes NULL.
+def judge_rows(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The declared columns in the declared order and type, and in `reason` why a row breaks the declaration, or NULL.
 
-    A column the input lacks is filled with NULL, so producers may add and omit fields.
+    A row breaks it with a value that does not fit its type, or with no value in a column that needs one. A column the
+    input lacks counts as NULL, so producers may add and omit optional fields.
     """
     present = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name).try_cast(f.dataType) if f.name in present else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in schema.fields
-        ]
+    reason, values = F.lit(None).cast("string"), []
+    for f in schema.fields:
+        raw = F.col(f.name) if f.name in present else F.lit(None)
+        value = raw.try_cast(f.dataType) if f.name in present else raw.cast(f.dataType)
+        if f.name in present:
+            reason = F.coalesce(reason, F.when(raw.isNotNull() & value.isNull(), f"{f.name}: does not fit {f.dataType.simpleString()}"))
+        if not f.nullable:
+            reason = F.coalesce(reason, F.when(raw.isNull(), f"{f.name}: missing"))
+        values.append(value.alias(f.name))
+    return df.select(*values, reason.alias("reason"))
+
+
+def split_by_schema(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The rows that keep to the declaration, and the others as JSON text with the reason."""
+    judged = judge_rows(df, schema)
+    bad = df.withColumn("_row", F.to_json(F.struct(*df.columns)))
+    rejects = judge_rows(bad, T.StructType([*schema.fields, T.StructField("_row", T.StringType())]))
+    return (
+        judged.where("reason IS NULL").drop("reason"),
+        rejects.where("reason IS NOT NULL").select(F.col("_row").alias("value"), "reason"),
     )
 
 
+def with_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows in the declared shape; one that breaks the declaration stops the job, nothing is blanked out.
+
+    `split_by_schema` sets such rows aside instead.
+    """
+    present = set(df.columns)
+
+    def checked(f: T.StructField) -> Column:
+        if f.name not in present:
+            return F.lit(None).cast(f.dataType) if f.nullable else F.raise_error(F.lit(f"{f.name}: missing")).cast(f.dataType)
+        raw, value = F.col(f.name), F.col(f.name).try_cast(f.dataType)
+        breaks = value.isNull() if not f.nullable else raw.isNotNull() & value.isNull()
+        text = F.concat(F.lit(f"{f.name} takes no such value: "), F.coalesce(raw.cast("string"), F.lit("NULL")))
+        return F.when(breaks, F.raise_error(text).cast(f.dataType)).otherwise(value)
+
+    return df.select(*[checked(f).alias(f.name) for f in schema.fields])
+
+
 def empty_like(spark: SparkSession, ddl: str) -> DataFrame:
     """A table without rows of the declared shape."""
     return spark.createDataFrame([], ddl)

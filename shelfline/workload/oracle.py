@@ -281,11 +281,13 @@ _TEXTS = {
             round(promoted / orders, 6) AS promo_orders, round(promo_u / users, 6) AS promo_users
         FROM (SELECT sum(line_value) AS revenue, sum(qty) AS units_sold FROM sales),
             (SELECT count(DISTINCT order_id) AS orders, count(DISTINCT order_id) FILTER (WHERE promo_flag) AS promoted,
-                count(DISTINCT user_id) FILTER (WHERE promo_flag) AS promo_u, count(DISTINCT user_id) AS users
+                count(DISTINCT coalesce(user_id, '')) FILTER (WHERE promo_flag) AS promo_u,
+                count(DISTINCT coalesce(user_id, '')) AS users
             FROM summary)""",
     "measure_aov_by_date": """
         SELECT o.order_date AS date, round(any_value(r.revenue) / count(DISTINCT order_id), 6) AS aov
-        FROM summary o LEFT JOIN (SELECT order_date, sum(line_value) AS revenue FROM star GROUP BY 1) r
+        FROM summary o LEFT JOIN (SELECT order_date, CAST(sum(CAST(line_value AS DECIMAL(28, 6))) AS DOUBLE) AS revenue
+                FROM star GROUP BY 1) r
             ON o.order_date = r.order_date
         GROUP BY o.order_date""",
     "measures_by_store": """
@@ -294,7 +296,8 @@ _TEXTS = {
             round(promo_u / users, 6) AS promo_users
         FROM (SELECT store_id, year(order_date) AS y, count(DISTINCT order_id) AS orders,
                 count(DISTINCT order_id) FILTER (WHERE promo_flag) AS promoted,
-                count(DISTINCT user_id) FILTER (WHERE promo_flag) AS promo_u, count(DISTINCT user_id) AS users
+                count(DISTINCT coalesce(user_id, '')) FILTER (WHERE promo_flag) AS promo_u,
+                count(DISTINCT coalesce(user_id, '')) AS users
             FROM summary GROUP BY 1, 2) o
         LEFT JOIN (SELECT store_id, year(order_date) AS y, sum(line_value) AS revenue FROM star GROUP BY 1, 2) r
             ON o.store_id = r.store_id AND o.y = r.y""",

@@ -18,8 +18,15 @@ def test_totals_count_orders_without_lines(shop):
     got = semantic.evaluate(shop.model, [], chosen).first()
     assert (got.revenue, got.units_sold, got.orders) == (790.0, 11.0, 7)
     assert got.aov == pytest.approx(790 / 7) and got.promo_orders == pytest.approx(2 / 7)
-    # users U1 to U4, of which U1 had a promotion; the order without a user is left out
-    assert got.promo_users == pytest.approx(1 / 4)
+    # users U1 to U4 and the one without a name; U1 and that one had a promotion
+    assert got.promo_users == pytest.approx(2 / 5)
+
+
+def test_users_without_a_name_count_as_one(shop):
+    got = {r.channel: (r.promo_users, r.orders) for r in semantic.evaluate(shop.model, ["channel"], [semantic.promo_users(), semantic.orders()]).collect()}
+    assert got["offline"] == (pytest.approx(2 / 4), 4) and got["online"] == (0.0, 2)
+    plan = semantic.evaluate(shop.model, [], [semantic.promo_users()])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
 
 
 def test_by_shared_attribute_matches_missing_values(shop):

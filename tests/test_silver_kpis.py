@@ -50,7 +50,7 @@ def test_support_tables(shop, rows):
     baskets = silver.distinct_baskets(shop.items)
     assert rows(silver.product_counts(baskets)) == [("P1", 3), ("P2", 3), ("P4", 2)]
     total = silver.total_baskets(baskets)
-    assert rows(total) == [(5,)] and total.schema["n"].dataType.simpleString() == "int"
+    assert rows(total) == [(5,)] and total.schema["n"].dataType.simpleString() == "bigint"
 
 
 def test_aov(shop, rows):

@@ -70,10 +70,20 @@ def test_inventory_grid_fills_with_zero(spark):
 
 
 def test_with_schema_casts_fills_and_orders(spark):
-    df = spark.createDataFrame([("7", "x", "P1"), ("seven", "y", "P2")], "amount string, extra string, product_id string")
-    out = tables.with_schema(df, schemas.PRODUCT_INVENTORY)
-    assert out.columns == ["product_id", "location", "size", "amount"]
-    assert [tuple(r) for r in out.orderBy("product_id").collect()] == [("P1", None, None, 7), ("P2", None, None, None)]
+    df = spark.createDataFrame([("7.5", "x", "P1", "N"), (None, "y", "P2", "M")], "base_price string, extra string, product_id string, name string")
+    out = tables.with_schema(df, schemas.PRODUCTS)
+    assert out.columns == ["product_id", "name", "material", "base_price", "color", "brand"]
+    assert [tuple(r) for r in out.orderBy("product_id").collect()] == [("P1", "N", None, 7.5, None, None), ("P2", "M", None, None, None, None)]
+
+
+@pytest.mark.parametrize("bad", [("P1", "L", "S", "x7"), (None, "L", "S", "7"), ("P1", "L", "S", None)])
+def test_rows_that_break_their_schema_stop_the_job_or_are_set_aside(spark, bad):
+    df = spark.createDataFrame([("P0", "L", "S", "3"), bad], "product_id string, location string, size string, amount string")
+    with pytest.raises(Exception, match="takes no such value"):
+        tables.with_schema(df, schemas.PRODUCT_INVENTORY).collect()
+    good, rejects = tables.split_by_schema(df, schemas.PRODUCT_INVENTORY)
+    assert [tuple(r) for r in good.collect()] == [("P0", "L", "S", 3)]
+    assert rejects.count() == 1 and rejects.first().reason.startswith("amount" if bad[0] else "product_id")
 
 
 def test_tables(spark, rows):
