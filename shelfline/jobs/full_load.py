@@ -17,8 +17,6 @@ from shelfline.plans import affinity, kpis, silver
 from shelfline.session import build_session
 from shelfline.sources.tables import (
     BRONZE_TABLES,
-    GOLD_TABLES,
-    SILVER_TABLES,
     read_table,
     register_model,
     reset_layer,
@@ -46,13 +44,13 @@ class Options:
 
 def load_bronze(spark: SparkSession, tables: dict[str, DataFrame], bronze: str, fmt: str = "parquet") -> None:
     """Write the raw tables."""
-    reset_layer(spark, bronze, BRONZE_TABLES)
+    reset_layer(spark, bronze)
     for name in BRONZE_TABLES:
         write_table(tables[name], bronze, name, fmt)
 
 
 def build_silver(spark: SparkSession, bronze: str, ns: str, options: Options = Options()) -> None:
-    reset_layer(spark, ns, SILVER_TABLES)
+    reset_layer(spark, ns)
 
     def raw(name: str) -> DataFrame:
         return read_table(spark, bronze, name)
@@ -79,7 +77,7 @@ def build_silver(spark: SparkSession, bronze: str, ns: str, options: Options = O
 
 
 def build_gold(spark: SparkSession, ns_silver: str, ns: str, options: Options = Options()) -> None:
-    reset_layer(spark, ns, GOLD_TABLES)
+    reset_layer(spark, ns)
 
     def read(name: str) -> DataFrame:
         return read_table(spark, ns_silver, name)
@@ -122,22 +120,37 @@ def full_load(
     gold: str,
     tables: dict[str, DataFrame] | None = None,
     options: Options = Options(),
+    views: str | None = None,
 ) -> list[str]:
-    """Run the layers in order and register the reporting views. Without `tables` the bronze layer is taken as is."""
+    """Run the layers in order and register the reporting views, in a namespace of their own if one is named. Without
+    `tables` the bronze layer is taken as is."""
     if tables is not None:
         load_bronze(spark, tables, bronze, options.fmt)
     build_silver(spark, bronze, silver_ns, options)
     build_gold(spark, silver_ns, gold, options)
-    return register_model(spark, silver_ns, gold)
+    return register_model(spark, silver_ns, gold, views)
 
 
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     for name in ("bronze", "silver", "gold"):
         parser.add_argument(f"--{name}", required=True, help=f"namespace of the {name} layer")
+    parser.add_argument("--views", help="namespace of the reporting views; default: that of gold with _model")
     parser.add_argument("--format", default="parquet")
+    parser.add_argument("--min-pair-cnt", type=int, default=affinity.MIN_PAIR_CNT, help="least baskets of a pair")
+    parser.add_argument("--top-k", type=int, default=affinity.TOP_K, help="partners per product")
+    parser.add_argument("--start", help="first order date")
+    parser.add_argument("--end", help="last order date")
+    parser.add_argument("--store", action="append", default=[], help="only this store; may be repeated")
+    parser.add_argument("--promo-context", choices=[affinity.PROMO_ONLY, affinity.NON_PROMO_ONLY])
+    parser.add_argument("--order-buckets", type=int)
     args = parser.parse_args()
-    full_load(build_session("full-load"), args.bronze, args.silver, args.gold, options=Options(fmt=args.format))
+    options = Options(
+        args.format, args.min_pair_cnt, args.top_k, args.start, args.end, args.store, args.promo_context,
+        order_buckets=args.order_buckets,
+    )
+    spark = build_session("full-load")
+    full_load(spark, args.bronze, args.silver, args.gold, options=options, views=args.views or f"{args.gold}_model")
 
 
 if __name__ == "__main__":

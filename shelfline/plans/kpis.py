@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.functions.money import ratio
+from shelfline.functions.money import exact_sum, ratio
 from shelfline.operators.ranking import top_per_group
 
 # fixed value: products listed per category
@@ -56,7 +56,7 @@ def product_sales(sales: DataFrame, dim_product: DataFrame) -> DataFrame:
 
     Sales are summed per product before the attributes are joined. A product in two categories is listed in both.
     """
-    sold = sales.groupBy("product_id").agg(F.sum("qty").alias("qty_sold"), F.sum("line_value").alias("revenue"))
+    sold = sales.groupBy("product_id").agg(F.sum("qty").alias("qty_sold"), exact_sum("line_value").alias("revenue"))
     attributes = dim_product.select("product_id", "product_name", "category", "brand")
     return sold.join(attributes, "product_id", "left").select(
         "product_id", "product_name", "category", "brand", "qty_sold", "revenue"

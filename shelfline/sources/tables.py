@@ -20,6 +20,7 @@ GOLD_TABLES = [
     "sales_promo_share_orders", "sales_promo_share_users", "sales_promo_share_by_channel",
 ]
 REPORT_SILVER = ["dim_product", "dim_store", "dim_date", "fact_sales_item", "fact_basket_summary"]
+AFFINITY_GOLD = ["product_affinity_topk_named"]
 REPORT_GOLD = [name for name in GOLD_TABLES if name.startswith("sales_")]
 
 
@@ -111,16 +112,25 @@ def write_table(
     writer.saveAsTable(f"{ns}.{name}")
 
 
-def reset_layer(spark: SparkSession, ns: str, names: Iterable[str]) -> None:
-    """Drop a layer's tables before a clean rebuild."""
+def reset_layer(spark: SparkSession, ns: str, retired: Iterable[str] = ()) -> None:
+    """Prepare a layer for a rebuild. Its tables stay readable until each is overwritten, so a build that fails leaves
+    the old ones; only tables that are named as retired are dropped."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {ns}")
-    for name in names:
+    for name in retired:
         spark.sql(f"DROP TABLE IF EXISTS {ns}.`{name}`")
 
 
-def register_model(spark: SparkSession, silver: str, gold: str) -> list[str]:
-    """Temporary views over the tables that reports read; returns their names."""
-    views = [(silver, name) for name in REPORT_SILVER] + [(gold, name) for name in REPORT_GOLD]
-    for ns, name in views:
-        read_table(spark, ns, name).createOrReplaceTempView(name)
-    return [name for _, name in views]
+def register_model(spark: SparkSession, silver: str, gold: str, views: str | None = None) -> list[str]:
+    """Views over the tables that reports read; returns their names.
+
+    In a namespace `views` they are part of the catalog and outlive the job; without one they end with the session.
+    """
+    sources = [(silver, name) for name in REPORT_SILVER] + [(gold, name) for name in REPORT_GOLD + AFFINITY_GOLD]
+    if views:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {views}")
+    for ns, name in sources:
+        if views:
+            spark.sql(f"CREATE OR REPLACE VIEW {views}.`{name}` AS SELECT * FROM {ns}.`{name}`")
+        else:
+            read_table(spark, ns, name).createOrReplaceTempView(name)
+    return [name for _, name in sources]

@@ -452,6 +452,13 @@ _TEXTS["stream_cards_sliding"] = """
             ON o.order_id = u.order_id)
     GROUP BY w"""
 
+_TEXTS["job_sales_top_products"] = _TEXTS["top_products_by_category"]
+_VIEWS = ["dim_product", "dim_store", "dim_date", "fact_sales_item", "fact_basket_summary"]
+_TEXTS["job_model_views"] = " UNION ALL ".join(
+    [f"SELECT '{name}' AS \"view\", count(*) AS n_rows FROM ({_TEXTS[name]})" for name in _VIEWS]
+    + ["SELECT 'sales_aov_overall', 1"]
+)
+
 ORACLE_SQL = {name: with_shared(text) for name, text in _TEXTS.items()}
 
 _NAMED_TAIL = f"""
@@ -474,6 +481,7 @@ ORACLE_SQL.update(
         "product_affinity": _affinity(ALL, AFFINITY_COLUMNS),
         "affinity_topk": _affinity(ALL, f"{AFFINITY_COLUMNS} {ranked(3)}"),
         "affinity_topk_named": _affinity(ALL, _NAMED_TAIL),
+        "job_gold_affinity_topk": _affinity(ALL, _NAMED_TAIL),
         "affinity_date_range": _affinity(
             _filtered("order_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"), AFFINITY_COLUMNS),
         "affinity_stores": _affinity(_filtered("store_id IN ('Cologne', 'Online')"), AFFINITY_COLUMNS),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,13 +12,14 @@ from pyspark.sql import types as T
 
 from shelfline import schemas
 from shelfline.functions import ids, money, text
+from shelfline.jobs.full_load import Options, full_load
 from shelfline.operators.nested import array_pairs
 from shelfline.operators.retention import prune
 from shelfline.plans import affinity as aff
 from shelfline.plans import bronze, kpis, live, lookups, report, semantic, silver
 from shelfline.session import scratch_dir, stored, tune
 from shelfline.sources import catalog, events, testbed
-from shelfline.sources.tables import preview
+from shelfline.sources.tables import preview, read_table
 from shelfline.streaming import ingest, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -282,7 +285,7 @@ def aov_by_brand(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def top_products_by_category(spark: SparkSession, sf: str) -> DataFrame:
     sold = kpis.product_sales(testbed.sales(spark, sf), testbed.products_dim(spark, sf))
-    return kpis.top_products(rounded(sold, 2))
+    return rounded(kpis.top_products(sold), 2)
 
 
 @query
@@ -496,6 +499,46 @@ def retention_prune(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(readable(prune(orders, "event_time", live.latest(orders)), "event_time"), 2)
 
 
+# --- the whole job --------------------------------------------------------------------------------------------------
+
+
+def _job(spark: SparkSession, sf: str) -> str:
+    """Bronze, silver and gold in fresh namespaces of the warehouse; returns the namespace of the reporting views."""
+    run = f"job_{uuid.uuid4().hex[:12]}"
+    tables = {
+        "products": testbed.products(spark, sf), "product_categories": testbed.product_categories(spark, sf),
+        "product_inventory": testbed.product_inventory(spark, sf), "orders": testbed.orders(spark, sf),
+        "order_items": testbed.order_lines(spark, sf),
+    }
+    options = Options(
+        min_pair_cnt=MIN_PAIRS, refreshed_at=F.lit(REFRESHED).cast("timestamp"), item_order=testbed.ITEM_ORDER
+    )
+    full_load(spark, f"{run}_bronze", f"{run}_silver", f"{run}_gold", tables, options, f"{run}_model")
+    return f"{run}_model"
+
+
+@query
+def job_gold_affinity_topk(spark: SparkSession, sf: str) -> DataFrame:
+    named = read_table(spark, _job(spark, sf), "product_affinity_topk_named")
+    return rounded(readable(named, "refreshed_at"))
+
+
+@query
+def job_sales_top_products(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(read_table(spark, _job(spark, sf), "sales_top_products_by_category"), 2)
+
+
+@query
+def job_model_views(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each reporting view."""
+    views = _job(spark, sf)
+    counts = [
+        read_table(spark, views, name).agg(F.lit(name).alias("view"), F.count(F.lit(1)).alias("n_rows"))
+        for name in ("dim_product", "dim_store", "dim_date", "fact_sales_item", "fact_basket_summary", "sales_aov_overall")
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 # --- streams --------------------------------------------------------------------------------------------------------
 
 

@@ -19,7 +19,7 @@ def test_full_load_twice_gives_the_same_tables(spark, rows):
     for _ in range(2):
         views = full_load(spark, "j_bronze", "j_silver", "j_gold", shop.bronze, options)
         runs.append((snapshot(spark, "j_silver", SILVER_TABLES, rows), snapshot(spark, "j_gold", GOLD_TABLES, rows)))
-    assert runs[0] == runs[1] and len(views) == 13
+    assert runs[0] == runs[1] and len(views) == 14
     silver, gold = runs[0]
     assert silver["kx_total_baskets"] == [(5,)] and len(silver["fact_basket_summary"]) == 7
     assert silver["dim_store"] == rows(shop.stores) and silver["dim_date"] == rows(shop.model.dim_date)
@@ -29,6 +29,11 @@ def test_full_load_twice_gives_the_same_tables(spark, rows):
     model = semantic.Model.from_tables(spark, "j_silver")
     assert semantic.evaluate(model, [], [semantic.orders()]).first()["orders"] == 7
 
+    full_load(spark, "j_bronze", "j_silver", "j_gold", None, options, "j_model")
+    spark.catalog.dropTempView("dim_store")
+    assert spark.table("j_model.dim_store").count() == len(silver["dim_store"])
+    assert not [v for v in spark.catalog.listTables("j_model") if v.name == "dim_store" and v.isTemporary]
+
     bucketed = Options(min_pair_cnt=1, refreshed_at=options.refreshed_at, order_buckets=4)
     full_load(spark, "j_bronze", "j_silver", "j_gold", None, bucketed)
     assert snapshot(spark, "j_gold", GOLD_TABLES, rows) == gold
