@@ -20,7 +20,10 @@ def manage_fields(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(path).alias(name) for name, path in mapping.items()])
 
 
-def array_pairs(df: DataFrame, array: str, key: str) -> DataFrame:
-    """Unordered pairs of the distinct values in each row's array, counted over the keys that hold both."""
+def array_pairs(df: DataFrame, array: str, key: str, min_pair_cnt: int = 1) -> DataFrame:
+    """Unordered pairs of the distinct values in each row's array, counted over the keys that hold both.
+
+    With a `min_pair_cnt` of 2 or more, rarer values and pairs go before pairs are formed.
+    """
     values = df.select(key, F.explode(F.array_distinct(array)).alias("value"))
-    return pair_counts(values, group=key, item="value")
+    return pair_counts(values, min_pair_cnt, group=key, item="value")

@@ -22,13 +22,14 @@ def pair_counts(
     bulky: int = BULKY,
     settled: bool = False,
     counts: DataFrame | None = None,
+    lookups: int | None = None,
 ) -> DataFrame:
     """Unordered pairs `item_a < item_b` and the number of groups that hold both, where that is `min_pair_cnt` or more.
 
     The work of forming all pairs grows with the square of the group size, so these exact steps keep it down:
 
     * An item in fewer than `min_pair_cnt` groups has no pair that reaches the bound. Such items go first.
-    * The largest bulky groups (at most MAX_LOOKED_UP) are not counted by forming their pairs: each item gets the list
+    * The largest bulky groups (at most `lookups`, by default MAX_LOOKED_UP) are not counted by forming their pairs: each item gets the list
       of those it is in, and a pair's share of them is the overlap of two short lists.
     * A pair found in no other group has to be in `min_pair_cnt` of these. So only items in that many of them are
       paired, and the `min_pair_cnt - 1` largest groups need no pairing at all, since such a pair is also in another.
@@ -42,7 +43,7 @@ def pair_counts(
     if not settled:
         members = stored(members.distinct(), "members")
     large = members.groupBy("grp").agg(F.count("item").alias("size")).where(F.col("size") > bulky)
-    largest = _largest(large)
+    largest = _largest(large, MAX_LOOKED_UP if lookups is None else lookups)
 
     if min_pair_cnt > 1:
         if counts is None:
@@ -74,9 +75,9 @@ def item_counts(members: DataFrame) -> DataFrame:
     return members.groupBy("item").agg(F.count("grp").alias("cnt"))
 
 
-def _largest(large: DataFrame) -> list:
-    """Keys of the largest bulky groups, largest first: at most MAX_LOOKED_UP rows."""
-    return [row["grp"] for row in large.orderBy(F.desc("size"), "grp").limit(MAX_LOOKED_UP).collect()]
+def _largest(large: DataFrame, limit: int) -> list:
+    """Keys of the largest bulky groups, largest first: at most `limit` rows."""
+    return [row["grp"] for row in large.orderBy(F.desc("size"), "grp").limit(limit).collect()]
 
 
 def _listed_pairs(members: DataFrame) -> DataFrame:

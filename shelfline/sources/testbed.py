@@ -148,6 +148,16 @@ def kept_items(spark: SparkSession, sf: str) -> DataFrame:
     return clean_items(order_lines(spark, sf), ITEM_ORDER)
 
 
+def baskets(spark: SparkSession, sf: str) -> DataFrame:
+    """Which products an order holds. Removing repeated lines cannot change that, so the lines are taken as they are."""
+    return order_lines(spark, sf).select("order_id", "product_id").distinct()
+
+
+def order_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of all orders, without the joins that find their user and place."""
+    return table(spark, sf, "orders").select(_order_id("o_orderdate", "o_orderkey").alias("order_id"))
+
+
 def kept_products(spark: SparkSession, sf: str) -> DataFrame:
     return clean_products(products(spark, sf))
 

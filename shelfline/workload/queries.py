@@ -162,7 +162,7 @@ def dim_store(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dim_date(spark: SparkSession, sf: str) -> DataFrame:
-    return silver.dim_date(testbed.kept_orders(spark, sf))
+    return silver.dim_date(testbed.order_ids(spark, sf))
 
 
 @query
@@ -172,7 +172,7 @@ def fact_sales_item(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fact_basket_product(spark: SparkSession, sf: str) -> DataFrame:
-    return silver.distinct_baskets(testbed.kept_items(spark, sf))
+    return testbed.baskets(spark, sf)
 
 
 @query
@@ -182,19 +182,19 @@ def fact_basket_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fact_product_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return silver.product_counts(silver.distinct_baskets(testbed.kept_items(spark, sf)))
+    return silver.product_counts(testbed.baskets(spark, sf))
 
 
 @query
 def kx_total_baskets(spark: SparkSession, sf: str) -> DataFrame:
-    return silver.total_baskets(testbed.kept_items(spark, sf))
+    return silver.total_baskets(testbed.baskets(spark, sf))
 
 
 # --- affinity -------------------------------------------------------------------------------------------------------
 
 
 def _affinity(spark: SparkSession, sf: str, **filters) -> DataFrame:
-    items = testbed.kept_items(spark, sf)
+    items = testbed.order_lines(spark, sf).select("order_id", "product_id")  # repeated lines change no basket
     if filters:
         items = aff.filter_baskets(items, testbed.summary(spark, sf), **filters)
     return aff.affinity(items, MIN_PAIRS, F.lit(REFRESHED).cast("timestamp"))
@@ -254,7 +254,7 @@ def affinity_brands(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def recommend(spark: SparkSession, sf: str) -> DataFrame:
     """Partners of every product: from promoted orders where there are any, else from all orders."""
-    baskets = stored(silver.distinct_baskets(testbed.kept_items(spark, sf)), "baskets")
+    baskets = stored(testbed.baskets(spark, sf), "baskets")
     refreshed = F.lit(REFRESHED).cast("timestamp")
     promoted = aff.filter_baskets(baskets, testbed.summary(spark, sf), promo_context=aff.PROMO_ONLY)
     named = stored(_named(spark, sf, aff.affinity(promoted, MIN_PAIRS, refreshed)), "named")

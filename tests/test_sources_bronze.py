@@ -125,3 +125,19 @@ def test_an_object_as_product_id_stays_as_json(spark):
     raw = spark.createDataFrame([('{"order_id": "a", "items": [{"product_id": {"v": 1}}, {"product_id": "p"}]}',)], "value string")
     items = events.parse_events(raw, schemas.SALE_EVENT).first()["items"]
     assert [i.product_id for i in items] == ['{"v":1}', "p"]
+
+
+def test_a_cluster_needs_a_shared_scratch_folder():
+    from types import SimpleNamespace
+
+    from shelfline.session import scratch_dir
+
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda key, default=None: folder or default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="a"))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_dir(session(master), "x")
+        assert scratch_dir(session(master, "hdfs://shared"), "x").startswith("hdfs://shared/x-")
+    assert scratch_dir(session("local[4]"), "x")
