@@ -31,7 +31,7 @@ _U = np.uint64
 GROWTH = 1.6  # of a size band
 SPARE = 1.5  # segments, in terms of those that a full set of the band needs
 LEVELS = np.array([1, 2, 3, 5, 8, 16, 32, 64, 128, 512, 2048, 8192, 65536, 1 << 24])  # steps of the members of a segment
-BATCH = 1 << 20  # signatures that a task sorts at once, about
+BATCH = 1 << 19  # signatures that a task sorts at once, about
 BLOCK = 512  # sets that one task holds against as many others
 
 PROFILE = "doc_id long, n_shingles long, cls long, safe boolean, slack long"
@@ -206,9 +206,10 @@ def _members(batches):
     if not cls:
         return
     cls, sig = np.concatenate(cls), np.concatenate(sig)
+    order = np.lexsort((sig & _U(1), cls, sig & ~_U(7)))
+    cls, sig = cls[order], sig[order]
     key, kind = sig & ~_U(7), (sig & _U(7)).astype(np.int8)
-    order = np.lexsort((kind & 1, cls, key))
-    cls, key, kind = cls[order], key[order], kind[order]
+    del order, sig
     fresh = np.ones(len(cls), bool)
     fresh[1:] = (cls[1:] != cls[:-1]) | (key[1:] != key[:-1])
     cls, key, kind = cls[fresh], key[fresh], kind[fresh]

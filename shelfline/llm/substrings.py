@@ -32,7 +32,7 @@ _U = np.uint64
 ANCHOR = 5  # words of an anchor
 HEAVY = 1 << 12  # an anchor with more than one in so many runs is dealt out by window
 SHARD = 1 << 16  # words of a document that fall to one reference shard together
-BATCH = 1 << 20  # windows that a task sorts at once, about
+BATCH = 1 << 19  # windows that a task sorts at once, about
 STREAM = 1 << 19  # words that stream through one copy of a shard, about
 
 _WORD = re.compile(rb"[^ \t-\r]+")
