@@ -92,15 +92,32 @@ class Model:
     logs: np.ndarray  # log probability per language; the last row is that of an unseen n-gram
     scripts: dict[str, np.ndarray]  # script: which languages use it
 
-    def score(self, word: str) -> np.ndarray:
-        total = self.logs[[self.index.get(gram, -1) for gram in grams(word)]].sum(axis=0)
-        total -= total.max()
-        usable = self.scripts.get(script_of(word))
-        if usable is not None:
+    def __post_init__(self) -> None:
+        self.usable: dict[str, np.ndarray] = {}  # by first letter of a word
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Scores of words, 0 for the best language of each, not below -FLOOR."""
+        index, places, counts = self.index, [], []
+        for word in words:
+            before = len(places)
+            places += [index.get(gram, -1) for gram in grams(word)]
+            counts.append(len(places) - before)
+        total = np.add.reduceat(self.logs[places], np.cumsum([0] + counts[:-1]), axis=0)
+        total -= total.max(axis=1, keepdims=True)
+        usable = np.stack([self._usable(word[0]) for word in words])
+        if not usable.all():
             total = np.where(usable, total, -FLOOR)
-            total -= total.max()
+            total -= total.max(axis=1, keepdims=True)
         return np.maximum(total, -FLOOR)
 
+    def _usable(self, letter: str) -> np.ndarray:
+        """Languages that use the script of the letter; all of them for a script that none of them uses."""
+        have = self.usable.get(letter)
+        if have is None:
+            have = self.scripts.get(script_of(letter), np.ones(len(self.languages), bool))
+            self.usable[letter] = have
+        return have
+
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = LEARNED_ROWS) -> Model:
     """A model of the languages in `lang_col`, learned from about `rows` texts.
@@ -175,12 +192,12 @@ class Reader:
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
-        for word in words:
-            if word not in known:
-                if len(known) == len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[len(known)] = self.model.score(word)
-                known[word] = len(known)
+        new = list(dict.fromkeys(w for w in words if w not in known))
+        if new:
+            while len(known) + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[len(known) : len(known) + len(new)] = self.model.score(new)
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
         return self.rows[[known[w] for w in words]]
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
