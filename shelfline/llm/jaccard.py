@@ -31,6 +31,7 @@ _U = np.uint64
 GROWTH = 1.6  # of a size band
 SPARE = 1.5  # segments, in terms of those that a full set of the band needs
 LEVELS = np.array([1, 2, 3, 5, 8, 16, 32, 64, 128, 512, 2048, 8192, 65536, 1 << 24])  # steps of the members of a segment
+BUCKET = 1 << 21  # shingles whose signatures meet in one task, about
 BATCH = 1 << 19  # signatures that a task sorts at once, about
 BLOCK = 512  # sets that one task holds against as many others
 
@@ -319,7 +320,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = profiles.where("n_shingles > 0").groupBy("cls").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("safe").alias("safe"), F.first("slack").alias("slack")
     )
-    buckets = frames.partitions(spark)
+    total = profiles.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(spark.sparkContext.defaultParallelism, -(-total // BUCKET))
     blocks = texts.mapInArrow(lambda it: _blocks(it, words, percent, buckets), BLOCKS)
     found = frames.cut(blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(_members, FOUND))
 

@@ -32,6 +32,7 @@ _U = np.uint64
 ANCHOR = 5  # words of an anchor
 HEAVY = 1 << 12  # an anchor with more than one in so many runs is dealt out by window
 SHARD = 1 << 16  # words of a document that fall to one reference shard together
+BUCKET = 1 << 18  # runs of windows that meet in one task, about
 BATCH = 1 << 19  # windows that a task sorts at once, about
 STREAM = 1 << 19  # words that stream through one copy of a shard, about
 
@@ -93,13 +94,14 @@ def _heavy(batches, window: int):
         yield counted(parts)
 
 
-def heavy_anchors(texts: DataFrame, window: int) -> np.ndarray:
-    """Anchors of a large share of all runs. At most 2 * HEAVY of them exist, so the driver can hold them."""
+def heavy_anchors(texts: DataFrame, window: int) -> tuple[np.ndarray, int]:
+    """Anchors of a large share of all runs, and the number of runs. At most 2 * HEAVY such anchors exist, so the driver
+    can hold them."""
     counts = texts.mapInArrow(lambda it: _heavy(it, window), "anchor long, n long, total boolean")
-    counts = counts.groupBy("total", "anchor").agg(F.sum("n").alias("n"))
+    counts = frames.cut(counts.groupBy("total", "anchor").agg(F.sum("n").alias("n")))
     total = counts.where("total").agg(F.sum("n")).first()[0] or 0
     heavy = counts.where(~F.col("total") & (F.col("n") * 2 * HEAVY > total)).orderBy(F.desc("n"), "anchor").limit(2 * HEAVY)
-    return np.sort(np.array([r.anchor for r in heavy.select("anchor").collect()], np.int64).view(_U))
+    return np.sort(np.array([r.anchor for r in heavy.select("anchor").collect()], np.int64).view(_U)), total
 
 
 def _blocks(batches, window: int, buckets: int, heavy: np.ndarray):
@@ -358,8 +360,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     texts = _prepared(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    buckets = frames.partitions(spark)
-    heavy = heavy_anchors(texts, window)
+    heavy, total = heavy_anchors(texts, window)
+    buckets = max(spark.sparkContext.defaultParallelism, -(-total // BUCKET))
     blocks = texts.mapInArrow(lambda it: _blocks(it, window, buckets, heavy), BLOCKS)
     runs = frames.cut(blocks.repartitionById(buckets, F.pmod("bucket", F.lit(buckets))).mapInArrow(_repeats, FOUND))
 
