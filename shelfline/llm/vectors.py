@@ -1,30 +1,28 @@
-"""Near-duplicate vectors: a robust-pruned flat graph, searched from medoids, with verified links.
-
-Equal vectors of a label are one node. Centers, fitted per label on a bounded sample and kept well apart, cut the nodes
-into clusters; every node belongs to its two nearest ones, so clusters overlap. A cluster too large for one task is dealt
-out in shards by a hash. In each shard every node gets a few diverse near neighbours (robust pruning); the adjacency
-lists of all shards are united, and each shard is given the nodes its lists lead to elsewhere. Every node then walks
-greedily from the medoid of each shard of its nearest cluster, and where it meets nodes within range it goes on through
-their neighbours until no more turn up. All links are verified in double precision. `audit` measures what share of the
-links a comparison with all vectors would find.
+"""Near-duplicate vectors: cells around fitted centers, and every pair that the angles to them leave open compared.
+
+Equal vectors of a label are one node. Centers, fitted per label on a sample that grows with it, cut the nodes of a label
+into cells. By the triangle inequality a node can only link into cells whose members lie, seen from the center, within
+the threshold's angle of its own; it visits all of these. A cell too large for one task is dealt out in blocks by a hash
+and its visitors in parts, so that a task holds one block and one part, whatever the size of the cell. There every visitor is
+compared with every member in double precision: no link is left out, and the work of a label without structure grows with
+the square of its nodes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.llm import frames
 
-SAMPLE = 400  # vectors per label on which its centers are fitted, about
-APART = 0.9  # centers of a label are less similar than this
-SHARD = 1500  # nodes of a shard, about
-DEGREE = 24  # neighbours of a node in a shard
-POOL = 64  # candidates for them
-ALPHA = 1.2  # how much closer a neighbour has to be to a candidate to replace it
-BEAM = 32  # nodes that a walk keeps
+SHARD = 16384  # nodes of a block, and of a part, about
+BYTES = 8 << 20  # of their vectors, about
+CENTERS = 2048  # of a label, at most: cells beyond it are larger and have more blocks
+SAMPLE = 8  # vectors for each center on which the centers are fitted, about
+TILE = 1 << 22  # similarities that a task holds at once
+SLACK = 1e-6  # of angles
 
 NODES = "vec_id long, label string, vector binary"
 
@@ -49,136 +47,98 @@ def _unit(blobs: list[bytes]) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _nearest(vectors: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    step = max(1, TILE // len(centers))
+    return np.concatenate([(vectors[i : i + step] @ centers.T).argmax(axis=1) for i in range(0, len(vectors), step)])
+
+
 def _centers(table: pa.Table) -> pa.Table:
-    """Centers of one kind of vector, from a bounded sample: k-means, then those too close to another are dropped."""
-    vectors = _unit(table.sort_by("vec_id").column("vector").to_pylist())
-    nodes = int(table.column("nodes")[0].as_py())
-    k = max(1, min(len(vectors) // 4, -(-nodes // SHARD)))
+    """Centers of one kind of vector, by k-means on a sample."""
+    vectors = _unit(table.sort_by("node").column("vector").to_pylist())
+    k = min(len(vectors), table.column("centers")[0].as_py())
     random = np.random.default_rng(3)
     centers = vectors[random.permutation(len(vectors))[:k]]
     for _ in range(8):
-        near = (vectors @ centers.T).argmax(axis=1)
         sums = np.zeros_like(centers)
-        np.add.at(sums, near, vectors)
+        np.add.at(sums, _nearest(vectors, centers), vectors)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        centers = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centers)
-    kept: list[int] = []
-    for i in range(len(centers)):
-        if not kept or (centers[kept] @ centers[i]).max() < APART:
-            kept.append(i)
+        centers = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), centers)
     kind = table.column("kind")[0].as_py()
-    return pa.table({"kind": pa.array([kind] * len(kept), pa.string()), "center": pa.array([centers[i].tobytes() for i in kept], pa.binary())})
+    return pa.table({"kind": pa.array([kind] * k, pa.string()), "center": pa.array([c.tobytes() for c in centers], pa.binary())})
+
+
+def _angles(batch: pa.RecordBatch, centers: dict[str, np.ndarray]):
+    """(row numbers, angles to all centers of their kind) of the rows whose kind has centers, some at a time."""
+    kinds = np.array(batch.column(1).to_pylist(), object)
+    for kind in set(kinds) & set(centers):
+        rows = np.flatnonzero(kinds == kind)
+        step = max(1, TILE // len(centers[kind]))
+        for i in range(0, len(rows), step):
+            some = rows[i : i + step]
+            yield kind, some, np.arccos(np.clip(_unit(batch.column(2).take(pa.array(some)).to_pylist()) @ centers[kind].T, -1.0, 1.0))
 
 
 def _assigned(batches, centers: dict[str, np.ndarray]):
     for batch in batches:
-        out = []
-        for i, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            near = np.argsort(-(centers[kind] @ _unit([blob])[0]), kind="stable")[:2]
-            out += [(i, kind, int(c), rank == 0, blob) for rank, c in enumerate(near)]
-        if out:
-            yield pa.RecordBatch.from_pydict(
-                dict(zip(["node", "kind", "center", "home", "vector"], map(list, zip(*out, strict=True)), strict=True)),
-                pa.schema([("node", pa.int64()), ("kind", pa.string()), ("center", pa.int32()), ("home", pa.bool_()), ("vector", pa.binary())]),
-            )
-
-
-def prune(vectors: np.ndarray, similar: np.ndarray, node: int) -> list[int]:
-    """Neighbours of a node: nearest first, leaving out what a chosen neighbour is much closer to."""
-    pool = min(POOL, len(vectors) - 1)
-    row = similar[node].copy()
-    row[node] = -2.0
-    near = np.argpartition(-row, pool - 1)[:pool] if pool < len(row) - 1 else np.flatnonzero(row > -2)
-    near = near[np.lexsort((near, -row[near]))]
-    away = 1.0 - row[near]
-    alive = np.ones(len(near), bool)
-    chosen: list[int] = []
-    while alive.any() and len(chosen) < DEGREE:
-        first = int(alive.argmax())
-        alive[first] = False
-        chosen.append(int(near[first]))
-        alive &= ALPHA * (1.0 - similar[near[first], near]) > away
-    return chosen
-
-
-def _lists(table: pa.Table) -> pa.Table:
-    """Adjacency lists of one shard."""
-    table = table.sort_by("node")
-    nodes = table.column("node").to_numpy()
-    vectors = _unit(table.column("vector").to_pylist())
-    similar = vectors @ vectors.T
-    lists = [prune(vectors, similar, i) for i in range(len(nodes))] if len(nodes) > 1 else [[]] * len(nodes)
-    back: list[set[int]] = [set(x) for x in lists]
-    for i, neighbours in enumerate(lists):  # both ways, so that walks can turn
-        for j in neighbours:
-            back[j].add(i)
-    source = np.repeat(nodes, [len(b) for b in back])
-    target = nodes[np.array([j for b in back for j in sorted(b)], np.int64)]
-    return pa.table({"node": pa.array(source, pa.int64()), "other": pa.array(target, pa.int64())})
-
-
-def walk(vectors: np.ndarray, lists: list[np.ndarray], medoid: int, query: np.ndarray, threshold: float) -> list[int]:
-    """Nodes within range of the query: a greedy walk from the medoid, then outwards through nodes in range."""
-    seen = {medoid: float(vectors[medoid] @ query)}
-    beam, done = [medoid], set()
-    while True:
-        fresh = [n for n in beam if n not in done]
-        if not fresh:
-            break
-        at = fresh[0]
-        done.add(at)
-        new = [n for n in lists[at] if n not in seen]
-        if new:
-            for n, s in zip(new, (vectors[new] @ query).tolist(), strict=True):
-                seen[n] = s
-            beam = sorted(set(beam) | set(new), key=lambda n: -seen[n])[:BEAM]
-    inside = [n for n, s in seen.items() if s >= threshold]
-    stack, found = list(inside), set(inside)
-    while stack:
-        at = stack.pop()
-        new = [n for n in lists[at] if n not in found]
-        if new:
-            near = (vectors[new] @ query).tolist()
-            for n, s in zip(new, near, strict=True):
-                if s >= threshold:
-                    found.add(n)
-                    stack.append(n)
-    return sorted(found)
+        cell, angle = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+        for _, rows, angles in _angles(batch, centers):
+            cell[rows], angle[rows] = angles.argmin(axis=1), angles.min(axis=1)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angle)], [*batch.schema.names, "home", "angle"])
+
+
+def _visits(batches, centers: dict[str, np.ndarray], rings: dict[str, np.ndarray], angle: float):
+    """The rows once for each cell in which they may have a link, their own among them."""
+    for batch in batches:
+        kinds = np.array(batch.column(1).to_pylist(), object)
+        home = batch.column(4).to_numpy()
+        at, cells = [np.flatnonzero([k not in centers for k in kinds])], []
+        cells.append(home[at[0]])
+        for kind, rows, angles in _angles(batch, centers):
+            low, high = rings[kind]
+            near = (angles <= high + angle + SLACK) & (angles >= low - angle - SLACK)
+            near[np.arange(len(rows)), home[rows]] = True
+            row, cell = np.nonzero(near)
+            at.append(rows[row]), cells.append(cell)
+        at, cells = np.concatenate(at).astype(np.int64), np.concatenate(cells).astype(np.int32)
+        for i in range(0, len(at), 1 << 14):
+            some = batch.take(pa.array(at[i : i + (1 << 14)]))
+            yield pa.RecordBatch.from_arrays([*some.columns[:5], pa.array(cells[i : i + (1 << 14)])], [*some.schema.names[:5], "cell"])
 
 
 def _links(table: pa.Table, threshold: float) -> pa.Table:
-    """Of one shard: for each node at home here the weight of its links, and what ties it to its component."""
+    """Of a block and a part: the weight of each visitor's links into the block, and what ties nodes to a component."""
     table = table.sort_by("node")
-    nodes, vectors = table.column("node").to_numpy(), _unit(table.column("vector").to_pylist())
-    home, counted = (table.column(c).to_numpy(zero_copy_only=False) for c in ("home", "counted"))
-    member, copies = table.column("member").to_numpy(zero_copy_only=False), table.column("copies").to_numpy()
-    place = {n: i for i, n in enumerate(nodes.tolist())}
-    lists = [np.array([place[o] for o in others if o in place], np.int64) for others in table.column("others").to_pylist()]
-    mean = vectors[member].mean(axis=0)
-    inside = np.flatnonzero(member)
-    medoid = int(inside[(vectors[inside] @ mean).argmax()])
-    parent = list(range(len(nodes)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for q in np.flatnonzero(home).tolist():
-        found = walk(vectors, lists, medoid, vectors[q], threshold - 1e-9)
-        found = [n for n in found if n != q and float(np.dot(vectors[q], vectors[n])) >= threshold]
-        weight = sum(int(copies[n]) for n in found if counted[n])
-        for n in found:
-            a, b = find(q), find(n)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        out.append((int(nodes[q]), weight))
-    tied = [(int(nodes[i]), 0, int(nodes[find(i)])) for i in range(len(nodes)) if find(i) != i]
-    rows = [(n, w, None) for n, w in out] + tied
-    columns = list(zip(*rows, strict=True)) or [[], [], []]
-    return pa.table({"node": pa.array(columns[0], pa.int64()), "weight": pa.array(columns[1], pa.int64()), "root": pa.array(columns[2], pa.int64())})
+    nodes, vectors, copies = table.column("node").to_numpy(), _unit(table.column("vector").to_pylist()), table.column("copies").to_numpy()
+    inside, asking = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("member", "visitor"))
+    members = vectors[inside]
+    root = np.arange(len(nodes))
+    weights = np.zeros(len(nodes), np.int64)
+    step = max(1, TILE // max(1, len(inside)))
+    for i in range(0, len(asking), step):
+        some = asking[i : i + step]
+        for q, similar in zip(some.tolist(), vectors[some] @ members.T, strict=True):
+            near = np.flatnonzero(similar >= threshold - 1e-9)
+            close = np.flatnonzero(similar[near] < threshold + 1e-9)
+            if len(close):  # by a sum that is the same in both directions
+                wrong = [c for c in close.tolist() if float(np.dot(vectors[q], members[near[c]])) < threshold]
+                near = np.delete(near, wrong)
+            near = inside[near]
+            near = near[near != q]
+            if not len(near):
+                continue
+            weights[q] = copies[near].sum()
+            roots = root[near]
+            least = min(int(roots.min()), int(root[q]))
+            if root[q] != least or (roots != least).any():
+                merged = np.zeros(len(nodes), bool)
+                merged[roots], merged[root[q]] = True, True
+                root[merged[root]] = least
+    tied = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.table({
+        "node": pa.array(np.r_[nodes[asking], nodes[tied]], pa.int64()),
+        "weight": pa.array(np.r_[weights[asking], np.zeros(len(tied), np.int64)], pa.int64()),
+        "root": pa.array([None] * len(asking) + nodes[root[tied]].tolist(), pa.int64()),
+    })
 
 
 def _prepared(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -186,6 +146,11 @@ def _prepared(rows: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return plain.mapInArrow(_valid, NODES)
 
 
+def _shard() -> Column:
+    """Nodes that a block or a part of their kind has, about."""
+    return F.greatest(F.lit(1), F.least(F.lit(SHARD), F.floor(F.lit(BYTES) / F.octet_length("vector"))))
+
+
 def near_links(
     rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98
 ) -> DataFrame:
@@ -200,46 +165,43 @@ def near_links(
     nodes = valid.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     kind = F.concat_ws(":", F.octet_length("vector"), "label")
     nodes = frames.cut(nodes.select("node", kind.alias("kind"), "vector", "copies"))
-    counts = nodes.groupBy("kind").agg(F.count("*").alias("nodes"))
-    share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("nodes"))
-    sample = nodes.join(F.broadcast(counts), "kind").where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) <= share * (1 << 30))
-    sample = sample.select(F.col("node").alias("vec_id"), "kind", "vector", "nodes")
-    centers: dict[str, list[bytes]] = {}
-    for row in sample.groupBy("kind").applyInArrow(_centers, "kind string, center binary").collect():
-        centers.setdefault(row.kind, []).append(row.center)
-    fitted = {k: np.stack([np.frombuffer(c, np.float64) for c in v]) for k, v in centers.items()}
-    for row in nodes.select("kind").distinct().where(~F.col("kind").isin(list(fitted) or [""])).collect():
-        width = int(row.kind.split(":", 1)[0]) // 8  # too few vectors for the sample: one cluster
-        fitted[row.kind] = np.ones((1, width))
-    assigned = nodes.select("node", "kind", "vector").mapInArrow(
-        lambda it: _assigned(it, fitted), "node long, kind string, center int, home boolean, vector binary"
+    # kinds that one task can hold have one cell and no center
+    counts = nodes.groupBy("kind").agg(F.count("*").alias("nodes"), F.first(_shard()).alias("shard")).where("nodes > shard")
+    counts = counts.withColumn("centers", F.least(F.lit(CENTERS), F.ceil(F.col("nodes") / F.col("shard"))).cast("int"))
+    wanted = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) <= F.col("centers") * SAMPLE / F.col("nodes") * (1 << 30)
+    sample = nodes.join(F.broadcast(counts), "kind").where(wanted).select("node", "kind", "vector", "centers")
+    fitted: dict[str, list[np.ndarray]] = {}
+    for row in sample.groupBy("kind").applyInArrow(_centers, "kind string, center binary").toLocalIterator():
+        fitted.setdefault(row.kind, []).append(np.frombuffer(row.center, np.float64))
+    centers = {k: np.stack(v) for k, v in fitted.items()}
+    columns = "node long, kind string, vector binary, copies long, home int"
+    placed = nodes.select("node", "kind", "vector", "copies").mapInArrow(lambda it: _assigned(it, centers), f"{columns}, angle double")
+    placed = frames.cut(placed) if centers else placed
+    rings = {k: np.stack([np.full(len(c), np.inf), np.full(len(c), -np.inf)]) for k, c in centers.items()}  # empty cells have no visitors
+    if centers:
+        for row in placed.join(F.broadcast(counts), "kind").groupBy("kind", "home").agg(F.min("angle"), F.max("angle")).toLocalIterator():
+            if row.kind in rings:
+                rings[row.kind][:, row.home] = row[2], row[3]
+    angle = float(np.arccos(np.clip(threshold, -1.0, 1.0)))
+    visits = placed.mapInArrow(lambda it: _visits(it, centers, rings, angle), f"{columns}, cell int")
+    own = F.col("cell") == F.col("home")
+    sizes = visits.groupBy("kind", "cell").agg(
+        F.ceil(F.count(F.when(own, 1)) / F.first(_shard())).cast("int").alias("blocks"), F.ceil(F.count("*") / F.first(_shard())).cast("int").alias("parts")
+    )
+    dealt = visits.join(sizes, ["kind", "cell"])
+    dealt = dealt.withColumns({"block": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "part": F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")})
+    # a member stands in every part of its block; a visitor asks in one part of every block
+    member = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda p: F.struct(F.col("block").alias("block"), p.alias("part"), F.lit(True).alias("member"), (p == F.col("part")).alias("visitor")),
     )
-    assigned = frames.cut(assigned)
-    blocks = assigned.groupBy("kind", "center").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("blocks"))
-    placed = assigned.join(blocks, ["kind", "center"])
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    shard = ["kind", "center", "block"]
-    edges = placed.groupBy(*shard).applyInArrow(_lists, "node long, other long")
-    united = frames.cut(edges.distinct())
-    lists = united.groupBy("node").agg(F.collect_list("other").alias("others"))  # at most a few times DEGREE each way
-
-    members = placed.select(*shard, "node", "home", "blocks", F.lit(True).alias("member"))
-    # a node looks through all shards of its nearest cluster
-    guests = placed.where("home AND blocks > 1").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("at != block")
-    guests = guests.select("kind", "center", F.col("at").alias("block"), "node", F.lit(True).alias("home"), "blocks", F.lit(False).alias("member"))
-    steps = placed.select(*shard, "node", "blocks").join(united, "node")
-    beyond = steps.select(*shard, F.col("other").alias("node"), F.lit(False).alias("home"), "blocks", F.lit(False).alias("member")).distinct()
-    group = members.unionByName(guests).unionByName(beyond).groupBy(*shard, "node").agg(
-        F.max("home").alias("home"), F.max("member").alias("member"), F.first("blocks").alias("blocks")
+    asks = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: ~own | (b != F.col("block")))
+    asks = F.transform(asks, lambda b: F.struct(b.alias("block"), F.col("part").alias("part"), F.lit(False).alias("member"), F.lit(True).alias("visitor")))
+    dealt = dealt.select("kind", "cell", "node", "vector", "copies", F.explode(F.when(own, F.concat(member, asks)).otherwise(asks)).alias("at"))
+    dealt = dealt.select("kind", "cell", "at.*", "node", "vector", "copies")
+    found = frames.cut(
+        dealt.groupBy("kind", "cell", "block", "part").applyInArrow(lambda t: _links(t, threshold), "node long, weight long, root long")
     )
-    inside = placed.select("kind", "center", "node", F.lit(True).alias("inside"))
-    group = group.join(inside, ["kind", "center", "node"], "left")
-    # a link counts once: in the shard its node belongs to, or, for nodes of other clusters, in one shard by hash
-    owner = F.when(F.col("inside"), F.col("member")).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks")) == F.col("block"))
-    group = group.select(*shard, "node", "home", "member", owner.alias("counted"))
-    group = group.join(nodes.select("node", "vector", "copies"), "node").join(lists, "node", "left")
-    group = group.withColumn("others", F.coalesce("others", F.array().cast("array<bigint>")))
-    found = frames.cut(group.groupBy(*shard).applyInArrow(lambda t: _links(t, threshold), "node long, weight long, root long"))
     roots = frames.components(found.where("root IS NOT NULL").select(F.col("node").alias("a"), F.col("root").alias("b")))
     weights = found.groupBy("node").agg(F.sum("weight").alias("weight"))
     known = nodes.join(weights, "node", "left").join(roots, "node", "left")

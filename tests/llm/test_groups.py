@@ -207,3 +207,24 @@ def test_vector_links(spark, shard, monkeypatch):
 def test_vector_links_of_no_rows(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vectors.near_links(empty).count() == 0
+
+
+def groups_of_near_copies(sizes, seed):
+    """Vectors of one label that are nothing but groups of distinct near copies."""
+    r = np.random.default_rng(seed)
+    out = []
+    for n in sizes:
+        base = r.normal(size=64)
+        out += [base / np.linalg.norm(base) + r.normal(size=64) * 0.012 for _ in range(n)]
+    return [(i, [float(x) for x in v], 0) for i, v in enumerate(np.array(out)[r.permutation(len(out))])]
+
+
+@pytest.mark.parametrize("sizes", [[300] * 3, [800, 700], [100] * 10])
+def test_vector_links_of_labels_made_only_of_groups(spark, sizes):
+    sample = groups_of_near_copies(sizes, 5)
+    units = np.array([v for _, v, _ in sample])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    exact = (units @ units.T >= 0.98).sum(axis=1) - 1
+    got = {r.vec_id: r for r in vectors.near_links(spark.createDataFrame(sample, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[i].n_links for i in range(len(sample))] == exact.tolist()
+    assert sum(r.kept for r in got.values()) == len(sizes)
