@@ -228,3 +228,24 @@ def test_vector_links_of_labels_made_only_of_groups(spark, sizes):
     got = {r.vec_id: r for r in vectors.near_links(spark.createDataFrame(sample, "vec_id long, embedding array<double>, label int")).collect()}
     assert [got[i].n_links for i in range(len(sample))] == exact.tolist()
     assert sum(r.kept for r in got.values()) == len(sizes)
+
+
+def test_vector_tasks_stay_small_when_a_label_is_one_ball(spark, monkeypatch, tmp_path):
+    """No task holds more than a block and a part, and all links are found over several cells, blocks and parts."""
+    monkeypatch.setattr(vectors, "SHARD", 60)
+    monkeypatch.setattr(vectors, "CENTERS", 3)
+    links = vectors._links
+
+    def watched(table, threshold):
+        (tmp_path / f"{table.num_rows}").touch()
+        return links(table, threshold)
+
+    monkeypatch.setattr(vectors, "_links", watched)
+    sample = groups_of_near_copies([900, 40, 1], 6)
+    units = np.array([v for _, v, _ in sample])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    exact = (units @ units.T >= 0.98).sum(axis=1) - 1
+    got = {r.vec_id: r for r in vectors.near_links(spark.createDataFrame(sample, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[i].n_links for i in range(len(sample))] == exact.tolist()
+    assert sum(r.kept for r in got.values()) == 3
+    assert 0 < max(int(p.name) for p in tmp_path.iterdir()) < 4 * 60
