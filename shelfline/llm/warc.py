@@ -22,7 +22,6 @@ DATE = "2024-01-01T00:00:00Z"
 # The profile WARC 1.1 names for records whose payload was stored before
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
-MOST_HEADER = 1 << 16
 
 CHUNKS = "record long, chunk int, data binary"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -62,22 +61,21 @@ def _written(batches, chunk: int):
         held = 0
         payloads = batch.column(batch.schema.get_field_index("payload"))
         for i, row in enumerate(batch.drop_columns(["payload"]).to_pylist()):
-            head = _head(row)
+            head = memoryview(_head(row))
             body = memoryview(b"" if row["refers_to"] is not None else payloads[i].as_buffer() or b"")
-            number, at, first = 0, 0, head
-            while True:
-                room = max(0, chunk - len(first))
-                part = first + bytes(body[at : at + room])
-                at += room
-                last = at >= len(body)
+            number, at, last = 0, 0, False
+            while not last:  # a header larger than a chunk goes over several, too
+                rest = max(0, at - len(head))
+                part = bytes(head[at : at + chunk])
+                part += body[rest : rest + chunk - len(part)]
+                at += chunk
+                last = at >= len(head) + len(body)
                 rows.append((row["record"], number, part + END if last else part))
                 held += len(part)
-                number, first = number + 1, b""
+                number += 1
                 if held > 1 << 24:
                     yield _arrow(rows)
                     rows, held = [], 0
-                if last:
-                    break
         if rows:
             yield _arrow(rows)
 
@@ -110,11 +108,22 @@ def write(
     return joined.mapInArrow(lambda it: _written(it, chunk), CHUNKS)
 
 
+def _beyond(head: bytearray, data: memoryview) -> memoryview | None:
+    """Adds to a header what the chunk has of it; what follows it, or None while its end is not there."""
+    before = len(head)
+    head += data
+    end = head.find(END, max(0, before - len(END) + 1))
+    if end < 0:
+        return None
+    del head[end:]
+    return data[end + len(END) - before :]
+
+
 class _Record:
-    """A record that is being read: header first, then payload bytes into the digest."""
+    """A record that is being read: header first, over as many chunks as it takes, then payload bytes into the digest."""
 
     def __init__(self) -> None:
-        self.head = b""
+        self.head = bytearray()
         self.fields: dict[str, str] | None = None
         self.left = 0
         self.seen = 0
@@ -123,19 +132,15 @@ class _Record:
 
     def feed(self, data: memoryview) -> None:
         if self.fields is None:
-            self.head += bytes(data[:MOST_HEADER])
-            end = self.head.find(END)
-            if end < 0:
-                if len(self.head) > MOST_HEADER:
-                    raise ValueError("WARC header without an end")
+            rest = _beyond(self.head, data)
+            if not self.head.startswith(b"WARC/"[: len(self.head)]):
+                raise ValueError(f"not a WARC record: {bytes(self.head[:40])!r}")
+            if rest is None:
                 return
-            lines = self.head[:end].decode().split("\r\n")
-            if not lines[0].startswith("WARC/"):
-                raise ValueError(f"not a WARC record: {lines[0][:40]}")
+            lines = self.head.decode().split("\r\n")
             self.fields = {k.lower(): v for k, v in (line.split(": ", 1) for line in lines[1:])}
             self.left = int(self.fields["content-length"])
-            data = data[end + len(END) - (len(self.head) - min(len(data), MOST_HEADER)) :]
-            self.head = b""
+            data, self.head = rest, bytearray()
         body = data[: self.left]
         self.hash.update(body)
         self.left -= len(body)
@@ -192,16 +197,20 @@ def payloads(chunks: DataFrame) -> DataFrame:
     ordered = chunks.repartition(frames.partitions(chunks.sparkSession), "record").sortWithinPartitions("record", "chunk")
 
     def bodies(batches):
-        now, left, number = None, 0, 0
+        now, left, number, head = None, 0, 0, None
         for batch in batches:
             rows = []
             for name, data in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                raw = data.as_py()
+                raw = memoryview(data.as_buffer())
                 if name != now:
-                    now, number = name, 0
-                    head, _, raw = raw.partition(END)
+                    now, number, head = name, 0, bytearray()
+                if head is not None:
+                    raw = _beyond(head, raw)
+                    if raw is None:
+                        continue
                     left = int(head.rpartition(b"Content-Length: ")[2])
-                rows.append((name, number, raw[:left]))
+                    head = None
+                rows.append((name, number, bytes(raw[:left])))
                 left -= min(left, len(raw))
                 number += 1
             if rows:

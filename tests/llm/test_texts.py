@@ -256,6 +256,22 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(warc.write(pages.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [7, 4000, warc.CHUNK])
+def test_warc_urls_longer_than_a_chunk(spark, chunk):
+    r = random.Random(chunk)
+    long = "data:text/html," + "".join(r.choice("abcdefgh%é") for _ in range(90_000 if chunk > 7 else 900))
+    body = "<p>é</p>\r\n\r\n" * 700
+    sample = [(1, long, body), (2, long + "2", body), (3, long + "3", ""), (4, "http://a/", "other")]
+    chunks = warc.write(spark.createDataFrame(sample, "page_id long, url string, html string"), chunk=chunk).cache()
+    assert chunks.agg(F.max(F.octet_length("data"))).first()[0] <= chunk + 4
+    got = {x.page_id: (x.url, x.record_type, x.payload_bytes) for x in warc.read(chunks).collect()}
+    assert got == {i: (u, "revisit" if i == 2 else "response", len(h.encode())) for i, u, h in sample}
+    bodies = {}
+    for x in warc.payloads(chunks).orderBy("record", "chunk").collect():
+        bodies[x.record] = bodies.get(x.record, b"") + x.data
+    assert sorted(bodies.values()) == sorted([body.encode(), b"", b"", b"other"])
+
+
 def test_payloads_below_the_bound_are_never_revisits(spark):
     pages = spark.createDataFrame([(1, "a", "ab"), (2, "b", "ab"), (3, "c", "abcdef"), (4, "d", "abcdef")], "page_id long, url string, html string")
     got = {r.page_id: r.record_type for r in warc.read(warc.write(pages, least=3)).collect()}
