@@ -1,9 +1,10 @@
-"""WARC archives as tables of chunks, written and read record by record in bounded memory.
+"""WARC archives as tables of chunks, read chunk by chunk in bounded memory.
 
 An archive is a table (record, chunk, data): the chunks of a record in order are its bytes as WARC 1.1 writes them, and
-all records one after another are a WARC file. A payload larger than a chunk goes over as many rows as it needs. Writer
-and reader handle one chunk at a time, with the digest carried along. Equal payloads are stored once: the record with
-the smallest id keeps the payload, the others are revisits that refer to it.
+all records one after another are a WARC file. A payload larger than a chunk goes over as many rows as it needs. The
+reader handles one chunk at a time, with the digest carried along. The writer takes the digest of a whole payload and
+holds an Arrow batch of whole payloads; only what it writes is cut into chunks. Equal payloads are stored once: the
+record with the smallest id keeps the payload, the others are revisits that refer to it.
 """
 
 from __future__ import annotations
