@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfline.llm import jaccard, language, leaks, packing, substrings
 from shelfline.llm.frames import fold, table
-from shelfline.session import scratch_dir
+from shelfline.session import scratch_dir, stored
 
 # Tokenizers, learned models and suffix automata have no SQL
 ORACLE_SQL = None
@@ -21,6 +21,21 @@ ORACLE_SQL = None
 LEAST_SHARE = 0.5  # of a document's words that its language has to cover
 
 
+KEY = "_key"  # a column that tells rows apart
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a unique key in the order of their ids: the id itself where every row has one of its own.
+
+    Otherwise the rows are written once, in the order of id (null last) and text, and numbered.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn(KEY, F.col("doc_id").cast("long"))
+    placed = docs.withColumn(KEY, F.monotonically_increasing_id())  # so that equal rows need not lie in one task
+    placed = placed.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), KEY)
+    return stored(placed.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without a letter, or with no language for half their words, go."""
     model = language.fit(docs.where(fold(F.col("doc_id")) != 2))
@@ -30,21 +45,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; a null id goes with its group."""
-    groups = jaccard.near_groups(docs)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    """One row of each group of near duplicates, the one with the smallest id; a row without a word stays.
+
+    Rows count one by one, whether or not their id is null or repeated; a null id comes after all others.
+    """
+    rows = keyed(docs)
+    groups = jaccard.near_groups(rows, id_col=KEY).where("doc_id = component_id").select(F.col("doc_id").alias(KEY))
+    return rows.join(groups, KEY, "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that also stand earlier; n_chars follows; a document of nothing else goes."""
-    kept = substrings.cut_out(docs, substrings.repeated_spans(docs))
+    rows = keyed(docs)
+    kept = substrings.cut_out(rows, substrings.repeated_spans(rows, id_col=KEY), id_col=KEY)
     return kept.withColumn("n_chars", F.length("text").cast("long")).where("text IS NOT NULL AND n_chars > 0").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an item of the benchmark."""
-    leaked = leaks.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti")
+    rows = keyed(docs)
+    leaked = leaks.find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col=KEY).select(F.col("doc_id").alias(KEY)).distinct()
+    return rows.join(leaked, KEY, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

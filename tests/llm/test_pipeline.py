@@ -48,3 +48,37 @@ def test_no_documents_at_all(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_with_null_and_repeated_ids_count_one_by_one(spark, tmp_path):
+    """One row of each group, nothing of a clean text lost, whatever the ids are."""
+    r = random.Random(8)
+    alone, twice, near, other, shared, item, passage = (prose(r, 80) for _ in range(7))
+    changed = near.replace(near.split()[40], "changed")
+    leaked, clean, first, second = f"{prose(r, 40)} {item} {prose(r, 40)}", prose(r, 90), f"{passage}\n{prose(r, 50)}", f"{prose(r, 50)}\n{passage}"
+    sample = [
+        (None, alone), (5, twice), (5, twice), (6, near), (7, changed), (7, other), (None, shared), (None, shared), (8, shared),
+        (9, leaked), (9, clean), (None, leaked + " end"), (3, first), (3, second),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in sample], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    now = corpus_pipeline.drop_near_duplicates(spark, now, str(tmp_path))
+    want = [(None, alone), (5, twice), (6, near), (7, other), (8, shared), (9, leaked), (9, clean), (3, first), (3, second)]
+    assert sorted(((x.doc_id, x.text) for x in now.collect()), key=str) == sorted(want, key=str)
+    assert now.columns == docs.columns
+    now.write.parquet(f"{tmp_path}/one")
+    now = corpus_pipeline.cut_repeats(spark, spark.read.parquet(f"{tmp_path}/one"), str(tmp_path))
+    assert sum(passage.split()[20:60] == x.text.split()[a : a + 40] for x in now.collect() for a in range(len(x.text.split()))) == 1
+    now.write.parquet(f"{tmp_path}/two")
+    now = corpus_pipeline.decontaminate(spark, spark.read.parquet(f"{tmp_path}/two"), str(tmp_path))
+    left = sorted(((x.doc_id, x.text) for x in now.where("doc_id != 3 OR doc_id IS NULL").collect()), key=str)
+    assert left == sorted([(None, alone), (5, twice), (6, near), (7, other), (8, shared), (9, clean)], key=str)
+    again = spark.createDataFrame([(None, leaked), (9, clean), (9, leaked)], "doc_id long, text string")
+    assert [x.text for x in corpus_pipeline.decontaminate(spark, again, str(tmp_path)).collect()] == [clean]
+
+
+def test_rows_without_words_stay(spark, tmp_path):
+    docs = spark.createDataFrame([(None, None), (None, " "), (1, ""), (1, "")], "doc_id long, text string")
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).count() == 4
