@@ -18,9 +18,6 @@ from shelfline.session import scratch_dir, stored
 # Tokenizers, learned models and suffix automata have no SQL
 ORACLE_SQL = None
 
-LEAST_SHARE = 0.5  # of a document's words that its language has to cover
-
-
 KEY = "_key"  # a column that tells rows apart
 
 
@@ -37,11 +34,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without a letter, or with no language for half their words, go."""
+    """Documents whose language is known; those without a letter go, those in several languages stay."""
     model = language.fit(docs.where(fold(F.col("doc_id")) != 2))
     found = language.label(docs, model, into="_language")
-    known = (F.col("_language.lang_pred") != language.UNKNOWN) & (F.col("_language.score") >= LEAST_SHARE)
-    return found.where(known).select(*docs.columns)
+    return found.where(F.col("_language.lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,3 +82,14 @@ def test_rows_with_null_and_repeated_ids_count_one_by_one(spark, tmp_path):
 def test_rows_without_words_stay(spark, tmp_path):
     docs = spark.createDataFrame([(None, None), (None, " "), (1, ""), (1, "")], "doc_id long, text string")
     assert corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).count() == 4
+
+
+def test_documents_in_several_languages_stay(spark, tmp_path):
+    r = random.Random(2)
+    tongues = {"aa": ["kalo", "kamo", "kolana", "makalo"], "bb": ["strich", "schrift", "tritsch", "strift"], "cc": ["ouvelle", "ellevue", "vueille", "queue"]}
+    say = {lang: lambda n, w=w: " ".join(r.choice(w) for _ in range(n)) for lang, w in tongues.items()}
+    sample = [(i, say[lang](60), lang) for i, lang in enumerate(list(tongues) * 20)]
+    sample += [(100, f"{say['aa'](40)}\n{say['bb'](35)}\n{say['cc'](25)}", None), (101, "12 34", None)]
+    docs = spark.createDataFrame([(i, t, x, "s", len(t)) for i, t, x in sample], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id for x in corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()}
+    assert got == {i for i, _, _ in sample} - {101}
