@@ -23,6 +23,7 @@ from shelfline.llm.text import NOT_ALNUM, mix, words_of
 _U = np.uint64
 TOLERANCE = 0.2
 RECALL = 0.999
+BLOCK_WORDS = 1 << 18  # words of the windows that are walked at once, about
 SAMPLED = 3  # steps of the walk that one repetition compares
 AGREE = 0.55  # least share of steps in which the walks of a leaked copy and its item agree
 ITEM_WORDS = 2_000_000  # words of the benchmark that are sent to the tasks at once; more are taken in blocks
@@ -34,16 +35,21 @@ def repetitions(recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - AGREE**SAMPLED))
 
 
-def embed(windows: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """CGK walks: (window, seed, step) for windows of equal size, given as word hashes; 0 stands for the end."""
+def embed(windows: np.ndarray, seeds: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """What CGK walks meet at some steps: (window, seed, sample), for steps (seed, sample) and windows of equal size.
+
+    Windows are given as word hashes; 0 stands for the end. Of a walk of three times the window's size only these steps
+    are held.
+    """
     count, size = windows.shape
     padded = np.concatenate([windows, np.zeros((count, 1), _U)], axis=1)
     at = np.zeros((count, len(seeds)), np.int64)
     rows = np.arange(count)[:, None]
-    out = np.empty((count, len(seeds), 3 * size), _U)
+    out = np.empty((count, *steps.shape), _U)
     for j in range(3 * size):
         word = padded[rows, at]
-        out[:, :, j] = word
+        seed, sample = np.nonzero(steps == j)
+        out[:, seed, sample] = word[:, seed]
         move = (mix(word + seeds[None, :] + _U(j * 0x9E3779B97F4A7C15 % (1 << 64))) & _U(1)).astype(np.int64)
         at = np.minimum(at + move, size)
     return out
@@ -78,9 +84,7 @@ class Items:
         self.walks = [self.sampled(item[None, :])[0] for item in self.words]
 
     def sampled(self, windows: np.ndarray) -> np.ndarray:
-        walk = embed(windows, self.seeds)
-        steps = (self.steps * walk.shape[2]).astype(np.int64)
-        return walk[:, np.arange(len(self.seeds))[:, None], steps]
+        return embed(windows, self.seeds, (self.steps * (3 * windows.shape[1])).astype(np.int64))
 
 
 def _grams(rows: np.ndarray) -> np.ndarray:
@@ -149,8 +153,9 @@ def _verified(items: Items, i: int, owner, starts, hashes, first, ids) -> list[t
     item, k = items.words[i], items.edits[i]
     size = len(item)
     out = []
-    for a in range(0, len(starts), 512):
-        who, begin = owner[a : a + 512], starts[a : a + 512]
+    block = max(1, min(512, BLOCK_WORDS // size))
+    for a in range(0, len(starts), block):
+        who, begin = owner[a : a + block], starts[a : a + block]
         at = begin[:, None] + np.arange(size)
         inside = (at >= first[who][:, None]) & (at < first[who + 1][:, None])
         windows = np.where(inside, hashes[np.clip(at, 0, len(hashes) - 1)], _U(1))

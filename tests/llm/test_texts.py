@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -226,6 +227,24 @@ def test_leaks_equal_brute_force(spark, texts):
     assert leaks.find_leaks(texts(sample), table.where("false")).count() == 0
 
 
+def test_walks_of_long_items_hold_only_their_samples():
+    r = random.Random(9)
+    items = leaks.Items([1], [prose(r, 600)], leaks.TOLERANCE, leaks.RECALL)
+    windows = np.random.default_rng(9).choice(items.words[0], (200, 600))
+    tracemalloc.start()
+    got = items.sampled(windows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6  # all steps are 109 MB
+    for w, seed in [(0, 0), (7, 3), (199, len(items.seeds) - 1)]:
+        at, walk = 0, []
+        for j in range(3 * 600):
+            word = np.append(windows[w], leaks._U(0))[at : at + 1]
+            walk.append(word[0])
+            at = min(at + int(leaks.mix(word + items.seeds[seed : seed + 1] + leaks._U(j * 0x9E3779B97F4A7C15 % (1 << 64)))[0] & leaks._U(1)), 600)
+        assert got[w, seed].tolist() == [walk[int(s * 1800)] for s in items.steps[seed]]
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é</p>" * 900
     rows = [(1, "http://a/", "x"), (2, "http://b/", big), (3, None, big), (4, "http://c/\r\nX: y", "x"), (5, "u", None), (6, "u", "")]
