@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import jaccard, language, leaks, licenses, packing, quality, substrings, urls, vectors, warc
+from shelfline.llm import alignment, jaccard, language, leaks, licenses, negatives, packing, quality, substrings, swaps, urls, vectors, warc
 from shelfline.llm.frames import fold, table
 from shelfline.session import scratch_dir
 
@@ -99,6 +99,24 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, with every seventh label moved on by one."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(moved, F.col("vec_id") % 100 == 0)
+
+
+def op12_swap_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in as few sequences of 2048 tokens as a local search finds."""
+    return swaps.pack(table(spark, folder, "documents"))
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers, over all documents."""
+    found = alignment.alignment(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
@@ -110,4 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_swap_packing": op12_swap_packing,
+    "op13_alignment": op13_alignment,
 }

@@ -12,7 +12,7 @@ from .conftest import prose
 
 def test_all_operators_are_registered():
     names = __spark_entry__.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
