@@ -58,6 +58,11 @@ def ratio_or_zero(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator == 0, F.lit(0.0)).otherwise(ratio(numerator, denominator))
 
 
+def decimal_sum(amount: ColumnLike) -> Column:
+    """A sum of amounts, each rounded to six decimal places, that stays a decimal and so can be summed again."""
+    return F.sum(as_column(amount).cast("decimal(28,6)"))
+
+
 def exact_sum(amount: ColumnLike) -> Column:
-    """A sum of amounts that does not depend on the order of the rows: added up to the sixth decimal place."""
-    return F.sum(as_column(amount).cast("decimal(28,6)")).cast("double")
+    """A sum of amounts that does not depend on the order of the rows: each is rounded to six decimal places first."""
+    return decimal_sum(amount).cast("double")

@@ -1,7 +1,8 @@
 """Bronze, silver and gold in order. A layer starts when the one before it is written.
 
 Each table is written once and read back where a later one needs it, so nothing is computed twice and a lost executor
-costs at most the work of the table at hand.
+costs at most the work of the table at hand. A layer comes into force when all its tables are written; until then, and
+if its build fails, readers have the one before.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from shelfline.plans import affinity, kpis, silver
 from shelfline.session import build_session
 from shelfline.sources.tables import (
     BRONZE_TABLES,
+    Layer,
     read_table,
     register_model,
-    reset_layer,
     write_table,
 )
 
@@ -44,14 +45,17 @@ class Options:
 
 def load_bronze(spark: SparkSession, tables: dict[str, DataFrame], bronze: str, fmt: str = "parquet") -> None:
     """Write the raw tables."""
-    reset_layer(spark, bronze)
-    for name in BRONZE_TABLES:
-        write_table(tables[name], bronze, name, fmt)
+    with Layer(spark, bronze).rebuild() as build:
+        for name in BRONZE_TABLES:
+            write_table(tables[name], build, name, fmt)
 
 
 def build_silver(spark: SparkSession, bronze: str, ns: str, options: Options = Options()) -> None:
-    reset_layer(spark, ns)
+    with Layer(spark, ns).rebuild() as build:
+        _silver_tables(spark, bronze, build, options)
 
+
+def _silver_tables(spark: SparkSession, bronze: str, ns: str, options: Options) -> None:
     def raw(name: str) -> DataFrame:
         return read_table(spark, bronze, name)
 
@@ -77,8 +81,11 @@ def build_silver(spark: SparkSession, bronze: str, ns: str, options: Options = O
 
 
 def build_gold(spark: SparkSession, ns_silver: str, ns: str, options: Options = Options()) -> None:
-    reset_layer(spark, ns)
+    with Layer(spark, ns).rebuild() as build:
+        _gold_tables(spark, ns_silver, build, options)
+
 
+def _gold_tables(spark: SparkSession, ns_silver: str, ns: str, options: Options) -> None:
     def read(name: str) -> DataFrame:
         return read_table(spark, ns_silver, name)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.functions.money import exact_sum, ratio
+from shelfline.functions.money import decimal_sum, exact_sum, ratio
 from shelfline.operators.ranking import top_per_group
 
 # fixed value: products listed per category
@@ -27,28 +27,28 @@ def _with_promo() -> Column:
 
 def aov_overall(summary: DataFrame) -> DataFrame:
     """Mean basket value; orders without lines have no value and do not count."""
-    return summary.agg(F.avg("basket_value").alias("aov"))
+    return summary.agg(ratio(exact_sum("basket_value"), F.count("basket_value")).alias("aov"))
 
 
 def aov_by_region_channel(summary: DataFrame, stores: DataFrame) -> DataFrame:
     """Orders, revenue and mean basket value by region and channel."""
     per_store = summary.groupBy("store_id").agg(
         F.count("order_id").alias("orders"),
-        F.sum("basket_value").alias("revenue"),
+        decimal_sum("basket_value").alias("revenue"),
         F.count("basket_value").alias("valued"),
     )
     by_place = orders_enriched(per_store, stores).groupBy("region", "channel")
     return by_place.agg(
         F.sum("orders").alias("orders"),
-        F.sum("revenue").alias("revenue"),
-        ratio(F.sum("revenue"), F.sum("valued")).alias("aov"),
+        exact_sum("revenue").alias("revenue"),
+        ratio(exact_sum("revenue"), F.sum("valued")).alias("aov"),
     )
 
 
 def aov_by_brand(sales: DataFrame) -> DataFrame:
     """Mean, over the orders that hold a brand, of the value they hold of it."""
-    per_order = sales.groupBy("order_id", "brand").agg(F.sum("line_value").alias("value"))
-    return per_order.groupBy("brand").agg(F.avg("value").alias("aov_brand"))
+    per_order = sales.groupBy("order_id", "brand").agg(decimal_sum("line_value").alias("value"))
+    return per_order.groupBy("brand").agg(ratio(exact_sum("value"), F.count("value")).alias("aov_brand"))
 
 
 def product_sales(sales: DataFrame, dim_product: DataFrame) -> DataFrame:
@@ -75,15 +75,15 @@ def regional_split(sales: DataFrame, summary: DataFrame, stores: DataFrame) -> D
     Lines are summed per order and brand before they meet the orders, so a very large order arrives as a few rows,
     and an order then counts once for each of its brands.
     """
-    per_order = sales.groupBy("order_id", "brand").agg(F.sum("qty").alias("qty"), F.sum("line_value").alias("revenue"))
+    per_order = sales.groupBy("order_id", "brand").agg(F.sum("qty").alias("qty"), decimal_sum("line_value").alias("revenue"))
     known = summary.select("order_id", "store_id", F.lit(1).alias("known"))
     per_store = (
         per_order.join(known, "order_id", "left")
         .groupBy("store_id", "brand")
-        .agg(F.count("known").alias("orders"), F.sum("qty").alias("qty"), F.sum("revenue").alias("revenue"))
+        .agg(F.count("known").alias("orders"), F.sum("qty").alias("qty"), decimal_sum("revenue").alias("revenue"))
     )
     by_place = orders_enriched(per_store, stores).groupBy("region", "channel", "brand")
-    return by_place.agg(F.sum("orders").alias("orders"), F.sum("qty").alias("qty"), F.sum("revenue").alias("revenue"))
+    return by_place.agg(F.sum("orders").alias("orders"), F.sum("qty").alias("qty"), exact_sum("revenue").alias("revenue"))
 
 
 def promo_share_orders(summary: DataFrame) -> DataFrame:

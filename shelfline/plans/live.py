@@ -16,6 +16,8 @@ from shelfline.operators.pairs import BULKY, pair_counts
 from shelfline.operators.ranking import top_n
 from shelfline.operators.retention import last
 from shelfline.operators.series import aligned_bin, cumulative, make_series
+from shelfline.operators.sketches import bin_sketches
+from shelfline.operators.top_pairs import top_pairs as top_pairs_of
 from shelfline.session import stored
 
 # fixed values: how far back the figures look, and their bin length
@@ -115,9 +117,13 @@ def _pairs_of(products: DataFrame, bulky: int = BULKY) -> DataFrame:
     )
 
 
-def _top(pairs: DataFrame, n: int) -> DataFrame:
-    top = top_n(pairs, "pair_count", n, ["product_a", "product_b"])
-    return top.select(pair_key("product_a", "product_b").alias("pair_key"), "product_a", "product_b", "pair_count")
+def _top(products: DataFrame, n: int) -> DataFrame:
+    """The pairs in most combinations, with a readable key; rarer pairs are not counted."""
+    top = top_pairs_of(products, n, group="combination_id", item="product_id")
+    top = top.select(F.col("item_a").alias("product_a"), F.col("item_b").alias("product_b"), F.col("pair_cnt").alias("pair_count"))
+    return top_n(top, "pair_count", n, ["product_a", "product_b"]).select(
+        pair_key("product_a", "product_b").alias("pair_key"), "product_a", "product_b", "pair_count"
+    )
 
 
 def sold_pairs(
@@ -132,7 +138,7 @@ def top_sold_pairs(
     combo_items: DataFrame, orders: DataFrame, as_of: Column, length: str = TRAILING, n: int = 20
 ) -> DataFrame:
     """The pairs found in most sold combinations, with a readable key."""
-    return _top(sold_pairs(combo_items, orders, as_of, length), n)
+    return _top(_sold_products(combo_items, orders, as_of, length), n)
 
 
 def top_pairs(
@@ -142,6 +148,23 @@ def top_pairs(
     return top_sold_pairs(combo_items, orders, as_of, length, n).withColumnRenamed("pair_count", "combo_count")
 
 
+def holding(products: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(combination_id, pair_key): which combinations hold both products of the given pairs; no other pair is formed."""
+    sides = pairs.select("pair_key", F.explode(F.array("product_a", "product_b")).alias("product_id"))
+    both = products.join(F.broadcast(sides), "product_id").groupBy("combination_id", "pair_key").agg(F.count(F.lit(1)).alias("sides"))
+    return both.where(F.col("sides") == 2).drop("sides")
+
+
+def pair_sketches(orders: DataFrame, combo_items: DataFrame, pairs: DataFrame, start: Column, step: str = STEP) -> DataFrame:
+    """(pair_key, event_time, sketch): mergeable sketches of the combinations sold per pair and bin, bins from `start` on.
+
+    `pairs` has pair_key, product_a, product_b and few rows.
+    """
+    sold = orders.where(not_empty("combination_id") & (F.col("event_time") >= start))
+    binned = sold.select("combination_id", aligned_bin(F.col("event_time"), start, step).alias("event_time")).distinct()
+    return bin_sketches(binned.join(holding(combo_products(combo_items), pairs), "combination_id"), ["pair_key"], "event_time", "combination_id")
+
+
 def pair_series(
     orders: DataFrame,
     combo_items: DataFrame,
@@ -158,18 +181,11 @@ def pair_series(
     """
     start = as_of - interval(length)
     products = _sold_products(combo_items, orders, as_of, length)
-    top = _top(_pairs_of(products), n)
-    sides = top.select("pair_key", F.explode(F.array("product_a", "product_b")).alias("product_id"))
-    holding = (
-        products.join(F.broadcast(sides), "product_id")
-        .groupBy("combination_id", "pair_key")
-        .agg(F.count(F.lit(1)).alias("sides"))
-        .where(F.col("sides") == 2)
-    )
+    top = _top(products, n)
     sold = _sold(orders, as_of, length).where(F.col("event_time") < as_of)
     sold_bins = sold.select("combination_id", aligned_bin(F.col("event_time"), start, step).alias("event_time")).distinct()
     binned = (
-        sold_bins.join(holding, "combination_id")
+        sold_bins.join(holding(products, top), "combination_id")
         .groupBy("pair_key", "event_time")
         .agg(F.count(F.lit(1)).alias("combinations"))
     )

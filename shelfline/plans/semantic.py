@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.functions.money import exact_sum, ratio
+from shelfline.functions.money import decimal_sum, exact_sum, ratio
 from shelfline.sources.tables import read_table
 
 PRODUCT_ATTRIBUTES = ["product_name", "category", "brand"]
@@ -42,31 +42,63 @@ def _with_basket_dims(model: Model, df: DataFrame, columns: set[str]) -> DataFra
     return df
 
 
-def _basket_star(model: Model, columns: set[str]) -> DataFrame:
-    return _with_basket_dims(model, model.fact_basket_summary, columns)
+def _basket_keys(columns: set[str]) -> list[str]:
+    """The columns of the baskets that lead to these attributes."""
+    keys = [name for name in BASKET_ATTRIBUTES if name in columns]
+    if columns & set(STORE_ATTRIBUTES) and "store_id" not in keys:
+        keys.append("store_id")
+    return keys + ["order_date"] * bool(columns & set(DATE_ATTRIBUTES))
+
+
+def _basket_star(model: Model, columns: set[str], parts: dict[str, Column], more: Sequence[str] = ()) -> DataFrame:
+    """Counts of the baskets per key that leads to the attributes, with these: stores and dates meet counts, not orders."""
+    keys = list(dict.fromkeys([*_basket_keys(columns), *more]))
+    return _with_basket_dims(model, _aggregate(model.fact_basket_summary, keys, parts), columns)
+
+
+def _rolled_star(model: Model, columns: set[str]) -> DataFrame:
+    """Sums of the lines by product, basket, store and date attributes, with the sums taken before each join:
+
+    per order and product attributes, so that the orders meet no single lines, then per store, day and basket
+    attributes, so that stores and dates meet no orders.
+    """
+    attributes, keys = [name for name in PRODUCT_ATTRIBUTES if name in columns], _basket_keys(columns)
+    sums = [F.sum("qty").alias("qty"), decimal_sum("line_value").alias("line_value")]
+    lines = model.fact_sales_item.select("order_id", "product_id", "qty", "line_value")
+    lines = lines.join(model.dim_product.select("product_id", *attributes), "product_id", "left")
+    per_order = lines.groupBy("order_id", *attributes).agg(*sums)
+    heads = model.fact_basket_summary.select("order_id", *keys)
+    placed = per_order.join(heads, "order_id", "left").groupBy(*keys, *attributes).agg(*sums)
+    return _with_basket_dims(model, placed, columns)
 
 
 def star_view(model: Model, columns: Sequence[str] | None = None, *, rolled_up: bool = False) -> DataFrame:
     """Order lines with the attributes of their product, basket, store and date.
 
     With `columns` given, only the joins that provide one of them are made. `rolled_up` sums quantity and value of the
-    lines per product, or per order, when no other key is needed to reach those columns. The sums stay the same, the
-    joins get smaller, and a product or order with very many lines arrives as one row. When both keys are needed, a
-    line is the finest row anyway, and a hot key is left to the adaptive skew join.
+    lines before each join, down to the keys that lead to those columns. The sums stay the same, the joins get smaller,
+    and a product or order with very many lines arrives as one row. Only the join of lines and products, where attributes
+    of both products and orders are asked for, meets single lines; a hot product is left to the adaptive skew join.
     """
     every = PRODUCT_ATTRIBUTES + STORE_ATTRIBUTES + DATE_ATTRIBUTES + BASKET_ATTRIBUTES
     wanted = set(every if columns is None else columns)
     by_product = bool(wanted & set(PRODUCT_ATTRIBUTES))
     by_order = bool(wanted - set(PRODUCT_ATTRIBUTES))
+    if rolled_up and by_product and by_order:
+        return _rolled_star(model, wanted)
     star = model.fact_sales_item.select("order_id", "product_id", "qty", "unit_price", "line_value")
     if rolled_up and by_product != by_order:
         key = "product_id" if by_product else "order_id"
-        star = star.groupBy(key).agg(F.sum("qty").alias("qty"), exact_sum("line_value").alias("line_value"))
+        star = star.groupBy(key).agg(F.sum("qty").alias("qty"), decimal_sum("line_value").alias("line_value"))
     if by_product:
         star = star.join(model.dim_product.select("product_id", *PRODUCT_ATTRIBUTES), "product_id", "left")
     if by_order:
         heads = model.fact_basket_summary.select("order_id", "order_date", *BASKET_ATTRIBUTES)
-        star = _with_basket_dims(model, star.join(heads, "order_id", "left"), wanted)
+        star = star.join(heads, "order_id", "left")
+        if rolled_up:
+            sums = [F.sum("qty").alias("qty"), decimal_sum("line_value").alias("line_value")]
+            star = star.groupBy(*_basket_keys(wanted)).agg(*sums)
+        star = _with_basket_dims(model, star, wanted)
     return star
 
 
@@ -171,12 +203,14 @@ def evaluate(
         star = star_view(model, [*by, *filters], rolled_up=True)
         sales = _aggregate(_filtered(star, filters), by, sales_parts)
     if basket_parts or user_parts:
-        star = _filtered(_basket_star(model, {*shared, *shared_filters}), shared_filters)
+        added = {name: F.coalesce(F.sum(name), F.lit(0)) for name in basket_parts}
+        promoted = {"_promoted": F.max(F.coalesce("promo_flag", F.lit(False)))} if user_parts else {}
+        star = _basket_star(model, {*shared, *shared_filters}, basket_parts | promoted, ["user_id"] if user_parts else [])
+        star = _filtered(star, shared_filters)
         if user_parts:
-            # one row per user first, with the counts of the baskets; counts then add up
-            promoted = F.max(F.coalesce("promo_flag", F.lit(False)))
-            star = _aggregate(star, list(dict.fromkeys([*shared, "user_id"])), basket_parts | {"_promoted": promoted})
-            basket_parts = {name: F.coalesce(F.sum(name), F.lit(0)) for name in basket_parts} | user_parts
+            # one row per user, with the counts of the baskets
+            star = _aggregate(star, list(dict.fromkeys([*shared, "user_id"])), added | {"_promoted": F.max("_promoted")})
+        basket_parts = added | user_parts
         baskets = _aggregate(star, shared, basket_parts)
 
     if sales is None:

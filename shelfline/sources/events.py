@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -40,25 +41,69 @@ def publish(events: DataFrame, target: str | dict[str, str]) -> None:
         events.select("value").write.mode("append").text(target)
 
 
+UNFIT = " does not fit"
+
+
+def _given(value: Column) -> Column:
+    return value.isNotNull() & ~F.is_variant_null(value)
+
+
+def _looker(read: Column, dtype: T.DataType, name: str) -> Callable[[Column, Column], Column]:
+    """Of an element of an array and its place: the first field that was sent and not read."""
+
+    def look(x: Column, i: Column) -> Column:
+        whole = F.when(_given(x) & F.get(read, i).isNull(), F.lit(f"{name}[]"))
+        return F.coalesce(whole, _lost(x, F.get(read, i), dtype, f"{name}[].")) if isinstance(dtype, T.StructType) else whole
+
+    return look
+
+
+def _lost(sent: Column, read: Column, dtype: T.StructType, path: str = "") -> Column:
+    """The first field of a record that was sent, as a variant, and is NULL in what was read; NULL if there is none.
+
+    Elements of arrays are looked into, so a price inside one item counts too.
+    """
+
+    found = []
+    for f in dtype.fields:
+        name, value, got = f"{path}{f.name}", F.try_variant_get(sent, f"$['{f.name}']", "variant"), read[f.name]
+        found.append(F.when(_given(value) & got.isNull(), F.lit(name)))
+        if isinstance(f.dataType, T.StructType):
+            found.append(_lost(value, got, f.dataType, f"{name}."))
+        elif isinstance(f.dataType, T.ArrayType):
+            each, inner = F.try_variant_get(value, "$", "array<variant>"), f.dataType.elementType
+
+            found.append(F.get(F.filter(F.transform(each, _looker(got, inner, name)), lambda x: x.isNotNull()), F.lit(0)))
+    return F.coalesce(*found)
+
+
 def judge_messages(raw: DataFrame, schema: T.StructType, column: str = "value", time: str = "event_time") -> DataFrame:
     """Each message as `value`, its parsed `event`, and in `reason` why it cannot be taken, NULL if it can.
 
-    A single field that does not fit its type becomes NULL. Text that is no JSON, or of which no field can be read, and
-    messages whose time is present but unreadable are not taken.
+    Not taken are text that is no JSON or of which no field is known, messages with a field that does not fit its type
+    (the reason names it, as in `items[].price does not fit`), and those whose time is present but unreadable. Only
+    messages that the parser marks as not wholly read are looked into field by field.
     """
-    value = F.col(column).cast("string")
+    value, unread = F.col(column).cast("string"), "_unread"
     known = reduce(or_, [F.col(f"event.{name}").isNotNull() for name in schema.fieldNames()])
-    reason = F.when(F.try_parse_json("value").isNull(), "no JSON").when(~known, "no known field")
+    lost = F.when(F.col(f"event.{unread}").isNotNull(), _lost(F.try_parse_json("value"), F.col("event"), schema))
+    reason = F.when(F.try_parse_json("value").isNull(), "no JSON").when(~known & lost.isNull(), "no known field")
+    reason = reason.when(lost.isNotNull(), F.concat(lost, F.lit(UNFIT)))
     if time in schema.fieldNames():
         given = F.col(f"event.{time}")
         reason = reason.when(given.isNotNull() & event_time(given).isNull(), "unreadable time")
-    judged = raw.select(value.alias("value")).withColumn("event", F.from_json("value", schema))
-    return judged.withColumn("reason", reason)
+    marked = T.StructType([*schema.fields, T.StructField(unread, T.StringType())])
+    parsed = F.from_json("value", marked, {"columnNameOfCorruptRecord": unread})
+    judged = raw.select(value.alias("value")).withColumn("event", parsed).withColumn("reason", reason)
+    return judged.withColumn("event", F.col("event").dropFields(unread))
 
 
 def parse_events(raw: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
-    """The events of the messages that can be taken; `rejected` has the others."""
-    return judge_messages(raw, schema, column).where("reason IS NULL").select("event.*")
+    """The events of the messages that can be read, if only in part: a field that does not fit is NULL here.
+
+    What lands takes no such message: there `rejected` has it, with the field.
+    """
+    return judge_messages(raw, schema, column).where(F.col("reason").isNull() | F.col("reason").endswith(UNFIT)).select("event.*")
 
 
 def rejected(judged: DataFrame, arrival: Column) -> DataFrame:
@@ -71,10 +116,11 @@ def read_messages(spark: SparkSession, source: str | dict[str, str]) -> DataFram
 
     `source` is a folder of text files with one message per line, or source options: with a `path` those of such a
     folder (`maxFilesPerTrigger`, ...), else those of a Kafka source (`kafka.bootstrap.servers`, `subscribe`,
-    `maxOffsetsPerTrigger`, ...).
+    `maxOffsetsPerTrigger`, ...). Unless they say otherwise a batch takes a bounded part of a backlog.
     """
     options = source if isinstance(source, dict) else {"path": source}
     fmt = "text" if "path" in options else "kafka"
+    options = ({"maxFilesPerTrigger": "1000"} if fmt == "text" else {"maxOffsetsPerTrigger": "5000000"}) | options
     return spark.readStream.format(fmt).options(**options).load()
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,13 +115,69 @@ def write_table(
 
 
 def reset_layer(spark: SparkSession, ns: str, retired: Iterable[str] = ()) -> None:
-    """Prepare a layer for a rebuild. Its tables stay readable until each is overwritten, so a build that fails leaves
-    the old ones; only tables that are named as retired are dropped."""
+    """A namespace for plain tables, without those named as retired. `Layer` rebuilds a layer as a whole."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {ns}")
     for name in retired:
         spark.sql(f"DROP TABLE IF EXISTS {ns}.`{name}`")
 
 
+class Layer:
+    """A layer whose tables are rebuilt as a whole: each build fills a namespace of its own, and the layer's names are views
+    on the build in force.
+
+    ```
+    with Layer(spark, "gold").rebuild() as build:   # a namespace such as gold__v7
+        write_table(df, build, "sales")
+    ```
+
+    The views move to the new build when the block ends well; then names that it does not have disappear, and builds
+    older than the one before it, which readers may still be in, are dropped. A build that fails leaves every name on the
+    old rows, and its own tables go with the next one.
+    """
+
+    def __init__(self, spark: SparkSession, ns: str) -> None:
+        self.spark, self.ns = spark, ns
+
+    def builds(self) -> list[int]:
+        """Numbers of the builds that exist, whole or not."""
+        names = [r[0].rpartition(".")[2] for r in self.spark.sql(f"SHOW DATABASES LIKE '{self.ns}__v*'").collect()]
+        ends = [n.removeprefix(f"{self.ns}__v".lower()) for n in (x.lower() for x in names)]
+        return sorted(int(e) for e in ends if e.isdigit())
+
+    def current(self) -> int | None:
+        """The build in force."""
+        if not self.spark.catalog.databaseExists(self.ns):
+            return None
+        found = self.spark.sql(f"DESCRIBE DATABASE EXTENDED {self.ns}").where("info_name = 'Properties'").first()
+        number = re.search(r"\(build,(\d+)\)", found[1] if found else "")
+        return int(number[1]) if number else None
+
+    @contextmanager
+    def rebuild(self) -> Iterator[str]:
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.ns}")
+        number = max([0, *self.builds()]) + 1
+        build = f"{self.ns}__v{number}"
+        self.spark.sql(f"CREATE DATABASE {build}")
+        yield build
+        self._switch(build, number)
+
+    def _switch(self, build: str, number: int) -> None:
+        before = self.current()
+        names = [r.tableName for r in self.spark.sql(f"SHOW TABLES IN {build}").collect() if not r.isTemporary]
+        have = [r.tableName for r in self.spark.sql(f"SHOW TABLES IN {self.ns}").collect() if not r.isTemporary]
+        views = {r.viewName for r in self.spark.sql(f"SHOW VIEWS IN {self.ns}").collect() if not r.isTemporary}
+        for name in names:
+            if name in have and name not in views:  # a table from before there were builds
+                self.spark.sql(f"DROP TABLE {self.ns}.`{name}`")
+            self.spark.sql(f"CREATE OR REPLACE VIEW {self.ns}.`{name}` AS SELECT * FROM {build}.`{name}`")
+        self.spark.sql(f"ALTER DATABASE {self.ns} SET DBPROPERTIES ('build' = '{number}')")
+        for name in set(have) - set(names):
+            self.spark.sql(f"DROP {'VIEW' if name in views else 'TABLE'} IF EXISTS {self.ns}.`{name}`")
+        for old in self.builds():
+            if old not in (number, before):
+                self.spark.sql(f"DROP DATABASE IF EXISTS {self.ns}__v{old} CASCADE")
+
+
 def register_model(spark: SparkSession, silver: str, gold: str, views: str | None = None) -> list[str]:
     """Views over the tables that reports read; returns their names.
 

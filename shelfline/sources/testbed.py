@@ -311,8 +311,8 @@ def combo_items_of(orders: DataFrame) -> DataFrame:
     )
 
 
-def catalog_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Catalog documents of at most 100 products, each mapping a category to its products."""
+def catalog_documents(spark: SparkSession, sf: str, **layout: str) -> DataFrame:
+    """Catalog documents of at most 100 products, each mapping a category to its products; `layout` is for `to_json`."""
     part = table(spark, sf, "part")
     product = F.struct(
         _product_id("p_partkey").alias("id"),
@@ -326,7 +326,7 @@ def catalog_documents(spark: SparkSession, sf: str) -> DataFrame:
     )
     groups = part.groupBy(F.lower("p_type").alias("category"), F.floor(F.col("p_partkey") / 100).alias("page"))
     listed = groups.agg(F.collect_list(product).alias("products"))
-    return listed.select(F.to_json(F.create_map("category", "products")).alias("value"))
+    return listed.select(F.to_json(F.create_map("category", "products"), layout).alias("value"))
 
 
 def title_catalog(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,6 +14,7 @@ from shelfline.functions.dates import event_time
 from shelfline.functions.text import stringify
 from shelfline.operators.nested import expand, manage_fields
 from shelfline.sources.events import judge_messages, read_messages, rejected
+from shelfline.streaming.store import Landed, Store
 
 SALE, COMBINATION = "sale", "combination_created"
 
@@ -93,76 +94,65 @@ def start_ingest(
     return writer.start(target) if "/" in target else writer.toTable(target)
 
 
-def _with_day(df: DataFrame) -> DataFrame:
-    """The day of the event, by which the landed table is partitioned: retention then drops or skips whole days."""
-    return df.withColumn("event_date", F.to_date("event_time"))
+def sales_store(spark: SparkSession, target: str, **options) -> Store:
+    """The tables of the sales stream below `target`: `orders`, `order_items` and `orders_rejects`."""
+    return Store(spark, target, "sales", [Landed("orders"), Landed("order_items"), Landed("orders_rejects", "arrived", clock="arrival")], **options)
 
 
-def _replace_batch(df: DataFrame, target: str, name: str, batch: int, fmt: str, by_day: bool) -> None:
-    """Write the rows of one batch. A batch that is run again replaces its own partitions, and so lands once."""
-    rows = df.withColumn("batch_id", F.lit(batch).cast("bigint"))
-    by = ["event_date", "batch_id"] if by_day else ["batch_id"]
-    if "/" in target:
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt)
-        writer.partitionBy(*by).save(f"{target.rstrip('/')}/{name}")
-        return
-    table = f"{target}.{name}"
-    if not df.sparkSession.catalog.tableExists(table):
-        rows.limit(0).write.format(fmt).partitionBy(*by).saveAsTable(table)
-    order = df.sparkSession.table(table).columns
-    rows.select(*order).write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
+def combination_store(spark: SparkSession, target: str, **options) -> Store:
+    """The tables of the combination stream: `combinations`, `combination_items` and `combinations_rejects`."""
+    tables = [Landed("combinations"), Landed("combination_items"), Landed("combinations_rejects", "arrived", clock="arrival")]
+    return Store(spark, target, "combinations", tables, **options)
 
 
 def _ingest(
-    spark: SparkSession, source: str | dict[str, str], target: str, checkpoint: str, schema: T.StructType, kind: str,
-    names: tuple[str, str], land: tuple[Callable, Callable], arrival: Column | None, by_day: bool,
-    fmt: str = "parquet", trigger: dict | None = None,
+    source: str | dict[str, str], store: Store, checkpoint: str, schema: T.StructType, kind: str,
+    land: tuple[Callable, Callable], arrival: Column | None, trigger: dict | None = None, maintain_every: int | None = None, keep: str | None = None,
 ) -> list[StreamingQuery]:
     """One stream that reads and parses each message once and writes the events, their items and the rejects."""
     arrived = F.current_timestamp() if arrival is None else arrival
+    events, items, rejects = store.tables
 
     def write(batch: DataFrame, number: int) -> None:
         judged = judge_messages(batch, schema).withColumn("arrived", arrived).persist()
         try:
             taken = judged.where("reason IS NULL").select("event.*", "arrived")
             timed = normalise(taken, kind, F.col("arrived")).drop("arrived")
-            whole, items = land[0](timed), land[1](timed)
-            for name, df in zip(names, (whole, items), strict=True):
-                _replace_batch(_with_day(df) if by_day else df, target, name, number, fmt, by_day)
-            _replace_batch(rejected(judged, F.col("arrived")), target, f"{names[0]}_rejects", number, fmt, False)
+            store.write(number, {events: land[0](timed), items: land[1](timed), rejects: rejected(judged, F.col("arrived"))})
         finally:
             judged.unpersist()
+        if maintain_every and number % maintain_every == maintain_every - 1:
+            store.maintain(keep)
 
-    stream = read_messages(spark, source)
+    stream = read_messages(store.spark, source)
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return [writer.trigger(**(trigger or {"availableNow": True})).start()]
 
 
 def ingest_sales(
     spark: SparkSession, source: str | dict[str, str], target: str, checkpoint: str,
-    arrival: Column | None = None, by_day: bool = True, **options,
+    arrival: Column | None = None, by_day: bool = True, fmt: str = "parquet", **options,
 ) -> list[StreamingQuery]:
     """Sales stream to `orders`, `order_items` and `orders_rejects` below `target`, a namespace or a folder.
 
     `by_day` lands orders and items in one partition per day of the event, which suits a live stream; a replay of years
-    of history is better landed without. Every message ends in `orders` or in `orders_rejects`.
+    of history is better landed without. Every message ends in `orders` or in `orders_rejects`. `sales_store` reads the
+    tables of whole batches and maintains them; with `maintain_every` the stream itself does that, after so many batches,
+    and keeps the days of `keep`, or all.
     """
     land = (lambda timed: timed, lambda timed: landed_order_items(timed, "event_time"))
-    return _ingest(
-        spark, source, target, checkpoint, schemas.SALE_EVENT, SALE, ("orders", "order_items"), land, arrival, by_day, **options
-    )
+    store = sales_store(spark, target, by_day=by_day, fmt=fmt)
+    return _ingest(source, store, checkpoint, schemas.SALE_EVENT, SALE, land, arrival, **options)
 
 
 def ingest_combinations(
     spark: SparkSession, source: str | dict[str, str], target: str, checkpoint: str,
-    arrival: Column | None = None, by_day: bool = True, **options,
+    arrival: Column | None = None, by_day: bool = True, fmt: str = "parquet", **options,
 ) -> list[StreamingQuery]:
-    """Combination stream to `combinations`, `combination_items` and `combinations_rejects` below `target`."""
+    """Combination stream to `combinations`, `combination_items` and `combinations_rejects` below `target`, as above."""
     land = (
         lambda timed: manage_fields(timed, COMBINATION_FIELDS),
         lambda timed: landed_combination_items(timed, "event_time"),
     )
-    return _ingest(
-        spark, source, target, checkpoint, schemas.COMBINATION_EVENT, COMBINATION,
-        ("combinations", "combination_items"), land, arrival, by_day, **options,
-    )
+    store = combination_store(spark, target, by_day=by_day, fmt=fmt)
+    return _ingest(source, store, checkpoint, schemas.COMBINATION_EVENT, COMBINATION, land, arrival, **options)

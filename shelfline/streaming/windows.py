@@ -5,12 +5,13 @@ The batch figures of `plans.live` define what is right; the streams give the sam
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfline.functions.money import ratio_or_zero
 from shelfline.functions.text import not_empty
+from shelfline.streaming.store import DAY, Landed, Store
 
 
 def tumbling_kpis(orders: DataFrame, step: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
@@ -65,11 +66,25 @@ def sliding_cards(latest_panes: DataFrame, length: str = "1 hour", slide: str =
     return windows.select(F.col("span.start").alias("window_start"), F.col("span.end").alias("window_end"), *figures)
 
 
-def start_latest(df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Write each batch's changed rows below `path`, in a folder of the batch: a repeated batch replaces itself."""
+def figures_store(spark: SparkSession, path: str, keys: list[str]) -> Store:
+    """The rows of live figures below a folder: the newest of each key counts. The first key is their time."""
+    return Store(spark, path, "figures", [Landed("figures", keys[0], tuple(keys))], by_day=False)
+
+
+def start_latest(
+    df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, keys: list[str] | None = None, maintain_every: int | None = None, keep: str | None = None
+) -> StreamingQuery:
+    """Write each batch's changed rows below `path`; a repeated batch replaces itself.
+
+    Given its keys (by default the first column) and `maintain_every`, the stream folds what it has written into one
+    partition per day after so many batches, and keeps the days of `keep`, or all.
+    """
+    store = figures_store(df.sparkSession, path, keys or df.columns[:1])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        store.write(batch_id, {"figures": batch})
+        if maintain_every and batch_id % maintain_every == maintain_every - 1:
+            store.maintain(keep)
 
     return (
         df.writeStream.outputMode("update")
@@ -82,6 +97,4 @@ def start_latest(df: DataFrame, path: str, checkpoint: str, trigger: dict | None
 
 def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The last written row of each key."""
-    newest = Window.partitionBy(*keys).orderBy(F.desc("batch_id"))
-    rows = spark.read.parquet(path).withColumn("_place", F.row_number().over(newest))
-    return rows.where("_place = 1").drop("_place", "batch_id")
+    return figures_store(spark, path, keys).read("figures").drop(DAY)

@@ -421,7 +421,8 @@ _TEXTS = {
         SELECT 'landed' AS reason, count(*) AS messages FROM sold_orders
         UNION ALL
         SELECT reason, count(*) AS messages
-        FROM (SELECT unnest(['no JSON', 'no known field', 'unreadable time']) AS reason FROM sold_orders
+        FROM (SELECT unnest(['no JSON', 'no known field', 'unreadable time', 'total_price does not fit',
+                'items[].quantity does not fit']) AS reason FROM sold_orders
             WHERE NOT is_community_created)
         GROUP BY 1""",
     "stream_kpis_tumbling": """
@@ -452,13 +453,46 @@ _TEXTS["stream_cards_sliding"] = """
             ON o.order_id = u.order_id)
     GROUP BY w"""
 
+_TEXTS["catalog_split"] = _TEXTS["catalog_flat"]
+_TEXTS["stream_kpis_folded"] = _TEXTS["stream_kpis_tumbling"]
+_TEXTS["stream_retained"] = """
+    SELECT order_id, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time, round(total_price, 2) AS total_price,
+        CAST(units AS BIGINT) AS units
+    FROM sold_orders LEFT JOIN (SELECT order_id AS o, sum(amount) AS units FROM k_items GROUP BY order_id) ON o = order_id
+    WHERE CAST(event_time AS DATE) >= CAST((SELECT max(event_time) FROM sold_orders) - INTERVAL 30 DAY AS DATE)"""
+_TEXTS["dashboard"] = """
+    SELECT 'totals' AS visual, CAST(NULL AS DATE) AS date, CAST(NULL AS VARCHAR) AS region, CAST(NULL AS VARCHAR) AS channel,
+        CAST(NULL AS VARCHAR) AS brand, CAST(NULL AS VARCHAR) AS category, round(sum(line_value), 2) AS revenue,
+        any_value(n) AS orders, round(sum(line_value) / any_value(n), 6) AS aov
+    FROM sales, (SELECT count(*) AS n FROM summary)
+    UNION ALL
+    SELECT 'aov_by_date', o.order_date, NULL, NULL, NULL, NULL, round(revenue, 2), orders, round(revenue / orders, 6)
+    FROM (SELECT order_date, count(*) AS orders FROM summary GROUP BY 1) o
+        LEFT JOIN (SELECT order_date, CAST(sum(CAST(line_value AS DECIMAL(28, 6))) AS DOUBLE) AS revenue FROM star GROUP BY 1) r
+            ON o.order_date = r.order_date
+    UNION ALL
+    SELECT 'revenue_by_region_channel', NULL, region, channel, NULL, NULL, round(sum(line_value), 2), NULL, NULL
+    FROM star GROUP BY region, channel
+    UNION ALL
+    SELECT 'revenue_by_brand', NULL, NULL, NULL, brand, NULL, round(sum(line_value), 2), NULL, NULL FROM sales GROUP BY brand
+    UNION ALL
+    SELECT 'revenue_by_category', NULL, NULL, NULL, NULL, category, round(sum(line_value), 2), NULL, NULL
+    FROM sales GROUP BY category"""
+_TEXTS["pair_distinct_estimates"] = "SELECT pair_key, pair_count AS combinations FROM top_pairs"
+_TEXTS["pair_running_totals"] = """
+    WITH top3 AS (SELECT * FROM top_pairs ORDER BY pair_count DESC, product_a, product_b LIMIT 3),
+    sold3 AS (SELECT t.pair_key, r.combination_id, r.event_time FROM top3 t
+        JOIN combo_pairs p ON p.product_a = t.product_a AND p.product_b = t.product_b
+        JOIN sold_recent r ON p.combination_id = r.combination_id),
+    bins AS (SELECT unnest(range(now_ - INTERVAL 30 DAY, now_ + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS bin
+        FROM (SELECT max(event_time) AS now_ FROM r_orders))
+    SELECT strftime(bin, '%Y-%m-%d %H:%M:%S') AS event_time, pair_key,
+        CAST(sum(v) OVER (PARTITION BY pair_key ORDER BY bin) AS BIGINT) AS cum
+    FROM (SELECT b.bin, t.pair_key, count(DISTINCT s.combination_id) AS v FROM top3 t CROSS JOIN bins b
+        LEFT JOIN sold3 s ON s.pair_key = t.pair_key AND s.event_time >= b.bin AND s.event_time < b.bin + INTERVAL 1 DAY
+        WHERE b.bin + INTERVAL 1 DAY <= (SELECT max(event_time) FROM sold3)
+        GROUP BY b.bin, t.pair_key)"""
 _TEXTS["job_sales_top_products"] = _TEXTS["top_products_by_category"]
-_VIEWS = ["dim_product", "dim_store", "dim_date", "fact_sales_item", "fact_basket_summary"]
-_TEXTS["job_model_views"] = " UNION ALL ".join(
-    [f"SELECT '{name}' AS \"view\", count(*) AS n_rows FROM ({_TEXTS[name]})" for name in _VIEWS]
-    + ["SELECT 'sales_aov_overall', 1"]
-)
-
 ORACLE_SQL = {name: with_shared(text) for name, text in _TEXTS.items()}
 
 _NAMED_TAIL = f"""
@@ -493,3 +527,13 @@ ORACLE_SQL.update(
         "recommend": _with_affinity(_RECOMMEND_TAIL, affinity_sql("promo", PROMOTED), affinity_sql("aff", ALL)),
     }
 )
+
+_VIEWS = {name: name for name in ("dim_product", "dim_store", "dim_date", "fact_sales_item", "fact_basket_summary")} | {
+    "sales_aov_overall": "aov_overall", "sales_aov_by_region_channel": "aov_by_region_channel", "sales_aov_by_brand": "aov_by_brand",
+    "sales_top_products_by_category": "top_products_by_category", "sales_regional_split": "regional_split",
+    "sales_promo_share_orders": "promo_share_orders", "sales_promo_share_users": "promo_share_users",
+    "sales_promo_share_by_channel": "promo_share_by_channel", "product_affinity_topk_named": "job_gold_affinity_topk",
+}
+ORACLE_SQL["job_model_views"] = " UNION ALL ".join(
+    f"SELECT '{view}' AS \"view\", count(*) AS n_rows FROM ({ORACLE_SQL[name]})" for view, name in _VIEWS.items()
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -12,15 +13,17 @@ from pyspark.sql import types as T
 
 from shelfline import schemas
 from shelfline.functions import ids, money, text
+from shelfline.functions.dates import interval
 from shelfline.jobs.full_load import Options, full_load
 from shelfline.operators.nested import array_pairs
-from shelfline.operators.retention import prune
+from shelfline.operators.retention import last, prune
+from shelfline.operators.sketches import window_estimates
 from shelfline.plans import affinity as aff
 from shelfline.plans import bronze, kpis, live, lookups, report, semantic, silver
 from shelfline.session import scratch_dir, stored, tune
 from shelfline.sources import catalog, events, testbed
-from shelfline.sources.tables import preview, read_table
-from shelfline.streaming import ingest, windows
+from shelfline.sources.tables import AFFINITY_GOLD, REPORT_GOLD, REPORT_SILVER, preview, read_table
+from shelfline.streaming import ingest, totals, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,6 +114,15 @@ def catalog_flat(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(flat.withColumns(shown), 2)
 
 
+@query
+def catalog_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The same products from documents laid out over many lines, several in a file, which are split as they are read."""
+    folder = scratch_dir(spark, "catalog")
+    testbed.catalog_documents(spark, sf, pretty="true").write.text(folder)
+    shown = {"sizes": F.array_join("sizes", ","), "discount": F.col("discount").cast("double")}
+    return rounded(catalog.read_catalog(spark, folder).withColumns(shown), 2)
+
+
 @query
 def combination_id(spark: SparkSession, sf: str) -> DataFrame:
     baskets = testbed.kept_items(spark, sf).groupBy("order_id")
@@ -131,8 +143,9 @@ def price_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def event_envelopes(spark: SparkSession, sf: str) -> DataFrame:
-    messages = events.to_events(testbed.sale_events(spark, sf), "order_id")
-    parsed = events.parse_events(messages, schemas.SALE_EVENT)
+    folder = scratch_dir(spark, "published")
+    events.publish(events.to_events(testbed.sale_events(spark, sf), "order_id"), folder)
+    parsed = events.parse_events(spark.read.text(folder), schemas.SALE_EVENT)
     return rounded(
         parsed.select(
             "event_type", "event_time", "order_id", "combination_id", "user", "is_community_created", "promo_code",
@@ -353,6 +366,12 @@ def revenue_by_category(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(report.sales_dashboard(testbed.model(spark, sf, lines_only=True))["revenue_by_category"], 2)
 
 
+@query
+def dashboard(spark: SparkSession, sf: str) -> DataFrame:
+    """All visuals of the sales dashboard, from one pass over each fact."""
+    return rounded(report.dashboard(testbed.model(spark, sf)), revenue=2)
+
+
 @query
 def report_revenue_by_date_category(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(report.revenue_by_date_category(testbed.model(spark, sf)), 2)
@@ -493,6 +512,37 @@ def pair_cumulative_series(spark: SparkSession, sf: str) -> DataFrame:
     return readable(live.pair_series(orders, items, now, MONTH, DAY), "event_time")
 
 
+@query
+def pair_distinct_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    """Estimated distinct combinations of the top pairs over the last 30 days, merged from daily sketches."""
+    items, orders, now = _sold(spark, sf)
+    pairs = stored(live.top_sold_pairs(items, orders, now, MONTH), "pairs")
+    start = now - interval(MONTH)
+    sketches = stored(live.pair_sketches(orders, items, pairs, start, DAY), "sketches")
+    return window_estimates(sketches, ["pair_key"], "event_time", start, now + interval(DAY), "combinations")
+
+
+@query
+def pair_running_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The running totals of the top pairs as a stream keeps them, for the bins that its watermark has passed."""
+    items, orders, now = _sold(spark, sf)
+    recent = stored(last(orders, "event_time", now, MONTH).select("combination_id", "event_time"), "recent")
+    pairs = stored(live.top_pairs(items, orders, now, MONTH), "pairs")
+    holding = stored(live.holding(live.combo_products(items), pairs), "holding")
+    folder = scratch_dir(spark, "totals")
+    recent.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(recent.schema).parquet(f"{folder}/in")
+    figures = totals.pair_totals(stream, holding, now - interval(MONTH), datetime.timedelta(days=1), "0 seconds")
+    before = spark.conf.get(totals.STATE_STORE[0])
+    spark.conf.set(*totals.STATE_STORE)
+    try:
+        sink = figures.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        _finish([sink.start(f"{folder}/out")])
+    finally:
+        spark.conf.set(totals.STATE_STORE[0], before)
+    return readable(spark.read.schema(figures.schema).parquet(f"{folder}/out"), "event_time")
+
+
 @query
 def retention_prune(spark: SparkSession, sf: str) -> DataFrame:
     orders = testbed.purchases(spark, sf)
@@ -502,8 +552,15 @@ def retention_prune(spark: SparkSession, sf: str) -> DataFrame:
 # --- the whole job --------------------------------------------------------------------------------------------------
 
 
+_JOBS: dict[tuple[str, str], str] = {}
+
+
 def _job(spark: SparkSession, sf: str) -> str:
-    """Bronze, silver and gold in fresh namespaces of the warehouse; returns the namespace of the reporting views."""
+    """Bronze, silver and gold in fresh namespaces of the warehouse, once in a session for each folder of tables; returns
+    the namespace of the reporting views."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key in _JOBS and spark.catalog.databaseExists(_JOBS[key]):
+        return _JOBS[key]
     run = f"job_{uuid.uuid4().hex[:12]}"
     tables = {
         "products": testbed.products(spark, sf), "product_categories": testbed.product_categories(spark, sf),
@@ -514,7 +571,8 @@ def _job(spark: SparkSession, sf: str) -> str:
         min_pair_cnt=MIN_PAIRS, refreshed_at=F.lit(REFRESHED).cast("timestamp"), item_order=testbed.ITEM_ORDER
     )
     full_load(spark, f"{run}_bronze", f"{run}_silver", f"{run}_gold", tables, options, f"{run}_model")
-    return f"{run}_model"
+    _JOBS[key] = f"{run}_model"
+    return _JOBS[key]
 
 
 @query
@@ -534,7 +592,7 @@ def job_model_views(spark: SparkSession, sf: str) -> DataFrame:
     views = _job(spark, sf)
     counts = [
         read_table(spark, views, name).agg(F.lit(name).alias("view"), F.count(F.lit(1)).alias("n_rows"))
-        for name in ("dim_product", "dim_store", "dim_date", "fact_sales_item", "fact_basket_summary", "sales_aov_overall")
+        for name in REPORT_SILVER + REPORT_GOLD + AFFINITY_GOLD
     ]
     return reduce(DataFrame.unionByName, counts)
 
@@ -612,13 +670,15 @@ def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
-    """Landed and rejected messages of a stream in which every web order comes with three messages that are none."""
+    """Landed and rejected messages of a stream in which every web order comes with five messages that are none or hold what does not fit."""
     sales = testbed.sale_events(spark, sf)
     web = sales.where(~F.col("is_community_created"))
     bad = [
         F.concat(F.lit('{"order_id": "'), "order_id"),
         F.to_json(F.struct(F.col("order_id").alias("x"))),
         F.to_json(F.struct("order_id", F.lit("not a time").alias("event_time"))),
+        F.to_json(F.struct("order_id", F.lit("abc").alias("total_price"))),
+        F.to_json(F.struct("order_id", F.array(F.struct("user", F.lit("many").alias("quantity"))).alias("items"))),
     ]
     lines = events.to_events(sales, "order_id").select("value")
     for value in bad:
@@ -631,12 +691,26 @@ def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return landed.agg(F.count(F.lit(1)).alias("messages")).unionByName(rejects.agg(F.count(F.lit(1)).alias("messages")))
 
 
-def _purchase_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+@query
+def stream_retained(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of the kept days and their landed items: landed batch by batch, folded and retained on the way."""
+    folder = scratch_dir(spark, "retained")
+    _sales_messages(spark, sf).select("value").repartition(6).write.text(f"{folder}/in")
+    source = {"path": f"{folder}/in", "maxFilesPerTrigger": "2"}
+    _finish(ingest.ingest_sales(spark, source, f"{folder}/out", f"{folder}/checkpoint", by_day=False, maintain_every=2, keep=MONTH))
+    store = ingest.sales_store(spark, f"{folder}/out", by_day=False)
+    store.maintain(MONTH)
+    items = store.read("order_items").groupBy("order_id").agg(F.sum("quantity").alias("units"))
+    orders = store.read("orders").join(items, "order_id", "left")
+    return rounded(readable(orders.select("order_id", "event_time", "total_price", "units"), "event_time"), 2)
+
+
+def _purchase_stream(spark: SparkSession, sf: str, **options) -> tuple[DataFrame, str]:
     """The purchases as a stream of files in the scratch folder."""
     folder = scratch_dir(spark, "purchases")
     testbed.purchases(spark, sf).write.parquet(f"{folder}/in")
     schema = spark.read.parquet(f"{folder}/in").schema
-    return spark.readStream.schema(schema).parquet(f"{folder}/in"), folder
+    return spark.readStream.schema(schema).options(**options).parquet(f"{folder}/in"), folder
 
 
 @query
@@ -647,6 +721,15 @@ def stream_kpis_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(readable(windows.read_latest(spark, f"{folder}/out", ["event_time"]), "event_time"))
 
 
+@query
+def stream_kpis_folded(spark: SparkSession, sf: str) -> DataFrame:
+    """The same figures from a stream that folds what it has written into days."""
+    orders, folder = _purchase_stream(spark, sf, maxFilesPerTrigger=1)
+    figures = windows.tumbling_kpis(orders, HOUR, "400 days")
+    _finish([windows.start_latest(figures, f"{folder}/out", f"{folder}/checkpoint", maintain_every=2)])
+    return rounded(readable(windows.read_latest(spark, f"{folder}/out", ["event_time"]), "event_time"))
+
+
 def _cards(spark: SparkSession, orders: DataFrame, folder: str, length: str, slide: str) -> DataFrame:
     """Trailing windows from the newest state of the panes of a stream."""
     _finish([windows.start_latest(windows.panes(orders, slide, slide), f"{folder}/out", f"{folder}/checkpoint")])

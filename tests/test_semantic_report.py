@@ -96,3 +96,50 @@ def test_dashboard(shop):
     assert tuple(sets["totals"].first()) == (790.0, 7)
     assert {r.category: r.revenue for r in sets["revenue_by_category"].collect()} == {"jackets": 540.0, "shoes": 250.0}
     assert {r.date: r.aov for r in sets["aov_by_date"].collect()}[dt.date(2024, 12, 24)] is None
+
+
+def test_dashboard_in_one_pass_equals_its_data_sets(shop):
+    got = {}
+    for r in report.dashboard(shop.model).collect():
+        got.setdefault(r.visual, set()).add(tuple(r[1:]))
+    sets = report.sales_dashboard(shop.model)
+    total = sets["totals"].first()
+    assert got["totals"] == {(None, None, None, None, None, total.revenue, total.orders, total.revenue / total.orders)}
+    assert {(r[0], r[7]) for r in got["aov_by_date"]} == {(r.date, r.aov) for r in sets["aov_by_date"].collect()}
+    assert {(r[1], r[2], r[5]) for r in got["revenue_by_region_channel"]} == {tuple(r) for r in sets["revenue_by_region_channel"].collect()}
+    assert {(r[3], r[5]) for r in got["revenue_by_brand"]} == {tuple(r) for r in sets["revenue_by_brand"].collect()}
+    assert {(r[4], r[5]) for r in got["revenue_by_category"]} == {tuple(r) for r in sets["revenue_by_category"].collect()}
+
+
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stores_and_dates_meet_sums_not_lines(spark, shop):
+    """Below each join with stores or dates the rows are summed to those keys."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chosen = [semantic.revenue(), semantic.units_sold(), semantic.orders()]
+        figures = semantic.evaluate(shop.model, ["year", "channel", "category"], chosen)
+        logical = figures._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = [line.lstrip(" :+-|") for line in logical.splitlines()]
+    depth = [len(line) - len(line.lstrip(" :+-|")) for line in logical.splitlines()]
+    for at, line in enumerate(lines):
+        if line.startswith("Join LeftOuter") and ("(order_date" in line or "(store_id" in line):
+            left = next(i for i in range(at + 1, len(lines)) if depth[i] > depth[at])
+            below = [lines[i] for i in range(left, len(lines)) if depth[i] >= depth[left]][:4]
+            assert any(x.startswith(("Aggregate", "Join LeftOuter")) for x in below), below
+    assert sum(x.startswith("Join LeftOuter") for x in lines) >= 5
+
+
+def test_grain_keeps_figures(shop, rows):
+    from pyspark.sql import functions as F
+
+    star = semantic.star_view(shop.model)
+    for by in (["year", "channel", "category"], ["date", "brand"], ["store_id", "category"], ["promo_flag", "region", "brand"], ["channel", "user_id"]):
+        plain = star.groupBy(*by).agg(F.sum("line_value").alias("revenue"), F.sum("qty").alias("units_sold"))
+        got = semantic.evaluate(shop.model, by, [semantic.revenue(), semantic.units_sold()])
+        assert rows(got) == rows(plain)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfline import schemas
 from shelfline.plans import bronze
 from shelfline.sources import events, tables
-from shelfline.sources.catalog import read_catalog
+from shelfline.sources.catalog import read_catalog, split_catalog
 
 CATALOG = {
     "hosen": [
@@ -141,3 +141,51 @@ def test_a_cluster_needs_a_shared_scratch_folder():
             scratch_dir(session(master), "x")
         assert scratch_dir(session(master, "hdfs://shared"), "x").startswith("hdfs://shared/x-")
     assert scratch_dir(session("local[4]"), "x")
+
+
+LISTED = {
+    "hosen": [{"id": "p1", "name": "a } b", "price": 5.0, "sizes": ["S", "{"]}, {"id": "p2", "name": 'say "x" \\', "price": 7.5}],
+    "leer": [],
+    'st"range {name}': [{"id": f"q{i}", "name": "n" * (i % 7), "price": float(i)} for i in range(300)],
+}
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("block", ["1k", "128m"])
+def test_a_large_catalog_is_split_whatever_its_layout(spark, rows, tmp_path, indent, block):
+    documents = [LISTED, {"jacken": [{"id": "z1", "extra": {"deep": {"er": 1}}, "name": "n"}]}, {}]
+    for n, name in enumerate(("a.json", "b.json")):
+        text = "\n".join(json.dumps(d, indent=indent) for d in documents)
+        (tmp_path / name).write_text(text.replace("z1", f"z{n}"), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        found = split_catalog(spark, str(tmp_path))
+        got = rows(found.select("category_id", "product.id", "product.name", "product.price", F.array_join("product.sizes", "")))
+        tasks = spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(c, p["id"].replace("z1", f"z{n}"), p.get("name"), p.get("price"), "".join(p["sizes"]) if "sizes" in p else None)
+            for n in range(2) for d in documents for c, of in d.items() for p in of]
+    assert got == sorted(want, key=lambda r: tuple((v is not None, str(v)) for v in r))
+    assert tasks > 4 if block == "1k" else tasks <= 2
+
+
+def test_fields_that_do_not_fit_are_named(spark, rows):
+    good = ['{"order_id": "a", "total_price": 5, "items": [{"price": 1.5}, null]}', '{"order_id": "b", "total_price": null}', '{"order_id": 7}',
+            '{"order_id": "o", "user": {"id": 1}}', '{"order_id": "c", "more": {"x": [1]}}', '{"order_id": "d", "items": []}']
+    bad = {
+        '{"order_id": "a", "total_price": "abc"}': "total_price does not fit",
+        '{"order_id": "a", "total_price": "abc", "discount": true}': "discount does not fit",
+        '{"order_id": "b", "is_community_created": "perhaps"}': "is_community_created does not fit",
+        '{"order_id": "c", "items": [{"price": 1}, {"price": 2, "quantity": 1.5}]}': "items[].quantity does not fit",
+        '{"order_id": "d", "items": 5}': "items does not fit",
+        '{"order_id": "e", "items": [{"price": 1}, 7]}': "items does not fit",
+        '{"total_price": "abc"}': "total_price does not fit",
+        '{"order_id": "f"': "no JSON", "": "no JSON", '{"x": 1}': "no known field",
+        '{"order_id": "g", "event_time": "soon"}': "unreadable time",
+    }
+    raw = spark.createDataFrame([(x,) for x in [*good, *bad]], "value string")
+    judged = events.judge_messages(raw, schemas.SALE_EVENT)
+    assert {r.value: r.reason for r in judged.collect()} == {**dict.fromkeys(good), **bad}
+    assert judged.schema["event"].dataType == schemas.SALE_EVENT
