@@ -8,9 +8,10 @@ language, so single borrowed words do not split a span, and longer foreign passa
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,10 +24,10 @@ from shelfline.llm import frames
 UNKNOWN = "und"
 GRAMS = (1, 2, 3)
 LEARNED_ROWS = 5_000  # labelled texts a model learns from, about: those with the smallest hashes of their ids
-LEARNED_GRAMS = 200_000  # most n-grams a model keeps, the most frequent first
 PENALTY = 12.0  # of a change of language, in units of log probability
 FLOOR = 1.5 * PENALTY  # lowest score of a word: less than two changes cost, so no single word pays for them
-CACHE = 400_000  # words whose scores a task remembers
+SLOTS = 1 << 21  # of the table in which n-grams are looked up first
+BLOCK = 1 << 20  # characters of text that are read at once, about; a longer text is a block of its own
 
 # First and last code points of scripts
 SCRIPTS = {
@@ -44,8 +45,15 @@ SCRIPTS = {
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)],
 }
 
-WORD = re.compile(r"[^\W\d_]+")
 LONG = 40  # characters of a word whose n-grams count; the words of unspaced scripts are cut at this length
+_U = np.uint64
+
+
+@lru_cache(maxsize=1)
+def _word() -> re.Pattern:
+    """Runs of letters. Digits, and other numbers such as ² and Ⅷ, which `\\w` takes too, are no letters."""
+    others = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+    return re.compile(rf"[^\W\d_{others}]+")
 
 
 def script_of(word: str) -> str:
@@ -54,55 +62,101 @@ def script_of(word: str) -> str:
 
 
 def words_in(text: str | None) -> list[str]:
-    found = WORD.findall((text or "").lower())
+    found = _word().findall((text or "").lower())
     if any(len(w) > LONG for w in found):
         found = [w[i : i + LONG] for w in found for i in range(0, len(w), LONG)]
     return found
 
 
-def grams(word: str) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for n in GRAMS for i in range(len(padded) - n + 1)]
+def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, first): the character n-grams of all words, a blank at either end, each as one number; those of word i are
+    codes[first[i]:first[i + 1]]. A code holds the characters of its n-gram, so different n-grams have different codes."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    if not len(sizes):
+        return np.zeros(0, _U), np.zeros(1, np.int64)
+    points = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le"), "<u4").astype(_U)
+    last = np.cumsum(sizes)
+    left = np.repeat(last, sizes) - np.arange(len(points))  # characters up to the end of the word
+    found, of = [], []
+    owner = np.repeat(np.arange(len(words)), sizes)
+    code = points.copy()
+    for n in range(1, max(GRAMS) + 1):
+        if n > 1:
+            code = (code[:-1] << _U(21)) | points[n - 1 :]
+        if n in GRAMS:
+            at = np.flatnonzero(left[: len(code)] >= n)
+            found.append(code[at]), of.append(owner[at])
+    order = np.argsort(np.concatenate(of), kind="stable")
+    counts = np.bincount(np.concatenate(of), minlength=len(words))
+    return np.concatenate(found)[order], np.append(0, np.cumsum(counts))
+
+
+_COUNTS = pa.schema([("lang", pa.string()), ("script", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
 
 
 def _counted(batches):
+    """Words per script, and n-grams, of each language in a task."""
     for batch in batches:
         words: dict[str, Counter] = {}
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words.setdefault(lang, Counter()).update(words_in(text))
-        rows = []
+        for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            words.setdefault(lang, Counter()).update(words_in(text.as_py()))
         for lang, counts in words.items():
-            scripts, found = Counter(), Counter()
+            scripts: Counter = Counter()
             for word, n in counts.items():
                 scripts[script_of(word)] += n
-                for gram in grams(word):
-                    found[gram] += n
-            rows += [(lang, "script", x, n) for x, n in scripts.items()] + [(lang, "gram", x, n) for x, n in found.items()]
-        if rows:
-            yield pa.RecordBatch.from_pydict(
-                dict(zip(["lang", "kind", "value", "n"], map(list, zip(*rows, strict=True)), strict=True)),
-                pa.schema([("lang", pa.string()), ("kind", pa.string()), ("value", pa.string()), ("n", pa.int64())]),
+            found, first = codes(list(counts))
+            values, place = np.unique(found, return_inverse=True)
+            weights = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), np.diff(first))
+            sums = np.bincount(place, weights, len(values)).astype(np.int64)
+            k = len(scripts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * (k + len(values)), pa.string()),
+                    pa.array([*scripts, *[None] * len(values)], pa.string()),
+                    pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(values.astype(np.int64))]),
+                    pa.concat_arrays([pa.array(list(scripts.values()), pa.int64()), pa.array(sums)]),
+                ],
+                schema=_COUNTS,
             )
 
 
 @dataclass
 class Model:
     languages: list[str]
-    index: dict[str, int]  # n-gram: row of `logs`
-    logs: np.ndarray  # log probability per language; the last row is that of an unseen n-gram
+    index: np.ndarray  # codes of the n-grams, ascending
+    logs: np.ndarray  # log probability of each per language; the last row is that of an unseen n-gram
     scripts: dict[str, np.ndarray]  # script: which languages use it
 
     def __post_init__(self) -> None:
         self.usable: dict[str, np.ndarray] = {}  # by first letter of a word
+        # most n-grams are found in the slot of their hash, those that share a slot by search
+        slots = self._slot(self.index)
+        self.slots = np.full(SLOTS, len(self.index), np.int32)
+        self.slots[slots] = np.arange(len(self.index))
+        self.shared = np.zeros(SLOTS, bool)
+        self.shared[slots[self.slots[slots] != np.arange(len(self.index))]] = True
+        self.padded = np.append(self.index, _U(0))
+
+    @staticmethod
+    def _slot(found: np.ndarray) -> np.ndarray:
+        return ((found * _U(0x9E3779B97F4A7C15)) >> _U(43)).astype(np.int64)
+
+    def places(self, found: np.ndarray) -> np.ndarray:
+        """Rows of `logs` for some codes."""
+        slots = self._slot(found)
+        at = self.slots[slots].astype(np.int64)
+        missed = self.padded[at] != found
+        again = np.flatnonzero(missed & self.shared[slots])
+        at[missed] = len(self.index)
+        if len(again):
+            searched = np.searchsorted(self.index, found[again])
+            at[again] = np.where(self.padded[searched] == found[again], searched, len(self.index))
+        return at
 
     def score(self, words: list[str]) -> np.ndarray:
         """Scores of words, 0 for the best language of each, not below -FLOOR."""
-        index, places, counts = self.index, [], []
-        for word in words:
-            before = len(places)
-            places += [index.get(gram, -1) for gram in grams(word)]
-            counts.append(len(places) - before)
-        total = np.add.reduceat(self.logs[places], np.cumsum([0] + counts[:-1]), axis=0)
+        found, first = codes(words)
+        total = np.add.reduceat(self.logs[self.places(found)], first[:-1], axis=0)
         total -= total.max(axis=1, keepdims=True)
         usable = np.stack([self._usable(word[0]) for word in words])
         if not usable.all():
@@ -120,7 +174,7 @@ class Model:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = LEARNED_ROWS) -> Model:
-    """A model of the languages in `lang_col`, learned from about `rows` texts.
+    """A model of the languages in `lang_col`, learned from all n-grams of about `rows` texts.
 
     Rows without a text or a language teach nothing; without any row the model knows no language.
     """
@@ -130,15 +184,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     if total > rows:
         some = some.where(F.pmod("h", F.lit(1 << 40)) < int(rows / total * (1 << 40)))
     some = some.repartition(32, "h")
-    counts = some.select("text", "lang").mapInArrow(_counted, "lang string, kind string, value string, n long")
-    counts = counts.groupBy("lang", "kind", "value").agg(F.sum("n").alias("n"))
-    counts = frames.cut(counts)
-    top = counts.where("kind = 'gram'").groupBy("value").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "value").limit(LEARNED_GRAMS)
-    table = counts.where("kind = 'gram'").join(top, "value").select("lang", "value", "n").toPandas()
-    used = counts.where("kind = 'script'").toPandas()
+    counts = some.select("text", "lang").mapInArrow(_counted, "lang string, script string, code long, n long")
+    counts = frames.cut(counts.groupBy("lang", "script", "code").agg(F.sum("n").alias("n")))
+    table = counts.where("script IS NULL").select("lang", "code", "n").toPandas()
+    used = counts.where("script IS NOT NULL").select("lang", F.col("script").alias("value"), "n").toPandas()
     languages = sorted(set(table["lang"]) | set(used["lang"]))
-    wide = table.pivot_table(index="value", columns="lang", values="n", fill_value=0).reindex(columns=languages, fill_value=0)
-    values = wide.to_numpy(float) + 0.5
+    index, place = np.unique(table["code"].to_numpy(np.int64), return_inverse=True)
+    values = np.full((len(index), len(languages)), 0.5)
+    if languages:
+        np.add.at(values, (place, np.searchsorted(languages, table["lang"].to_numpy(str))), table["n"].to_numpy(float))
     totals = values.sum(axis=0, keepdims=True) if len(values) else np.ones((1, len(languages)))
     logs = np.log(values / totals)
     scripts = {}
@@ -147,8 +201,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         flags = (share >= 0.01).to_numpy()
         if flags.any():
             scripts[name] = flags
-    index = {gram: i for i, gram in enumerate(wide.index.tolist())}
-    return Model(languages, index, np.concatenate([logs, np.log(0.5 / totals)]), scripts)
+    return Model(languages, index.astype(_U), np.concatenate([logs, np.log(0.5 / totals)]), scripts)
 
 
 def path(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -180,60 +233,95 @@ def path(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     return out
 
 
-class Reader:
-    """Scores words once and remembers them, up to a bound."""
-
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(model.languages)))
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        new = list(dict.fromkeys(w for w in words if w not in known))
-        if new:
-            while len(known) + len(new) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[len(known) : len(known) + len(new)] = self.model.score(new)
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-        return self.rows[[known[w] for w in words]]
-
-    def spans(self, text: str | None) -> list[tuple[int, int, str]]:
-        """(start, end, language) over the words of the text."""
-        words = words_in(text)
-        if not words or not self.model.languages:
-            return []
-        labels = path(self.scores(words))
-        edges = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1], True])
-        return [(int(a), int(b), self.model.languages[labels[a]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
-
-SPANS = "array<struct<start: int, end: int, lang: string>>"
+def labelled_words(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(languages, first): the language of every word of some texts, by number; those of text i are
+    languages[first[i]:first[i + 1]].
 
+    Each distinct word is scored once. A text in which no stretch gains half a penalty over its best single language has
+    that language throughout; the others take the best path.
+    """
+    words: list[str] = []
+    first = np.zeros(len(texts) + 1, np.int64)
+    for i, text in enumerate(texts):
+        words += words_in(text)
+        first[i + 1] = len(words)
+    if not words or not model.languages:
+        return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    places, distinct = pd.factorize(np.array(words, object))
+    scores = model.score(distinct.tolist())[places]
+    sums = np.zeros((len(words) + 1, len(model.languages)))
+    np.cumsum(scores, axis=0, out=sums[1:])
+    best = (sums[first[1:]] - sums[first[:-1]]).argmax(axis=1)  # of equal ones the first
+    owner = np.repeat(np.arange(len(texts)), np.diff(first))
+    labels = best[owner]
+    # gains over the best language since the start of the text; each text lies below those before it, so that the running
+    # minimum starts anew with it
+    drop = 2 * FLOOR * (np.diff(first).max() + 1)
+    mixed = np.zeros(len(texts), bool)
+    own = sums[:, 0] * 0
+    own[1:] = np.cumsum(scores[np.arange(len(words)), labels])
+    for k in range(len(model.languages)):
+        gain = sums[:, k] - own
+        inside = gain[1:] - gain[first[:-1]][owner]
+        before = np.minimum(0.0, gain[:-1] - gain[first[:-1]][owner])  # a text starts at 0
+        low = np.minimum.accumulate(before - owner * drop) + owner * drop
+        high = inside - low > PENALTY / 2
+        mixed[owner[high]] = True
+    for i in np.flatnonzero(mixed):
+        labels[first[i] : first[i + 1]] = path(scores[first[i] : first[i + 1]])
+    return labels, first
 
-def label(docs: DataFrame, model: Model, text_col: str = "text", into: str = "language") -> DataFrame:
-    """Adds a struct column (lang_pred, score, spans) to the rows; a column of its name is replaced.
 
-    lang_pred is the language of most words on the best path, score their share; `und` with score 0 where the text is
-    null or has no letter, or where the model knows no language.
+SPANS = "array<struct<start: int, end: int, lang: string>>"
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
+
+
+def _judged(texts: list[str | None], model: Model, with_spans: bool) -> pa.StructArray:
+    labels, first = labelled_words(texts, model)
+    names = np.array([*model.languages, UNKNOWN], object)
+    owner, n = np.repeat(np.arange(len(texts)), np.diff(first)), len(model.languages)
+    counts = np.bincount(owner * max(1, n) + labels, minlength=len(texts) * max(1, n)).reshape(len(texts), max(1, n))
+    size = np.diff(first)
+    top = np.where(size > 0, counts.argmax(axis=1), n)
+    share = np.divide(counts.max(axis=1), size, out=np.zeros(len(texts)), where=size > 0)
+    arrays, fields = [pa.array(names[top], pa.string()), pa.array(share)], ["lang_pred", "score"]
+    if with_spans:
+        starts = np.flatnonzero(np.append(True, (labels[1:] != labels[:-1]) | (owner[1:] != owner[:-1]))) if len(labels) else labels
+        ends = np.append(starts[1:], len(labels))[: len(starts)]
+        base = first[owner[starts]] if len(starts) else starts
+        spans = pa.StructArray.from_arrays(
+            [pa.array((starts - base).astype(np.int32)), pa.array((ends - base).astype(np.int32)), pa.array(names[labels[starts]], pa.string())], fields=list(_SPAN)
+        )
+        offsets = np.searchsorted(starts, first).astype(np.int32)
+        arrays.append(pa.ListArray.from_arrays(pa.array(offsets), spans))
+        fields.append("spans")
+    return pa.StructArray.from_arrays(arrays, fields)
+
+
+def _label(batches, model: Model, with_spans: bool):
+    for batch in batches:
+        row = 0
+        texts = batch.column(batch.num_columns - 1)
+        while row < batch.num_rows:
+            some, size = [], 0
+            while row + len(some) < batch.num_rows and size < BLOCK:
+                some.append(texts[row + len(some)].as_py())
+                size += len(some[-1] or "")
+            kept = batch.slice(row, len(some)).columns[:-1]
+            yield pa.RecordBatch.from_arrays([*kept, _judged(some, model, with_spans)], batch.schema.names)
+            row += len(some)
+
+
+def label(docs: DataFrame, model: Model, text_col: str = "text", into: str = "language", spans: bool = True) -> DataFrame:
+    """Adds a struct column (lang_pred, score, and if asked for spans) to the rows; a column of its name is replaced.
+
+    lang_pred is the language of most words on the best path, of equal ones the first by name, and score its share; `und`
+    with score 0 where the text is null or has no letter, or where the model knows no language. Texts of any length are
+    read whole; rows are independent of each other, and repeated ones get the same. An empty table gives an empty one.
     """
-    send = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LEARNED_GRAMS
-
-    def read(texts):
-        reader = Reader(send.value)
-        for series in texts:
-            rows = []
-            for text in series:
-                spans = reader.spans(text if isinstance(text, str) else None)
-                share: dict[str, int] = {}
-                for a, b, lang in spans:
-                    share[lang] = share.get(lang, 0) + b - a
-                top = max(sorted(share), key=share.__getitem__) if share else UNKNOWN
-                rows.append((top, share[top] / sum(share.values()) if share else 0.0, [{"start": a, "end": b, "lang": x} for a, b, x in spans]))
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "spans"])
-
-    read.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    reading = F.pandas_udf(read, f"lang_pred string, score double, spans {SPANS}")
-    return docs.withColumn(into, reading(F.col(text_col)))
+    send = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the n-grams of LEARNED_ROWS texts
+    columns = [c for c in docs.columns if c != into]
+    out = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes)
+    kind = f"struct<lang_pred: string, score: double{f', spans: {SPANS}' if spans else ''}>"
+    read = docs.select(*columns, F.col(text_col).cast("string").alias(into))
+    return read.mapInArrow(lambda it: _label(it, send.value, spans), f"{out}{', ' if columns else ''}`{into}` {kind}")

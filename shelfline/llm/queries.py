@@ -95,7 +95,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Main language of each document, by a model that never saw the documents held out."""
     documents = table(spark, folder, "documents")
     model = language.fit(documents.where(fold(F.col("doc_id")) != 2))
-    found = language.label(documents.select("doc_id", "text"), model)
+    found = language.label(documents.select("doc_id", "text"), model, spans=False)
     return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "language.lang_pred", "language.score")
 
 
