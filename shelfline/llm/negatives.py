@@ -23,6 +23,7 @@ BLOCK = 1 << 14  # candidates of a block, about
 SHARE = 1 << 12  # anchors of a share, about
 BYTES = 16 << 20  # of the vectors of either, about
 CLUSTER = 64  # anchors of a cluster, about
+MOST_TASKS = 1 << 16  # of a pass; groups beyond it share tasks
 STRETCH = 512  # candidates that a cluster walks at once
 SLACK = 1e-6  # of angles
 EXACT = 1 << 53  # products below it are exact in double precision
@@ -174,7 +175,9 @@ def _dealt(candidates: DataFrame, anchors: DataFrame, by: Column) -> DataFrame:
         "kind", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), (place % F.col("shares")).cast("int").alias("share"),
         F.lit(True).alias("asks"), *columns
     )
-    return held.union(asking)
+    # a task per group: the work grows with the product of both sides, so Spark must not merge groups by their bytes
+    groups = sizes.agg(F.sum(F.col("blocks") * F.col("shares"))).first()[0] or 1
+    return held.union(asking).repartition(min(groups, MOST_TASKS), "kind", "block", "share")
 
 
 def _best(dealt: DataFrame, number: int, band: tuple[int, int] | None) -> DataFrame:

@@ -23,7 +23,7 @@ from shelfline.llm import frames
 
 WINDOW = 1024
 SEPARATOR = 0
-CACHE = 300_000  # words whose ids a task remembers
+CACHE = 100_000  # words whose ids a task remembers
 PIECES = 1 << 16  # pieces that are packed together, about
 
 # Code points for which the classes below are those of the vocabulary: ASCII, letters of Latin-1, common punctuation
@@ -138,7 +138,8 @@ _CUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.i
 
 
 def _cut(batches, tokenizer: str, window: int, with_ids: bool):
-    encode = encoder(tokenizer).ids
+    reading = encoder(tokenizer)
+    encode = reading.ids
     end = np.array([SEPARATOR], "<u4").tobytes()
     for batch in batches:
         rows, held = [], 0
@@ -154,6 +155,7 @@ def _cut(batches, tokenizer: str, window: int, with_ids: bool):
                 rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pydict(dict(zip(_CUT.names, map(list, zip(*rows, strict=True)), strict=True)), _CUT)
+    reading.known.clear()  # the words, not the vocabulary: workers outlive a task
 
 
 def _placed(batches, window: int):

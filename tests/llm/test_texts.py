@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import random
 import re
 import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,10 +93,56 @@ def test_language_spans(spark):
     assert [(s.start, s.end, s.lang) for s in got[3].spans] == [(0, 40, "aa"), (40, 80, "bb"), (80, 120, "cc")]
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (4, 5, 6)) and 0 <= got[8].score <= 1
     assert len(got[7].spans) == 1  # one borrowed word does not split a span
+    numbers = ["²", "½ ① 12", "Ⅷ", "x²"]  # no letters, but for one
+    found = language.label(spark.createDataFrame(list(enumerate(numbers)), "doc_id long, text string"), model, spans=False)
+    assert [r.language.lang_pred == "und" for r in found.orderBy("doc_id").collect()] == [True, True, True, False]
+    assert language.label(df.where("false"), model).collect() == []
+    tie = language.label(spark.createDataFrame([(1, by["cc"] + " " + by["aa"])] * 2, "doc_id long, text string"), model).collect()
+    assert {r.language.lang_pred for r in tie} == {"aa"}  # of equal ones the first; repeated rows get the same
     empty = language.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert {r.language.lang_pred for r in language.label(df, empty).collect()} == {"und"}
 
 
+def test_words_and_labels_equal_plain_ones(spark):
+    """Scores by counting n-grams one by one, labels by the path through each text on its own."""
+    rows = language_rows()
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {lang: {} for lang in model.languages}
+    for _, text, lang in rows:
+        for w in text.split():
+            p = f" {w} "
+            for g in (p[i : i + n] for n in (1, 2, 3) for i in range(len(p) - n + 1)):
+                counts[lang][g] = counts[lang].get(g, 0) + 1
+    every = {g for c in counts.values() for g in c}
+    totals = {lang: sum(c.values()) + 0.5 * len(every) for lang, c in counts.items()}
+    uses = {"aa": "latin", "bb": "latin", "cc": "cyrillic"}
+
+    def score(w):
+        p = f" {w} "
+        found = [p[i : i + n] for n in (1, 2, 3) for i in range(len(p) - n + 1)]
+        out = np.array([sum(np.log((counts[x].get(g, 0) + 0.5) / totals[x]) for g in found) for x in model.languages])
+        out -= out.max()
+        if language.script_of(w) in uses.values():
+            out = np.where([uses[x] == language.script_of(w) for x in model.languages], out, -language.FLOOR)
+            out -= out.max()
+        return np.maximum(out, -language.FLOOR)
+
+    r = random.Random(9)
+    words = sorted({w for _, t, _ in rows for w in t.split()}) + ["zebra", "ω", "日本"]
+    assert np.allclose(model.score(words), [score(w) for w in words])
+    texts = [None, "", *(" ".join(r.choice(words) for _ in range(r.choice([1, 3, 40]))) for _ in range(60))]
+    texts += [" ".join(rows[i][1] for i in r.choices(range(120), k=3)) for _ in range(20)]
+    labels, first = language.labelled_words(texts, model)
+    for i, text in enumerate(texts):
+        plain = [score(w) for w in (text or "").split()]
+        got = labels[first[i] : first[i + 1]]
+        assert len(got) == len(plain)
+        if plain:
+            scores, best = np.array(plain), language.path(np.array(plain))
+            cost = [scores[np.arange(len(x)), x].sum() - language.PENALTY * (np.diff(x) != 0).sum() for x in (got, best)]
+            assert cost[0] == pytest.approx(cost[1])
+
+
 def test_path_equals_all_paths():
     r = np.random.default_rng(1)
     for _ in range(30):
@@ -164,12 +212,26 @@ def test_packing_round_trip(texts):
         parts.sort()
         assert [a for a, _ in parts] == np.cumsum([0] + [n for _, n in parts])[:-1].tolist() and sum(n for _, n in parts) <= 1024
     total = sum(p.length for p in pieces)
-    assert len(sequences) <= total / 1024 * 1.05 + 1
+    rest = sorted((len(ids) % 1024 for many in wanted.values() for ids in many if len(ids) % 1024), reverse=True)
+    rooms: list[int] = []  # best fit, decreasing, by trying every sequence
+    for n in rest:
+        fits = [room for room in rooms if room >= n]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else 1024) - n)
+    assert len(sequences) == len(rooms) + sum(len(ids) // 1024 for many in wanted.values() for ids in many)
     joined = packing.sequences(packing.pack(docs, with_ids=True)).collect()
     assert sum(len(s.ids) for s in joined) == 4 * total
     assert packing.pack(texts([])).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_packing_pads_little(spark):
+    pieces = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    total, sequences = pieces.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
+    assert 1024 * sequences <= 1.005 * total
+
+
 def test_tree_finds_the_tightest_fit():
     r = random.Random(1)
     tree, open_ = packing.Sequences(64), []
@@ -273,6 +335,35 @@ def test_warc_round_trip(spark, tmp_path):
     with pytest.raises(Exception, match="cut short|digest"):
         warc.read(broken).collect()
     assert warc.read(warc.write(pages.where("false"))).count() == 0
+    # chunks in any order, and records cut over tasks
+    shuffled = chunks.repartition(7, F.rand(3))
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(shuffled).collect()), key=str) == sorted(want, key=str)
+    with pytest.raises(Exception, match="cut short"):
+        warc.read(chunks.where("record <> 1 OR chunk <> 1")).collect()
+
+
+def test_warc_tasks_hold_chunks_not_payloads():
+    """What a task has of a payload while it writes and reads it is a few chunks."""
+    n, chunk = 400, 1 << 16
+    body = bytes(chunk)
+    names = ["record", "page_id", "url", "size", "part", "data"]
+
+    def parts():
+        for i in range(n):
+            yield pa.RecordBatch.from_pydict(dict(zip(names, [[0], [7], ["u"], [n * chunk], [i], [body]], strict=True)))
+
+    def in_order():  # the header follows the payload
+        head, rest = [], []
+        for batch in warc._streamed(parts(), chunk):
+            for row in batch.select(["record", "chunk", "data"]).to_pylist():
+                (head if row["chunk"] == 0 else rest).append(row["chunk"])
+        return head, rest
+
+    tracemalloc.start()
+    head, rest = in_order()
+    assert head == [0] and rest == list(range(1, n + 1))
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
 
 
 @pytest.mark.parametrize("chunk", [7, 4000, warc.CHUNK])
