@@ -18,26 +18,37 @@ from shelfline.session import scratch_dir, stored
 # Tokenizers, learned models and suffix automata have no SQL
 ORACLE_SQL = None
 
-KEY = "_key"  # a column that tells rows apart
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, key: str) -> DataFrame:
     """The documents with a unique key in the order of their ids: the id itself where every row has one of its own.
 
     Otherwise the rows are written once, in the order of id (null last) and text, and numbered.
     """
     if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
-        return docs.withColumn(KEY, F.col("doc_id").cast("long"))
-    placed = docs.withColumn(KEY, F.monotonically_increasing_id())  # so that equal rows need not lie in one task
-    placed = placed.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), KEY)
-    return stored(placed.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    placed = docs.withColumn(key, F.monotonically_increasing_id())  # so that equal rows need not lie in one task
+    placed = placed.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), key)
+    return stored(placed.withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
+def texts_of(rows: DataFrame, key: str) -> DataFrame:
+    """Key and text alone: what the operators read, without names of the input that could clash with theirs."""
+    return rows.select(F.col(key).alias("doc_id"), "text")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without a letter go, those in several languages stay."""
     model = language.fit(docs.where(fold(F.col("doc_id")) != 2))
-    found = language.label(docs, model, into="_language")
-    return found.where(F.col("_language.lang_pred") != language.UNKNOWN).select(*docs.columns)
+    into = free(docs, "_language")
+    found = language.label(docs, model, into=into, spans=False)
+    return found.where(F.col(f"{into}.lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,23 +56,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows count one by one, whether or not their id is null or repeated; a null id comes after all others.
     """
-    rows = keyed(docs)
-    groups = jaccard.near_groups(rows, id_col=KEY).where("doc_id = component_id").select(F.col("doc_id").alias(KEY))
-    return rows.join(groups, KEY, "left_semi").select(*docs.columns)
+    key = free(docs, "_key")
+    rows = keyed(docs, key)
+    groups = jaccard.near_groups(texts_of(rows, key)).where("doc_id = component_id").select(F.col("doc_id").alias(key))
+    return rows.join(groups, key, "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that also stand earlier; n_chars follows; a document of nothing else goes."""
-    rows = keyed(docs)
-    kept = substrings.cut_out(rows, substrings.repeated_spans(rows, id_col=KEY), id_col=KEY)
+    key = free(docs, "_key")
+    rows = keyed(docs, key)
+    kept = substrings.cut_out(rows, substrings.repeated_spans(texts_of(rows, key)), id_col=key)
     return kept.withColumn("n_chars", F.length("text").cast("long")).where("text IS NOT NULL AND n_chars > 0").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an item of the benchmark."""
-    rows = keyed(docs)
-    leaked = leaks.find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col=KEY).select(F.col("doc_id").alias(KEY)).distinct()
-    return rows.join(leaked, KEY, "left_anti").select(*docs.columns)
+    key = free(docs, "_key")
+    rows = keyed(docs, key)
+    leaked = leaks.find_leaks(texts_of(rows, key), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(leaked, key, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
