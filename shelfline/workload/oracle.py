@@ -457,13 +457,13 @@ _TEXTS["catalog_split"] = _TEXTS["catalog_flat"]
 _TEXTS["stream_kpis_folded"] = _TEXTS["stream_kpis_tumbling"]
 _TEXTS["stream_retained"] = """
     SELECT order_id, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS event_time, round(total_price, 2) AS total_price,
-        CAST(units AS BIGINT) AS units
+        CAST(coalesce(units, 0) AS BIGINT) AS units
     FROM sold_orders LEFT JOIN (SELECT order_id AS o, sum(amount) AS units FROM k_items GROUP BY order_id) ON o = order_id
     WHERE CAST(event_time AS DATE) >= CAST((SELECT max(event_time) FROM sold_orders) - INTERVAL 30 DAY AS DATE)"""
 _TEXTS["dashboard"] = """
     SELECT 'totals' AS visual, CAST(NULL AS DATE) AS date, CAST(NULL AS VARCHAR) AS region, CAST(NULL AS VARCHAR) AS channel,
         CAST(NULL AS VARCHAR) AS brand, CAST(NULL AS VARCHAR) AS category, round(sum(line_value), 2) AS revenue,
-        any_value(n) AS orders, round(sum(line_value) / any_value(n), 6) AS aov
+        CAST(any_value(n) AS DOUBLE) AS orders, round(sum(line_value) / any_value(n), 6) AS aov
     FROM sales, (SELECT count(*) AS n FROM summary)
     UNION ALL
     SELECT 'aov_by_date', o.order_date, NULL, NULL, NULL, NULL, round(revenue, 2), orders, round(revenue / orders, 6)
@@ -480,7 +480,7 @@ _TEXTS["dashboard"] = """
     FROM sales GROUP BY category"""
 _TEXTS["pair_distinct_estimates"] = "SELECT pair_key, pair_count AS combinations FROM top_pairs"
 _TEXTS["pair_running_totals"] = """
-    WITH top3 AS (SELECT * FROM top_pairs ORDER BY pair_count DESC, product_a, product_b LIMIT 3),
+    SELECT * FROM (WITH top3 AS (SELECT * FROM top_pairs ORDER BY pair_count DESC, product_a, product_b LIMIT 3),
     sold3 AS (SELECT t.pair_key, r.combination_id, r.event_time FROM top3 t
         JOIN combo_pairs p ON p.product_a = t.product_a AND p.product_b = t.product_b
         JOIN sold_recent r ON p.combination_id = r.combination_id),
@@ -491,7 +491,7 @@ _TEXTS["pair_running_totals"] = """
     FROM (SELECT b.bin, t.pair_key, count(DISTINCT s.combination_id) AS v FROM top3 t CROSS JOIN bins b
         LEFT JOIN sold3 s ON s.pair_key = t.pair_key AND s.event_time >= b.bin AND s.event_time < b.bin + INTERVAL 1 DAY
         WHERE b.bin + INTERVAL 1 DAY <= (SELECT max(event_time) FROM sold3)
-        GROUP BY b.bin, t.pair_key)"""
+        GROUP BY b.bin, t.pair_key))"""
 _TEXTS["job_sales_top_products"] = _TEXTS["top_products_by_category"]
 ORACLE_SQL = {name: with_shared(text) for name, text in _TEXTS.items()}
 

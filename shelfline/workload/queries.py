@@ -369,7 +369,8 @@ def revenue_by_category(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def dashboard(spark: SparkSession, sf: str) -> DataFrame:
     """All visuals of the sales dashboard, from one pass over each fact."""
-    return rounded(report.dashboard(testbed.model(spark, sf)), revenue=2)
+    shown = report.dashboard(testbed.model(spark, sf)).withColumn("orders", F.col("orders").cast("double"))  # NULL beside numbers
+    return rounded(shown, revenue=2)
 
 
 @query
@@ -701,7 +702,7 @@ def stream_retained(spark: SparkSession, sf: str) -> DataFrame:
     store = ingest.sales_store(spark, f"{folder}/out", by_day=False)
     store.maintain(MONTH)
     items = store.read("order_items").groupBy("order_id").agg(F.sum("quantity").alias("units"))
-    orders = store.read("orders").join(items, "order_id", "left")
+    orders = store.read("orders").join(items, "order_id", "left").withColumn("units", F.coalesce("units", F.lit(0)))
     return rounded(readable(orders.select("order_id", "event_time", "total_price", "units"), "event_time"), 2)
 
 
