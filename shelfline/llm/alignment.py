@@ -27,12 +27,12 @@ from shelfline.session import stored
 
 STEP = 1 << 13  # merged ends in a piece
 BLOCK = 1 << 20  # bytes of text that are aligned at once, about; a longer text is a block of its own
-CACHE = 100_000  # stretches of text whose ids a task remembers
+PART = 1 << 16  # characters that the tokenizers read at once, about
 COMMON = 1 << 20  # pairs whose counts are sent to all tasks, at most
 HELD = 1 << 21  # links that a task counts at once
 
 # Both tokenizers part a text before a single space between other characters
-_STRETCH = re.compile(r"(?<=\S) (?=\S)")
+_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def diagonals(a: np.ndarray, b: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,12 +114,12 @@ class Pair:
         self.written = [f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(top)]
         self.top = top
 
-    def read(self, text: str) -> tuple[bytes, bytes, bool]:
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
         """(A ids, B ids, do both stand for the same bytes) of a space and the text."""
-        a, b = self.a.encode_ordinary(" " + text), self.b.encode(text, num_threads=1)
+        a, b = self.a.encode_ordinary(" " + text), self.b.encode(text)
         body = (" " + text).encode()
         same = b"".join(map(self.a_bytes.__getitem__, a)) == body == b"".join(map(self.b_bytes.__getitem__, b))
-        return np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes(), same
+        return np.array(a, "<u4"), np.array(b, "<u4"), same
 
 
 @lru_cache(maxsize=1)
@@ -127,35 +127,31 @@ def pair(a_name: str, b_name: str) -> Pair:
     return Pair(a_name, b_name)
 
 
-class Reading:
-    """Ids of texts, with those of short stretches between spaces remembered, up to a bound."""
-
-    def __init__(self, both: Pair) -> None:
-        self.both = both
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
-
-    def _stretch(self, text: str) -> tuple[bytes, bytes, bool]:
-        found = self.known.get(text)
-        if found is None:
-            found = self.both.read(text)
-            if len(text) <= 40:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[text] = found
-        return found
-
-    def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """A and B ids; none for a null or empty text, or where the two stand for different bytes."""
-        none = np.zeros(0, "<u4")
-        if not text:
+def parts_of(text: str, size: int) -> list[str]:
+    """The text in parts of about `size` characters, cut at spaces where both tokenizers part it; the space is left out,
+    as each part is read with one before it."""
+    parts, start = [], 0
+    while len(text) - start > size:
+        at = _SPACE.search(text, start + size)
+        if at is None:
+            break
+        parts.append(text[start : at.start()])
+        start = at.end()
+    return [*parts, text[start:]]
+
+
+def ids_of(both: Pair, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A and B ids; none for a null or empty text, or where the two stand for different bytes."""
+    none = np.zeros(0, "<u4")
+    if not text:
+        return none, none
+    parts = [both.read(part) for part in (parts_of(text, PART) if both.parts else [text])]
+    a, b = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:2])
+    if not all(same for _, _, same in parts):
+        body = (" " + text).encode()
+        if b"".join(map(both.a_bytes.__getitem__, a)) != body or b"".join(map(both.b_bytes.__getitem__, b)) != body:
             return none, none
-        parts = list(map(self._stretch, _STRETCH.split(text) if self.both.parts else [text]))
-        a, b = (np.frombuffer(b"".join(x), "<u4") for x in list(zip(*parts, strict=True))[:2])
-        if not all(same for _, _, same in parts):
-            body = (" " + text).encode()
-            if b"".join(map(self.both.a_bytes.__getitem__, a)) != body or b"".join(map(self.both.b_bytes.__getitem__, b)) != body:
-                return none, none
-        return a, b
+    return a, b
 
 
 _ALIGNED = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string()), ("links", pa.binary()), ("groups", pa.string())]
@@ -189,13 +185,12 @@ def _block(both: Pair, tokens: list[tuple[np.ndarray, np.ndarray]], with_groups:
 
 def _aligned(batches, a_name: str, b_name: str, with_groups: bool):
     both = pair(a_name, b_name)
-    reading = Reading(both)
     for batch in batches:
         texts, row = batch.column(batch.num_columns - 1), 0
         while row < batch.num_rows:
             tokens, size = [], 0
             while row + len(tokens) < batch.num_rows and size < BLOCK:
-                tokens.append(reading.ids(texts[row + len(tokens)].as_py()))
+                tokens.append(ids_of(both, texts[row + len(tokens)].as_py()))
                 size += int(both.a_sizes[tokens[-1][0]].sum())
             columns = list(zip(*_block(both, tokens, with_groups), strict=True))
             kept = batch.slice(row, len(tokens)).columns[:-1]
