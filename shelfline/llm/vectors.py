@@ -1,11 +1,17 @@
-"""Near-duplicate vectors: cells around fitted centers, and every pair that the angles to them leave open compared.
+"""Near-duplicate vectors: a robust-pruned flat graph, searched from medoids, with verified links.
 
 Equal vectors of a label are one node. Centers, fitted per label on a sample that grows with it, cut the nodes of a label
-into cells. By the triangle inequality a node can only link into cells whose members lie, seen from the center, within
-the threshold's angle of its own; it visits all of these. A cell too large for one task is dealt out in blocks by a hash
-and its visitors in parts, so that a task holds one block and one part, whatever the size of the cell. There every visitor is
-compared with every member in double precision: no link is left out, and the work of a label without structure grows with
-the square of its nodes.
+into cells; a cell too large for one task is dealt out in blocks by a hash. The graph is built on overlapping shards: each
+node takes part in a block of its nearest and of its second nearest cell, where it gets a few diverse neighbours (robust
+pruning, with some far ones so that groups of near copies stay tied to the rest). The adjacency lists of all shards are
+united.
+
+A node can only link into cells whose members lie, seen from the center, within the threshold's angle of its own (the
+triangle inequality); it visits the blocks of all of these, in parts, so that a task holds one block and one part,
+whatever the size of the cell. There its search starts from the medoids of the connected parts of the block's graph, and
+from its own place where it has one, walks greedily to where it can come no nearer, and goes on through all nodes within
+range until no more turn up. Every link is verified in double precision. `audit` compares the links of every twentieth
+vector with all vectors.
 """
 
 from __future__ import annotations
@@ -20,6 +26,13 @@ from shelfline.llm import frames
 SHARD = 16384  # nodes of a block, and of a part, about
 BYTES = 8 << 20  # of their vectors, about
 CENTERS = 2048  # of a label, at most: cells beyond it are larger and have more blocks
+MOST_CENTERS = 1 << 16  # of all labels together, about: they are sent to all tasks
+DEGREE = 24  # neighbours of a node in a shard
+POOL = 64  # nearest nodes among which they are chosen
+FAR = 4  # neighbours of a node anywhere in its shard
+ALPHA = 1.2  # how much closer a neighbour has to be to a candidate to replace it
+BEAM = 32  # nodes that a walk keeps
+WIDER = 1.25  # how far beyond the threshold's angle a search still goes on
 SAMPLE = 8  # vectors for each center on which the centers are fitted, about
 TILE = 1 << 22  # similarities that a task holds at once
 SLACK = 1e-6  # of angles
@@ -79,11 +92,15 @@ def _angles(batch: pa.RecordBatch, centers: dict[str, np.ndarray]):
 
 
 def _assigned(batches, centers: dict[str, np.ndarray]):
+    """The rows with the number of their nearest and second nearest center, and the angle to the nearest."""
     for batch in batches:
-        cell, angle = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+        cell, second, angle = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
         for _, rows, angles in _angles(batch, centers):
             cell[rows], angle[rows] = angles.argmin(axis=1), angles.min(axis=1)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(angle)], [*batch.schema.names, "home", "angle"])
+            if angles.shape[1] > 1:
+                angles[np.arange(len(rows)), cell[rows]] = np.inf
+                second[rows] = angles.argmin(axis=1)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(second), pa.array(angle)], [*batch.schema.names, "home", "second", "angle"])
 
 
 def _visits(batches, centers: dict[str, np.ndarray], rings: dict[str, np.ndarray], angle: float):
@@ -105,39 +122,129 @@ def _visits(batches, centers: dict[str, np.ndarray], rings: dict[str, np.ndarray
             yield pa.RecordBatch.from_arrays([*some.columns[:5], pa.array(cells[i : i + (1 << 14)])], [*some.schema.names[:5], "cell"])
 
 
+def prune(near: np.ndarray, away: np.ndarray, apart: np.ndarray) -> list[int]:
+    """Places in `near` of the neighbours of a node: nearest first, without those a chosen one is much closer to.
+
+    `away` are the distances of the candidates from the node, ascending, `apart` those between them.
+    """
+    alive, chosen = np.ones(len(near), bool), []
+    while len(chosen) < DEGREE and alive.any():
+        first = int(alive.argmax())
+        alive[first] = False
+        chosen.append(first)
+        alive &= ALPHA * apart[first] > away
+    return chosen
+
+
+def _lists(table: pa.Table) -> pa.Table:
+    """Adjacency lists of one shard, both ways, so that walks can turn."""
+    table = table.sort_by("node")
+    nodes, vectors = table.column("node").to_numpy(), _unit(table.column("vector").to_pylist())
+    n, random = len(nodes), np.random.default_rng(11)
+    pool, step = min(POOL, n - 1), max(1, TILE // n)
+    sources, targets = [], []
+    for i in range(0, n if n > 1 else 0, step):
+        similar = vectors[i : i + step] @ vectors.T
+        similar[np.arange(len(similar)), np.arange(i, i + len(similar))] = -np.inf
+        nearest = np.argpartition(-similar, pool - 1, axis=1)[:, :pool]
+        far = random.integers(0, n, (len(similar), FAR))
+        for k, row in enumerate(similar):
+            near = nearest[k][np.lexsort((nearest[k], -row[nearest[k]]))]
+            chosen = near[prune(near, 1.0 - row[near], 1.0 - vectors[near] @ vectors[near].T)]
+            chosen = np.append(chosen, far[k][far[k] != i + k])
+            sources.append(np.full(len(chosen), i + k)), targets.append(chosen)
+    source, target = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sources, targets))
+    both = np.unique(np.concatenate([source * n + target, target * n + source]))
+    return pa.table({"node": pa.array(nodes[both // max(1, n)], pa.int64()), "other": pa.array(nodes[both % max(1, n)], pa.int64())})
+
+
+class Graph:
+    """The members of a block with their neighbours, and an entry for each connected part."""
+
+    def __init__(self, vectors: np.ndarray, nodes: np.ndarray, others: list[list[int] | None]) -> None:
+        self.vectors = vectors
+        sizes = np.array([len(x or ()) for x in others], np.int64)
+        wanted = np.fromiter((o for x in others for o in x or ()), np.int64, int(sizes.sum()))
+        place = np.minimum(np.searchsorted(nodes, wanted), max(0, len(nodes) - 1))
+        here = nodes[place] == wanted if len(nodes) else np.zeros(0, bool)
+        source = np.repeat(np.arange(len(nodes)), sizes)[here]
+        self.targets = place[here]
+        self.first = np.append(0, np.cumsum(np.bincount(source, minlength=len(nodes))))
+        self.entries = self._entries()
+
+    def after(self, some: np.ndarray) -> np.ndarray:
+        """Neighbours of some nodes."""
+        parts = [self.targets[self.first[i] : self.first[i + 1]] for i in some.tolist()]
+        return np.unique(np.concatenate(parts)) if parts else some
+
+    def _entries(self) -> np.ndarray:
+        """The medoid of each connected part."""
+        part, found = np.full(len(self.vectors), -1), []
+        for start in range(len(self.vectors)):
+            if part[start] >= 0:
+                continue
+            frontier = np.array([start])
+            part[start] = start
+            while len(frontier):
+                frontier = self.after(frontier)
+                frontier = frontier[part[frontier] < 0]
+                part[frontier] = start
+            inside = np.flatnonzero(part == start)
+            found.append(inside[(self.vectors[inside] @ self.vectors[inside].mean(axis=0)).argmax()])
+        return np.array(found, np.int64)
+
+    def near(self, query: np.ndarray, own: int, threshold: float, wide: float) -> np.ndarray:
+        """Members within the threshold of the query: a greedy walk from all entries, then outwards through what is in
+        the wider range."""
+        starts = self.entries if own < 0 else np.unique(np.append(self.entries, own))
+        seen = np.zeros(len(self.vectors), bool)
+        seen[starts] = True
+        at, similar, done = starts, self.vectors[starts] @ query, np.zeros(len(starts), bool)
+        while True:
+            best = np.argsort(-similar, kind="stable")[:BEAM]
+            some = best[~done[best]][:8]
+            some = some if len(some) else np.flatnonzero(~done & (similar >= wide))
+            if not len(some):
+                return at[similar >= threshold]
+            done[some] = True
+            new = self.after(at[some])
+            new = new[~seen[new]]
+            seen[new] = True
+            at, similar = np.append(at, new), np.append(similar, self.vectors[new] @ query)
+            done = np.append(done, np.zeros(len(new), bool))
+
+
 def _links(table: pa.Table, threshold: float) -> pa.Table:
     """Of a block and a part: the weight of each visitor's links into the block, and what ties nodes to a component."""
     table = table.sort_by("node")
     nodes, vectors, copies = table.column("node").to_numpy(), _unit(table.column("vector").to_pylist()), table.column("copies").to_numpy()
     inside, asking = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("member", "visitor"))
-    members = vectors[inside]
-    root = np.arange(len(nodes))
+    graph = Graph(vectors[inside], nodes[inside], table.column("others").take(pa.array(inside)).to_pylist())
+    own = np.full(len(nodes), -1)
+    own[inside] = np.arange(len(inside))
+    wide = float(np.cos(min(np.pi, WIDER * np.arccos(np.clip(threshold, -1.0, 1.0)))))
+    parent = list(range(len(nodes)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     weights = np.zeros(len(nodes), np.int64)
-    step = max(1, TILE // max(1, len(inside)))
-    for i in range(0, len(asking), step):
-        some = asking[i : i + step]
-        for q, similar in zip(some.tolist(), vectors[some] @ members.T, strict=True):
-            near = np.flatnonzero(similar >= threshold - 1e-9)
-            close = np.flatnonzero(similar[near] < threshold + 1e-9)
-            if len(close):  # by a sum that is the same in both directions
-                wrong = [c for c in close.tolist() if float(np.dot(vectors[q], members[near[c]])) < threshold]
-                near = np.delete(near, wrong)
-            near = inside[near]
-            near = near[near != q]
-            if not len(near):
-                continue
-            weights[q] = copies[near].sum()
-            roots = root[near]
-            least = min(int(roots.min()), int(root[q]))
-            if root[q] != least or (roots != least).any():
-                merged = np.zeros(len(nodes), bool)
-                merged[roots], merged[root[q]] = True, True
-                root[merged[root]] = least
-    tied = np.flatnonzero(root != np.arange(len(nodes)))
+    for q in asking.tolist() if len(inside) else []:
+        near = inside[graph.near(vectors[q], int(own[q]), threshold - 1e-9, wide)]
+        # by a sum that is the same in both directions
+        near = [n for n in near.tolist() if n != q and float(np.dot(vectors[q], vectors[n])) >= threshold]
+        weights[q] = copies[near].sum()
+        for n in near:
+            a, b = find(q), find(n)
+            parent[max(a, b)] = min(a, b)
+    tied = [i for i in range(len(nodes)) if find(i) != i]
     return pa.table({
         "node": pa.array(np.r_[nodes[asking], nodes[tied]], pa.int64()),
         "weight": pa.array(np.r_[weights[asking], np.zeros(len(tied), np.int64)], pa.int64()),
-        "root": pa.array([None] * len(asking) + nodes[root[tied]].tolist(), pa.int64()),
+        "root": pa.array([None] * len(asking) + [int(nodes[find(i)]) for i in tied], pa.int64()),
     })
 
 
@@ -146,6 +253,20 @@ def _prepared(rows: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return plain.mapInArrow(_valid, NODES)
 
 
+def _united(placed: DataFrame) -> DataFrame:
+    """(node, others): the neighbours of each node, from the shards of its nearest and its second nearest cell.
+
+    A shard is a block that is searched later, and the nodes of other cells that come second there.
+    """
+    places = F.array(F.col("home"), F.when(F.col("second") >= 0, F.col("second")))
+    shards = placed.select("kind", "node", "vector", "home", F.explode(F.array_compact(places)).alias("cell"))
+    own = F.count(F.when(F.col("cell") == F.col("home"), 1))
+    blocks = shards.groupBy("kind", "cell").agg(F.greatest(F.lit(1), F.ceil(own / F.first(_shard()))).cast("int").alias("blocks"))
+    dealt = shards.join(blocks, ["kind", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    edges = dealt.select("kind", "cell", "block", "node", "vector").groupBy("kind", "cell", "block").applyInArrow(_lists, "node long, other long")
+    return frames.cut(edges.groupBy("node").agg(F.collect_set("other").alias("others")))  # of two shards at most
+
+
 def _shard() -> Column:
     """Nodes that a block or a part of their kind has, about."""
     return F.greatest(F.lit(1), F.least(F.lit(SHARD), F.floor(F.lit(BYTES) / F.octet_length("vector"))))
@@ -167,23 +288,30 @@ def near_links(
     nodes = frames.cut(nodes.select("node", kind.alias("kind"), "vector", "copies"))
     # kinds that one task can hold have one cell and no center
     counts = nodes.groupBy("kind").agg(F.count("*").alias("nodes"), F.first(_shard()).alias("shard")).where("nodes > shard")
-    counts = counts.withColumn("centers", F.least(F.lit(CENTERS), F.ceil(F.col("nodes") / F.col("shard"))).cast("int"))
+    counts = frames.cut(counts.withColumn("centers", F.least(F.lit(CENTERS), F.ceil(F.col("nodes") / F.col("shard")))))
+    every = counts.agg(F.sum("centers")).first()[0] or 1
+    if every > MOST_CENTERS:  # larger cells, with more blocks
+        counts = counts.withColumn("centers", F.ceil(F.col("centers") * (MOST_CENTERS / every))).where("centers > 1")
+    counts = counts.withColumn("centers", F.col("centers").cast("int"))
     wanted = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) <= F.col("centers") * SAMPLE / F.col("nodes") * (1 << 30)
     sample = nodes.join(F.broadcast(counts), "kind").where(wanted).select("node", "kind", "vector", "centers")
     fitted: dict[str, list[np.ndarray]] = {}
     for row in sample.groupBy("kind").applyInArrow(_centers, "kind string, center binary").toLocalIterator():
         fitted.setdefault(row.kind, []).append(np.frombuffer(row.center, np.float64))
     centers = {k: np.stack(v) for k, v in fitted.items()}
+    send = rows.sparkSession.sparkContext.broadcast(centers)  # MOST_CENTERS of them, about
     columns = "node long, kind string, vector binary, copies long, home int"
-    placed = nodes.select("node", "kind", "vector", "copies").mapInArrow(lambda it: _assigned(it, centers), f"{columns}, angle double")
-    placed = frames.cut(placed) if centers else placed
+    placed = nodes.select("node", "kind", "vector", "copies").mapInArrow(lambda it: _assigned(it, send.value), f"{columns}, second int, angle double")
+    placed = frames.cut(placed)
+    lists = _united(placed)
     rings = {k: np.stack([np.full(len(c), np.inf), np.full(len(c), -np.inf)]) for k, c in centers.items()}  # empty cells have no visitors
     if centers:
         for row in placed.join(F.broadcast(counts), "kind").groupBy("kind", "home").agg(F.min("angle"), F.max("angle")).toLocalIterator():
             if row.kind in rings:
                 rings[row.kind][:, row.home] = row[2], row[3]
     angle = float(np.arccos(np.clip(threshold, -1.0, 1.0)))
-    visits = placed.mapInArrow(lambda it: _visits(it, centers, rings, angle), f"{columns}, cell int")
+    around = rows.sparkSession.sparkContext.broadcast(rings)
+    visits = placed.mapInArrow(lambda it: _visits(it, send.value, around.value, angle), f"{columns}, cell int")
     own = F.col("cell") == F.col("home")
     sizes = visits.groupBy("kind", "cell").agg(
         F.ceil(F.count(F.when(own, 1)) / F.first(_shard())).cast("int").alias("blocks"), F.ceil(F.count("*") / F.first(_shard())).cast("int").alias("parts")
@@ -198,7 +326,8 @@ def near_links(
     asks = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: ~own | (b != F.col("block")))
     asks = F.transform(asks, lambda b: F.struct(b.alias("block"), F.col("part").alias("part"), F.lit(False).alias("member"), F.lit(True).alias("visitor")))
     dealt = dealt.select("kind", "cell", "node", "vector", "copies", F.explode(F.when(own, F.concat(member, asks)).otherwise(asks)).alias("at"))
-    dealt = dealt.select("kind", "cell", "at.*", "node", "vector", "copies")
+    dealt = dealt.join(lists, "node", "left")  # of the members; visitors need none
+    dealt = dealt.select("kind", "cell", "at.*", "node", "vector", "copies", F.when(F.col("at.member"), F.col("others")).alias("others"))
     found = frames.cut(
         dealt.groupBy("kind", "cell", "block", "part").applyInArrow(lambda t: _links(t, threshold), "node long, weight long, root long")
     )
