@@ -1,11 +1,14 @@
 """Benchmark passages in documents, up to an edit distance in words.
 
-An item of n words may have k = tolerance * n edits. Cut into k + 1 pieces, one of them stands unchanged in a leaked
-copy, so windows of an item's size are looked at only where a piece of that item stands; this loses nothing. Each such
-window goes through the CGK random walk, which turns edit distance into Hamming distance: in step j the walk writes the
-word it stands at and moves on or stays, as a hash of the step and the word says. Bit sampling then compares a few steps
-of the walk, in as many repetitions as the wanted recall needs, and windows that agree with their item in one of them
-are verified by exact edit distance.
+An item of n words may have k = tolerance * n edits. The CGK random walk turns edit distance into Hamming distance: in
+step j the walk writes the word it stands at and moves on or stays, as a hash of the step and the word says. Bit sampling
+keeps a few steps of the walk, in as many repetitions as the wanted recall needs: for each size of items there is a table
+from the sampled steps to the items that have them. Windows of that size are walked, their steps are looked up in the
+table, and the items found are verified by exact edit distance.
+
+Walking every window of every document would cost thousands of steps a word. Cut into k + 1 pieces, an item that is there
+with k edits has one piece unchanged, so windows of a size are walked only where a piece of an item of that size stands;
+this loses nothing, and it says where to look, not what is found.
 """
 
 from __future__ import annotations
@@ -70,18 +73,43 @@ class Items:
         turns = repetitions(recall)
         self.seeds = random.integers(1, 1 << 63, turns, dtype=np.uint64)
         self.steps = random.random((turns, SAMPLED))
-        # pieces by length: hash, item, place of the piece in the item
+        # pieces by length: hash, size of the item, place of the piece in the item; items of one size share a piece
         pieces: dict[int, list[tuple[int, int]]] = {}
         for i, (item, k) in enumerate(zip(self.words, self.edits, strict=True)):
             size = len(item) // (k + 1)
             pieces.setdefault(size, []).extend((i, j * size) for j in range(k + 1))
         self.pieces = {}
         for size, places in pieces.items():
-            which, at = (np.array(x) for x in zip(*places, strict=True))
             value = _grams(np.concatenate([self.words[i][a : a + size] for i, a in places]).reshape(-1, size))
-            order = np.argsort(value, kind="stable")
-            self.pieces[size] = (value[order], which[order], at[order])
-        self.walks = [self.sampled(item[None, :])[0] for item in self.words]
+            of, at = (np.array(x, np.int64) for x in zip(*[(len(self.words[i]), a) for i, a in places], strict=True))
+            order = np.lexsort((at, of, value))
+            first = np.append(True, (np.diff(value[order]) != 0) | (np.diff(of[order]) != 0) | (np.diff(at[order]) != 0))
+            self.pieces[size] = tuple(x[order][first] for x in (value, of, at))
+        # tables by size of the items: keys of the sampled steps, ascending, and the items that have them
+        sizes = np.array([len(item) for item in self.words], np.int64)
+        self.tables = {}
+        for size in np.unique(sizes).tolist():
+            which = np.flatnonzero(sizes == size)
+            keys = np.concatenate([self.keys(self.words[i][None, :]) for i in which])
+            order = np.argsort(keys, axis=None, kind="stable")
+            self.tables[size] = (keys.ravel()[order], np.repeat(which, keys.shape[1])[order])
+
+    def keys(self, windows: np.ndarray) -> np.ndarray:
+        """(window, repetition): what the sampled steps of each repetition amount to."""
+        sampled = self.sampled(windows)
+        keys = _grams(sampled.reshape(-1, sampled.shape[2])).reshape(sampled.shape[:2])
+        return mix(keys + self.seeds[None, :])
+
+    def found(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) wherever an item of the windows' size has the same sampled steps in a repetition."""
+        value, which = self.tables[windows.shape[1]]
+        keys = self.keys(windows)
+        left, right = (np.searchsorted(value, keys.ravel(), side) for side in ("left", "right"))
+        some = np.flatnonzero(left < right)
+        window, times = some // keys.shape[1], (right - left)[some]
+        pick = np.repeat(left[some], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        pairs = np.unique(np.repeat(window, times) + which[pick] * len(windows))
+        return pairs % len(windows), pairs // len(windows)
 
     def sampled(self, windows: np.ndarray) -> np.ndarray:
         return embed(windows, self.seeds, (self.steps * (3 * windows.shape[1])).astype(np.int64))
@@ -123,7 +151,7 @@ def _search(batches, items: Items):
             ids = batch.column(0).slice(row, end - row).to_pylist()
             owner = np.repeat(np.arange(end - row), np.diff(words.first))
             hits = []
-            for size, (value, which, at) in items.pieces.items():
+            for size, (value, of, at) in items.pieces.items():
                 starts = np.arange(max(0, len(hashes) - size + 1))
                 starts = starts[owner[starts] == owner[starts + size - 1]] if len(starts) else starts
                 if not len(starts):
@@ -135,41 +163,37 @@ def _search(batches, items: Items):
                 some = np.flatnonzero(left < right)
                 times = (right - left)[some]
                 pick = np.repeat(left[some], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                hits.append(np.stack([owner[np.repeat(starts[some], times)], which[pick], np.repeat(starts[some], times) - at[pick]]))
+                hits.append(np.stack([of[pick], owner[np.repeat(starts[some], times)], np.repeat(starts[some], times) - at[pick]]))
             if not hits:
                 continue
             hits = np.unique(np.concatenate(hits, axis=1), axis=1)
-            for i in np.unique(hits[1]).tolist():
-                mine = hits[:, hits[1] == i]
-                out += _verified(items, i, mine[0], mine[2], hashes, words.first, ids)
+            for size in np.unique(hits[0]).tolist():
+                mine = hits[:, hits[0] == size]
+                out += _verified(items, size, mine[1], mine[2], hashes, words.first, ids)
         columns = list(zip(*out, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "item_id", "start", "end", "distance"]
         )
 
 
-def _verified(items: Items, i: int, owner, starts, hashes, first, ids) -> list[tuple]:
-    """Leaks of item i among windows that start at these places (indices of all words; they may hang over)."""
-    item, k = items.words[i], items.edits[i]
-    size = len(item)
-    out = []
+def _verified(items: Items, size: int, owner, starts, hashes, first, ids) -> list[tuple]:
+    """Leaks of items of one size among windows that start at these places (indices of all words; they may hang over)."""
+    out, last = [], {}
     block = max(1, min(512, BLOCK_WORDS // size))
     for a in range(0, len(starts), block):
         who, begin = owner[a : a + block], starts[a : a + block]
         at = begin[:, None] + np.arange(size)
         inside = (at >= first[who][:, None]) & (at < first[who + 1][:, None])
         windows = np.where(inside, hashes[np.clip(at, 0, len(hashes) - 1)], _U(1))
-        agree = (items.sampled(windows) == items.walks[i]).all(axis=2).any(axis=1)
-        last = (-1, -1)
-        for j in np.flatnonzero(agree).tolist():
-            d, s = int(who[j]), int(begin[j])
-            if d == last[0] and s < last[1]:
+        for j, i in zip(*(x.tolist() for x in items.found(windows)), strict=True):
+            item, k, d, s = items.words[i], items.edits[i], int(who[j]), int(begin[j])
+            if last.get(i, (-1, -1)) > (d, s):  # inside a leak that is known
                 continue
             lo, hi = max(int(first[d]), s - k), min(int(first[d + 1]), s + size + k)
             distance, x, y = (0, s - lo, s - lo + size) if (windows[j] == item).all() else edit_distance(item, hashes[lo:hi])
             if distance <= k:
                 out.append((ids[d], items.ids[i], lo + x - int(first[d]), lo + y - int(first[d]), distance))
-                last = (d, lo + y)
+                last[i] = (d, lo + y)
     return out
 
 
@@ -180,8 +204,8 @@ def find_leaks(
     """(doc_id, item_id, start, end, distance): where documents hold an item, in words, from 0.
 
     Words are runs of letters and digits, lower-cased. Items without a word, null texts and empty tables find nothing; a
-    null document id is reported as null. An item that is repeated under two ids is found under both. Other columns of
-    the inputs are ignored.
+    null document id is reported as null. An item that is repeated under two ids is found under both, and repeated
+    documents have their leaks each. Texts of any length are searched whole. Other columns of the inputs are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
