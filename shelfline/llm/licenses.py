@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfline.llm.license_texts import SIGNATURES
 from shelfline.llm.text import LOWER, NOT_ALNUM
 
 # License families as (label, names, versions). Names are patterns over words; a version is appended to
@@ -121,7 +122,8 @@ def _rule(label: str, pattern: str, worth: tuple[int, float]) -> Rule:
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """All rules, in order: for each family and version a tag, a notice and a title, then names alone, then sentences."""
+    """All rules, in order: for each family and version a tag, a notice and a title, then names alone, then sentences and
+    the signatures of license texts."""
     granted = "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the terms of )?(?:the |a )?(?:terms of )?(?:the )?"
     out = []
     for label, names, versions in FAMILIES:
@@ -140,6 +142,7 @@ def rules() -> tuple[Rule, ...]:
             if "licen" in name or label in {"cc0", "wtfpl"}:
                 out.append(_rule(label, name, NAME))
     out += [_rule(label, sentence, BODY) for label, sentence in SENTENCES]
+    out += [_rule(label, pattern, BODY) for label, pattern, _, _ in SIGNATURES]
     if any(not rule.words for rule in out):
         raise ValueError("a rule without a word of its own would be tried on every text")
     return tuple(out)
@@ -214,7 +217,9 @@ SCHEMA = "n_words long, found array<struct<start: long, end: long, label: string
 def scan(docs: DataFrame, phrases: dict[str, str], text_col: str = "text", into: str = "licenses") -> DataFrame:
     """Adds a struct column: the number of words of the text and all detections, in order of their place.
 
-    A null text has no words. Rows are independent of each other; a column of the new name is replaced.
+    A null text has no words, an empty one neither; texts of any length are scanned whole. Rows are independent of each
+    other, and repeated ones get the same; of rules that find the same interval the first counts. An empty table gives an
+    empty one; a column of the new name is replaced.
     """
 
     def read(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -190,10 +190,12 @@ def fit(
 ) -> Model:
     """A model of label 1, learned from about `rows` labelled texts, which a single task can hold.
 
-    Labels other than 0 and 1, null labels and null texts teach nothing.
+    Labels other than 0 and 1, null labels and null texts teach nothing, nor do ids with both labels; a label that is
+    given twice counts once. Without a label of either kind every score is 0.5. Texts of any length count whole.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
-    known = known.where("label IN (0, 1) AND _id IS NOT NULL").withColumn("h", F.xxhash64("_id")).dropDuplicates(["_id"])
+    known = known.where("label IN (0, 1) AND _id IS NOT NULL").groupBy("_id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
+    known = known.where("label = other").drop("other").withColumn("h", F.xxhash64("_id"))
     known = frames.cut(known)
     total = max(1, known.count())
     if total > rows:

@@ -396,6 +396,14 @@ def _repeats_ids(texts: DataFrame) -> bool:
     return not texts.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
+def _numbered(texts: DataFrame) -> DataFrame:
+    """The rows with a number in `own` for each pair of id and text, in the order of ids; null for a null id."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    pairs = texts.where("doc_id IS NOT NULL").select("doc_id", digest.alias("digest")).distinct().orderBy("doc_id", "digest")
+    pairs = frames.cut(pairs.withColumn("own", F.monotonically_increasing_id()))
+    return texts.withColumn("digest", digest).join(pairs, ["doc_id", "digest"], "left").select("doc_id", "text", "own")
+
+
 def _kept(batches, window: int):
     for batch in batches:
         out = []
@@ -421,12 +429,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_words, n_removed, kept): kept holds the words that stay, joined by one space.
 
     One row for each input row. A null or empty text has no words; a text shorter than the window loses nothing; rows
-    that repeat an id and its text are one document; a null id is returned as it is and takes nothing from others.
-    Other columns of the input are ignored.
+    that repeat an id and its text are one document, other texts of an id are documents of their own, in the order of
+    their digests; a null id is returned as it is and takes nothing from others. Texts of any length are read whole. An
+    empty table gives an empty one. Other columns of the input are ignored.
     """
     texts = _prepared(docs, id_col, text_col)
-    spans = repeated_spans(docs, id_col, text_col, window)
-    rows = texts.join(spans, "doc_id", "left").mapInArrow(
+    if _repeats_ids(texts.where("doc_id IS NOT NULL")):
+        texts = _numbered(texts)
+    else:
+        texts = texts.withColumn("own", F.col("doc_id"))
+    spans = repeated_spans(texts, "own", "text", window).withColumnRenamed("doc_id", "own")
+    rows = texts.join(spans, "own", "left").drop("own").mapInArrow(
         lambda it: _kept(it, window), "doc_id long, n_words long, n_removed long, kept binary"
     )
     return rows.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))

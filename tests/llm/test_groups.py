@@ -149,6 +149,12 @@ def test_without_repeats_of_odd_rows(texts, rows):
     assert got == sorted([(None, 30, 0, text), (4, 30, 0, text), (4, 30, 0, text), (2, 0, 0, "")], key=str)
 
 
+def test_repeats_of_ids_with_several_texts_are_found(texts):
+    first, other, more = (" ".join(f"{c}{i}" for i in range(40)) for c in "wvu")
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in substrings.without_repeats(texts([(1, first), (5, other), (5, f"{first} {more}"), (6, other)])).collect()]
+    assert sorted(got) == [(1, 40, 0), (5, 40, 0), (5, 80, 40), (6, 40, 40)]
+
+
 def test_cut_out_keeps_the_layout(texts):
     passage = " ".join(f"p{i}" for i in range(25))
     docs = texts([(1, f"first\n{passage}\nlast"), (2, f"other\nline\n{passage}\nend of it"), (3, passage)])

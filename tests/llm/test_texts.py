@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shelfline.llm import language, leaks, licenses, packing, quality, queries, urls, warc
+from shelfline.llm import language, leaks, license_texts, licenses, packing, quality, queries, urls, warc
 
 from .conftest import LOWER, prose
 
@@ -51,6 +51,31 @@ def test_rules_and_suppression(texts):
     assert 200 < len(licenses.rules()) and all(r.words for r in licenses.rules())
 
 
+@pytest.mark.parametrize("entry", license_texts.SIGNATURES, ids=[f"{n}-{x[0]}" for n, x in enumerate(license_texts.SIGNATURES)])
+def test_signatures_find_their_text_and_not_its_neighbour(entry):
+    label, pattern, hit, miss = entry
+    rule, scanner = licenses._rule(label, pattern, licenses.BODY), licenses.Scanner({})
+    words = [" " + " ".join(WORD.findall(t.translate(LOWER))) + " " for t in (hit, miss)]
+    assert rule.pattern.search(words[0]) and rule.words <= set(words[0].split()) and not rule.pattern.search(words[1])
+    match = rule.pattern.search(words[0])
+    a, size = words[0][: match.start()].count(" ") - 1, len(match[0].split())
+    # it is reported, unless a detection of its own or a higher priority holds it
+    assert any(x <= a and a + size <= b and (name == label or b - x >= size) for x, b, name, *_ in scanner.scan(hit)[1])
+    assert not rule.pattern.search(" all about licenses and software of the public ")
+
+
+def test_signatures_are_many_and_different():
+    labels, patterns = zip(*[x[:2] for x in license_texts.SIGNATURES], strict=True)
+    assert len(set(labels)) >= 100 and len(set(patterns)) == len(patterns)
+
+
+def test_no_rows_and_long_texts_of_licenses(texts):
+    assert licenses.scan(texts([]), queries.PHRASES).collect() == []
+    long = "word " * 200_000 + "Zope Public License"
+    found = licenses.scan(texts([(1, long), (1, long)]), queries.PHRASES).collect()
+    assert [[(x.start, x.label) for x in r.licenses.found] for r in found] == [[(200_000, "zpl")]] * 2
+
+
 def test_keyword_filter_loses_nothing():
     """Trying every rule gives what the filter lets through."""
     text = " the licensed work is released under the mozilla public license version 2 0 and the mit license or cc by sa 4 0 "
@@ -164,6 +189,11 @@ def test_quality_separates_and_takes_odd_rows(spark):
     got = {x.doc_id: x.score for x in quality.score(docs, quality.fit(docs, labels)).collect()}
     assert len(got) == 203 and all(0 <= s <= 1 for s in got.values()) and got[900] == got[901]
     assert all((got[i] >= 0.7) == (y == 1) for i, _, y in rows if i >= 150)
+    both = labels.union(spark.createDataFrame([(i, 1 - y) for i, _, y in rows[:100]] + [(120, 0)], "doc_id long, quality int"))
+    sure = labels.where("doc_id >= 100").union(spark.createDataFrame([(7, None)], "doc_id long, quality int"))
+    scores = [{x.doc_id: x.score for x in quality.score(docs, quality.fit(docs, k)).collect()} for k in (both, sure)]
+    assert scores[0] == scores[1]  # ids with both labels teach nothing, repeated labels nothing more
+    assert quality.score(docs.where("false"), quality.fit(docs.where("false"), labels)).collect() == []
     none = quality.fit(docs, labels.where("false"))
     assert {x.score for x in quality.score(docs, none).collect()} == {0.5}
 
@@ -289,6 +319,28 @@ def test_leaks_equal_brute_force(spark, texts):
     assert leaks.find_leaks(texts(sample), table.where("false")).count() == 0
 
 
+def test_tables_find_what_was_leaked():
+    """Recall over 800 copies with as many edits as the tolerance allows: at least what is promised, less one in 400."""
+    r = random.Random(12)
+    texts = [prose(r, r.choice([10, 14, 30, 59, 120])) for _ in range(40)]
+    items = leaks.Items(list(range(40)), texts, leaks.TOLERANCE, leaks.RECALL)
+    docs, want = [], set()
+    for d in range(800):
+        i = r.randrange(40)
+        w, k = texts[i].split(), int(leaks.TOLERANCE * len(texts[i].split()))
+        for at in r.sample(range(len(w)), k):
+            w[at] = r.choice(["", "other", f"{w[at]} extra"])
+        docs.append(f"{prose(r, 30)} {' '.join(w)} {prose(r, 30)}")
+        want.add((d, i))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(800)), "text": docs})
+    got = {(x["doc_id"], x["item_id"]) for out in leaks._search([batch], items) for x in out.to_pylist()}
+    assert want >= got and len(got) >= (leaks.RECALL - 1 / 400) * len(want)
+    # a window finds any item of its size, whichever piece led to it
+    same = [i for i in range(40) if len(items.words[i]) == 30][:2]
+    window, item = items.found(np.stack([items.words[i] for i in same]))
+    assert {*zip(window.tolist(), item.tolist(), strict=True)} >= set(enumerate(same))
+
+
 def test_walks_of_long_items_hold_only_their_samples():
     r = random.Random(9)
     items = leaks.Items([1], [prose(r, 600)], leaks.TOLERANCE, leaks.RECALL)
