@@ -446,7 +446,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def cut_out(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
-    """The rows without their repeated spans (of `repeated_spans`); line breaks between the words that stay are kept."""
+    """The rows without their repeated spans (of `repeated_spans`); line breaks between the words that stay are kept.
+
+    All columns are returned as they are, whatever their names.
+    """
 
     def rest(text: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -469,6 +472,9 @@ def cut_out(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
 
     rest.__annotations__ = {"text": pd.Series, "spans": pd.Series, "return": pd.Series}
     columns = docs.columns
-    found = spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(found, F.col(id_col).cast("long") == F.col("_id"), "left")
-    return joined.withColumn(text_col, F.pandas_udf(rest, "string")(F.col(text_col), F.col("_spans"))).select(*columns)
+    taken, mark = {c.lower() for c in columns}, "_"
+    while {f"{mark}id", f"{mark}spans"} & taken:
+        mark += "_"
+    found = spans.select(F.col("doc_id").alias(f"{mark}id"), F.col("spans").alias(f"{mark}spans"))
+    joined = docs.join(found, F.col(id_col).cast("long") == F.col(f"{mark}id"), "left")
+    return joined.withColumn(text_col, F.pandas_udf(rest, "string")(F.col(text_col), F.col(f"{mark}spans"))).select(*columns)

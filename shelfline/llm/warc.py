@@ -149,7 +149,9 @@ def write(
     # pre-aggregated: a payload that a third of all pages have is one row of each task here
     first = heads.groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
     first = first.where((F.col("n") > 1) & (F.col("size") >= least) & F.col("refers_to").isNotNull()).drop("n")
-    again = frames.cut(heads.join(first, ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))))
+    again = heads.join(first, ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    # written, so that Spark knows their size: as long as they are few they are sent to all tasks and no payload is shuffled
+    again = stored_table(again, "warc-revisits")
     kept = responses.select("record", "chunk", "data").join(again.select("record"), "record", "left_anti")
     kept = kept.sortWithinPartitions("record", "chunk")
     return kept.union(again.mapInArrow(lambda it: _revisits(it, chunk), CHUNKS))
@@ -270,7 +272,7 @@ def read(chunks: DataFrame) -> DataFrame:
     few where an archive is read as it was written, all of them where it was not.
     """
     here = chunks.sortWithinPartitions("record", "chunk").mapInArrow(lambda it: _read(it, True), f"{RECORDS}, record long, whole boolean")
-    here = frames.cut(here)
+    here = stored_table(here, "warc-records")
     parted = here.where("NOT whole").select("record").distinct()
     whole = here.where("whole")
     if parted.isEmpty():

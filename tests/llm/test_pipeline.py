@@ -93,3 +93,20 @@ def test_documents_in_several_languages_stay(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, x, "s", len(t)) for i, t, x in sample], "doc_id long, text string, lang string, source string, n_chars long")
     got = {x.doc_id for x in corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()}
     assert got == {i for i, _, _ in sample} - {101}
+
+
+def test_columns_of_any_name_come_back_as_they_were(spark, tmp_path):
+    r = random.Random(6)
+    item, passage = prose(r, 30), prose(r, 60)
+    texts = [prose(r, 80), f"{prose(r, 40)}\n{passage}", f"{prose(r, 50)}\n{passage}\n{prose(r, 20)}", f"{prose(r, 30)} {item} {prose(r, 30)}"]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    more = ["_key", "_id", "_spans", "_language", "_place", "component_id", "start", "row", "spans", "own", "digest", "n", "h", "_KEY_"]
+    rows = [(i, t, "en", "s", len(t), *(f"{c}{i}" for c in more)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *more])
+    wanted = {row[0]: row[5:] for row in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = {x[0]: tuple(x[5:]) for x in out.collect()}
+        assert got == {i: wanted[i] for i in got} and len(got) >= 3, name
+    assert corpus_pipeline.pack(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == 4
