@@ -8,10 +8,8 @@ language, so single borrowed words do not split a span, and longer foreign passa
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +25,7 @@ LEARNED_ROWS = 5_000  # labelled texts a model learns from, about: those with th
 PENALTY = 12.0  # of a change of language, in units of log probability
 FLOOR = 1.5 * PENALTY  # lowest score of a word: less than two changes cost, so no single word pays for them
 SLOTS = 1 << 21  # of the table in which n-grams are looked up first
-BLOCK = 1 << 20  # characters of text that are read at once, about; a longer text is a block of its own
+BLOCK = 1 << 22  # characters of text that are read at once, about; a longer text is a block of its own
 
 # First and last code points of scripts
 SCRIPTS = {
@@ -49,11 +47,7 @@ LONG = 40  # characters of a word whose n-grams count; the words of unspaced scr
 _U = np.uint64
 
 
-@lru_cache(maxsize=1)
-def _word() -> re.Pattern:
-    """Runs of letters. Digits, and other numbers such as ² and Ⅷ, which `\\w` takes too, are no letters."""
-    others = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-    return re.compile(rf"[^\W\d_{others}]+")
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def script_of(word: str) -> str:
@@ -62,7 +56,9 @@ def script_of(word: str) -> str:
 
 
 def words_in(text: str | None) -> list[str]:
-    found = _word().findall((text or "").lower())
+    found = WORD.findall((text or "").lower())
+    if not "".join(found).isalpha() and found:  # numbers such as ² and Ⅷ are no letters
+        found = [w for x in found for w in ("".join(c if c.isalpha() else " " for c in x).split() if not x.isalpha() else [x])]
     if any(len(w) > LONG for w in found):
         found = [w[i : i + LONG] for w in found for i in range(0, len(w), LONG)]
     return found
@@ -233,12 +229,45 @@ def path(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     return out
 
 
+def paths(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """What `path` gives for several texts, one after another: text i has the rows from starts[i] on, sizes[i] of them.
+
+    The texts, longest first, take each step together.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    steps, k = int(sizes.max(initial=0)), scores.shape[1]
+    live = np.searchsorted(-sizes, -np.arange(steps), "left")  # texts with more than so many words
+    value = np.zeros((len(sizes), k))
+    back, own = [], np.arange(k, dtype=np.int16)[None, :]
+    for t in range(steps):
+        n = live[t]
+        now = value[:n]
+        top = now.argmax(axis=1)
+        floor = now[np.arange(n), top] - penalty
+        stay = now >= floor[:, None]
+        back.append(np.where(stay, own, top[:, None]).astype(np.int16))
+        value[:n] = np.where(stay, now, floor[:, None]) + scores[starts[:n] + t]
+    at = value.argmax(axis=1)
+    out = [np.empty(n, np.int64) for n in sizes.tolist()]
+    labels = np.empty(int(sizes.sum()), np.int64)
+    place = np.cumsum(sizes) - sizes
+    for t in range(steps - 1, -1, -1):
+        n = live[t]
+        labels[place[:n] + t] = at[:n]
+        at[:n] = back[t][np.arange(n), at[:n]]
+    for i, (a, n) in enumerate(zip(place.tolist(), sizes.tolist(), strict=True)):
+        out[i] = labels[a : a + n]
+    return np.concatenate([out[i] for i in np.argsort(order)]) if out else labels
+
+
 def labelled_words(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """(languages, first): the language of every word of some texts, by number; those of text i are
     languages[first[i]:first[i + 1]].
 
-    Each distinct word is scored once. A text in which no stretch gains half a penalty over its best single language has
-    that language throughout; the others take the best path.
+    Each distinct word is scored once. A text has its best single language throughout if no stretch gains a penalty over
+    it in another language, nor a start and an end together: each stretch in another language costs a change, but for one
+    where the best language never comes. The other texts take the best path.
     """
     words: list[str] = []
     first = np.zeros(len(texts) + 1, np.int64)
@@ -257,7 +286,8 @@ def labelled_words(texts: list[str | None], model: Model) -> tuple[np.ndarray, n
     # gains over the best language since the start of the text; each text lies below those before it, so that the running
     # minimum starts anew with it
     drop = 2 * FLOOR * (np.diff(first).max() + 1)
-    mixed = np.zeros(len(texts), bool)
+    mixed, filled = np.zeros(len(texts), bool), np.flatnonzero(np.diff(first) > 0)
+    heads, tails = np.zeros(len(filled)), np.zeros(len(filled))
     own = sums[:, 0] * 0
     own[1:] = np.cumsum(scores[np.arange(len(words)), labels])
     for k in range(len(model.languages)):
@@ -265,10 +295,13 @@ def labelled_words(texts: list[str | None], model: Model) -> tuple[np.ndarray, n
         inside = gain[1:] - gain[first[:-1]][owner]
         before = np.minimum(0.0, gain[:-1] - gain[first[:-1]][owner])  # a text starts at 0
         low = np.minimum.accumulate(before - owner * drop) + owner * drop
-        high = inside - low > PENALTY / 2
-        mixed[owner[high]] = True
-    for i in np.flatnonzero(mixed):
-        labels[first[i] : first[i + 1]] = path(scores[first[i] : first[i + 1]])
+        mixed[owner[inside - low > PENALTY * 0.999]] = True
+        heads = np.maximum(heads, np.maximum.reduceat(inside, first[filled]))
+        tails = np.maximum(tails, inside[first[filled + 1] - 1] - np.minimum.reduceat(before, first[filled]))
+    mixed[filled[heads + tails > PENALTY * 0.999]] = True
+    again = np.flatnonzero(mixed)
+    if len(again):
+        labels[mixed[owner]] = paths(scores, first[again], first[again + 1] - first[again])
     return labels, first
 
 

@@ -181,6 +181,20 @@ def test_path_equals_all_paths():
         assert cost == pytest.approx(best[0])
 
 
+def test_paths_of_many_texts_equal_each_alone():
+    r = np.random.default_rng(4)
+    sizes = np.array([5, 1, 0, 40, 7, 40, 300])
+    scores, starts = -r.random((sizes.sum(), 4)) * 18, np.cumsum(sizes) - sizes
+    want = [language.path(scores[a : a + n]) if n else np.zeros(0) for a, n in zip(starts, sizes, strict=True)]
+    got = np.split(language.paths(scores, starts, sizes), np.cumsum(sizes)[:-1])
+
+    def gain(a, x):
+        return scores[np.arange(a, a + len(x)), x.astype(int)].sum() - language.PENALTY * (np.diff(x) != 0).sum()
+
+    assert [len(x) for x in got] == sizes.tolist()
+    assert all(gain(a, x) == pytest.approx(gain(a, y)) for a, x, y in zip(starts, got, want, strict=True))
+
+
 def test_quality_separates_and_takes_odd_rows(spark):
     r = random.Random(2)
     rows = [(i, prose(r, 60).capitalize() + "." if i % 2 else (r.choice("XYZ") + "!! ") * 60, i % 2) for i in range(200)]
