@@ -1,7 +1,8 @@
 """The most frequent pairs of items, without counting all pairs.
 
 No pair is in more groups than the rarer of its items is. So the items are taken by falling count, down to a threshold:
-if `n` pairs among them reach it, no pair with a rarer item can be among the best. Otherwise the threshold is halved.
+if `n` pairs among them reach it, no pair with a rarer item can be among the best. Otherwise the threshold falls
+to a quarter.
 Where fewer than `n` pairs are in two groups or more, pairs found in a single group fill up, in the order of their items:
 only the first items of that order are paired, and more of them as long as they do not suffice.
 """
@@ -28,7 +29,7 @@ def top_pairs(members: DataFrame, n: int, *, group: str, item: str, bulky: int =
         found = stored(found.orderBy(F.desc("pair_cnt"), "item_a", "item_b").limit(n), "top-pairs")
         if threshold <= 2 or found.count() >= n:
             break
-        threshold = max(2, threshold // 2)
+        threshold = max(2, threshold // 4)
     missing = n - found.count()
     if missing <= 0:
         return found
