@@ -24,8 +24,9 @@ GRAMS = (1, 2, 3)
 LEARNED_ROWS = 5_000  # labelled texts a model learns from, about: those with the smallest hashes of their ids
 PENALTY = 12.0  # of a change of language, in units of log probability
 FLOOR = 1.5 * PENALTY  # lowest score of a word: less than two changes cost, so no single word pays for them
+SCORED = 1 << 14  # words that are scored at once
 SLOTS = 1 << 21  # of the table in which n-grams are looked up first
-BLOCK = 1 << 22  # characters of text that are read at once, about; a longer text is a block of its own
+BLOCK = 1 << 20  # characters of text that are read at once, about; a longer text is a block of its own
 
 # First and last code points of scripts
 SCRIPTS = {
@@ -151,6 +152,8 @@ class Model:
 
     def score(self, words: list[str]) -> np.ndarray:
         """Scores of words, 0 for the best language of each, not below -FLOOR."""
+        if len(words) > SCORED:
+            return np.concatenate([self.score(words[i : i + SCORED]) for i in range(0, len(words), SCORED)])
         found, first = codes(words)
         total = np.add.reduceat(self.logs[self.places(found)], first[:-1], axis=0)
         total -= total.max(axis=1, keepdims=True)

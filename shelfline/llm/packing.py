@@ -10,9 +10,10 @@ to no padding as long as each gets some thousand pieces.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,15 +46,22 @@ class Encoder:
     def __init__(self, name: str) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(public_tokenizers.path(name.removesuffix(".json") + ".tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("documents", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.file = public_tokenizers.path(name)
+        with open(self.file, encoding="utf-8") as entry:
+            self.special = [t["content"] for t in json.load(entry).get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer itself, which few texts need."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
+
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
