@@ -25,7 +25,6 @@ from shelfline.llm.packing import SEPARATOR, Encoder, encoder
 
 WINDOW = 2048
 PIECES = 1 << 16  # pieces that are packed together, about
-NEAR = 64  # emptier sequences whose pairs of pieces are tried at once for the place of one piece
 
 
 def best_fit(lengths: list[int], window: int) -> list[list[int]]:
@@ -53,56 +52,81 @@ def best_fit(lengths: list[int], window: int) -> list[list[int]]:
     return out
 
 
+class Offers:
+    """What sequences hold, by length: of each length the emptiest holder first."""
+
+    def __init__(self) -> None:
+        self.sizes: list[int] = []  # lengths at hand, ascending
+        self.places: dict[int, list[tuple]] = defaultdict(list)  # length: heap of (fill, bin, *pieces)
+
+    def add(self, length: int, entry: tuple) -> None:
+        at = self.places[length]
+        if not at:
+            insort(self.sizes, length)
+        heapq.heappush(at, entry)
+
+    def drop(self, length: int) -> None:
+        del self.places[length]
+        self.sizes.pop(bisect_left(self.sizes, length))
+
+
 class Search:
-    """Local search over sequences that are not full. `bins` lists the pieces of each, by number into `lengths`."""
+    """Local search over sequences that are not full. `bins` lists the pieces of each, by number into `lengths`.
+
+    Single pieces and pairs of pieces of one sequence are offered by length, so that a place is held against all other
+    sequences at once. A window bounds the pairs of a sequence: there are no more sums of two lengths than tokens in it.
+    """
 
     def __init__(self, bins: list[list[int]], lengths: list[int], window: int) -> None:
         self.bins, self.lengths, self.window = bins, lengths, window
         self.fill = [sum(lengths[i] for i in b) for b in bins]
-        self.sizes: list[int] = []  # lengths at hand, ascending
-        self.places: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # length: heap of (fill, bin, piece)
+        self.singles, self.pairs = Offers(), Offers()
         self.home = {i: n for n, b in enumerate(bins) for i in b}
-        for i, n in self.home.items():
-            self._offer(i, n)
-
-    def _offer(self, piece: int, place: int) -> None:
-        """Lets the others take the piece; entries whose sequence has changed since are passed over."""
-        at = self.places[self.lengths[piece]]
-        if not at:
-            insort(self.sizes, self.lengths[piece])
-        heapq.heappush(at, (self.fill[place], place, piece))
-
-    def _emptiest(self, length: int, target: int, below: int) -> int | None:
-        """A piece of this length in the emptiest sequence with a fill of less than `below`, other than the target."""
-        at, kept, found = self.places[length], [], None
+        for n in range(len(bins)):
+            self._offer(n)
+
+    def _offer(self, place: int) -> None:
+        """Lets the others take pieces of a sequence; entries from before it changed are passed over."""
+        fill, by_length = self.fill[place], defaultdict(list)
+        for i in self.bins[place]:
+            self.singles.add(self.lengths[i], (fill, place, i))
+            by_length[self.lengths[i]].append(i)
+        sizes = sorted(by_length)
+        sums = {2 * n: tuple(by_length[n][:2]) for n in sizes if len(by_length[n]) > 1}
+        sums |= {n + m: (by_length[n][0], by_length[m][0]) for x, n in enumerate(sizes) for m in sizes[x + 1 :]}
+        for both, pieces in sums.items():
+            self.pairs.add(both, (fill, place, *pieces))
+
+    def _emptiest(self, offers: Offers, length: int, target: int, below: int) -> tuple[int, ...] | None:
+        """Pieces of this length in the emptiest sequence with a fill of less than `below`, other than the target."""
+        at, kept, found = offers.places[length], [], None
         while at:
-            fill, place, piece = at[0]
-            if self.home.get(piece) != place or self.fill[place] != fill:
+            fill, place, *pieces = at[0]
+            if self.fill[place] != fill or any(self.home.get(i) != place for i in pieces):
                 heapq.heappop(at)
             elif fill >= below:
                 break
             elif place == target:
                 kept.append(heapq.heappop(at))
             else:
-                found = piece
+                found = tuple(pieces)
                 break
         for entry in kept:
             heapq.heappush(at, entry)
         if not at:
-            del self.places[length]
-            self.sizes.pop(bisect_left(self.sizes, length))
+            offers.drop(length)
         return found
 
-    def _largest(self, target: int, least: int, most: int, gives: int) -> int | None:
-        """The longest piece of more than `least` up to `most` tokens whose taking, for `gives` tokens in return, pays."""
-        at = bisect_left(self.sizes, most + 1) - 1
-        while at >= 0 and self.sizes[at] > least:
-            length = self.sizes[at]
+    def _largest(self, offers: Offers, target: int, least: int, most: int, gives: int) -> tuple[int, ...] | None:
+        """The offer of more than `least` up to `most` tokens, the longest, whose taking, for `gives` tokens in return, pays."""
+        at = bisect_left(offers.sizes, most + 1) - 1
+        while at >= 0 and offers.sizes[at] > least:
+            length = offers.sizes[at]
             # squares grow by 2d(fill - other + d) for d tokens that come in more than go out
-            piece = self._emptiest(length, target, self.fill[target] + length - gives)
-            if piece is not None:
-                return piece
-            at = min(at, len(self.sizes)) - 1
+            pieces = self._emptiest(offers, length, target, self.fill[target] + length - gives)
+            if pieces is not None:
+                return pieces
+            at = min(at, len(offers.sizes)) - 1
         return None
 
     def _swap(self, target: int, out: tuple[int, ...], source: int, come: tuple[int, ...]) -> None:
@@ -115,67 +139,30 @@ class Search:
         self.fill[target] += gain
         self.fill[source] -= gain
         for n in (target, source):
-            for i in self.bins[n]:
-                if self.fill[n] == self.window:
+            if self.fill[n] < self.window:
+                self._offer(n)
+            else:
+                for i in self.bins[n]:
                     self.home.pop(i)
-                else:
-                    self._offer(i, n)
-
-    def _pair(self, target: int, least: int, most: int, gives: int, emptier: list[int]) -> tuple[int, tuple[int, int]] | None:
-        """Two pieces of one of the emptier sequences with more than `least` up to `most` tokens together."""
-        best, found = least, None
-        for source in emptier:
-            if source == target or len(self.bins[source]) < 2:
-                continue
-            pieces = sorted(self.bins[source], key=self.lengths.__getitem__)
-            sizes = [self.lengths[i] for i in pieces]
-            low, high = 0, len(pieces) - 1
-            while low < high:
-                both = sizes[low] + sizes[high]
-                if both > most:
-                    high -= 1
-                    continue
-                if both > best and self.fill[target] + both - gives > self.fill[source]:
-                    best, found = both, (source, (pieces[low], pieces[high]))
-                    if best == most:
-                        return found
-                low += 1
-        return found
 
-    def _step(self, target: int, emptier: list[int]) -> bool:
+    def _step(self, target: int) -> bool:
         """The change that fills the target most: a move, else an exchange of one for one, two for one, one for two."""
         room, lengths = self.window - self.fill[target], self.lengths
-        best: tuple[int, tuple, int, tuple] | None = None
-
-        def consider(out: tuple[int, ...], come: tuple[int, ...], source: int) -> bool:
-            nonlocal best
-            gain = sum(lengths[i] for i in come) - sum(lengths[i] for i in out)
-            if best is None or gain > best[0]:
-                best = gain, out, source, come
-            return gain == room
-
-        done = False
-        piece = self._largest(target, 0, room, 0)
-        if piece is not None:
-            done = consider((), (piece,), self.home[piece])
+        best: tuple[int, tuple[int, ...], tuple[int, ...]] | None = None  # gain, what goes, what comes
         mine = sorted({lengths[i]: i for i in self.bins[target]}.items())  # one piece of each length is enough
-        pairs = {n + m: (i, j) for x, (n, i) in enumerate(mine) for m, j in mine[x + 1 :]}
-        for length, out in [*((n, (i,)) for n, i in mine), *pairs.items()]:
-            if done:
-                break
-            least = length + (best[0] if best else 0)
-            piece = self._largest(target, least, length + room, length)
-            if piece is not None:
-                done = consider(out, (piece,), self.home[piece])
-        for length, i in mine:
-            if done:
-                break
-            found = self._pair(target, length + (best[0] if best else 0), length + room, length, emptier)
-            if found:
-                done = consider((i,), found[1], found[0])
+        ones = [(n, (i,)) for n, i in mine]
+        twos = {n + m: (i, j) for x, (n, i) in enumerate(mine) for m, j in mine[x + 1 :]}
+        for offers, places in ((self.singles, [(0, ()), *ones, *twos.items()]), (self.pairs, ones)):
+            for length, out in places:
+                gain = best[0] if best else 0
+                if gain == room:
+                    break
+                come = self._largest(offers, target, length + gain, length + room, length)
+                if come is not None:
+                    best = sum(lengths[i] for i in come) - length, out, come
         if best is None:
             return False
-        self._swap(target, best[1], best[2], best[3])
+        self._swap(target, best[1], self.home[best[2][0]], best[2])
         return True
 
     def run(self) -> list[list[int]]:
@@ -183,8 +170,8 @@ class Search:
         while True:
             before = sum(f * f for f in self.fill)
             order = sorted((n for n, b in enumerate(self.bins) if b and self.fill[n] < self.window), key=lambda n: (-self.fill[n], n))
-            for place, target in enumerate(order):
-                while self.bins[target] and self.fill[target] < self.window and self._step(target, order[max(place + 1, len(order) - NEAR) :]):
+            for target in order:
+                while self.bins[target] and self.fill[target] < self.window and self._step(target):
                     pass
             if sum(f * f for f in self.fill) == before:
                 return [b for b in self.bins if b]
