@@ -7,17 +7,26 @@ folder and hands it to the next stage. All stages but the last return the column
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.llm import jaccard, language, leaks, packing, substrings
-from shelfline.llm.frames import fold, table
+from shelfline.llm.frames import fold, small_batches, table
 from shelfline.session import scratch_dir, stored
 
 # Tokenizers, learned models and suffix automata have no SQL
 ORACLE_SQL = None
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def bounded(stage: Stage) -> Stage:
+    """A stage whose text goes to Python workers in small batches: they and the executors serve all stages in turn."""
+    return wraps(stage)(lambda spark, docs, sf_dir: stage(small_batches(spark), docs, sf_dir))
+
+
 def free(docs: DataFrame, name: str) -> str:
     """A column name that the documents do not have."""
     taken = {c.lower() for c in docs.columns}
@@ -43,6 +52,7 @@ def texts_of(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key).alias("doc_id"), "text")
 
 
+@bounded
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without a letter go, those in several languages stay."""
     model = language.fit(docs.where(fold(F.col("doc_id")) != 2))
@@ -51,6 +61,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(F.col(f"{into}.lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
+@bounded
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, the one with the smallest id; a row without a word stays.
 
@@ -62,6 +73,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.join(groups, key, "left_semi").select(*docs.columns)
 
 
+@bounded
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that also stand earlier; n_chars follows; a document of nothing else goes."""
     key = free(docs, "_key")
@@ -70,6 +82,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.length("text").cast("long")).where("text IS NOT NULL AND n_chars > 0").select(*docs.columns)
 
 
+@bounded
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an item of the benchmark."""
     key = free(docs, "_key")
@@ -78,12 +91,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.join(leaked, key, "left_anti").select(*docs.columns)
 
 
+@bounded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 1024 tokens."""
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language_id", identify_language),
     ("ngram_jaccard", drop_near_duplicates),
     ("substring_dedup", cut_repeats),

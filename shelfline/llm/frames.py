@@ -26,6 +26,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Rows go to Python workers a few MB at a time, as well as at most 10,000: a batch stands in the JVM and in the worker,
+    on its way in and on its way out, in every task, and what was once taken up is not given back to the system."""
+    spark.conf.set(*BATCH_BYTES)
+    return spark
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfline.llm import frames
 
@@ -334,10 +335,10 @@ def _judged(texts: list[str | None], model: Model, with_spans: bool) -> pa.Struc
     return pa.StructArray.from_arrays(arrays, fields)
 
 
-def _label(batches, model: Model, with_spans: bool):
+def _label(batches, model: Model, with_spans: bool, at: int):
     for batch in batches:
         row = 0
-        texts = batch.column(batch.num_columns - 1)
+        texts = batch.column(at)
         while row < batch.num_rows:
             some, size = [], 0
             while row + len(some) < batch.num_rows and size < BLOCK:
@@ -359,5 +360,8 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", into: str = "la
     columns = [c for c in docs.columns if c != into]
     out = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes)
     kind = f"struct<lang_pred: string, score: double{f', spans: {SPANS}' if spans else ''}>"
-    read = docs.select(*columns, F.col(text_col).cast("string").alias(into))
-    return read.mapInArrow(lambda it: _label(it, send.value, spans), f"{out}{', ' if columns else ''}`{into}` {kind}")
+    if text_col in columns and docs.schema[text_col].dataType == T.StringType():
+        at, read = columns.index(text_col), docs.select(*columns, F.lit(None).cast("boolean").alias(into))
+    else:
+        at, read = len(columns), docs.select(*columns, F.col(text_col).cast("string").alias(into))
+    return read.mapInArrow(lambda it: _label(it, send.value, spans, at), f"{out}{', ' if columns else ''}`{into}` {kind}")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
+
 import __spark_entry__
 import corpus_pipeline
 
@@ -110,3 +112,16 @@ def test_columns_of_any_name_come_back_as_they_were(spark, tmp_path):
         got = {x[0]: tuple(x[5:]) for x in out.collect()}
         assert got == {i: wanted[i] for i in got} and len(got) >= 3, name
     assert corpus_pipeline.pack(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == 4
+
+
+def test_long_texts_go_to_python_a_few_mb_at_a_time(spark, texts):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    @corpus_pipeline.bounded
+    def stage(spark, docs, sf_dir):
+        return docs.coalesce(1).mapInArrow(sizes, "n long")
+
+    found = [r.n for r in stage(spark, texts([(i, "long " * 20_000) for i in range(200)]), "").collect()]
+    assert 20_000_000 <= sum(found) and max(found) < 5_000_000
