@@ -18,8 +18,17 @@ def product_id(number: ColumnLike, width: int = 4) -> Column:
     return padded("P", number, width)
 
 
+def day_digits(day: ColumnLike) -> Column:
+    """The day as it stands in an order id."""
+    return F.date_format(as_column(day), "yyyyMMdd")
+
+
 def order_id(day: ColumnLike, number: ColumnLike, width: int = 5) -> Column:
-    return F.concat(F.lit("O"), F.date_format(as_column(day), "yyyyMMdd"), padded("-", number, width))
+    return order_id_of(day_digits(day), number, width)
+
+
+def order_id_of(digits: ColumnLike, number: ColumnLike, width: int = 5) -> Column:
+    return F.concat(F.lit("O"), as_column(digits), padded("-", number, width))
 
 
 def combination_id(item_ids: ColumnLike) -> Column:

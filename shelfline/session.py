@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 # Settings that may be changed on a running session. Joins of a fact with a key that holds a large share of the rows
 # rely on the adaptive skew join; "force" lets Spark split such a partition even when the next step then needs one
 # more shuffle, which is far cheaper than one task with a third of the data.
+# A shuffle partition of 16 MB takes a few hundred MB in the sorts and hash tables of its task, whatever the table's size.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.parquet.compression.codec": "zstd",
 }
 
 
