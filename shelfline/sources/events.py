@@ -85,17 +85,18 @@ def judge_messages(raw: DataFrame, schema: T.StructType, column: str = "value",
     messages that the parser marks as not wholly read are looked into field by field.
     """
     value, unread = F.col(column).cast("string"), "_unread"
+    marked = T.StructType([*schema.fields, T.StructField(unread, T.StringType())])
+    parsed = F.from_json("value", marked, {"columnNameOfCorruptRecord": unread})
+    # rows of a generator: a filter on the reason would else be moved below the parser, and parse once for each field it reads
+    once = F.array(F.struct(parsed.alias("event"), F.try_parse_json("value").alias("sent")))
+    read = raw.select(value.alias("value")).select("value", F.inline(once))
     known = reduce(or_, [F.col(f"event.{name}").isNotNull() for name in schema.fieldNames()])
-    lost = F.when(F.col(f"event.{unread}").isNotNull(), _lost(F.try_parse_json("value"), F.col("event"), schema))
-    reason = F.when(F.try_parse_json("value").isNull(), "no JSON").when(~known & lost.isNull(), "no known field")
-    reason = reason.when(lost.isNotNull(), F.concat(lost, F.lit(UNFIT)))
+    lost = F.when(F.col(f"event.{unread}").isNotNull(), _lost(F.col("sent"), F.col("event"), schema))
+    reasons = [F.when(F.col("sent").isNull(), "no JSON"), F.concat(lost, F.lit(UNFIT)), F.when(~known, "no known field")]
     if time in schema.fieldNames():
         given = F.col(f"event.{time}")
-        reason = reason.when(given.isNotNull() & event_time(given).isNull(), "unreadable time")
-    marked = T.StructType([*schema.fields, T.StructField(unread, T.StringType())])
-    parsed = F.from_json("value", marked, {"columnNameOfCorruptRecord": unread})
-    judged = raw.select(value.alias("value")).withColumn("event", parsed).withColumn("reason", reason)
-    return judged.withColumn("event", F.col("event").dropFields(unread))
+        reasons.append(F.when(given.isNotNull() & event_time(given).isNull(), "unreadable time"))
+    return read.select("value", F.col("event").dropFields(unread).alias("event"), F.coalesce(*reasons).alias("reason"))
 
 
 def parse_events(raw: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
@@ -103,7 +104,7 @@ def parse_events(raw: DataFrame, schema: T.StructType, column: str = "value") ->
 
     What lands takes no such message: there `rejected` has it, with the field.
     """
-    return judge_messages(raw, schema, column).where(F.col("reason").isNull() | F.col("reason").endswith(UNFIT)).select("event.*")
+    return judge_messages(raw, schema, column).where(F.coalesce(F.col("reason").endswith(UNFIT), F.lit(True))).select("event.*")
 
 
 def rejected(judged: DataFrame, arrival: Column) -> DataFrame:

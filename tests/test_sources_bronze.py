@@ -189,3 +189,13 @@ def test_fields_that_do_not_fit_are_named(spark, rows):
     judged = events.judge_messages(raw, schemas.SALE_EVENT)
     assert {r.value: r.reason for r in judged.collect()} == {**dict.fromkeys(good), **bad}
     assert judged.schema["event"].dataType == schemas.SALE_EVENT
+
+
+def test_a_message_is_parsed_once(spark):
+    """A filter on the reason must not be moved below the parser, where it parses once for each field it reads."""
+    raw = spark.createDataFrame([('{"order_id": "a"}',), ('{"order_id"',), ('{"total_price": "abc"}',)], "value string")
+    taken = events.parse_events(raw, schemas.SALE_EVENT)
+    plain = events.judge_messages(raw, schemas.SALE_EVENT).where("reason IS NULL").select("event.*")
+    for df, n_rows in ((taken, 2), (plain, 1)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+        assert df.count() == n_rows
