@@ -654,26 +654,20 @@ def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
     shop_items = F.transform(
         "items", lambda i: F.struct(i["product_id"].alias("product_id"), i["name"].alias("name"),
                                     i["price"].alias("price"), i["color"].alias("color")))
-    from_shop = sales.where(web).select(
-        "order_id", "combination_id", F.col("user").alias("user_id"), shop_items.alias("items"))
-    broken = sales.where(web).select(F.concat(F.lit("{broken "), "order_id").alias("value"))
-    lines = (
-        events.to_events(sales.where(~web), "order_id")
-        .unionByName(events.to_events(from_shop, "order_id"))
-        .select("value")
-        .unionByName(broken)
-    )
+    from_shop = F.to_json(F.struct("order_id", "combination_id", F.col("user").alias("user_id"), shop_items.alias("items")))
+    broken = F.concat(F.lit("{broken "), "order_id")
+    sent = F.when(web, F.array(from_shop, broken)).when(~web, F.array(F.to_json(F.struct(*sales.columns))))
+    lines = sales.select(F.explode(sent).alias("value"))
     landed = _landed(spark, lines, "sales", "orders", F.lit(REFRESHED).cast("timestamp"))
     shown = landed.withColumn("n_items", F.coalesce(F.size("items"), F.lit(0)))
     columns = ["event_type", "event_time", "order_id", "combination_id", "user", "promo_code", "total_price", "n_items"]
     return rounded(readable(shown.select(*columns), "event_time"), 2)
 
 
-@query
-def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
-    """Landed and rejected messages of a stream in which every web order comes with five messages that are none or hold what does not fit."""
+def _mixed_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """The sale messages, each of a web order with five bad ones beside it: in one pass, so that all files hold some of them."""
     sales = testbed.sale_events(spark, sf)
-    web = sales.where(~F.col("is_community_created"))
+    web = ~F.col("is_community_created")
     bad = [
         F.concat(F.lit('{"order_id": "'), "order_id"),
         F.to_json(F.struct(F.col("order_id").alias("x"))),
@@ -681,11 +675,15 @@ def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
         F.to_json(F.struct("order_id", F.lit("abc").alias("total_price"))),
         F.to_json(F.struct("order_id", F.array(F.struct("user", F.lit("many").alias("quantity"))).alias("items"))),
     ]
-    lines = events.to_events(sales, "order_id").select("value")
-    for value in bad:
-        lines = lines.unionByName(web.select(value.alias("value")))
+    message = F.to_json(F.struct(*sales.columns))
+    return sales.select(F.explode(F.when(web, F.array(message, *bad)).otherwise(F.array(message))).alias("value"))
+
+
+@query
+def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Landed and rejected messages of a stream in which every web order comes with five messages that are none or hold what does not fit."""
     folder = scratch_dir(spark, "rejects")
-    lines.write.text(f"{folder}/in")
+    _mixed_messages(spark, sf).write.text(f"{folder}/in")
     _finish(ingest.ingest_sales(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", by_day=False))
     landed = spark.read.parquet(f"{folder}/out/orders").groupBy(F.lit("landed").alias("reason"))
     rejects = spark.read.parquet(f"{folder}/out/orders_rejects").groupBy("reason")

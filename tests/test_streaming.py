@@ -12,6 +12,7 @@ from shelfline.operators.retention import prune
 from shelfline.plans import live
 from shelfline.sources.events import parse_events, read_events
 from shelfline.streaming import ingest, windows
+from shelfline.workload import queries
 
 
 def put(folder, name, lines):
@@ -175,3 +176,10 @@ def test_nothing_is_lost_and_no_time_is_made_up(spark, tmp_path):
     rejects = {r.reason: r.n for r in spark.read.parquet(f"{tmp_path}/out/orders_rejects").groupBy("reason").agg(F.count("*").alias("n")).collect()}
     assert rejects == {"no JSON": 1 + (spark.read.text(str(tmp_path / "in")).count() - 5), "no known field": 1, "unreadable time": 1}
     assert sum(rejects.values()) + orders.count() == spark.read.text(str(tmp_path / "in")).count()
+
+
+def test_bad_messages_come_from_one_pass(spark):
+    lines = queries._mixed_messages(spark, "/root/testdata/sf0.001")
+    assert "Union" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    bad = lines.where("NOT value LIKE '{\"event_type\"%'").count()
+    assert bad > 0 and bad % 5 == 0
