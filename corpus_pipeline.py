@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.llm import jaccard, language, leaks, packing, substrings
-from shelfline.llm.frames import fold, small_batches, table
+from shelfline.llm.frames import fold, freed, small_batches, table
 from shelfline.session import scratch_dir, stored
 
 # Tokenizers, learned models and suffix automata have no SQL
@@ -23,8 +23,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def bounded(stage: Stage) -> Stage:
-    """A stage whose text goes to Python workers in small batches: they and the executors serve all stages in turn."""
-    return wraps(stage)(lambda spark, docs, sf_dir: stage(small_batches(spark), docs, sf_dir))
+    """A stage whose text goes to Python workers in small batches, and whose shuffle files go with their queries: the
+    workers, the executors and their disks serve all stages in turn."""
+    return wraps(stage)(lambda spark, docs, sf_dir: stage(freed(small_batches(spark)), docs, sf_dir))
 
 
 def free(docs: DataFrame, name: str) -> str:

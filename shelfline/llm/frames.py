@@ -36,6 +36,16 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+FREED = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def freed(spark: SparkSession) -> SparkSession:
+    """Shuffle files go when the query that wrote them ends. Else they stay until the driver collects its garbage, and an
+    operator of many queries fills the disks with shuffles that nothing reads any more."""
+    spark.conf.set(*FREED)
+    return spark
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

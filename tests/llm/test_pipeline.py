@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -125,3 +127,18 @@ def test_long_texts_go_to_python_a_few_mb_at_a_time(spark, texts):
 
     found = [r.n for r in stage(spark, texts([(i, "long " * 20_000) for i in range(200)]), "").collect()]
     assert 20_000_000 <= sum(found) and max(found) < 5_000_000
+
+
+def test_shuffle_files_of_a_stage_go_with_its_query(spark):
+    def blocks() -> int:
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().size()
+
+    docs = spark.range(1000).withColumn("text", F.lit("x"))
+    before = blocks()
+    stage = corpus_pipeline.bounded(lambda spark, docs, sf_dir: docs.groupBy(F.col("id") % 7).count())
+    rows = stage(spark, docs, "").collect()
+    for _ in range(50):  # they go in the background
+        if blocks() <= before:
+            break
+        time.sleep(0.1)
+    assert len(rows) == 7 and blocks() <= before
