@@ -23,6 +23,8 @@ def pair_counts(
     settled: bool = False,
     counts: DataFrame | None = None,
     lookups: int | None = None,
+    largest_size: int | None = None,
+    with_counts: bool = False,
 ) -> DataFrame:
     """Unordered pairs `item_a < item_b` and the number of groups that hold both, where that is `min_pair_cnt` or more.
 
@@ -36,20 +38,45 @@ def pair_counts(
     * Bulky groups that must be paired are cut into blocks of items, and each pair of blocks is joined on its own, so a
       single group becomes many small tasks.
 
+    From the first step on, items go by numbers: pairs of numbers are far cheaper to count and to move than pairs of texts.
+
     The memberships are read several times, so they are stored first; `settled` says that `baskets` is a stored table
-    with each membership once. `counts`, if at hand, has the groups per item as (item, cnt).
+    with each membership once. `counts`, if at hand, has the groups per item as (item, cnt), and `largest_size` is the
+    size of the largest group: no bulky ones are looked for where there can be none. `with_counts` adds the groups of
+    each item as `cnt_a` and `cnt_b`.
     """
     members = baskets.select(F.col(group).alias("grp"), F.col(item).alias("item")).dropna()
     if not settled:
         members = stored(members.distinct(), "members")
-    large = members.groupBy("grp").agg(F.count("item").alias("size")).where(F.col("size") > bulky)
-    largest = _largest(large, MAX_LOOKED_UP if lookups is None else lookups)
-
-    if min_pair_cnt > 1:
-        if counts is None:
-            counts = stored(item_counts(members), "counts")
-        frequent = counts.where(F.col("cnt") >= min_pair_cnt).select("item")
-        members = members.join(frequent, "item", "left_semi")
+    largest, large = [], None
+    if largest_size is None or largest_size > bulky:
+        large = members.groupBy("grp").agg(F.count("item").alias("size")).where(F.col("size") > bulky)
+        largest = _largest(large, MAX_LOOKED_UP if lookups is None else lookups)
+    if counts is None:
+        counts = stored(item_counts(members), "counts")
+    numbers = _numbers(counts.where(F.col("cnt") >= min_pair_cnt))
+    members = members.join(numbers.select("item", "number"), "item").select("grp", F.col("number").alias("item"))
+    return _by_name(_numbered_pairs(members, min_pair_cnt, bulky, large, largest), numbers, with_counts)
+
+
+def _numbers(counts: DataFrame) -> DataFrame:
+    """A number for each item. Stored, so that all readers see the same numbers."""
+    return stored(counts.select("item", "cnt", F.monotonically_increasing_id().alias("number")), "numbers")
+
+
+def _by_name(pairs: DataFrame, numbers: DataFrame, with_counts: bool) -> DataFrame:
+    """The pairs by items instead of numbers; the smaller item comes first."""
+    for side in ("a", "b"):
+        found = numbers.select(F.col("number").alias(f"item_{side}"), F.struct("item", "cnt").alias(side))
+        pairs = pairs.join(found, f"item_{side}")
+    first, second = F.least("a", "b"), F.greatest("a", "b")  # by item: it is the first field, and no two are equal
+    counts = [first["cnt"].alias("cnt_a"), second["cnt"].alias("cnt_b")] if with_counts else []
+    return pairs.select(first["item"].alias("item_a"), second["item"].alias("item_b"), "pair_cnt", *counts)
+
+
+def _numbered_pairs(
+    members: DataFrame, min_pair_cnt: int, bulky: int, large: DataFrame | None, largest: list
+) -> DataFrame:
     if not largest:
         return _count(_listed_pairs(members)).where(F.col("pair_cnt") >= min_pair_cnt)
 
@@ -81,11 +108,13 @@ def _largest(large: DataFrame, limit: int) -> list:
 
 
 def _listed_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of groups that are known to be small: the items of a group are gathered, then paired."""
-    lists = members.groupBy("grp").agg(F.array_sort(F.collect_list("item")).alias("items")).where(F.size("items") > 1)
-    first = lists.select(F.posexplode("items").alias("place", "item_a"), "items")
-    later = F.slice("items", F.col("place") + 2, F.size("items"))
-    return first.select("item_a", F.explode(later).alias("item_b"))
+    """Pairs of groups that are known to be small: a join of the memberships with themselves, from one shuffle.
+
+    The hash of the group goes first in the key, since numbers sort faster than texts that begin alike.
+    """
+    keyed = members.withColumn("key", F.xxhash64("grp"))
+    left, right = keyed.withColumnRenamed("item", "item_a"), keyed.withColumnRenamed("item", "item_b")
+    return left.hint("merge").join(right, ["key", "grp"]).where("item_a < item_b").select("item_a", "item_b")
 
 
 def _blocked_pairs(members: DataFrame, bulky: int) -> DataFrame:

@@ -89,15 +89,15 @@ def affinity(
     members = baskets.select("order_id", "product_id")
     if not settled:
         members = stored(distinct_baskets(members), "baskets")
-    total = members.agg(F.count_distinct("order_id")).scalar()
+    sizes = members.where("order_id IS NOT NULL").groupBy("order_id").agg(F.count("product_id").alias("size"))
+    total, largest = sizes.agg(F.count(F.lit(1)), F.max("size")).first()
     if counts is None:
         counts = stored(product_counts(members), "counts")
     per_item = counts.select(F.col("product_id").alias("item"), F.col("basket_cnt").alias("cnt"))
-    pairs = pair_counts(members, min_pair_cnt, bulky=bulky, settled=True, counts=per_item)
-    counted = pairs.join(
-        per_item.select(F.col("item").alias("item_a"), F.col("cnt").alias("cnt_a")), "item_a", "left"
-    ).join(per_item.select(F.col("item").alias("item_b"), F.col("cnt").alias("cnt_b")), "item_b", "left")
-    both = directed(counted).withColumn("total", total)
+    counted = pair_counts(
+        members, min_pair_cnt, bulky=bulky, settled=True, counts=per_item, largest_size=largest or 0, with_counts=True
+    )
+    both = directed(counted).withColumn("total", F.lit(total))
     pair_cnt, lhs_cnt, rhs_cnt = (F.col(name).cast("double") for name in ("pair_cnt", "lhs_cnt", "rhs_cnt"))
     return both.select(
         "lhs_item_id",

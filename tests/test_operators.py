@@ -77,6 +77,14 @@ def test_pair_counts_of_two_huge_groups_pair_only_what_they_share(spark):
     assert got.count() == 45 and {r.pair_cnt for r in got.collect()} == {2}
 
 
+def test_pair_counts_move_numbers_from_one_shuffle_of_the_groups(spark):
+    df = spark.createDataFrame([("g1", "x"), ("g1", "y"), ("g2", "y"), ("g2", "x"), ("g3", "x")], "order_id string, product_id string")
+    got = pair_counts(df, 2, largest_size=2, with_counts=True)
+    assert [tuple(r) for r in got.collect()] == [("x", "y", 2, 3, 2)]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ObjectHashAggregate" not in plan and "ReusedExchange" in plan
+
+
 def test_pair_counts_without_rows(spark):
     empty = spark.createDataFrame([], "order_id string, product_id string")
     assert pair_counts(empty, 2).count() == 0
