@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from shelfline.functions.columns import ColumnLike, as_column
 
 # fixed value: an order id starts with its day, as in O20240131-00042
-ORDER_ID_DAY = r"^O(\d{8})-"
+ORDER_ID_DAY = r"^O\d{8}-"
 
 
 def order_date(order_id: ColumnLike) -> Column:
     """The day inside an order id; NULL when the id has none or the digits are no date."""
-    return F.try_to_date(F.regexp_extract(as_column(order_id), ORDER_ID_DAY, 1), "yyyyMMdd")
+    text = as_column(order_id)
+    parts = [F.substring(text, 2, 4), F.substring(text, 6, 2), F.substring(text, 8, 2)]
+    return F.when(text.rlike(ORDER_ID_DAY), F.concat_ws("-", *parts).try_cast("date"))
 
 
 def date_key(day: ColumnLike) -> Column:

@@ -98,12 +98,23 @@ def distinct_baskets(items: DataFrame) -> DataFrame:
     return items.select("order_id", "product_id").distinct()
 
 
-def basket_totals(sales: DataFrame) -> DataFrame:
+def one_category(cats: DataFrame) -> bool:
+    """Whether no product has two categories: the lines of `fact_sales_item` then hold each product of an order once."""
+    return cats.groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def basket_totals(sales: DataFrame, single: bool = False) -> DataFrame:
     """Size, quantity and value per order in one pass.
 
-    Lines are first summed per order and product. That makes the size a plain count, and an order with very many
-    lines is reduced on the map side.
+    Lines are first summed per order and product, unless `single` says that they hold each product of an order once.
+    That makes the size a plain count, and an order with very many lines is reduced on the map side.
     """
+    if single:
+        return sales.groupBy("order_id").agg(
+            F.count("product_id").alias("basket_size"),
+            F.sum("qty").alias("basket_qty"),
+            exact_sum("line_value").alias("basket_value"),
+        )
     per_product = sales.groupBy("order_id", "product_id").agg(
         F.sum("qty").alias("qty"), exact_sum("line_value").alias("line_value")
     )
@@ -114,9 +125,9 @@ def basket_totals(sales: DataFrame) -> DataFrame:
     )
 
 
-def fact_basket_summary(orders: DataFrame, sales: DataFrame) -> DataFrame:
-    """One row per order; an order without lines keeps NULL totals."""
-    heads = orders.select(
+def basket_heads(orders: DataFrame) -> DataFrame:
+    """The basket summary without the totals, for figures that need none: no line is read."""
+    return orders.select(
         "order_id",
         "user_id",
         order_date("order_id").alias("order_date"),
@@ -124,7 +135,12 @@ def fact_basket_summary(orders: DataFrame, sales: DataFrame) -> DataFrame:
         F.col("promo_flag").cast("boolean").alias("promo_flag"),
         F.col("promo_code").cast("string").alias("promo_code"),
     )
-    return heads.join(basket_totals(sales), "order_id", "left")
+
+
+def fact_basket_summary(orders: DataFrame, sales: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """One row per order; an order without lines keeps NULL totals. `totals` are the basket totals, if at hand:
+    else they are taken from the lines."""
+    return basket_heads(orders).join(basket_totals(sales) if totals is None else totals, "order_id", "left")
 
 
 def product_counts(baskets: DataFrame) -> DataFrame:
