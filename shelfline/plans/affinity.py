@@ -30,15 +30,18 @@ def filter_baskets(
     end: str | None = None,
     store_ids: Sequence[str] = (),
     promo_context: str | None = None,
+    *,
+    settled: bool = False,
 ) -> DataFrame:
     """Baskets of the orders in a date range (both ends included), in given stores, with or without promotion.
 
     An empty store list and a missing bound switch that filter off. An order whose flag is NULL counts as without
-    promotion. The filters act on the order table before the join.
+    promotion. The filters act on the order table before the join. `settled` says that `items` has each product of an
+    order once already.
     """
     if promo_context not in (None, PROMO_ONLY, NON_PROMO_ONLY):
         raise ValueError(f"unknown promo context: {promo_context}")
-    baskets = distinct_baskets(items)
+    baskets = items.select("order_id", "product_id") if settled else distinct_baskets(items)
     promoted = F.coalesce("promo_flag", F.lit(False))
     tests: list[Column] = []
     if start:

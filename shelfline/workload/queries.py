@@ -207,10 +207,10 @@ def kx_total_baskets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _affinity(spark: SparkSession, sf: str, **filters) -> DataFrame:
-    items = testbed.order_lines(spark, sf).select("order_id", "product_id")  # repeated lines change no basket
+    baskets = testbed.baskets(spark, sf)
     if filters:
-        items = aff.filter_baskets(items, testbed.summary(spark, sf), **filters)
-    return aff.affinity(items, MIN_PAIRS, F.lit(REFRESHED).cast("timestamp"))
+        baskets = aff.filter_baskets(baskets, testbed.heads(spark, sf), **filters, settled=True)
+    return aff.affinity(stored(baskets, "baskets"), MIN_PAIRS, F.lit(REFRESHED).cast("timestamp"), settled=True)
 
 
 def _named(spark: SparkSession, sf: str, table: DataFrame) -> DataFrame:
@@ -269,8 +269,9 @@ def recommend(spark: SparkSession, sf: str) -> DataFrame:
     """Partners of every product: from promoted orders where there are any, else from all orders."""
     baskets = stored(testbed.baskets(spark, sf), "baskets")
     refreshed = F.lit(REFRESHED).cast("timestamp")
-    promoted = aff.filter_baskets(baskets, testbed.summary(spark, sf), promo_context=aff.PROMO_ONLY)
-    named = stored(_named(spark, sf, aff.affinity(promoted, MIN_PAIRS, refreshed)), "named")
+    chosen = aff.filter_baskets(baskets, testbed.heads(spark, sf), promo_context=aff.PROMO_ONLY, settled=True)
+    promoted = stored(chosen, "promoted")
+    named = stored(_named(spark, sf, aff.affinity(promoted, MIN_PAIRS, refreshed, settled=True)), "named")
     full = aff.affinity(baskets, MIN_PAIRS, refreshed, settled=True)
     anchors = testbed.products(spark, sf).select(F.col("product_id").alias("lhs_item_id"))
     return rounded(lookups.recommend(named, full, testbed.products_dim(spark, sf), anchors, min_pair_cnt=MIN_PAIRS))
