@@ -609,7 +609,7 @@ def _finish(queries: list) -> None:
 
 def _landed(spark: SparkSession, published: DataFrame, kind: str, name: str, arrival: Column | None = None) -> DataFrame:
     folder = scratch_dir(spark, kind)
-    published.select("value").write.text(f"{folder}/in")
+    published.select("value").write.text(f"{folder}/in", compression="lz4")
     start = ingest.ingest_sales if kind == "sales" else ingest.ingest_combinations
     _finish(start(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", arrival, by_day=False))
     extra = ["batch_id", "event_time"] if name.endswith("items") else ["batch_id"]
