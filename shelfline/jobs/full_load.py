@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.plans import affinity, kpis, silver
-from shelfline.session import build_session
+from shelfline.session import build_session, stored
 from shelfline.sources.tables import (
     BRONZE_TABLES,
     Layer,
@@ -69,15 +69,18 @@ def _silver_tables(spark: SparkSession, bronze: str, ns: str, options: Options)
     write(silver.dim_product(products, cats), "dim_product")
     items = silver.clean_items(raw("order_items"), options.item_order)
     sales = write(silver.fact_sales_item(items, products, cats), "fact_sales_item", by_order=True)
-    baskets = write(silver.distinct_baskets(sales), "fact_basket_product", by_order=True)
+    single = silver.one_category(cats)
+    held = sales.select("order_id", "product_id") if single else silver.distinct_baskets(sales)
+    baskets = write(held, "fact_basket_product", by_order=True)
+    totals = stored(silver.basket_totals(sales, single), "totals")
     orders = silver.clean_orders(raw("orders"))
-    summary = write(silver.fact_basket_summary(orders, sales), "fact_basket_summary", by_order=True)
+    summary = write(silver.fact_basket_summary(orders, sales, totals), "fact_basket_summary", by_order=True)
     # The kept orders now stand in the summary; both small dimensions come from there.
     kept = summary.select("order_id", F.col("store_id").alias("location"))
     write(silver.dim_store(kept), "dim_store")
     write(silver.dim_date(kept), "dim_date")
     write(silver.product_counts(baskets), "fact_product_counts")
-    write(silver.total_baskets(baskets), "kx_total_baskets")
+    write(totals.agg(F.count("order_id").alias("n")), "kx_total_baskets")
 
 
 def build_gold(spark: SparkSession, ns_silver: str, ns: str, options: Options = Options()) -> None:
@@ -100,7 +103,8 @@ def _gold_tables(spark: SparkSession, ns_silver: str, ns: str, options: Options)
     filters = (options.start, options.end, options.store_ids, options.promo_context)
     if any(filters):
         scored = affinity.affinity(
-            affinity.filter_baskets(baskets, summary, *filters), options.min_pair_cnt, options.refreshed_at
+            stored(affinity.filter_baskets(baskets, summary, *filters, settled=True), "baskets"),
+            options.min_pair_cnt, options.refreshed_at, settled=True,
         )
     else:
         scored = affinity.affinity(
@@ -112,9 +116,10 @@ def _gold_tables(spark: SparkSession, ns_silver: str, ns: str, options: Options)
 
     write(kpis.aov_overall(summary), "sales_aov_overall")
     write(kpis.aov_by_region_channel(summary, stores), "sales_aov_by_region_channel")
-    write(kpis.aov_by_brand(sales), "sales_aov_by_brand")
+    per_order = stored(kpis.brands_of_orders(sales), "brands")
+    write(kpis.aov_by_brand(sales, per_order), "sales_aov_by_brand")
     write(kpis.top_products(kpis.product_sales(sales, products)), "sales_top_products_by_category")
-    write(kpis.regional_split(sales, summary, stores), "sales_regional_split")
+    write(kpis.regional_split(sales, summary, stores, per_order), "sales_regional_split")
     write(kpis.promo_share_orders(summary), "sales_promo_share_orders")
     write(kpis.promo_share_users(summary), "sales_promo_share_users")
     write(kpis.promo_share_by_channel(summary, stores), "sales_promo_share_by_channel")

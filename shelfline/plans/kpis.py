@@ -45,10 +45,16 @@ def aov_by_region_channel(summary: DataFrame, stores: DataFrame) -> DataFrame:
     )
 
 
-def aov_by_brand(sales: DataFrame) -> DataFrame:
-    """Mean, over the orders that hold a brand, of the value they hold of it."""
-    per_order = sales.groupBy("order_id", "brand").agg(decimal_sum("line_value").alias("value"))
-    return per_order.groupBy("brand").agg(ratio(exact_sum("value"), F.count("value")).alias("aov_brand"))
+def brands_of_orders(sales: DataFrame) -> DataFrame:
+    """Quantity and revenue per order and brand."""
+    return sales.groupBy("order_id", "brand").agg(F.sum("qty").alias("qty"), decimal_sum("line_value").alias("revenue"))
+
+
+def aov_by_brand(sales: DataFrame, per_order: DataFrame | None = None) -> DataFrame:
+    """Mean, over the orders that hold a brand, of the value they hold of it. `per_order` are the brands of the orders,
+    if at hand."""
+    per_order = brands_of_orders(sales) if per_order is None else per_order
+    return per_order.groupBy("brand").agg(ratio(exact_sum("revenue"), F.count("revenue")).alias("aov_brand"))
 
 
 def product_sales(sales: DataFrame, dim_product: DataFrame) -> DataFrame:
@@ -69,13 +75,15 @@ def top_products(product_sales: DataFrame, n: int = TOP_PRODUCTS) -> DataFrame:
     return top_per_group(product_sales, ["category"], order, n, rank_col="rank_in_category")
 
 
-def regional_split(sales: DataFrame, summary: DataFrame, stores: DataFrame) -> DataFrame:
+def regional_split(
+    sales: DataFrame, summary: DataFrame, stores: DataFrame, per_order: DataFrame | None = None
+) -> DataFrame:
     """Orders, quantity and revenue by region, channel and brand.
 
     Lines are summed per order and brand before they meet the orders, so a very large order arrives as a few rows,
-    and an order then counts once for each of its brands.
+    and an order then counts once for each of its brands. `per_order` are the brands of the orders, if at hand.
     """
-    per_order = sales.groupBy("order_id", "brand").agg(F.sum("qty").alias("qty"), decimal_sum("line_value").alias("revenue"))
+    per_order = brands_of_orders(sales) if per_order is None else per_order
     known = summary.select("order_id", "store_id", F.lit(1).alias("known"))
     per_store = (
         per_order.join(known, "order_id", "left")

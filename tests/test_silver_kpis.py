@@ -103,3 +103,19 @@ def test_sales_item_keeps_lines_of_unknown_products_and_their_category(spark, sh
     cats = spark.createDataFrame([("P8", "hats"), ("P1", "jackets"), ("P1", "sale")], schemas.PRODUCT_CATEGORIES)
     got = sorted((r.product_id, r.line_value, r.category or "", r.brand) for r in silver.fact_sales_item(items, shop.products, cats).collect())
     assert got == [("P1", 200.0, "jackets", "BOSS"), ("P1", 200.0, "sale", "BOSS"), ("P8", None, "hats", None), ("P9", None, "", None)]
+
+
+def test_baskets_without_repeated_products_need_no_sum_per_product(spark, shop, rows):
+    assert not silver.one_category(shop.cats) and silver.one_category(shop.one_category)
+    sales = spark.createDataFrame(shop.sales.collect(), shop.sales.schema)  # as a table, without the shuffle that made it
+    totals, summed = silver.basket_totals(sales, single=True), silver.basket_totals(sales)
+    plans = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(order_id") for df in (totals, summed)]
+    assert plans[0] == plans[1] - 1 and rows(totals) == rows(summed)
+    assert rows(silver.fact_basket_summary(shop.orders, totals=totals)) == rows(silver.fact_basket_summary(shop.orders, shop.sales))
+
+
+def test_figures_per_brand_share_the_brands_of_the_orders(shop, rows):
+    held = kpis.brands_of_orders(shop.sales)
+    assert rows(kpis.aov_by_brand(shop.sales, held)) == rows(kpis.aov_by_brand(shop.sales))
+    split = kpis.regional_split(shop.sales, shop.summary, shop.stores, held)
+    assert rows(split) == rows(kpis.regional_split(shop.sales, shop.summary, shop.stores))
