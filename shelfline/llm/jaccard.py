@@ -9,7 +9,8 @@ sets that are not safe by chance go through a prefix join instead, so no link is
 
 Costs steer what is compared: a set stays safe without as much of its segments as it has to spare, so it leaves out those
 that most sets share, up to all of them. Members of a segment are not compared pair by pair: each is held against one of them, linked sets merge into
-components, and members of components that segments still connect are compared in blocks.
+components, and members of components that segments still connect are compared in blocks: first by sketches of a bit for
+each token, which are too far apart for most pairs, and by their tokens only in the blocks where sketches leave a pair open.
 
 Sets are held as sorted 64-bit hashes of their shingles; equal sets share a class and are handled once.
 """
@@ -31,13 +32,18 @@ _U = np.uint64
 GROWTH = 1.6  # of a size band
 SPARE = 1.5  # segments, in terms of those that a full set of the band needs
 LEVELS = np.array([1, 2, 3, 5, 8, 16, 32, 64, 128, 512, 2048, 8192, 65536, 1 << 24])  # steps of the members of a segment
-BUCKET = 1 << 21  # shingles whose signatures meet in one task, about
+BUCKET = 1 << 21  # shingles whose signatures are sorted at once, about
+PASSES = 8  # of a task over its signatures at most, about: a set is named once in each task that has some of its own
 BATCH = 1 << 19  # signatures that a task sorts at once, about
 BLOCK = 512  # sets that one task holds against as many others
+SKETCHED = 4096  # sketches that one task holds against as many others
+SKETCH = 1 << 16  # bits of the largest sketch
+HELD = 1 << 22  # members of shared segments that a task sums up at once, about
 
 PROFILE = "doc_id long, n_shingles long, cls long, safe boolean, slack long"
 BLOCKS = "bucket int, classes binary, counts binary, high binary, low binary"
 FOUND = "a long, b long, weight long, level int, members binary"
+SETS = "cls long, n int, tokens binary, sketch binary"
 
 
 @lru_cache(maxsize=None)
@@ -196,53 +202,82 @@ def _dealt(parts: list[tuple], buckets: int):
 
 
 def _members(batches):
-    """Of one bucket: sets to hold against each other first, the member lists of shared segments, and what hot ones cost."""
-    cls, sig = [], []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            names = np.frombuffer(row[1], np.int64)
-            cls.append(np.repeat(names, np.frombuffer(row[2], np.uint16 if len(row[2]) == 2 * len(names) else np.uint32)))
-            high, low = np.frombuffer(row[3], np.uint32), np.frombuffer(row[4], np.uint8)
-            sig.append((np.uint64(row[0] & 0xFFFF) << _U(48)) | (high.astype(_U) << _U(16)) | low)
-    if not cls:
-        return
-    cls, sig = np.concatenate(cls), np.concatenate(sig)
+    """Of one bucket: sets to hold against each other first, the member lists of shared segments, and what hot ones cost.
+
+    The signatures stay as they came, and are sorted a part at a time, by their first bits.
+    """
+    rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    passes = 1
+    while passes * BUCKET < sum(len(row[4]) for row in rows):
+        passes *= 2
+    pairs, shared, held = [], [], 0
+    lists: set[tuple[int, bytes]] = set()
+    for number in range(passes):
+        cls, key, kind = _part(rows, number, passes)
+        fresh = np.ones(len(cls), bool)
+        fresh[1:] = (cls[1:] != cls[:-1]) | (key[1:] != key[:-1])
+        cls, key, kind = cls[fresh], key[fresh], kind[fresh]
+        if not len(cls):
+            continue
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.append(start, len(key)))
+        whole = np.add.reduceat((kind & 1) == 0, start, dtype=np.int64)  # segments themselves, not deletions of them
+        start, count = start[(count > 1) & (whole > 0)], count[(count > 1) & (whole > 0)]
+        # large segments of like size are told apart by a hash, so that sets can leave out some of them
+        part = np.where(count > 16, mix(key[start]) & _U(15), 0).astype(np.int64)
+        levels = np.searchsorted(LEVELS, count, "left") * 16 + part
+        for a, n, level in zip(start.tolist(), count.tolist(), levels.tolist(), strict=True):
+            lists.add((level, cls[a : a + n].tobytes()))
+        at = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        rest = np.ones(len(at), bool)
+        rest[np.cumsum(count) - count] = False
+        pairs.append((np.repeat(cls[start], count)[rest], cls[at][rest], np.ones(rest.sum(), np.int64)))
+        mine = (kind[at] & 2) > 0
+        shared.append((cls[at][mine], np.repeat(levels, count)[mine], 1 + (kind[at][mine] >> 2).astype(np.int64)))
+        held += len(at)
+        if held > HELD:
+            yield from _summed(pairs, shared, lists)
+            pairs, shared, held = [], [], 0
+            lists.clear()
+    yield from _summed(pairs, shared, lists)
+
+
+def _part(rows: list[tuple], number: int, passes: int):
+    """(set, signature, kind) of those signatures of a bucket whose first bits are this number, sorted."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, _U))]
+    for bucket, classes, counts, high, low in rows:
+        names, high = np.frombuffer(classes, np.int64), np.frombuffer(high, np.uint32)
+        mine = (high.astype(_U) * _U(passes)) >> _U(32) == number
+        cls = np.repeat(names, np.frombuffer(counts, np.uint16 if len(counts) == 2 * len(names) else np.uint32))[mine]
+        sig = (np.uint64(bucket & 0xFFFF) << _U(48)) | (high[mine].astype(_U) << _U(16)) | np.frombuffer(low, np.uint8)[mine]
+        found.append((cls, sig))
+    cls, sig = (np.concatenate([x[i] for x in found]) for i in range(2))
     order = np.lexsort((sig & _U(1), cls, sig & ~_U(7)))
     cls, sig = cls[order], sig[order]
-    key, kind = sig & ~_U(7), (sig & _U(7)).astype(np.int8)
-    del order, sig
-    fresh = np.ones(len(cls), bool)
-    fresh[1:] = (cls[1:] != cls[:-1]) | (key[1:] != key[:-1])
-    cls, key, kind = cls[fresh], key[fresh], kind[fresh]
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    count = np.diff(np.append(start, len(key)))
-    whole = np.add.reduceat((kind & 1) == 0, start, dtype=np.int64)  # segments themselves, not deletions of them
-    start, count = start[(count > 1) & (whole > 0)], count[(count > 1) & (whole > 0)]
-    if not len(start):
-        return
-    pairs: dict[tuple[int, int], int] = {}
-    lists: set[tuple[int, bytes]] = set()
-    shared: dict[tuple[int, int], int] = {}
-    # large segments of like size are told apart by a hash, so that sets can leave out some of them
-    part = np.where(count > 16, mix(key[start]) & _U(15), 0).astype(np.int64)
-    levels = (np.searchsorted(LEVELS, count, "left") * 16 + part).tolist()
-    for a, n, level in zip(start.tolist(), count.tolist(), levels, strict=True):
-        members = cls[a : a + n]
-        lists.add((level, members.tobytes()))
-        for c, k in zip(members.tolist(), kind[a : a + n].tolist(), strict=True):
-            if k & 2:
-                shared[c, level] = shared.get((c, level), 0) + 1 + (k >> 2)
-        least = int(members[0])
-        for c in members[1:].tolist():
-            pairs[least, c] = pairs.get((least, c), 0) + 1
-    rows = [(a, b, n, None, None) for (a, b), n in pairs.items()]
-    rows += [(c, None, n, level, None) for (c, level), n in shared.items()]
-    rows += [(None, None, None, level, x) for level, x in lists]
+    return cls, sig & ~_U(7), (sig & _U(7)).astype(np.int8)
+
+
+def _summed(pairs: list[tuple], shared: list[tuple], lists: set[tuple[int, bytes]]):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("weight", pa.int64()), ("level", pa.int32()), ("members", pa.binary())])
-    for i in range(0, len(rows), 10_000):
-        yield pa.RecordBatch.from_pydict(
-            dict(zip(schema.names, map(list, zip(*rows[i : i + 10_000], strict=True)), strict=True)), schema
-        )
+
+    def batch(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    for parts, second in ((pairs, "b"), (shared, "level")):
+        if not parts:
+            continue
+        first, other, weight = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        order = np.lexsort((other, first))
+        first, other, weight = first[order], other[order], weight[order]
+        at = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (other[1:] != other[:-1])]) if len(first) else np.zeros(0, np.int64)
+        weight = np.add.reduceat(weight, at) if len(at) else weight
+        for i in range(0, len(at), 10_000):
+            some = at[i : i + 10_000]
+            yield batch(len(some), a=first[some], weight=weight[i : i + 10_000], **{second: other[some]})
+    listed = list(lists)
+    for i in range(0, len(listed), 10_000):
+        some = listed[i : i + 10_000]
+        yield batch(len(some), level=[level for level, _ in some], members=[x for _, x in some])
 
 
 def _unpacked(batches):
@@ -261,14 +296,77 @@ def _unpacked(batches):
             )
 
 
-def _sets(batches, words: int):
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bit for each value of some bits of a token, 1 where an odd number of the set's tokens has it.
+
+    Two sets differ in at least as many tokens as their sketches do in bits. A sketch has as many bits as the set has
+    tokens, about; folded once it is the one of half as many.
+    """
+    size = 64
+    while size < min(len(tokens), SKETCH):
+        size *= 2
+    place = (mix(tokens) >> _U(20)) & _U(size - 1)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=size) & 1).astype(bool)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many bits two sketches differ, at the shorter of both lengths."""
+    a, b = (np.frombuffer(z, np.uint8)[None] for z in (x, y))
+    size = min(len(x), len(y))
+    return int(np.bitwise_count((_folded(a, size) ^ _folded(b, size)).view(_U)).sum())
+
+
+def _folded(rows: np.ndarray, size: int) -> np.ndarray:
+    while rows.shape[1] > size:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def open_pairs(n: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray, percent: int):
+    """(x, y), places in n: those of the pairs of left and right that sizes and sketches leave open, right by right."""
+    length = np.array([len(x) for x in sketches])
+    rows = {k: np.frombuffer(b"".join(sketches[i] for i in np.flatnonzero(length == k)), np.uint8).reshape(-1, k) for k in np.unique(length).tolist()}
+    place = np.zeros(len(n), np.int64)
+    for k in rows:
+        place[length == k] = np.arange((length == k).sum())
+    left = left[np.argsort(n[left], kind="stable")]
+    for k, mine in rows.items():  # left ones of a length against right ones, at the shorter of both lengths
+        lefts = left[length[left] == k]
+        for l, theirs in rows.items():
+            rights = right[length[right] == l]
+            if not len(lefts) or not len(rights):
+                continue
+            size = min(k, l)
+            a, b = (np.ascontiguousarray(_folded(x, size)).view(_U) for x in (mine[place[lefts]], theirs[place[rights]]))
+            low = np.searchsorted(n[lefts], -(-n[rights] * percent // 100), "left")
+            high = np.searchsorted(n[lefts], n[rights] * 100 // percent, "right")
+            for i in np.flatnonzero(low < high).tolist():
+                some = lefts[low[i] : high[i]]
+                apart = np.bitwise_count(a[low[i] : high[i]] ^ b[i]).sum(axis=1, dtype=np.int64)
+                near = some[apart * (100 + percent) <= (n[some] + n[rights[i]]) * (100 - percent)]
+                if len(near):
+                    yield near, np.full(len(near), rights[i])
+
+
+def _sets(batches, words: int, named: bool = True):
+    """The sets of the texts, each once in a task; named: those whose name the set has."""
+    seen: set[int] = set()
     for batch in batches:
         for row, end, w in words_of(batch.column(1), SPACES, lower=True):
             tokens, first = shingles(w, words)
-            blobs = [tokens[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(row, end - row), pa.array(blobs, pa.binary())], ["cls", "tokens"]
-            )
+            cls, keep = classes_of(tokens, first), []
+            wanted = batch.column(0).slice(row, end - row).to_pylist() if named else cls.tolist()
+            for i, c in enumerate(cls.tolist()):
+                if wanted[i] == c and c not in seen:
+                    keep.append(i)
+                    seen.add(c)
+            if len(seen) > BATCH:
+                seen.clear()
+            some = [tokens[first[i] : first[i + 1]] for i in keep]
+            columns = [cls[keep], np.array([len(x) for x in some], np.int32), [x.tobytes() for x in some], [sketch(x) for x in some]]
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["cls", "n", "tokens", "sketch"])
 
 
 def _prefixes(batches, words: int, percent: int, least: int, most: int):
@@ -284,6 +382,20 @@ def _prefixes(batches, words: int, percent: int, least: int, most: int):
                 )
 
 
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches leave open."""
+
+    def kept(batches):
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
+            yield batch.select([0, 1]).filter(pa.array([
+                100 * min(m, n) >= percent * max(m, n) and apart(x, y) * (100 + percent) <= (m + n) * (100 - percent) for m, x, n, y in rows
+            ], pa.bool_()))
+
+    both = pairs.join(sketches.toDF("a", "m", "x"), "a").join(sketches.toDF("b", "n", "y"), "b")
+    return both.select("a", "b", "m", "x", "n", "y").mapInArrow(kept, "a long, b long")
+
+
 def _with_heads(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The linked ones of pairs (a, b), where many b may share an a: these are dealt to several tasks, each with a's set."""
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -321,7 +433,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("safe").alias("safe"), F.first("slack").alias("slack")
     )
     total = profiles.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(spark.sparkContext.defaultParallelism, -(-total // BUCKET))
+    parallel = spark.sparkContext.defaultParallelism
+    buckets = max(parallel, min(4 * parallel, -(-total // BUCKET)), -(-total // (BUCKET * PASSES)))
     blocks = texts.mapInArrow(lambda it: _blocks(it, words, percent, buckets), BLOCKS)
     found = frames.cut(blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(_members, FOUND))
 
@@ -344,15 +457,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         best = best.union(extra).distinct()
     wanted = groups.select("cls").union(best.select("a")).union(best.select("b")).distinct()
     named = frames.cut(wanted.join(classes, "cls").select("cls", F.col("least").alias("doc_id")))
-    # one row per class: a repeated id with another text would answer for the wrong class, so names are checked
+    # a repeated id with another text would answer for the wrong class, so names are checked
     sets = (
-        frames.sifted(texts, "doc_id", frames.sieve(named.select("doc_id"))).join(named, "doc_id").select("cls", "text").mapInArrow(lambda it: _sets(it, words), "cls long, tokens binary")
+        frames.sifted(texts, "doc_id", frames.sieve(named.select("doc_id"))).join(named, "doc_id").select("cls", "text").mapInArrow(lambda it: _sets(it, words), SETS)
     )
     if not classes.groupBy("least").count().where("count > 1").isEmpty() or not classes.where("least IS NULL").isEmpty():
         sets = _sets_by_class(texts, wanted, words)
-    sets = frames.cut(sets.dropDuplicates(["cls"]))
+    sets = frames.cut(sets)  # a set may come from several tasks, if an id is repeated: once more in a comparison is no harm
+    sketches = frames.cut(sets.select("cls", "n", "sketch").dropDuplicates(["cls"]))
+    sets = sets.select("cls", "tokens")
 
-    links = frames.cut(_with_heads(best, sets, percent))
+    links = frames.cut(_with_heads(_near(best, sketches, percent), sets, percent))
     roots = frames.components(links)
 
     def still_open(groups: DataFrame) -> DataFrame:
@@ -364,7 +479,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     left = still_open(groups)
     if not left.isEmpty():
-        links = links.union(_in_blocks(left, sets, percent))
+        links = links.union(_in_blocks(left, sets, sketches, percent))
         roots = frames.components(links)
 
     named = classes.select("cls", "least").join(roots.toDF("cls", "root"), "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
@@ -375,31 +490,52 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _in_blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _in_blocks(left: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Links between all sets that segments still connect, in blocks; enough of them to join what belongs together.
 
-    Each set goes to one task per block it has to meet, so no pair becomes a row unless it is linked.
+    Each set goes to one task per block it has to meet, so no pair becomes a row unless it is linked: first its sketch, in
+    large blocks, then its tokens, in those of the small blocks where sketches leave one of its pairs open.
     """
     heads = left.groupBy("g").agg(F.min("cls").alias("b"))
     areas = frames.components(left.join(heads, "g").select(F.col("cls").alias("a"), "b"))
-    areas = areas.join(left.select(F.col("cls").alias("node"), "n", "root", "active").groupBy("node").agg(F.max("n").alias("n"), F.max("root").alias("root2"), F.max("active").alias("active")), "node")
+    areas = areas.join(left.select(F.col("cls").alias("node"), "root", "active").groupBy("node").agg(F.max("root").alias("root2"), F.max("active").alias("active")), "node")
     areas = areas.select(F.col("root").alias("area"), F.col("node").alias("cls"), F.col("root2").alias("root"), "active")
     # the largest component of an area only has to meet the rest of it
     sizes = areas.groupBy("area", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("area").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("mains"), F.sum("n").alias("all"))
-    many = [F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int").alias(c) for n, c in ((F.col("mains"), "mains"), (F.col("all") - F.col("mains"), "strays"))]
+    many = [F.greatest(F.lit(1), F.ceil(n / SKETCHED)).cast("int").alias(c) for n, c in ((F.col("mains"), "mains"), (F.col("all") - F.col("mains"), "strays"))]
     areas = areas.join(main.select("area", "main", *many), "area")
-    spread = F.xxhash64("cls")
-    inside = areas.where("root = main").select("area", F.lit(-1).alias("i"), F.pmod(spread, F.col("mains")).cast("int").alias("j"), "cls", "root", "active")
-    strays = areas.where("root != main").withColumn("own", F.pmod(spread, F.col("strays")).cast("int"))
-    facing = strays.select("area", F.lit(-1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("mains") - 1)).alias("j"), "cls", "root", "active")
-    among = strays.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("strays") - 1)))
-    among = among.select("area", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "root", "active")
-    members = inside.union(facing).union(among)
-    members = members.join(sets, "cls")
+    # blocks of the main component are those below 0
+    spread, inside, small = F.xxhash64("cls"), F.col("root") == F.col("main"), max(1, SKETCHED // BLOCK)
+    place = F.pmod(spread, F.when(inside, F.col("mains")).otherwise(F.col("strays"))).cast("int")
+    fine = place * small + F.pmod(F.xxhash64(spread), F.lit(small)).cast("int")
+    placed = [F.when(inside, -1 - at).otherwise(at).alias(name) for at, name in ((place, "own"), (fine, "fine"))]
+    areas = frames.cut(areas.select("area", "cls", "root", "active", "mains", "strays", *placed))
+    strays = F.sequence(F.lit(0), F.col("strays") - 1)
+    met = F.when(F.col("own") < 0, strays).otherwise(F.concat(F.transform(F.sequence(F.lit(1), F.col("mains")), lambda i: -i), strays))
+    rows = areas.join(sketches, "cls").withColumn("other", F.explode(met))
+    rows = rows.select("area", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fine", "cls", "root", "active", "n", "sketch")
+    opened = rows.groupBy("area", "i", "j").applyInArrow(lambda t: _opened(t, percent), "area long, i int, j int, cls long").distinct()
+    members = opened.join(areas.select("cls", "root", "active"), "cls").join(sets, "cls")
     return members.groupBy("area", "i", "j").applyInArrow(lambda t: _compared(t, percent), "a long, b long")
 
 
+def _opened(table: pa.Table, percent: int) -> pa.Table:
+    """Of one large block against another, or itself: the small blocks (i, j) in which a set has to be compared, with the set."""
+    cls, root, own, fine, n = (table.column(name).to_numpy() for name in ("cls", "root", "own", "fine", "n"))
+    active = table.column("active").to_numpy(zero_copy_only=False)
+    sides = [np.flatnonzero(own == table.column(name)[0].as_py()) for name in ("i", "j")]
+    blocks, at = np.unique(fine, return_inverse=True)
+    meets = np.zeros((len(cls), len(blocks)), bool)
+    for x, y in open_pairs(n.astype(np.int64), table.column("sketch").to_pylist(), *sides, percent):
+        mine = (root[x] != root[y]) & (active[x] | active[y])
+        meets[x[mine], at[y[mine]]] = meets[y[mine], at[x[mine]]] = True
+    who, where = np.nonzero(meets)
+    low, high = np.minimum(fine[who], blocks[where]), np.maximum(fine[who], blocks[where])
+    area = np.full(len(who), table.column("area")[0].as_py(), np.int64)
+    return pa.table({"area": area, "i": low.astype(np.int32), "j": high.astype(np.int32), "cls": cls[who]})
+
+
 def _compared(table: pa.Table, percent: int) -> pa.Table:
     """Links of a block with another, or with itself, between different components; of these a spanning forest."""
     cls, root = table.column("cls").to_numpy(), table.column("root").to_numpy()
@@ -442,14 +578,8 @@ def _compared(table: pa.Table, percent: int) -> pa.Table:
 def _sets_by_class(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """Sets of the wanted classes where ids do not name them: found again by their contents."""
 
-    def every(batches):
-        for batch in batches:
-            for _, _, w in words_of(batch.column(0), SPACES, lower=True):
-                tokens, first = shingles(w, words)
-                blobs = [tokens[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(classes_of(tokens, first)), pa.array(blobs, pa.binary())], ["cls", "tokens"])
-
-    return texts.select("text").mapInArrow(every, "cls long, tokens binary").join(wanted, "cls", "left_semi")
+    found = texts.select("doc_id", "text").mapInArrow(lambda it: _sets(it, words, named=False), SETS)
+    return found.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def _rest(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame | None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfline.llm import alignment, jaccard, language, leaks, licenses, negatives, packing, quality, substrings, swaps, urls, vectors, warc
-from shelfline.llm.frames import fold, table
+from shelfline.llm.frames import fold, freed, small_batches, table
 from shelfline.session import scratch_dir
 
 # Fixed values
@@ -77,7 +77,7 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents linked by a similarity of at least 0.75 on five-word shingles."""
-    return jaccard.near_groups(table(spark, folder, "documents"), words=5, percent=75)
+    return jaccard.near_groups(table(freed(small_batches(spark)), folder, "documents"), words=5, percent=75)
 
 
 def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:

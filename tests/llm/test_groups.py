@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfline.llm import frames, jaccard, substrings, vectors
@@ -84,6 +85,68 @@ def test_near_groups_without_slack_or_large_blocks(texts, rows, monkeypatch):
     assert sorted(got, key=str) == groups_of(sample)
 
 
+def test_near_groups_with_many_small_blocks_and_passes(texts, rows, monkeypatch):
+    for name, value in (("BLOCK", 2), ("SKETCHED", 4), ("SKETCH", 64), ("SPARE", 0.4), ("HELD", 100)):
+        monkeypatch.setattr(jaccard, name, value)
+    jaccard.bands.cache_clear()
+    sample = corpus(3)
+    try:
+        got = rows(jaccard.near_groups(texts(sample)))
+    finally:
+        jaccard.bands.cache_clear()
+    assert sorted(got, key=str) == groups_of(sample)
+
+
+def bucket_of(sets, percent=75):
+    first = np.r_[0, np.cumsum([len(s) for s in sets])]
+    (owner, signature, kind), _ = jaccard.signatures(np.concatenate(sets), first, percent)
+    return list(jaccard._dealt([(jaccard.classes_of(np.concatenate(sets), first)[owner], signature, kind)], 1))
+
+
+def test_a_bucket_is_sorted_part_by_part(monkeypatch):
+    random = np.random.default_rng(1)
+    base = np.sort(random.integers(0, 1 << 63, 200).astype(np.uint64))
+    sets = [np.sort(np.r_[np.delete(base, i), random.integers(0, 1 << 63, 3).astype(np.uint64)]) for i in range(30)]
+
+    def found(size):
+        monkeypatch.setattr(jaccard, "BUCKET", size)
+        sizes, part = [], jaccard._part
+        monkeypatch.setattr(jaccard, "_part", lambda *a: sizes.append(len((out := part(*a))[0])) or out)
+        out = sorted((tuple(r.values()) for b in jaccard._members(bucket_of(sets)) for r in b.to_pylist()), key=str)
+        monkeypatch.setattr(jaccard, "_part", part)
+        return out, max(sizes)
+
+    whole, all_of_it = found(1 << 21)
+    parts, largest = found(1 << 9)
+    assert whole == parts and len(whole) > 30
+    assert largest < all_of_it / 4
+
+
+def test_only_blocks_of_open_pairs_are_compared_by_tokens():
+    random = np.random.default_rng(2)
+    sets = [np.sort(random.integers(0, 1 << 63, n).astype(np.uint64)) for n in (30, 90, 90, 500, 500, 3000) for _ in range(20)]
+    base = sets[70]
+    sets.append(np.sort(np.r_[base[40:], sets[0]]))
+    total = len(sets)
+    table = pa.table({
+        "area": [1] * total, "i": [0] * total, "j": [0] * total, "own": [0] * total, "fine": [k % 40 for k in range(total)], "cls": list(range(total)),
+        "root": list(range(total)), "active": [True] * total, "n": [len(s) for s in sets], "sketch": [jaccard.sketch(s) for s in sets],
+    })
+    got = {tuple(r.values()) for r in jaccard._opened(table, 75).to_pylist()}
+    pair = sorted((70 % 40, (total - 1) % 40))
+    assert got == {(1, *pair, 70), (1, *pair, total - 1)}
+    exact = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 4 * len(c := np.intersect1d(a, b)) >= 3 * (len(a) + len(b) - len(c))]
+    assert exact == [(total - 1, 70)]
+
+
+def test_shuffles_of_op7_go_with_their_queries(spark):
+    from shelfline.llm.queries import QUERIES
+
+    spark.conf.unset(frames.FREED[0])
+    QUERIES["op7_ngram_jaccard"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(frames.FREED[0]) == "true"
+
+
 def test_near_groups_of_odd_rows(texts, rows):
     assert rows(jaccard.near_groups(texts([]))) == []
     sample = [(None, "a b c d e f"), (9, "a b c d e f"), (9, "a b c d e f"), (3, None), (None, None), (4, "q r s t u v")]
