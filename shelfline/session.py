@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,21 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run inside go when their query ends, not when the driver collects its garbage.
+
+    For queries that are run once: what runs a second time would have to shuffle again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def build_session(app_name: str = "shelfline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above; `conf` keys use `__` for the dots of a Spark setting."""
     builder = SparkSession.builder.appName(app_name)

@@ -72,10 +72,10 @@ class Store:
     def _exists(self, name: str) -> bool:
         if not self.in_folder:
             return self.spark.catalog.tableExists(self._place(name))
-        files, path = self._files(self._place(name))
+        files, path = self.files(self._place(name))
         return files.exists(path)
 
-    def _files(self, place: str):
+    def files(self, place: str):
         """The file system of a path, and the path."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
@@ -111,7 +111,7 @@ class Store:
         out, pending = [], [(self._place(name), {})]
         while pending:
             place, values = pending.pop()
-            files, path = self._files(place)
+            files, path = self.files(place)
             inside = [(s.getPath().getName(), s.isDirectory()) for s in files.listStatus(path)]
             pending += [(f"{place}/{part}", values | dict([part.split("=", 1)])) for part, folder in inside if folder and "=" in part]
             if values and not all(folder for _, folder in inside):
@@ -120,7 +120,7 @@ class Store:
 
     def _drop(self, name: str, values: dict[str, str]) -> None:
         if self.in_folder:
-            files, path = self._files("/".join([self._place(name), *(f"{k}={v}" for k, v in values.items())]))
+            files, path = self.files("/".join([self._place(name), *(f"{k}={v}" for k, v in values.items())]))
             files.delete(path, True)
         else:
             listed = ", ".join(f"{k} = '{v}'" for k, v in values.items())

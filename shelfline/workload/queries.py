@@ -20,7 +20,7 @@ from shelfline.operators.retention import last, prune
 from shelfline.operators.sketches import window_estimates
 from shelfline.plans import affinity as aff
 from shelfline.plans import bronze, kpis, live, lookups, report, semantic, silver
-from shelfline.session import scratch_dir, stored, tune
+from shelfline.session import freed, scratch_dir, stored, tune
 from shelfline.sources import catalog, events, testbed
 from shelfline.sources.tables import AFFINITY_GOLD, REPORT_GOLD, REPORT_SILVER, preview, read_table
 from shelfline.streaming import ingest, totals, windows
@@ -607,9 +607,15 @@ def _finish(queries: list) -> None:
         running.awaitTermination()
 
 
+def _publish(messages: DataFrame, folder: str) -> None:
+    """Compressed text files; what was shuffled to make the messages goes when they are written."""
+    with freed(messages.sparkSession):
+        messages.select("value").write.text(folder, compression="lz4")
+
+
 def _landed(spark: SparkSession, published: DataFrame, kind: str, name: str, arrival: Column | None = None) -> DataFrame:
     folder = scratch_dir(spark, kind)
-    published.select("value").write.text(f"{folder}/in", compression="lz4")
+    _publish(published, f"{folder}/in")
     start = ingest.ingest_sales if kind == "sales" else ingest.ingest_combinations
     _finish(start(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", arrival, by_day=False))
     extra = ["batch_id", "event_time"] if name.endswith("items") else ["batch_id"]
@@ -684,7 +690,7 @@ def _mixed_messages(spark: SparkSession, sf: str) -> DataFrame:
 def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """Landed and rejected messages of a stream in which every web order comes with five messages that are none or hold what does not fit."""
     folder = scratch_dir(spark, "rejects")
-    _mixed_messages(spark, sf).write.text(f"{folder}/in")
+    _publish(_mixed_messages(spark, sf), f"{folder}/in")
     _finish(ingest.ingest_sales(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", by_day=False))
     landed = spark.read.parquet(f"{folder}/out/orders").groupBy(F.lit("landed").alias("reason"))
     rejects = spark.read.parquet(f"{folder}/out/orders_rejects").groupBy("reason")
@@ -748,6 +754,6 @@ def stream_kpis_sliding(spark: SparkSession, sf: str) -> DataFrame:
 def stream_cards_sliding(spark: SparkSession, sf: str) -> DataFrame:
     """Units, revenue and orders of all trailing 30 days from the stream of sale messages, the open ones included."""
     folder = scratch_dir(spark, "cards")
-    _sales_messages(spark, sf).select("value").write.text(f"{folder}/in")
+    _publish(_sales_messages(spark, sf), f"{folder}/in")
     orders = ingest.landed_orders(events.read_events(spark, f"{folder}/in", schemas.SALE_EVENT))
     return _cards(spark, orders, folder, MONTH, DAY)

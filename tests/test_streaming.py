@@ -183,3 +183,31 @@ def test_bad_messages_come_from_one_pass(spark):
     assert "Union" not in lines._jdf.queryExecution().optimizedPlan().toString()
     bad = lines.where("NOT value LIKE '{\"event_type\"%'").count()
     assert bad > 0 and bad % 5 == 0
+
+
+def test_a_batch_is_judged_once_into_files_and_not_kept_in_memory(spark, tmp_path, rows, monkeypatch):
+    kept, judged = [], []
+    for name in ("persist", "cache"):
+        monkeypatch.setattr(type(spark.range(1)), name, lambda df, *level: kept.append(df) or df)
+    once = ingest.judge_messages
+    monkeypatch.setattr(ingest, "judge_messages", lambda *a: judged.append(a) or once(*a))
+    put(tmp_path / "in", "1.json", [sale("a", 1, 2), "{broken", sale("b", 2, total_price="abc"), sale("c", 3, items=None)])
+    finish(ingest.ingest_sales(spark, str(tmp_path / "in"), f"{tmp_path}/out", f"{tmp_path}/checkpoint"))
+    assert not kept and len(judged) == 1
+    assert list((tmp_path / "checkpoint" / "judged").iterdir()) == []
+    assert rows(spark.read.parquet(f"{tmp_path}/out/orders").select("order_id")) == [("a",), ("c",)]
+    assert rows(spark.read.parquet(f"{tmp_path}/out/order_items").select("order_id", "product_id")) == [("a", "p0"), ("a", "p1")]
+    rejects = spark.read.parquet(f"{tmp_path}/out/orders_rejects").where("reason <> 'no JSON'")
+    assert [json.loads(r.value)["order_id"] for r in rejects.collect()] == ["b"]
+
+
+def test_messages_are_published_compressed_and_free_their_shuffles(spark, tmp_path, monkeypatch):
+    name, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    writer = type(spark.range(1).write)
+    text = writer.text
+    monkeypatch.setattr(writer, "text", lambda w, *a, **b: seen.append(w._spark.conf.get(name)) or text(w, *a, **b))
+    before = spark.conf.get(name)
+    queries._publish(queries._mixed_messages(spark, "/root/testdata/sf0.001"), f"{tmp_path}/in")
+    assert seen == ["true"] and spark.conf.get(name) == before
+    files = [f.name for f in (tmp_path / "in").glob("part-*")]
+    assert files and all(f.endswith(".lz4") for f in files)
