@@ -229,16 +229,22 @@ class Store:
 
     # --- maintenance ----------------------------------------------------------------------------------------------
 
-    def fold(self) -> bool:
-        """Fold the batches since the last fold into their days; says whether there were any."""
+    def fold(self, keep: str | None = None) -> bool:
+        """Fold the batches since the last fold into their days; says whether there were any.
+
+        Of the days that `retain(keep)` would take out of force no rows are rewritten.
+        """
         state = self.state()
         if state.last <= state.mark:
             return False
         version, days = state.version + 1, {name: dict(of) for name, of in state.days.items()}
+        bounds = self._bounds(state, keep) if keep else {}
         for name in self.tables:
             if name not in state.columns:
                 continue
             opened, have = self._open(state, name), days.setdefault(name, {})
+            if name in bounds:
+                opened = opened.where(F.col(DAY) >= bounds[name])
             touched = [r[0] for r in opened.select(DAY).distinct().collect()]  # a row per day
             rows = self._both(state, name, opened, {day: have[day] for day in touched if day in have})
             rows = rows.withColumn(VERSION, F.lit(version).cast("bigint")).hint("rebalance", DAY)
@@ -258,18 +264,24 @@ class Store:
                 tops.append(self._folded(state, name, {newest: days[newest]}).select(F.col(time).alias("t")))
         return reduce(DataFrame.union, tops).agg(F.to_date(F.max("t") - interval(keep))).first()[0]
 
+    def _bounds(self, state: State, keep: str) -> dict[str, datetime.date]:
+        """The first day to keep of each table that has a time."""
+        out = {}
+        for clock in {t.clock for t in self.tables.values()}:
+            names = [t.name for t in self.tables.values() if t.clock == clock and t.name in state.columns]
+            bound = self._bound(state, names, keep) if names else None
+            out |= dict.fromkeys(names, bound) if bound else {}
+        return out
+
     def retain(self, keep: str = "1 day") -> dict[str, datetime.date]:
         """Take the days out of force that lie wholly before the largest landed time less `keep`; the first day kept, by
         table. Rows that come later for such a day are not shown either. Running it again changes nothing."""
         state = self.state()
         days, kept_from = {name: dict(of) for name, of in state.days.items()}, dict(state.kept_from)
-        for clock in {t.clock for t in self.tables.values()}:
-            names = [t.name for t in self.tables.values() if t.clock == clock and t.name in state.columns]
-            bound = self._bound(state, names, keep) if names else None
-            for name in names if bound else []:
-                if bound > kept_from.get(name, datetime.date.min):
-                    kept_from[name] = bound
-                    days[name] = {d: v for d, v in days.get(name, {}).items() if d >= bound}
+        for name, bound in self._bounds(state, keep).items():
+            if bound > kept_from.get(name, datetime.date.min):
+                kept_from[name] = bound
+                days[name] = {d: v for d, v in days.get(name, {}).items() if d >= bound}
         if kept_from != state.kept_from:
             self._snapshot(replace(state, version=state.version + 1, days=days, kept_from=kept_from))
         return kept_from
@@ -301,7 +313,7 @@ class Store:
 
     def maintain(self, keep: str | None = "1 day", snapshots: int = 2) -> None:
         """Fold, retain `keep` (None: all), and remove what is not needed any more: the job to run every few minutes."""
-        self.fold()
+        self.fold(keep)
         if keep:
             self.retain(keep)
         self.vacuum(snapshots)

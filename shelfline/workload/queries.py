@@ -701,8 +701,9 @@ def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
 def stream_retained(spark: SparkSession, sf: str) -> DataFrame:
     """Orders of the kept days and their landed items: landed batch by batch, folded and retained on the way."""
     folder = scratch_dir(spark, "retained")
-    _sales_messages(spark, sf).select("value").repartition(6).write.text(f"{folder}/in")
-    source = {"path": f"{folder}/in", "maxFilesPerTrigger": "2"}
+    share = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 6)  # a sixth of the files, which are read by a task each
+    _publish(_sales_messages(spark, sf).repartition(6 * share, "key"), f"{folder}/in")
+    source = {"path": f"{folder}/in", "maxFilesPerTrigger": str(2 * share)}
     _finish(ingest.ingest_sales(spark, source, f"{folder}/out", f"{folder}/checkpoint", by_day=False, maintain_every=2, keep=MONTH))
     store = ingest.sales_store(spark, f"{folder}/out", by_day=False)
     store.maintain(MONTH)

@@ -156,3 +156,20 @@ def test_ingest_maintains_what_it_lands(spark, tmp_path):
     assert shown(store, "orders") == ["o3", "o4", "o5"] and len(shown(store, "order_items")) == 6
     assert store.read("orders_rejects").count() == 6  # by their own clock, the time of arrival
     assert store.read("orders").columns == [*spark.read.parquet(f"{out}/orders_days").drop("event_date", "version").columns, DAY]
+
+
+def test_maintenance_does_not_rewrite_days_that_it_drops(spark, tmp_path, monkeypatch):
+    store = two(spark, str(tmp_path / "out"), by_day=False)
+    written, put_rows = [], store._put
+
+    def noted(rows, name, by):
+        if name == "heads_days":
+            written.append(sorted(r[0].day for r in rows.select(DAY).distinct().collect()))
+        put_rows(rows, name, by)
+
+    monkeypatch.setattr(store, "_put", noted)
+    for batch, rows in enumerate([[("a", day(1), 1), ("b", day(9), 2)], [("c", day(2), 3), ("d", day(10), 4), ("n", None, 5)]]):
+        store.write(batch, {"heads": orders(spark, rows), "lines": lines(spark, [(i, t, 0) for i, t, _ in rows])})
+        store.maintain("2 days")
+    assert written == [[9], [10, 31]]  # rows without a time stand in a day that is never dropped
+    assert shown(store) == shown(store, "lines") == ["b", "d", "n"]
